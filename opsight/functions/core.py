@@ -145,3 +145,8 @@ def mmss(seconds: Column) -> Column:
     """m:ss text of a duration in seconds."""
     s = F.round(seconds).cast("long")
     return F.format_string("%d:%02d", (s / 60).cast("long"), s % 60)
+
+
+def fixed(c: str | Column, digits: int) -> Column:
+    """Fixed-point text of a value ('%.2f'), rounded first so both engines print the same digits."""
+    return F.format_string(f"%.{digits}f", rnd(c, digits))

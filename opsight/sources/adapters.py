@@ -149,5 +149,58 @@ class Model:
             (a - F.make_dt_interval(hours=F.lit(100))).alias("end_time")))
         return per_group.unionByName(all_scope)
 
+    # -- anomaly pipeline input: daily points per metric --------------------------------
+    def _daily_counts(self) -> DataFrame:
+        e = self.events()
+        return (e.groupBy((F.col("user_id") % 5).alias("k"), F.date_trunc("day", "ts").alias("day"), "event_type")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")))
+
+    def metrics_raw(self) -> DataFrame:
+        """metrics_raw (metric_id, recorded_at, value): daily points of four metric families.
+
+        <event_type>_<k>: daily mean value (unbounded_count); error_share_<k> and
+        success_share_<k>: daily share of error events (bounded_ratio, both directions);
+        daily_events_<k>: daily event count (bounded_capacity); k = user_id % 5.
+        """
+        g = self._daily_counts()
+        per_k = (g.groupBy("k", "day")
+                 .agg(F.sum("n").alias("n"),
+                      F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)).alias("ne")))
+        kk = F.col("k").cast("string")
+        unb = g.select(F.concat(F.col("event_type"), F.lit("_"), kk).alias("metric_id"),
+                       F.col("day").alias("recorded_at"), (F.col("s") / F.col("n")).alias("value"))
+        share = F.col("ne") / F.col("n")
+        hi = per_k.select(F.concat(F.lit("error_share_"), kk).alias("metric_id"), F.col("day").alias("recorded_at"),
+                          share.alias("value"))
+        lo = per_k.select(F.concat(F.lit("success_share_"), kk).alias("metric_id"), F.col("day").alias("recorded_at"),
+                          (F.lit(1.0) - share).alias("value"))
+        cap = per_k.select(F.concat(F.lit("daily_events_"), kk).alias("metric_id"), F.col("day").alias("recorded_at"),
+                           F.col("n").cast("double").alias("value"))
+        return unb.unionByName(hi).unionByName(lo).unionByName(cap)
+
+    def metric_config(self) -> DataFrame:
+        """metric_config rows for the metrics of `metrics_raw` (capacity = 1.2 x max daily count)."""
+        g = self._daily_counts()
+        per_k = g.groupBy("k", "day").agg(F.sum("n").alias("n"))
+        kk = F.col("k").cast("string")
+        common = [F.lit(0.70).alias("baseline_window_pct"), F.lit(20).alias("history_min_points"),
+                  F.lit(True).alias("is_active")]
+
+        def fam(df, mid, cat, mtype, direction, capacity, unit):
+            return df.select(mid.alias("metric_id"), mid.alias("metric_name"), F.lit(cat).alias("category"),
+                             F.lit(mtype).alias("metric_type"), F.lit(direction).alias("direction"),
+                             capacity.cast("double").alias("capacity"), F.lit(unit).alias("unit"), *common)
+
+        types = g.select("k", "event_type").distinct()
+        ks = per_k.groupBy("k").agg((F.max("n") * 1.2).alias("cap"))
+        return (fam(types, F.concat(F.col("event_type"), F.lit("_"), kk), "Traffic", "unbounded_count", "both",
+                    F.lit(None), "value")
+                .unionByName(fam(ks, F.concat(F.lit("error_share_"), kk), "Reliability", "bounded_ratio",
+                                 "higher_is_bad", F.lit(None), "%"))
+                .unionByName(fam(ks, F.concat(F.lit("success_share_"), kk), "Reliability", "bounded_ratio",
+                                 "lower_is_bad", F.lit(None), "%"))
+                .unionByName(fam(ks, F.concat(F.lit("daily_events_"), kk), "Capacity", "bounded_capacity",
+                                 "higher_is_bad", F.col("cap"), "events")))
+
 
 UNIT = HOUR
