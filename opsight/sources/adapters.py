@@ -10,7 +10,7 @@ minutes are given here in hours (operators take window lengths in seconds).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import HOUR, count_if
@@ -202,5 +202,39 @@ class Model:
                 .unionByName(fam(ks, F.concat(F.lit("daily_events_"), kk), "Capacity", "bounded_capacity",
                                  "higher_is_bad", F.col("cap"), "events")))
 
+    # -- leading-indicator snapshots ------------------------------------------------------
+    EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+    def signal_snapshots(self) -> DataFrame:
+        """Dense hourly snapshots (signal_name, numeric_value, snapshot_time).
+
+        Series = event_type x (user_id % 3), value = hourly mean; the first fourteen
+        series carry the fourteen signal names. Each series runs from its first hour
+        to the newest hour (its own hour sequence, exploded: no cross join) and an
+        hour without events repeats the last value, as a per-cycle snapshot job would.
+        """
+        from ..operators.leading import SIGNAL_NAMES
+        e = self.events()
+        g = (e.groupBy("event_type", (F.col("user_id") % 3).alias("k"), F.date_trunc("hour", "ts").alias("h"))
+             .agg(F.avg("value").alias("v")))
+        idx = (F.array_position(F.array(*[F.lit(t) for t in self.EVENT_TYPES]), F.col("event_type")) - 1) * 3 + F.col("k")
+        names = F.array(*[F.lit(n) for n in SIGNAL_NAMES])
+        name = F.when((idx >= 0) & (idx < len(SIGNAL_NAMES)), F.element_at(names, (idx + 1).cast("int"))) \
+            .otherwise(F.concat(F.col("event_type"), F.lit("_"), F.col("k").cast("string")))
+        g = g.withColumn("signal_name", name)
+        last_h = F.date_trunc("hour", self.as_of())
+        span = (g.groupBy("signal_name").agg(F.min("h").alias("h0"))
+                .select("signal_name", F.explode(F.sequence(F.col("h0"), last_h, F.expr("INTERVAL 1 HOUR")))
+                        .alias("snapshot_time")))
+        d = span.join(g.select("signal_name", F.col("h").alias("snapshot_time"), "v"), ["signal_name", "snapshot_time"],
+                      "left")
+        w = Window.partitionBy("signal_name").orderBy("snapshot_time").rowsBetween(Window.unboundedPreceding, 0)
+        return d.select("signal_name", F.last("v", ignorenulls=True).over(w).alias("numeric_value"), "snapshot_time")
+
+    def calibration_end(self):
+        """End of the calibration period: 20 days after the first event day."""
+        first = self.events().select(F.min("ts")).scalar()
+        return F.date_trunc("day", first) + F.make_dt_interval(days=F.lit(20))
+
 
 UNIT = HOUR
