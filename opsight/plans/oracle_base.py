@@ -43,6 +43,23 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"{ASOF} + to_hours((r_regionkey - 2) * 4 - 5) + INTERVAL 10 HOUR AS end_time FROM region "
         "UNION ALL SELECT 100, NULL, NULL, 'ALL', 'PLANNED', "
         f"{ASOF} - INTERVAL 110 HOUR, {ASOF} - INTERVAL 100 HOUR", ()),
+    "calls": ("SELECT l.l_orderkey * 10 + l.l_linenumber AS call_id, l.l_suppkey AS agent_id, "
+              "CAST(s.s_nationkey % 5 AS INTEGER) AS vendor_id, r.r_name AS region, l.l_quantity AS duration_min, "
+              "5.0 - 20.0 * l.l_discount AS mos, l.l_returnflag AS queue, CAST(l.l_shipdate AS TIMESTAMP) AS call_time, "
+              "l.l_tax * 1000.0 AS wait_sec, l.l_linestatus AS line_status FROM lineitem l "
+              "JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey "
+              "JOIN region r ON n.n_regionkey = r.r_regionkey", ()),
+    "incidents": ("SELECT o.o_orderkey AS incident_id, CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS priority, "
+                  "CASE WHEN o.o_orderstatus = 'F' THEN 'Resolved' WHEN o.o_orderstatus = 'O' THEN 'Open' "
+                  "ELSE 'In Progress' END AS state, CAST(o.o_orderdate AS TIMESTAMP) AS opened_at, "
+                  "c.c_mktsegment AS assignment_group, o.o_totalprice AS impact_value "
+                  "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey", ()),
+    "contacts": ("SELECT event_id AS contact_id, user_id AS customer_id, event_type AS category, event_type AS channel, "
+                 "ts AS contact_time, value FROM ev", ("ev",)),
+    "numstat": ("SELECT l.l_returnflag AS repo, l.l_linestatus AS branch, CAST(l.l_orderkey AS VARCHAR) AS commit, "
+                "'author-' || CAST(o.o_custkey % 20 AS VARCHAR) AS author, CAST(l.l_shipdate AS TIMESTAMP) AS committed_at, "
+                "'src/part-' || CAST(l.l_partkey AS VARCHAR) AS path, CAST(CAST(l.l_quantity AS BIGINT) AS VARCHAR) AS added, "
+                "CAST(l.l_linenumber AS VARCHAR) AS deleted FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey", ()),
 }
 
 

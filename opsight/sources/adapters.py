@@ -236,5 +236,58 @@ class Model:
         first = self.events().select(F.min("ts")).scalar()
         return F.date_trunc("day", first) + F.make_dt_interval(days=F.lit(20))
 
+    # -- contact-centre tables from the TPC-H-like tables --------------------------------
+    def calls(self) -> DataFrame:
+        """Calls: one per lineitem. agent = l_suppkey, vendor = s_nationkey % 5, region of the
+        supplier's nation, duration (min) = l_quantity, mos = 5 - 20 * l_discount, queue =
+        l_returnflag, time = l_shipdate, wait (s) = 1000 * l_tax, status = l_linestatus."""
+        li = self.raw("lineitem")
+        su = self.raw("supplier").select("s_suppkey", "s_nationkey")
+        geo = (self.raw("nation").join(F.broadcast(self.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+               .select("n_nationkey", F.col("r_name").alias("region")))
+        j = li.join(su, li.l_suppkey == su.s_suppkey).join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+        return j.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"),
+            F.col("l_suppkey").alias("agent_id"), (F.col("s_nationkey") % 5).cast("int").alias("vendor_id"),
+            F.col("region"), F.col("l_quantity").alias("duration_min"),
+            (F.lit(5.0) - F.lit(20.0) * F.col("l_discount")).alias("mos"),
+            F.col("l_returnflag").alias("queue"), F.col("l_shipdate").cast("timestamp").alias("call_time"),
+            (F.col("l_tax") * 1000.0).alias("wait_sec"), F.col("l_linestatus").alias("line_status"))
+
+    def incidents(self) -> DataFrame:
+        """Incidents: one per order. priority = first digit of o_orderpriority, state from
+        o_orderstatus (F resolved, O open, P in progress), opened_at = o_orderdate,
+        assignment group = c_mktsegment."""
+        o = self.raw("orders")
+        c = self.raw("customer").select("c_custkey", "c_mktsegment")
+        j = o.join(c, o.o_custkey == c.c_custkey)
+        return j.select(
+            F.col("o_orderkey").alias("incident_id"),
+            F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
+            F.when(F.col("o_orderstatus") == "F", "Resolved").when(F.col("o_orderstatus") == "O", "Open")
+            .otherwise("In Progress").alias("state"),
+            F.col("o_orderdate").cast("timestamp").alias("opened_at"),
+            F.col("c_mktsegment").alias("assignment_group"), F.col("o_totalprice").alias("impact_value"))
+
+    def contacts(self) -> DataFrame:
+        """Contacts: customer = user_id, category and channel = event_type, time = ts."""
+        return self.events().select(F.col("event_id").alias("contact_id"), F.col("user_id").alias("customer_id"),
+                                    F.col("event_type").alias("category"), F.col("event_type").alias("channel"),
+                                    F.col("ts").alias("contact_time"), F.col("value"))
+
+    def numstat(self) -> DataFrame:
+        """Commit numstat: repo = l_returnflag, branch = l_linestatus, commit = order,
+        author = o_custkey % 20, path = part, added = l_quantity, deleted = l_linenumber."""
+        li = self.raw("lineitem")
+        o = self.raw("orders").select("o_orderkey", "o_custkey")
+        j = li.join(o, li.l_orderkey == o.o_orderkey)
+        return j.select(F.col("l_returnflag").alias("repo"), F.col("l_linestatus").alias("branch"),
+                        F.col("l_orderkey").cast("string").alias("commit"),
+                        F.concat(F.lit("author-"), (F.col("o_custkey") % 20).cast("string")).alias("author"),
+                        F.col("l_shipdate").cast("timestamp").alias("committed_at"),
+                        F.concat(F.lit("src/part-"), F.col("l_partkey").cast("string")).alias("path"),
+                        F.col("l_quantity").cast("long").cast("string").alias("added"),
+                        F.col("l_linenumber").cast("string").alias("deleted"))
+
 
 UNIT = HOUR
