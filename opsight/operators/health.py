@@ -587,3 +587,60 @@ def sort_by_health(df: DataFrame, status: str, *then: Column) -> DataFrame:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
+
+
+# --------------------------------------------------------------------------- HLT-16 (batch twin of STR-5)
+def dense_period_errors(errors: DataFrame, entities: DataFrame, as_of, window_s: int, unit_s: int = MIN,
+                        key: str = "application_id") -> DataFrame:
+    """Error count per entity and period over the window, including periods without errors.
+
+    Each entity explodes its own period sequence (window / unit rows, a parameter bound,
+    not a data-volume bound); counts are pre-aggregated per period before the join.
+    """
+    a = resolve_as_of(as_of, errors, "recorded_at")
+    last = bucket(a, unit_s)
+    n_periods = int(window_s // unit_s)
+    cnt = (errors.filter(since("recorded_at", a, window_s))
+           .groupBy(key, bucket("recorded_at", unit_s).alias("period")).agg(F.count(F.lit(1)).alias("errors")))
+    grid = entities.select(key, F.explode(F.sequence(last - (n_periods - 1), last)).alias("period"))
+    return (grid.join(cnt, [key, "period"], "left").fillna(0, ["errors"])
+            .withColumn("period_start", F.timestamp_seconds(F.col("period") * unit_s)))
+
+
+def _hyst_next(status: Column, bad: Column, ok: Column, degrade: int, critical: int, recover: int,
+               healthy: int) -> Column:
+    up = status.isin("HEALTHY", "RECOVERING")
+    return ladder([
+        (up & (bad >= critical), "CRITICAL"),
+        (up & (bad >= degrade), "DEGRADED"),
+        ((status == "DEGRADED") & (bad >= critical), "CRITICAL"),
+        (status.isin("DEGRADED", "CRITICAL") & (ok >= recover), "RECOVERING"),
+        ((status == "RECOVERING") & (ok >= healthy), "HEALTHY")], status)
+
+
+def recovery_status(period_errors: DataFrame, key: str = "application_id", start: str = "HEALTHY",
+                    min_errors: int = 1, degrade: int = 4, critical: int = 8, recover: int = 5,
+                    healthy: int = 8) -> DataFrame:
+    """Hysteresis state machine per entity over ordered periods.
+
+    A period with >= min_errors errors is a breach. HEALTHY/RECOVERING -> DEGRADED after
+    4 consecutive breaches, -> CRITICAL after 8; DEGRADED/CRITICAL -> RECOVERING after 5
+    consecutive OK periods; RECOVERING -> HEALTHY after 8. The ordered series of one
+    entity (bounded by the window) is folded with `aggregate`; no Python worker.
+    """
+    pts = period_errors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("period", "errors"))).alias("pts"))
+    init = F.struct(F.lit(start).alias("status"), F.lit(0).alias("bad"), F.lit(0).alias("ok"),
+                    F.array().cast("array<struct<period:long,errors:long,bad:int,ok:int,status:string>>").alias("out"))
+
+    def step(s, p):
+        br = p["errors"] >= min_errors
+        bad = F.when(br, s["bad"] + 1).otherwise(F.lit(0))
+        ok = F.when(br, F.lit(0)).otherwise(s["ok"] + 1)
+        nxt = _hyst_next(s["status"], bad, ok, degrade, critical, recover, healthy)
+        row = F.struct(p["period"].cast("long").alias("period"), p["errors"].cast("long").alias("errors"),
+                       bad.alias("bad"), ok.alias("ok"), nxt.alias("status"))
+        return F.struct(nxt.alias("status"), bad.alias("bad"), ok.alias("ok"),
+                        F.concat(s["out"], F.array(row)).alias("out"))
+
+    folded = pts.select(key, F.aggregate("pts", init, step)["out"].alias("out"))
+    return folded.select(key, F.inline("out"))

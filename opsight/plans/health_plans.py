@@ -507,3 +507,43 @@ def hlt19(spark, sf_dir):
     streaks = H.breach_streaks(metrics, m.thresholds(metrics), m.as_of(), window_s=30 * U)
     return H.suppress(_tiers(spark, sf_dir), streaks, _corr(spark, sf_dir), _maint(spark, sf_dir),
                       _health(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ HLT-16
+HYST_WINDOW = 72  # periods (hours)
+
+
+def _hyst_case(st: str, bad: str, ok: str) -> str:
+    up = f"{st} IN ('HEALTHY', 'RECOVERING')"
+    return (f"CASE WHEN {up} AND {bad} >= 8 THEN 'CRITICAL' WHEN {up} AND {bad} >= 4 THEN 'DEGRADED' "
+            f"WHEN {st} = 'DEGRADED' AND {bad} >= 8 THEN 'CRITICAL' "
+            f"WHEN {st} IN ('DEGRADED', 'CRITICAL') AND {ok} >= 5 THEN 'RECOVERING' "
+            f"WHEN {st} = 'RECOVERING' AND {ok} >= 8 THEN 'HEALTHY' ELSE {st} END")
+
+
+_LAST = f"CAST(floor(epoch_us({ASOF}) / {U * 1_000_000}) AS BIGINT)"
+HLT16_SQL = "WITH RECURSIVE " + with_("applications", "error_logs", extra=[
+    ("cnt", f"SELECT application_id, {bucket('recorded_at', U)} AS period, count(*) AS errors FROM error_logs "
+            f"WHERE {since('recorded_at', HYST_WINDOW * U)} GROUP BY ALL"),
+    ("dense", f"""SELECT a.application_id, g.period, COALESCE(c.errors, 0) AS errors,
+  row_number() OVER (PARTITION BY a.application_id ORDER BY g.period) AS idx
+FROM applications a CROSS JOIN (SELECT unnest(range({_LAST} - {HYST_WINDOW - 1}, {_LAST} + 1)) AS period) g
+LEFT JOIN cnt c ON c.application_id = a.application_id AND c.period = g.period"""),
+    ("r", f"""SELECT application_id, idx, period, errors, CASE WHEN errors >= 1 THEN 1 ELSE 0 END AS bad,
+  CASE WHEN errors >= 1 THEN 0 ELSE 1 END AS ok,
+  {_hyst_case("'HEALTHY'", "CASE WHEN errors >= 1 THEN 1 ELSE 0 END", "CASE WHEN errors >= 1 THEN 0 ELSE 1 END")} AS status
+FROM dense WHERE idx = 1
+UNION ALL
+SELECT d.application_id, d.idx, d.period, d.errors, CASE WHEN d.errors >= 1 THEN r.bad + 1 ELSE 0 END,
+  CASE WHEN d.errors >= 1 THEN 0 ELSE r.ok + 1 END,
+  {_hyst_case("r.status", "CASE WHEN d.errors >= 1 THEN r.bad + 1 ELSE 0 END", "CASE WHEN d.errors >= 1 THEN 0 ELSE r.ok + 1 END")}
+FROM r JOIN dense d ON d.application_id = r.application_id AND d.idx = r.idx + 1""")])[len("WITH "):] + """
+SELECT application_id, CAST(period AS BIGINT) AS period, CAST(errors AS BIGINT) AS errors, CAST(bad AS INTEGER) AS bad,
+  CAST(ok AS INTEGER) AS ok, status FROM r"""
+
+
+@query("hlt16_recovery_status", HLT16_SQL)
+def hlt16(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    pe = H.dense_period_errors(m.error_logs(), m.applications(), m.as_of(), window_s=HYST_WINDOW * U, unit_s=U)
+    return H.recovery_status(pe)
