@@ -25,7 +25,7 @@ def query(key: str, oracle: str | None = None, headline: bool = False):
 def load_all():
     """Import every plan module so their queries register."""
     from . import health_plans  # noqa: F401
-    for mod in ("anomaly_plans", "leading_plans", "enterprise_plans", "stream_plans"):
+    for mod in ("anomaly_plans", "leading_plans", "enterprise_plans", "stream_plans", "source_plans"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
