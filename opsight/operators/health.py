@@ -382,7 +382,12 @@ def maintenance_mode(status: DataFrame, windows: DataFrame, as_of, pre_s: int =
     by_grp = st.join(wn.filter(F.col("infrastructure_group").isNotNull())
                      .select(F.col("infrastructure_group").alias("_g"), *wcols),
                      st.infrastructure_group == F.col("_g")).drop("_g")
-    by_all = st.join(F.broadcast(wn.filter(F.col("scope") == "ALL").select(*wcols)), how="inner")
+    # Scope-ALL windows apply to every application: their (small, config) list is one scalar
+    # subquery value exploded per status row, so no join and no pairing of two tables.
+    all_list = wn.filter(F.col("scope") == "ALL").agg(
+        F.collect_list(F.struct(*wcols)).alias("l")).scalar()
+    by_all = st.withColumn("_w", F.explode(F.coalesce(all_list, F.array()))).select(
+        *st.columns, *[F.col(f"_w.{c}").alias(c) for c in wcols])
     # A window can match one application in more than one way (e.g. its group and ALL): keep one row per pair.
     matched = by_app.unionByName(by_grp).unionByName(by_all).dropDuplicates(["application_id", "maintenance_id"])
     unmatched = st.join(matched.select("application_id").distinct(), "application_id", "left_anti")

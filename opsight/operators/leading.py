@@ -269,14 +269,13 @@ def alert_level(latest: DataFrame, enterprise: DataFrame, roc_window: DataFrame,
     """One overall alert level for the cycle (CRITICAL / WARNING / INFO / NONE) with its reasons."""
     s = latest.agg(count_if(F.col("status") == "critical").alias("n_critical"),
                    count_if(F.col("status") == "warning").alias("n_warning"))
-    dec = roc_window.agg(count_if(F.col("sustained_decline")).alias("n_sustained_decline"))
-    cor = active.agg(count_if(F.col("confidence") > 0.8).alias("n_strong_correlations"))
-    rec = previous.agg(count_if(F.col("recovered")).alias("n_recovered"),
-                       count_if(F.col("direction") == "up").alias("n_improving"))
-    # Each side is one aggregate row: stack them by a constant key (no cartesian product).
-    k = F.lit(1).alias("_k")
-    j = (s.select(k, "*").join(enterprise.select(k, "enterprise_score"), "_k")
-         .join(dec.select(k, "*"), "_k").join(cor.select(k, "*"), "_k").join(rec.select(k, "*"), "_k").drop("_k"))
+    # Every other input is one value per cycle: attached as scalar subqueries (no joins).
+    j = s.select("n_critical", "n_warning").withColumns({
+        "enterprise_score": enterprise.select("enterprise_score").scalar(),
+        "n_sustained_decline": roc_window.agg(count_if(F.col("sustained_decline"))).scalar(),
+        "n_strong_correlations": active.agg(count_if(F.col("confidence") > 0.8)).scalar(),
+        "n_recovered": previous.agg(count_if(F.col("recovered"))).scalar(),
+        "n_improving": previous.agg(count_if(F.col("direction") == "up")).scalar()})
     lvl = ladder([
         ((F.col("n_critical") > 0) | (F.col("n_warning") >= 2) | (F.col("enterprise_score") < 90), "CRITICAL"),
         ((F.col("n_warning") > 0) | (F.col("n_sustained_decline") > 0) | (F.col("n_strong_correlations") > 0), "WARNING"),
@@ -388,9 +387,8 @@ def outage_probability(latest: DataFrame, active: DataFrame, pattern: float = 0.
     s = latest.agg(count_if(F.col("status") == "critical").alias("critical_count"),
                    count_if(F.col("status") == "warning").alias("warning_count"),
                    count_if(F.col("direction") == "down").alias("declining_count"))
-    c = active.agg(count_if(F.col("confidence") > 0.8).alias("correlation_count"))
-    k = F.lit(1).alias("_k")
-    j = s.select(k, "*").join(c.select(k, "*"), "_k").drop("_k")
+    # The correlation count is one value: a scalar subquery, not a join of two one-row tables.
+    j = s.withColumn("correlation_count", active.agg(count_if(F.col("confidence") > 0.8)).scalar())
     f1 = F.least(F.col("critical_count") * 25 + F.col("warning_count") * 8, F.lit(100)) * 0.40
     f2 = F.least(F.col("declining_count") * 12, F.lit(100)) * 0.25
     f3 = F.least(F.col("correlation_count") * 20, F.lit(100)) * 0.20
@@ -404,13 +402,18 @@ def pattern_match(current: DataFrame, library: DataFrame, vec: str = "embedding"
     """Cosine similarity of the current signal vector to each past pattern; the `top` most
     similar, ranked (a top-k report).
 
-    `current` holds one row (the current vector). It is attached to every library row by
-    an equi-join on a constant key with the one-row side broadcast: its size is one row.
+    The current vector is exploded to (dimension, value) rows (its size is the vector
+    dimension) and joined to the exploded library on the dimension: an equi-join, then
+    per-pattern sums give the dot product and norms. No pairing of whole tables.
     """
-    cur = current.select(F.transform(F.col(vec), lambda x: x.cast("double")).alias("_cur")).withColumn("_k", F.lit(1))
-    lib = library.withColumn("_k", F.lit(1))
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    sims = lib.join(F.broadcast(cur), "_k").withColumn("similarity", cosine(F.col("_cur"), v))
+    cur = current.select(F.posexplode(vec).alias("dim", "y")).select("dim", F.col("y").cast("double").alias("y"))
+    lib = library.select("vec_id", "label", F.posexplode(vec).alias("dim", "x")) \
+        .withColumn("x", F.col("x").cast("double"))
+    ny = F.sqrt(cur.agg(F.sum(F.col("y") * F.col("y"))).scalar())
+    dots = (lib.join(F.broadcast(cur), "dim")
+            .groupBy("vec_id", "label").agg(F.sum(F.col("x") * F.col("y")).alias("dot"),
+                                            F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx")))
+    sims = dots.withColumn("similarity", F.try_divide(F.col("dot"), F.col("nx") * ny))
     w = Window.orderBy(F.col("similarity").desc(), F.col("vec_id"))
     return (sims.orderBy(F.col("similarity").desc(), F.col("vec_id")).limit(top)
             .withColumn("rank", F.row_number().over(w))

@@ -79,17 +79,18 @@ def serving_document(signals: DataFrame, domains: DataFrame, probability: DataFr
     """One JSON document (SRC-12 / LIP-20): signals, domains, enterprise score, outage probability, insights.
 
     Each part is aggregated to one row (collect_list of small, bounded sets: one row per
-    signal / domain / insight), then the one-row parts are combined on a constant key.
+    signal / domain / insight); the one-value parts are attached as scalar subqueries.
     """
-    k = F.lit(1).alias("_k")
     sig = signals.agg(F.sort_array(F.collect_list(F.struct("signal_name", "numeric_value", "status", "trend",
                                                             "direction"))).alias("signals"))
-    dom = domains.agg(F.sort_array(F.collect_list(F.struct("domain_key", "score"))).alias("domains"),
-                      F.round(F.avg("score"), 1).alias("enterprise_score"))
-    ins = insights.agg(F.sort_array(F.collect_list(F.struct("severity", "insight_text", "domains",
-                                                            "related_signals"))).alias("insights"))
-    pr = probability.select(F.col("probability").alias("outage_probability"))
-    j = (sig.select(k, "*").join(dom.select(k, "*"), "_k").join(pr.select(k, "*"), "_k").join(ins.select(k, "*"), "_k"))
+    dom = domains.agg(F.sort_array(F.collect_list(F.struct("domain_key", "score"))).alias("d"),
+                      F.round(F.avg("score"), 1).alias("e"))
+    # The other parts are one value each: scalar subqueries on the signals row (no joins).
+    j = sig.withColumns({
+        "domains": dom.select("d").scalar(), "enterprise_score": dom.select("e").scalar(),
+        "outage_probability": probability.select("probability").scalar(),
+        "insights": insights.agg(F.sort_array(F.collect_list(F.struct("severity", "insight_text", "domains",
+                                                                       "related_signals")))).scalar()})
     doc = F.struct(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "enterprise_score",
                    "outage_probability", "signals", "domains", "insights")
     return j.select(F.to_json(doc).alias("document"))
