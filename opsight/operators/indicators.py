@@ -234,3 +234,167 @@ def channel_share(contacts: DataFrame, as_of: Column, window_s: int = 30 * DAY,
     tot = F.sum("contacts").over(w)
     return g.select("channel", "contacts", r4(pct(F.col("contacts"), tot)).alias("share_pct"),
                     F.col("channel").isin(*self_service).alias("self_service"))
+
+
+# --------------------------------------------------------------------------- IND-1.1 / IND-2.1 / IND-2.4
+def availability(host_status: DataFrame, as_of: Column, window_s: int = 30 * DAY, by: str = "region") -> DataFrame:
+    """Uptime / scheduled time: HEALTHY host-periods over all reported host-periods, per region and global."""
+    h = host_status.filter(since("recorded_at", as_of, window_s))
+    g = h.rollup(by).agg(count_if(F.col("health_status") == "HEALTHY").alias("uptime"), F.count(F.lit(1)).alias("scheduled"))
+    a = pct(F.col("uptime"), F.col("scheduled"))
+    return g.select(F.coalesce(F.col(by), F.lit("GLOBAL")).alias(by), "uptime", "scheduled",
+                    r4(a).alias("availability_pct"), status(a, 99.5).alias("status"))
+
+
+def latency_by_agents(samples: DataFrame, as_of: Column, window_s: int, site: str = "region") -> DataFrame:
+    """Latency per site weighted by the site's agents, and the exact p95 of all samples."""
+    s = samples.filter(since("ts", as_of, window_s))
+    per = s.groupBy(site).agg(F.avg("latency_ms").alias("lat"), F.countDistinct("agent_id").alias("agents"))
+    g = per.agg((F.sum(F.col("lat") * F.col("agents")) / F.sum("agents")).alias("weighted_latency_ms"),
+                F.sum("agents").alias("agents"))
+    p95 = s.agg(F.percentile("latency_ms", 0.95)).scalar()
+    return g.select(r4("weighted_latency_ms").alias("weighted_latency_ms"), r4(p95).alias("p95_latency_ms"),
+                    F.col("agents").cast("long").alias("agents"),
+                    status(F.col("weighted_latency_ms"), 180.0, higher_is_better=False).alias("status"))
+
+
+def packet_loss(traffic: DataFrame, as_of: Column, window_s: int, by: str = "region") -> DataFrame:
+    """Σlost / Σsent per region and global (rollup)."""
+    t = traffic.filter(since("ts", as_of, window_s))
+    g = t.rollup(by).agg(F.sum("lost").alias("lost"), F.sum("sent").alias("sent"))
+    v = pct(F.col("lost"), F.col("sent"))
+    return g.select(F.coalesce(F.col(by), F.lit("GLOBAL")).alias(by), F.col("lost").cast("long").alias("lost"),
+                    F.col("sent").cast("long").alias("sent"), r4(v).alias("packet_loss_pct"),
+                    status(v, 1.0, higher_is_better=False).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-5.1 / IND-7.2 / IND-7.4 / IND-8.1 / IND-8.3
+def session_success(sessions: DataFrame, as_of: Column, window_s: int) -> DataFrame:
+    """Strict success (fast successes) and broad success (fast + slow) over attempts."""
+    s = sessions.filter(since("ts", as_of, window_s))
+    g = s.agg(F.count(F.lit(1)).alias("attempts"), count_if(F.col("outcome") == "success").alias("success"),
+              count_if(F.col("outcome") == "slow").alias("slow"))
+    broad = pct(F.col("success") + F.col("slow"), F.col("attempts"))
+    return g.select("attempts", "success", "slow", r4(pct(F.col("success"), F.col("attempts"))).alias("strict_success_pct"),
+                    r4(broad).alias("success_pct"), status(broad, 95.0).alias("status"))
+
+
+def crm_response(tx: DataFrame, limits: DataFrame, as_of: Column, window_s: int) -> DataFrame:
+    """Average and p95 response per transaction type against its own limit, share over limit, error rate."""
+    t = tx.filter(since("ts", as_of, window_s)).join(F.broadcast(limits), "tx_type")
+    g = t.groupBy("tx_type", "limit_s").agg(
+        F.avg("response_s").alias("avg_s"), F.percentile("response_s", 0.95).alias("p95_s"),
+        count_if(F.col("response_s") > F.col("limit_s")).alias("over_limit"), count_if(F.col("is_error")).alias("errors"),
+        F.count(F.lit(1)).alias("tx"))
+    return g.select("tx_type", "limit_s", r4("avg_s").alias("avg_s"), r4("p95_s").alias("p95_s"),
+                    r4(pct(F.col("over_limit"), F.col("tx"))).alias("over_limit_pct"),
+                    r4(pct(F.col("errors"), F.col("tx"))).alias("error_rate_pct"),
+                    status(F.col("avg_s"), 5.0, higher_is_better=False).alias("status"))
+
+
+def api_error_rate(requests: DataFrame, as_of: Column, window_s: int, by: str = "endpoint") -> DataFrame:
+    """Strict (5xx), broad (5xx + timeouts) and very broad (+ slow) error rates per endpoint."""
+    r = requests.filter(since("ts", as_of, window_s))
+    g = r.groupBy(by).agg(F.count(F.lit(1)).alias("requests"), count_if(F.col("code") >= 500).alias("e5xx"),
+                          count_if(F.col("timeout")).alias("timeouts"), count_if(F.col("slow")).alias("slow"))
+    broad = pct(F.col("e5xx") + F.col("timeouts"), F.col("requests"))
+    return g.select(by, "requests", r4(pct(F.col("e5xx"), F.col("requests"))).alias("strict_pct"), r4(broad).alias("broad_pct"),
+                    r4(pct(F.col("e5xx") + F.col("timeouts") + F.col("slow"), F.col("requests"))).alias("very_broad_pct"),
+                    status(broad, 1.0, higher_is_better=False).alias("status"))
+
+
+def sso_success(auth: DataFrame, as_of: Column, window_s: int) -> DataFrame:
+    """Authentication success rate and technical failure rate."""
+    a = auth.filter(since("ts", as_of, window_s))
+    g = a.agg(F.count(F.lit(1)).alias("attempts"), count_if(F.col("result") == "success").alias("success"),
+              count_if(F.col("result") == "technical_failure").alias("technical_failures"))
+    s = pct(F.col("success"), F.col("attempts"))
+    return g.select("attempts", "success", "technical_failures", r4(s).alias("success_pct"),
+                    r4(pct(F.col("technical_failures"), F.col("attempts"))).alias("technical_failure_pct"),
+                    status(s, 98.0).alias("status"))
+
+
+def abnormal_terminations(ends: DataFrame, unit: str = "hour", spike_factor: float = 2.0, trail_s: int = DAY) -> DataFrame:
+    """Abnormal / all session ends per period, spike when above `spike_factor` x the trailing average rate."""
+    p = ends.groupBy(F.date_trunc(unit, "ts").alias("period")).agg(
+        count_if(F.col("abnormal")).alias("abnormal"), F.count(F.lit(1)).alias("ends"))
+    p = p.withColumn("rate", pct(F.col("abnormal"), F.col("ends")))
+    w = Window.orderBy(F.col("period").cast("long")).rangeBetween(-trail_s, -1)
+    p = p.withColumn("trailing", F.avg("rate").over(w))
+    return p.select(ts_text("period").alias("period"), "abnormal", "ends", r4("rate").alias("abnormal_rate_pct"),
+                    r4("trailing").alias("trailing_avg_pct"),
+                    F.coalesce(F.col("rate") > F.col("trailing") * spike_factor, F.lit(False)).alias("spike"),
+                    status(F.col("rate"), 2.0, higher_is_better=False).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-10.2 / IND-12.1
+def aht_deviation(calls: DataFrame, weeks: int = 4, sigma: float = 3.0) -> DataFrame:
+    """Daily AHT against the mean of the same weekday over the previous `weeks` weeks, leaving out
+    values beyond `sigma` SDs of those weeks (two passes over a bounded list of `weeks` values)."""
+    d = calls.groupBy(F.to_date("call_time").alias("day")).agg(F.avg("duration_min").alias("aht"))
+    d = d.withColumn("dow", F.dayofweek("day")).withColumn("dn", F.datediff("day", F.lit("1970-01-01")))
+    w = Window.partitionBy("dow").orderBy("dn").rangeBetween(-7 * weeks, -1)
+    d = d.withColumn("hist", F.collect_list("aht").over(w))
+    m1 = F.try_divide(F.aggregate("hist", F.lit(0.0), lambda a, x: a + x), F.size("hist").cast("double"))
+    d = d.withColumn("_m", m1)
+    sd = F.sqrt(F.try_divide(F.aggregate("hist", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))),
+                             (F.size("hist") - 1).cast("double")))
+    d = d.withColumn("_sd", F.when(F.size("hist") > 1, sd))
+    kept = F.filter("hist", lambda x: F.coalesce(F.abs(x - F.col("_m")) <= sigma * F.col("_sd"), F.lit(True)))
+    d = d.withColumn("_k", kept)
+    base = F.try_divide(F.aggregate("_k", F.lit(0.0), lambda a, x: a + x), F.size("_k").cast("double"))
+    dev = F.when(F.size("_k") > 0, F.try_divide((F.col("aht") - base) * 100.0, base))
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r4("aht").alias("aht_min"),
+                    F.size("hist").alias("history_days"), F.size("_k").alias("kept_days"),
+                    r4(F.when(F.size("_k") > 0, base)).alias("baseline_aht_min"), r4(dev).alias("deviation_pct"),
+                    F.when(dev.isNull(), "No Baseline").when(F.abs(dev) > 10, "Critical").when(F.abs(dev) > 5, "At Risk")
+                    .otherwise("Healthy").alias("status"))
+
+
+def cost_per_contact(calls: DataFrame, cost_per_min: float = 0.75) -> DataFrame:
+    """Cost per contact per day (handle minutes x rate / contacts) with change vs the prior day and
+    the same day a week earlier (self-join on shifted days, not a global window)."""
+    d = calls.groupBy(F.to_date("call_time").alias("day")).agg(
+        (F.sum("duration_min") * cost_per_min / F.count(F.lit(1))).alias("cpc"), F.count(F.lit(1)).alias("contacts"))
+    prev = d.select(F.col("day").alias("pday"), F.col("cpc").alias("pc"))
+
+    def chg(df, k, name):
+        j = df.join(prev, F.date_add(F.col("pday"), k) == F.col("day"), "left")
+        return j.withColumn(name, r4(pct(F.col("cpc") - F.col("pc"), F.col("pc")))).drop("pday", "pc")
+
+    out = chg(chg(d, 1, "vs_prior_pct"), 7, "vs_last_week_pct")
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "contacts", r4("cpc").alias("cost_per_contact"),
+                      "vs_prior_pct", "vs_last_week_pct",
+                      F.when(F.abs(F.col("vs_prior_pct")) > 15, "Critical").when(F.abs(F.col("vs_prior_pct")) > 5, "At Risk")
+                      .otherwise("Healthy").alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-13.1 / IND-13.2
+def channel_containment(contacts: DataFrame, escalation_s: int = DAY) -> DataFrame:
+    """A contact is contained when the same customer's next contact (lead, no self-join) is not in
+    another channel within `escalation_s`. Rate per channel and the contact-weighted total."""
+    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
+    nxt_ch, nxt_t = F.lead("channel").over(w), F.lead("contact_time").over(w)
+    c = contacts.withColumn("escalated", nxt_ch.isNotNull() & (nxt_ch != F.col("channel"))
+                            & (nxt_t <= F.col("contact_time") + F.make_dt_interval(secs=F.lit(float(escalation_s)))))
+    g = c.groupBy("channel").agg(F.count(F.lit(1)).alias("started"), count_if(~F.col("escalated")).alias("completed"))
+    rate = pct(F.col("completed"), F.col("started"))
+    tot = g.agg((F.sum(F.col("started") * F.col("completed") * 100.0 / F.col("started")) / F.sum("started"))).scalar()
+    return g.select("channel", "started", "completed", r4(rate).alias("containment_pct"),
+                    r4(tot).alias("weighted_containment_pct"))
+
+
+def channel_shift(contacts: DataFrame, as_of: Column, period_s: int, digital=("click", "view")) -> DataFrame:
+    """Digital share now vs the prior period of equal length; velocity = relative change in %."""
+    t = F.col("contact_time")
+    cur = since(t, as_of, period_s) & (t <= as_of)
+    prv = since(t, as_of, 2 * period_s) & ~since(t, as_of, period_s)
+    dig = F.col("channel").isin(*digital)
+    g = contacts.agg(count_if(cur).alias("contacts_now"), count_if(cur & dig).alias("digital_now"),
+                     count_if(prv).alias("contacts_prior"), count_if(prv & dig).alias("digital_prior"))
+    now = pct(F.col("digital_now"), F.col("contacts_now"))
+    pri = pct(F.col("digital_prior"), F.col("contacts_prior"))
+    vel = F.try_divide((now - pri) * 100.0, pri)
+    return g.select("contacts_now", "contacts_prior", r4(now).alias("digital_share_now_pct"),
+                    r4(pri).alias("digital_share_prior_pct"), r4(vel).alias("shift_velocity_pct"),
+                    F.when(vel >= 1, "Healthy").when(now < pri, "Critical").otherwise("At Risk").alias("status"))

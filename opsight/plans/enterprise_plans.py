@@ -398,3 +398,184 @@ def ind00(spark, sf_dir):
          .agg(F.sum((F.col("priority") == 1).cast("int")).cast("double").alias("n")))
     d = d.withColumn("status", I.status(F.col("n"), 3.0, higher_is_better=False))
     return I.escalation(d, "assignment_group", ts="day", st="status", unit_s=DAY)
+
+
+# ------------------------------------------------------------------ IND (events / hosts / contacts)
+# Adapter choices: region of an event = region of its application; lost packet / abnormal end /
+# 5xx = error event; timeout = value > 300; slow = value in (200, 300]; response seconds = value / 100;
+# auth attempts = signup and error events (signup with value <= 300 succeeds, error above 300 is a
+# technical failure). Windows of event indicators: 7 days.
+EV_W = 7 * DAY
+CRM_LIMITS = [("click", 3.0), ("view", 3.0), ("purchase", 5.0), ("signup", 5.0), ("error", 3.0)]
+EVR = ("evr", "SELECT e.*, a.infrastructure_group AS region FROM ev e JOIN applications a ON a.application_id = e.app")
+
+
+def _ev_region(m: Model):
+    e = m.events()
+    a = m.applications().select("application_id", F.col("infrastructure_group").alias("region"))
+    return e.join(F.broadcast(a), e.app == a.application_id)
+
+
+@query("ind1_1_availability", with_("host_metrics", "applications") + f"""SELECT COALESCE(region, 'GLOBAL') AS region,
+  count(*) FILTER (WHERE health_status = 'HEALTHY') AS uptime, count(*) AS scheduled,
+  {r4("count(*) FILTER (WHERE health_status = 'HEALTHY') * 100.0 / count(*)")} AS availability_pct,
+  {_status("count(*) FILTER (WHERE health_status = 'HEALTHY') * 100.0 / count(*)", 99.5)} AS status
+FROM (SELECT h.*, a.infrastructure_group AS region FROM host_metrics h JOIN applications a USING (application_id)
+      WHERE {_since('h.recorded_at', EV_ASOF, 30 * DAY)}) GROUP BY ROLLUP (region)""")
+def ind1_1(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    a = m.applications().select("application_id", F.col("infrastructure_group").alias("region"))
+    h = m.host_metrics().join(F.broadcast(a), "application_id")
+    return I.availability(h, m.as_of(), 30 * DAY)
+
+
+@query("ind2_1_latency_by_agents", with_("ev", "applications", extra=[EVR, ("s", f"SELECT * FROM evr WHERE {_since('ts', EV_ASOF, EV_W)}")]) + f"""
+SELECT {r4('sum(lat * agents) / sum(agents)')} AS weighted_latency_ms, {r4('(SELECT quantile_cont(value, 0.95) FROM s)')} AS p95_latency_ms,
+  CAST(sum(agents) AS BIGINT) AS agents, {_status('sum(lat * agents) / sum(agents)', 180.0, higher=False)} AS status
+FROM (SELECT region, avg(value) AS lat, count(DISTINCT user_id) AS agents FROM s GROUP BY region)""")
+def ind2_1(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    s = _ev_region(m).select("ts", "region", F.col("value").alias("latency_ms"), F.col("user_id").alias("agent_id"))
+    return I.latency_by_agents(s, m.as_of(), EV_W)
+
+
+@query("ind2_4_packet_loss", with_("ev", "applications", extra=[EVR]) + f"""SELECT COALESCE(region, 'GLOBAL') AS region,
+  CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS lost, CAST(count(*) AS BIGINT) AS sent,
+  {r4("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)")} AS packet_loss_pct,
+  {_status("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)", 1.0, higher=False)} AS status
+FROM evr WHERE {_since('ts', EV_ASOF, EV_W)} GROUP BY ROLLUP (region)""")
+def ind2_4(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    t = _ev_region(m).select("ts", "region", F.lit(1).alias("sent"), (F.col("event_type") == "error").cast("int").alias("lost"))
+    return I.packet_loss(t, m.as_of(), EV_W)
+
+
+OUTCOME = "CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 300 THEN 'slow' ELSE 'success' END"
+
+
+@query("ind5_1_session_success", with_("ev") + f"""SELECT count(*) AS attempts, count(*) FILTER (WHERE o = 'success') AS success,
+  count(*) FILTER (WHERE o = 'slow') AS slow, {r4("count(*) FILTER (WHERE o = 'success') * 100.0 / count(*)")} AS strict_success_pct,
+  {r4("count(*) FILTER (WHERE o IN ('success', 'slow')) * 100.0 / count(*)")} AS success_pct,
+  {_status("count(*) FILTER (WHERE o IN ('success', 'slow')) * 100.0 / count(*)", 95.0)} AS status
+FROM (SELECT {OUTCOME} AS o FROM ev WHERE {_since('ts', EV_ASOF, EV_W)})""")
+def ind5_1(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = m.events().select("ts", F.when(F.col("event_type") == "error", "failed").when(F.col("value") > 300, "slow")
+                          .otherwise("success").alias("outcome"))
+    return I.session_success(e, m.as_of(), EV_W)
+
+
+CRM_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({v} AS DOUBLE))" for t, v in CRM_LIMITS) + ") t(tx_type, limit_s)"
+
+
+@query("ind7_2_crm_response", with_("ev", extra=[("lim", CRM_SQL)]) + f"""SELECT tx_type, limit_s, {r4('avg(value / 100.0)')} AS avg_s,
+  {r4('quantile_cont(value / 100.0, 0.95)')} AS p95_s, {r4('count(*) FILTER (WHERE value / 100.0 > limit_s) * 100.0 / count(*)')} AS over_limit_pct,
+  {r4("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)")} AS error_rate_pct,
+  {_status('avg(value / 100.0)', 5.0, higher=False)} AS status
+FROM ev JOIN lim ON lim.tx_type = ev.event_type WHERE {_since('ts', EV_ASOF, EV_W)} GROUP BY tx_type, limit_s""")
+def ind7_2(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    tx = m.events().select("ts", F.col("event_type").alias("tx_type"), (F.col("value") / 100.0).alias("response_s"),
+                           (F.col("event_type") == "error").alias("is_error"))
+    lim = F.broadcast(spark.createDataFrame(CRM_LIMITS, "tx_type string, limit_s double"))
+    return I.crm_response(tx, lim, m.as_of(), EV_W)
+
+
+@query("ind7_4_api_error_rate", with_("ev") + f"""SELECT app AS endpoint, count(*) AS requests,
+  {r4("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)")} AS strict_pct,
+  {r4("count(*) FILTER (WHERE event_type = 'error' OR value > 300) * 100.0 / count(*)")} AS broad_pct,
+  {r4("count(*) FILTER (WHERE event_type = 'error' OR value > 200) * 100.0 / count(*)")} AS very_broad_pct,
+  {_status("count(*) FILTER (WHERE event_type = 'error' OR value > 300) * 100.0 / count(*)", 1.0, higher=False)} AS status
+FROM ev WHERE {_since('ts', EV_ASOF, EV_W)} GROUP BY app""")
+def ind7_4(spark, sf_dir):
+    """5xx = error event; timeouts and slow responses are non-error events (value > 300 / 200-300]."""
+    m = Model(spark, sf_dir)
+    err = F.col("event_type") == "error"
+    r = m.events().select("ts", F.col("app").alias("endpoint"), F.when(err, 500).otherwise(200).alias("code"),
+                          (~err & (F.col("value") > 300)).alias("timeout"),
+                          (~err & (F.col("value") > 200) & (F.col("value") <= 300)).alias("slow"))
+    return I.api_error_rate(r, m.as_of(), EV_W)
+
+
+AUTH = ("CASE WHEN event_type = 'signup' AND value <= 300 THEN 'success' "
+        "WHEN event_type = 'error' AND value > 300 THEN 'technical_failure' ELSE 'user_failure' END")
+
+
+@query("ind8_1_sso_success", with_("ev") + f"""SELECT count(*) AS attempts, count(*) FILTER (WHERE r = 'success') AS success,
+  count(*) FILTER (WHERE r = 'technical_failure') AS technical_failures,
+  {r4("count(*) FILTER (WHERE r = 'success') * 100.0 / count(*)")} AS success_pct,
+  {r4("count(*) FILTER (WHERE r = 'technical_failure') * 100.0 / count(*)")} AS technical_failure_pct,
+  {_status("count(*) FILTER (WHERE r = 'success') * 100.0 / count(*)", 98.0)} AS status
+FROM (SELECT {AUTH} AS r FROM ev WHERE event_type IN ('signup', 'error') AND {_since('ts', EV_ASOF, EV_W)})""")
+def ind8_1(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = m.events().filter(F.col("event_type").isin("signup", "error"))
+    a = e.select("ts", F.when((F.col("event_type") == "signup") & (F.col("value") <= 300), "success")
+                 .when((F.col("event_type") == "error") & (F.col("value") > 300), "technical_failure")
+                 .otherwise("user_failure").alias("result"))
+    return I.sso_success(a, m.as_of(), EV_W)
+
+
+@query("ind8_3_abnormal_terminations", with_("ev") + f"""SELECT strftime(period, '%Y-%m-%d %H:%M:%S') AS period, abnormal, ends,
+  {r4('rate')} AS abnormal_rate_pct, {r4('tr')} AS trailing_avg_pct, COALESCE(rate > tr * 2.0, FALSE) AS spike,
+  {_status('rate', 2.0, higher=False)} AS status FROM (
+  SELECT *, avg(rate) OVER (ORDER BY period RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND INTERVAL 1 SECOND PRECEDING) AS tr FROM (
+    SELECT date_trunc('hour', ts) AS period, count(*) FILTER (WHERE event_type = 'error') AS abnormal, count(*) AS ends,
+      count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*) AS rate FROM ev GROUP BY 1))""")
+def ind8_3(spark, sf_dir):
+    e = Model(spark, sf_dir).events().select("ts", (F.col("event_type") == "error").alias("abnormal"))
+    return I.abnormal_terminations(e)
+
+
+@query("ind10_2_aht_deviation", with_("calls", extra=[("d", """SELECT CAST(call_time AS DATE) AS day, avg(duration_min) AS aht,
+  dayofweek(CAST(call_time AS DATE)) AS dow FROM calls GROUP BY 1, 3"""), ("h", """SELECT *, COALESCE(list(aht) OVER (PARTITION BY dow ORDER BY day
+  RANGE BETWEEN INTERVAL 28 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), []::DOUBLE[]) AS hist FROM d"""), ("s", """SELECT *,
+  list_avg(hist) AS m, CASE WHEN len(hist) > 1 THEN list_stddev_samp(hist) END AS sd FROM h"""), ("k", """SELECT *,
+  list_filter(hist, lambda x: COALESCE(abs(x - m) <= 3.0 * sd, TRUE)) AS kept FROM s""")]) + f"""
+SELECT strftime(day, '%Y-%m-%d') AS day, {r4('aht')} AS aht_min, CAST(len(hist) AS INTEGER) AS history_days,
+  CAST(len(kept) AS INTEGER) AS kept_days, {r4('CASE WHEN len(kept) > 0 THEN list_avg(kept) END')} AS baseline_aht_min,
+  {r4('CASE WHEN len(kept) > 0 THEN (aht - list_avg(kept)) * 100.0 / list_avg(kept) END')} AS deviation_pct,
+  CASE WHEN len(kept) = 0 THEN 'No Baseline' WHEN abs((aht - list_avg(kept)) * 100.0 / list_avg(kept)) > 10 THEN 'Critical'
+       WHEN abs((aht - list_avg(kept)) * 100.0 / list_avg(kept)) > 5 THEN 'At Risk' ELSE 'Healthy' END AS status FROM k""")
+def ind10_2(spark, sf_dir):
+    return I.aht_deviation(Model(spark, sf_dir).calls())
+
+
+CPC = ("d", "SELECT CAST(call_time AS DATE) AS day, sum(duration_min) * 0.75 / count(*) AS cpc, count(*) AS contacts FROM calls GROUP BY 1")
+
+
+def _cpc_chg(k):
+    return f"(d.cpc - p{k}.cpc) * 100.0 / NULLIF(p{k}.cpc, 0)"
+
+
+@query("ind12_1_cost_per_contact", with_("calls", extra=[CPC]) + f"""SELECT strftime(d.day, '%Y-%m-%d') AS day, d.contacts,
+  {r4('d.cpc')} AS cost_per_contact, {r4(_cpc_chg(1))} AS vs_prior_pct, {r4(_cpc_chg(7))} AS vs_last_week_pct,
+  CASE WHEN abs({r4(_cpc_chg(1))}) > 15 THEN 'Critical' WHEN abs({r4(_cpc_chg(1))}) > 5 THEN 'At Risk' ELSE 'Healthy' END AS status
+FROM d LEFT JOIN d p1 ON p1.day + 1 = d.day LEFT JOIN d p7 ON p7.day + 7 = d.day""")
+def ind12_1(spark, sf_dir):
+    return I.cost_per_contact(Model(spark, sf_dir).calls())
+
+
+@query("ind13_1_channel_containment", with_("contacts", extra=[("c", """SELECT *, lead(channel) OVER w IS NOT NULL
+  AND lead(channel) OVER w <> channel AND lead(contact_time) OVER w <= contact_time + INTERVAL 1 DAY AS escalated
+  FROM contacts WINDOW w AS (PARTITION BY customer_id ORDER BY contact_time, contact_id)"""),
+    ("g", "SELECT channel, count(*) AS started, count(*) FILTER (WHERE NOT escalated) AS completed FROM c GROUP BY channel")]) + f"""
+SELECT channel, started, completed, {r4('completed * 100.0 / started')} AS containment_pct,
+  {r4('(SELECT sum(started * completed * 100.0 / started) / sum(started) FROM g)')} AS weighted_containment_pct FROM g""")
+def ind13_1(spark, sf_dir):
+    return I.channel_containment(Model(spark, sf_dir).contacts())
+
+
+@query("ind13_2_channel_shift", with_("contacts") + f"""SELECT contacts_now, contacts_prior, {r4('dn * 100.0 / contacts_now')} AS digital_share_now_pct,
+  {r4('dp * 100.0 / contacts_prior')} AS digital_share_prior_pct,
+  {r4('(dn * 100.0 / contacts_now - dp * 100.0 / contacts_prior) * 100.0 / NULLIF(dp * 100.0 / contacts_prior, 0)')} AS shift_velocity_pct,
+  CASE WHEN (dn * 100.0 / contacts_now - dp * 100.0 / contacts_prior) * 100.0 / NULLIF(dp * 100.0 / contacts_prior, 0) >= 1 THEN 'Healthy'
+       WHEN dn * 100.0 / contacts_now < dp * 100.0 / contacts_prior THEN 'Critical' ELSE 'At Risk' END AS status FROM (
+  SELECT count(*) FILTER (WHERE {_since('contact_time', EV_ASOF, 15 * DAY)} AND contact_time <= {EV_ASOF}) AS contacts_now,
+    count(*) FILTER (WHERE {_since('contact_time', EV_ASOF, 15 * DAY)} AND contact_time <= {EV_ASOF} AND channel IN ('click', 'view')) AS dn,
+    count(*) FILTER (WHERE {_since('contact_time', EV_ASOF, 30 * DAY)} AND NOT {_since('contact_time', EV_ASOF, 15 * DAY)}) AS contacts_prior,
+    count(*) FILTER (WHERE {_since('contact_time', EV_ASOF, 30 * DAY)} AND NOT {_since('contact_time', EV_ASOF, 15 * DAY)}
+                     AND channel IN ('click', 'view')) AS dp FROM contacts)""")
+def ind13_2(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return I.channel_shift(m.contacts(), m.as_of(), 15 * DAY)
