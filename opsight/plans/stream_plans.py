@@ -10,7 +10,7 @@ from ..operators import health as H
 from ..sources.adapters import Model, app_of
 from ..streaming import streams as S
 from .health_plans import HLT16_SQL, HYST_WINDOW
-from .oracle_base import r4 as sr4, tstext, with_
+from .oracle_base import ASOF, r4 as sr4, tstext, with_
 from .registry import query
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -114,3 +114,46 @@ def str7(spark, sf_dir):
     last = out.groupBy("metric_id").agg(F.max_by(F.struct("level", "trend", "sse", "n"), "n").alias("x"))
     return last.select("metric_id", r4("x.level").alias("level"), r4("x.trend").alias("trend"), r4("x.sse").alias("sse"),
                        F.col("x.n").alias("n"))
+
+
+@query("str4_alert_dedup_stream", with_("ev") + """SELECT app, count(*) AS alerts_kept FROM (
+  SELECT DISTINCT app FROM ev WHERE event_type = 'error' AND value > 100) GROUP BY app""")
+def str4(spark, sf_dir):
+    """Alert rows (errors above 100) deduplicated per application within the watermark delay.
+    Which duplicate survives depends on arrival order; the check is one kept row per key."""
+    s = _events_stream(spark, sf_dir).filter((F.col("event_type") == "error") & (F.col("value") > 100))
+    d = S.scratch(spark, "dedup")
+    q = (S.dedup_alerts(s.select("app", "ts", "event_id"), ["app"], window="720 hours").writeStream.format("parquet")
+         .option("path", f"{d}/out").option("checkpointLocation", f"{d}/ckpt").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{d}/out").groupBy("app").agg(F.count(F.lit(1)).alias("alerts_kept"))
+
+
+@query("str6_correlate_streams", with_("ev") + """SELECT a.app, count(*) AS pairs FROM
+  (SELECT app, ts FROM ev WHERE event_type = 'error') a JOIN (SELECT app, ts FROM ev WHERE event_type = 'purchase') b
+  ON a.app = b.app AND b.ts BETWEEN a.ts - INTERVAL 30 MINUTE AND a.ts + INTERVAL 30 MINUTE GROUP BY a.app""")
+def str6(spark, sf_dir):
+    """Errors and purchases of the same application within 30 minutes: a watermarked
+    stream-stream interval join (state bounded by the watermark and the interval)."""
+    ev = _events_stream(spark, sf_dir)
+    a = ev.filter(F.col("event_type") == "error").select(F.col("app").alias("a_app"), F.col("ts").alias("a_ts"))
+    b = ev.filter(F.col("event_type") == "purchase").select(F.col("app").alias("b_app"), F.col("ts").alias("b_ts"))
+    j = S.correlate(a, b, "a_app", "b_app", "a_ts", "b_ts", "30 minutes", watermark="1 hour")
+    d = S.scratch(spark, "correlate")
+    q = (j.writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{d}/out").groupBy(F.col("a_app").alias("app")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("str8_freshness_stream", with_("ev") + f"""SELECT event_type AS source, {tstext('max(ts)')} AS last_seen,
+  (epoch_us({ASOF}) - epoch_us(max(ts))) // 1000000 AS freshness_s FROM ev GROUP BY event_type""")
+def str8(spark, sf_dir):
+    """Latest event time per source kept by a streaming aggregate (update mode, upsert sink);
+    freshness = as_of - last seen."""
+    ev = _events_stream(spark, sf_dir)
+    out = _run(spark, S.freshness(ev.withColumnRenamed("event_type", "source"), "source"), "fresh", ["source"])
+    a = Model(spark, sf_dir).as_of()
+    return out.select("source", ts_text("last_seen").alias("last_seen"),
+                      F.floor((F.unix_micros(a) - F.unix_micros("last_seen")) / 1_000_000).cast("long").alias("freshness_s"))
