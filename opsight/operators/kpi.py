@@ -181,3 +181,122 @@ def overall_status(component_scores: DataFrame, score: str = "score", status: st
     g = component_scores.agg(F.floor(F.avg(score)).cast("long").alias("overall_score"), F.max(order).alias("_w"))
     return g.select("overall_score", ladder([(F.col("_w") == 3, "critical"), (F.col("_w") == 2, "warning")],
                                             "healthy").alias("overall_status"))
+
+
+# --------------------------------------------------------------------------- KPI-13 / KPI-14
+def core_system_health(systems: DataFrame) -> DataFrame:
+    """Rules per system type (IVR, Genesys, DB, API, generic) -> computed health, severity, note.
+
+    systems: (name, type, apps_count, error_rate, services_down, replication_lag, health)."""
+    t, apps, er = F.col("type"), F.col("apps_count"), F.col("error_rate")
+    down, lag, h = F.col("services_down"), F.col("replication_lag"), F.col("health")
+    tol = F.when(apps > 4, 2.5).when(apps > 2, 4.0).otherwise(6.0)
+    health = ladder([
+        (t == "IVR", F.greatest(F.lit(20.0), rnd(100 - er * 6, 0))),
+        (t == "Genesys", F.when(down > 0, 60.0).otherwise(98.0)),
+        (t == "DB", F.greatest(F.lit(30.0), rnd(100 - lag / 300.0 * 40, 0))),
+        (t == "API", F.greatest(F.lit(25.0), rnd(100 - er * 7 - (apps - 1) * 2, 0)))], h.cast("double"))
+    sev = ladder([
+        (t == "IVR", ladder([(er > tol * 2, "critical"), (er > tol, "warning")], "good")),
+        (t == "Genesys", F.when(down > 0, "critical").otherwise("good")),
+        (t == "DB", ladder([(lag > 180, "critical"), (lag > 60, "warning")], "good")),
+        (t == "API", ladder([(er > 5, "critical"), (er > 3, "warning")], "good"))],
+        ladder([(h >= 95, "good"), (h >= 88, "warning")], "critical"))
+    note = ladder([
+        (t == "IVR", F.concat(F.lit("errors "), er.cast("string"), F.lit("% (tolerated "),
+                              F.when(apps > 4, "2.5").when(apps > 2, "4").otherwise("6"), F.lit("%)"))),
+        (t == "Genesys", F.when(down > 0, F.concat(down.cast("string"), F.lit(" services down"))).otherwise("all services up")),
+        (t == "DB", F.concat(F.lit("lag "), lag.cast("string"), F.lit("s"))),
+        (t == "API", F.concat(apps.cast("string"), F.lit(" apps · errors "), er.cast("string"), F.lit("%")))],
+        F.concat(F.lit("health "), h.cast("string"), F.lit("%")))
+    return systems.select("name", "type", health.cast("long").alias("computed_health"), sev.alias("severity"), note.alias("note"))
+
+
+def core_overall(evaluated: DataFrame) -> DataFrame:
+    """KPI-14: floor of the mean computed health; escalate to critical / warning if any system is."""
+    w = ladder([(F.col("severity") == "critical", 3), (F.col("severity") == "warning", 2)], 1)
+    g = evaluated.agg(F.floor(F.avg("computed_health")).cast("long").alias("overall_health"), F.max(w).alias("_w"),
+                      F.count(F.lit(1)).alias("systems"))
+    return g.select("overall_health", "systems",
+                    ladder([(F.col("_w") == 3, "critical"), (F.col("_w") == 2, "warning")], "good").alias("overall_status"))
+
+
+# --------------------------------------------------------------------------- KPI-6 / KPI-12 / KPI-15
+QUALITY_BUCKETS = [(3.5, "below_3.5"), (4.0, "3.5_to_4.0"), (4.5, "4.0_to_4.5")]
+
+
+def _bucket(q: Column) -> Column:
+    return ladder([(q < lim, name) for lim, name in QUALITY_BUCKETS], "4.5_and_above")
+
+
+def agent_distribution(calls: DataFrame, as_of: Column) -> DataFrame:
+    """Agents per mean-quality bucket: today, yesterday, and the daily average over the last 7 days."""
+    d0 = F.date_trunc("day", as_of)
+    c = calls.filter((F.col("call_time") >= d0 - F.make_dt_interval(days=F.lit(6))) & (F.col("call_time") <= as_of))
+    per = c.groupBy(F.date_trunc("day", "call_time").alias("day"), "agent_id").agg(F.avg("mos").alias("q"))
+    per = per.withColumn("bucket", _bucket(F.col("q")))
+    g = per.groupBy("bucket").agg(count_if(F.col("day") == d0).alias("today"),
+                                  count_if(F.col("day") == d0 - F.make_dt_interval(days=F.lit(1))).alias("yesterday"),
+                                  (F.count(F.lit(1)) / 7.0).alias("week_avg"))
+    return g.select("bucket", "today", "yesterday", r4("week_avg").alias("week_avg"))
+
+
+def network_tiles(samples: DataFrame, as_of: Column, capacity_per_hour: float, window_s: int = DAY,
+                  baseline_s: int = 30 * DAY) -> DataFrame:
+    """Utilisation (peak hourly volume / capacity), mean latency vs its 30-day average, the peak hour."""
+    h = (samples.filter(since("ts", as_of, baseline_s))
+         .groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("lat")))
+    cur = h.filter(F.col("hour") >= F.date_trunc("hour", as_of - F.make_dt_interval(secs=F.lit(float(window_s)))))
+    base = h.agg(F.avg("lat")).scalar()
+    g = cur.agg(F.avg("lat").alias("mean_latency"), F.max("n").alias("peak_volume"),
+                F.max_by("hour", F.struct("n", "hour")).alias("peak_hour"))
+    return g.select(r4("mean_latency").alias("mean_latency_ms"), r4(base).alias("avg_latency_30d_ms"),
+                    r4(pct(F.col("mean_latency") - base, base)).alias("latency_vs_avg_pct"), "peak_volume",
+                    r4(F.col("peak_volume") * 100.0 / capacity_per_hour).alias("peak_utilisation_pct"),
+                    ts_text("peak_hour").alias("peak_hour"))
+
+
+def workforce_readiness(calls: DataFrame, lob_of: Column, as_of: Column, active_s: int = 7 * DAY,
+                        pool_s: int = 30 * DAY) -> DataFrame:
+    """Per LOB: agents active in the last week / agents of the LOB's 30-day pool, bands 90 / 80."""
+    c = calls.filter(since("call_time", as_of, pool_s)).withColumn("lob", lob_of)
+    a = c.groupBy("lob", "agent_id").agg(F.max("call_time").alias("last"))
+    act = since("last", as_of, active_s)
+    g = a.rollup("lob").agg(count_if(act).alias("ready"), F.count(F.lit(1)).alias("pool"))
+    r = pct(F.col("ready"), F.col("pool"))
+    return g.select(F.coalesce("lob", F.lit("ALL")).alias("lob"), "ready", "pool", r4(r).alias("readiness_pct"),
+                    ladder([(r >= 90, "good"), (r >= 80, "warning")], "critical").alias("status"))
+
+
+# --------------------------------------------------------------------------- KPI-18 / KPI-19 / KPI-21
+def silo_impact(events: DataFrame, as_of: Column, window_s: int = DAY) -> DataFrame:
+    """Events and servers affected by silo x category in the window, with a severity."""
+    e = events.filter(since("ts", as_of, window_s))
+    g = e.groupBy("silo", "category").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("server").alias("servers"))
+    return g.withColumn("severity", ladder([(F.col("servers") >= 10, "critical"), (F.col("servers") >= 3, "warning")], "info"))
+
+
+def events_vs_average(events: DataFrame, as_of: Column) -> DataFrame:
+    """Events per class today against the class's daily average of the earlier days ('up 85 % from avg')."""
+    d0 = F.date_trunc("day", as_of)
+    per = events.groupBy("category", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"),
+                                                                               F.countDistinct("server").alias("servers"))
+    g = per.groupBy("category").agg(F.sum(F.when(F.col("day") == d0, F.col("n"))).alias("today"),
+                                    F.avg(F.when(F.col("day") < d0, F.col("n"))).alias("daily_avg"),
+                                    F.sum(F.when(F.col("day") == d0, F.col("servers"))).alias("servers_today"))
+    chg = pct(F.col("today") - F.col("daily_avg"), F.col("daily_avg"))
+    return g.select("category", F.coalesce("today", F.lit(0)).cast("long").alias("today"), r4("daily_avg").alias("daily_avg"),
+                    F.coalesce("servers_today", F.lit(0)).cast("long").alias("servers_today"), r4(chg).alias("change_pct"),
+                    F.concat(F.when(chg >= 0, "↑ ").otherwise("↓ "), F.abs(rnd(chg, 0)).cast("long").cast("string"),
+                             F.lit(" % from avg")).alias("label"))
+
+
+def platform_tiles(events: DataFrame, as_of: Column, window_s: int = DAY) -> DataFrame:
+    """Sessions, success %, error rate %, failed logins and active users over the window."""
+    e = events.filter(since("ts", as_of, window_s))
+    g = e.agg(F.count(F.lit(1)).alias("sessions"), count_if(F.col("event_type") != "error").alias("ok"),
+              count_if(F.col("event_type") == "error").alias("errors"),
+              count_if((F.col("event_type") == "error") & (F.col("value") > 300)).alias("failed_logins"),
+              F.countDistinct("user_id").alias("active_users"))
+    return g.select("sessions", r4(pct(F.col("ok"), F.col("sessions"))).alias("success_pct"),
+                    r4(pct(F.col("errors"), F.col("sessions"))).alias("error_rate_pct"), "failed_logins", "active_users")

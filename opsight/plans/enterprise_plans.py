@@ -579,3 +579,141 @@ def ind13_1(spark, sf_dir):
 def ind13_2(spark, sf_dir):
     m = Model(spark, sf_dir)
     return I.channel_shift(m.contacts(), m.as_of(), 15 * DAY)
+
+
+# ------------------------------------------------------------------ KPI-13 / 14 / 6 / 12 / 15 / 18 / 19 / 21
+# Core systems (adapter): one system per application with events in the last 24 h; type rotates
+# over the five rule types by application id; error rate = rounded % of error events; services
+# down = error events above 300; replication lag = rounded mean value (s); apps = users % 6 + 1.
+SYS_TYPES = ["API", "IVR", "DB", "Genesys", "Generic"]
+SYS_SQL = ("sys", f"""SELECT 'system-' || CAST(app AS VARCHAR) AS name, {SYS_TYPES!r}[app % 5 + 1] AS type,
+  CAST(count(DISTINCT user_id) % 6 + 1 AS BIGINT) AS apps_count,
+  CAST({rnd("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)", 0)} AS BIGINT) AS error_rate,
+  count(*) FILTER (WHERE event_type = 'error' AND value > 300) AS services_down,
+  CAST({rnd('avg(value)', 0)} AS BIGINT) AS replication_lag,
+  100 - CAST({rnd("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)", 0)} AS BIGINT) AS health
+FROM ev WHERE {_since('ts', EV_ASOF, DAY)} GROUP BY app""")
+CORE_EVAL = ("core", f"""SELECT name, type,
+  CAST(CASE WHEN type = 'IVR' THEN greatest(20.0, {rnd('100 - error_rate * 6', 0)}) WHEN type = 'Genesys' THEN CASE WHEN services_down > 0 THEN 60.0 ELSE 98.0 END
+       WHEN type = 'DB' THEN greatest(30.0, {rnd('100 - replication_lag / 300.0 * 40', 0)})
+       WHEN type = 'API' THEN greatest(25.0, {rnd('100 - error_rate * 7 - (apps_count - 1) * 2', 0)}) ELSE health END AS BIGINT) AS computed_health,
+  CASE WHEN type = 'IVR' THEN CASE WHEN error_rate > (CASE WHEN apps_count > 4 THEN 2.5 WHEN apps_count > 2 THEN 4.0 ELSE 6.0 END) * 2 THEN 'critical'
+                                   WHEN error_rate > (CASE WHEN apps_count > 4 THEN 2.5 WHEN apps_count > 2 THEN 4.0 ELSE 6.0 END) THEN 'warning' ELSE 'good' END
+       WHEN type = 'Genesys' THEN CASE WHEN services_down > 0 THEN 'critical' ELSE 'good' END
+       WHEN type = 'DB' THEN CASE WHEN replication_lag > 180 THEN 'critical' WHEN replication_lag > 60 THEN 'warning' ELSE 'good' END
+       WHEN type = 'API' THEN CASE WHEN error_rate > 5 THEN 'critical' WHEN error_rate > 3 THEN 'warning' ELSE 'good' END
+       ELSE CASE WHEN health >= 95 THEN 'good' WHEN health >= 88 THEN 'warning' ELSE 'critical' END END AS severity,
+  CASE WHEN type = 'IVR' THEN 'errors ' || CAST(error_rate AS VARCHAR) || '% (tolerated '
+         || CASE WHEN apps_count > 4 THEN '2.5' WHEN apps_count > 2 THEN '4' ELSE '6' END || '%)'
+       WHEN type = 'Genesys' THEN CASE WHEN services_down > 0 THEN CAST(services_down AS VARCHAR) || ' services down' ELSE 'all services up' END
+       WHEN type = 'DB' THEN 'lag ' || CAST(replication_lag AS VARCHAR) || 's'
+       WHEN type = 'API' THEN CAST(apps_count AS VARCHAR) || ' apps · errors ' || CAST(error_rate AS VARCHAR) || '%'
+       ELSE 'health ' || CAST(health AS VARCHAR) || '%' END AS note FROM sys""")
+
+
+def _systems(m: Model):
+    e = m.events().filter(F.col("ts") >= m.as_of() - F.make_dt_interval(days=F.lit(1)))
+    err = (F.col("event_type") == "error").cast("int")
+    g = e.groupBy("app").agg(F.count(F.lit(1)).alias("n"), F.sum(err).alias("ne"), F.countDistinct("user_id").alias("u"),
+                             F.sum(((F.col("event_type") == "error") & (F.col("value") > 300)).cast("long")).alias("down"),
+                             F.avg("value").alias("lag"))
+    from ..functions.core import rnd as _rnd
+    er = _rnd(F.col("ne") * 100.0 / F.col("n"), 0).cast("long")
+    return g.select(F.concat(F.lit("system-"), F.col("app").cast("string")).alias("name"),
+                    F.element_at(F.array(*[F.lit(t) for t in SYS_TYPES]), (F.col("app") % 5 + 1).cast("int")).alias("type"),
+                    (F.col("u") % 6 + 1).cast("long").alias("apps_count"), er.alias("error_rate"),
+                    F.col("down").alias("services_down"), _rnd(F.col("lag"), 0).cast("long").alias("replication_lag"),
+                    (F.lit(100) - er).alias("health"))
+
+
+@query("kpi13_core_systems", with_("ev", extra=[SYS_SQL, CORE_EVAL]) + "SELECT * FROM core")
+def kpi13(spark, sf_dir):
+    return K.core_system_health(_systems(Model(spark, sf_dir)))
+
+
+@query("kpi14_overall_status", with_("ev", extra=[SYS_SQL, CORE_EVAL]) + """SELECT CAST(floor(avg(computed_health)) AS BIGINT) AS overall_health,
+  count(*) AS systems, CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'warning') THEN 'warning'
+  ELSE 'good' END AS overall_status FROM core""")
+def kpi14(spark, sf_dir):
+    return K.core_overall(K.core_system_health(_systems(Model(spark, sf_dir))))
+
+
+@query("kpi6_agent_distribution", with_("calls", extra=[("pa", f"""SELECT date_trunc('day', call_time) AS day, agent_id, avg(mos) AS q FROM calls
+  WHERE call_time >= date_trunc('day', {CALLS_ASOF}) - INTERVAL 6 DAY AND call_time <= {CALLS_ASOF} GROUP BY ALL""")]) + f"""
+SELECT CASE WHEN q < 3.5 THEN 'below_3.5' WHEN q < 4.0 THEN '3.5_to_4.0' WHEN q < 4.5 THEN '4.0_to_4.5' ELSE '4.5_and_above' END AS bucket,
+  count(*) FILTER (WHERE day = date_trunc('day', {CALLS_ASOF})) AS today,
+  count(*) FILTER (WHERE day = date_trunc('day', {CALLS_ASOF}) - INTERVAL 1 DAY) AS yesterday,
+  {r4('count(*) / 7.0')} AS week_avg FROM pa GROUP BY 1""")
+def kpi6(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return K.agent_distribution(m.calls(), _calls_asof(m))
+
+
+NET_CAP = 50.0
+
+
+@query("kpi12_network_tiles", with_("ev", extra=[("h", f"""SELECT date_trunc('hour', ts) AS hour, count(*) AS n, avg(value) AS lat FROM ev
+  WHERE {_since('ts', EV_ASOF, 30 * DAY)} GROUP BY 1"""), ("cur", f"SELECT * FROM h WHERE hour >= date_trunc('hour', {EV_ASOF} - INTERVAL 1 DAY)")]) + f"""
+SELECT {r4('avg(lat)')} AS mean_latency_ms, {r4('(SELECT avg(lat) FROM h)')} AS avg_latency_30d_ms,
+  {r4('(avg(lat) - (SELECT avg(lat) FROM h)) * 100.0 / (SELECT avg(lat) FROM h)')} AS latency_vs_avg_pct, max(n) AS peak_volume,
+  {r4(f'max(n) * 100.0 / {NET_CAP}')} AS peak_utilisation_pct, strftime(arg_max(hour, (n, hour)), '%Y-%m-%d %H:%M:%S') AS peak_hour FROM cur""")
+def kpi12(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return K.network_tiles(m.events().select("ts", F.col("value").alias("latency_ms")), m.as_of(), NET_CAP)
+
+
+LOB_CASE = "CASE queue WHEN 'A' THEN 'Sales' WHEN 'N' THEN 'Billing' WHEN 'R' THEN 'Service' ELSE 'Other' END"
+
+
+@query("kpi15_workforce_readiness", with_("calls", extra=[("a", f"""SELECT {LOB_CASE} AS lob, agent_id, max(call_time) AS last FROM calls
+  WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL""")]) + f"""
+SELECT COALESCE(lob, 'ALL') AS lob, count(*) FILTER (WHERE {_since('last', CALLS_ASOF, 7 * DAY)}) AS ready, count(*) AS pool,
+  {r4(f"count(*) FILTER (WHERE {_since('last', CALLS_ASOF, 7 * DAY)}) * 100.0 / count(*)")} AS readiness_pct,
+  CASE WHEN count(*) FILTER (WHERE {_since('last', CALLS_ASOF, 7 * DAY)}) * 100.0 / count(*) >= 90 THEN 'good'
+       WHEN count(*) FILTER (WHERE {_since('last', CALLS_ASOF, 7 * DAY)}) * 100.0 / count(*) >= 80 THEN 'warning' ELSE 'critical' END AS status
+FROM a GROUP BY ROLLUP (lob)""")
+def kpi15(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    q = F.col("queue")
+    lob = F.when(q == "A", "Sales").when(q == "N", "Billing").when(q == "R", "Service").otherwise("Other")
+    return K.workforce_readiness(m.calls(), lob, _calls_asof(m))
+
+
+SILO = ("sev", "SELECT e.ts, a.infrastructure_group AS silo, e.event_type AS category, e.user_id AS server "
+               "FROM ev e JOIN applications a ON a.application_id = e.app")
+
+
+def _silo_events(m: Model):
+    return _ev_region(m).select("ts", F.col("region").alias("silo"), F.col("event_type").alias("category"),
+                                F.col("user_id").alias("server"))
+
+
+@query("kpi18_silo_impact", with_("ev", "applications", extra=[SILO]) + f"""SELECT silo, category, count(*) AS events,
+  count(DISTINCT server) AS servers, CASE WHEN count(DISTINCT server) >= 10 THEN 'critical'
+  WHEN count(DISTINCT server) >= 3 THEN 'warning' ELSE 'info' END AS severity FROM sev WHERE {_since('ts', EV_ASOF, DAY)} GROUP BY ALL""")
+def kpi18(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return K.silo_impact(_silo_events(m), m.as_of())
+
+
+@query("kpi19_events_vs_average", with_("ev", "applications", extra=[SILO, ("pd", """SELECT category, date_trunc('day', ts) AS day,
+  count(*) AS n, count(DISTINCT server) AS servers FROM sev GROUP BY ALL""")]) + f"""
+SELECT category, CAST(COALESCE(sum(n) FILTER (WHERE day = date_trunc('day', {EV_ASOF})), 0) AS BIGINT) AS today,
+  {r4(f"avg(n) FILTER (WHERE day < date_trunc('day', {EV_ASOF}))")} AS daily_avg,
+  CAST(COALESCE(sum(servers) FILTER (WHERE day = date_trunc('day', {EV_ASOF})), 0) AS BIGINT) AS servers_today,
+  {r4(f"(sum(n) FILTER (WHERE day = date_trunc('day', {EV_ASOF})) - avg(n) FILTER (WHERE day < date_trunc('day', {EV_ASOF}))) * 100.0 / NULLIF(avg(n) FILTER (WHERE day < date_trunc('day', {EV_ASOF})), 0)")} AS change_pct,
+  CASE WHEN (sum(n) FILTER (WHERE day = date_trunc('day', {EV_ASOF})) - avg(n) FILTER (WHERE day < date_trunc('day', {EV_ASOF}))) >= 0 THEN '↑ ' ELSE '↓ ' END
+  || CAST(CAST(abs({rnd(f"(sum(n) FILTER (WHERE day = date_trunc('day', {EV_ASOF})) - avg(n) FILTER (WHERE day < date_trunc('day', {EV_ASOF}))) * 100.0 / NULLIF(avg(n) FILTER (WHERE day < date_trunc('day', {EV_ASOF})), 0)", 0)}) AS BIGINT) AS VARCHAR) || ' % from avg' AS label
+FROM pd GROUP BY category""")
+def kpi19(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return K.events_vs_average(_silo_events(m), m.as_of())
+
+
+@query("kpi21_platform_tiles", with_("ev") + f"""SELECT count(*) AS sessions, {r4("count(*) FILTER (WHERE event_type <> 'error') * 100.0 / count(*)")} AS success_pct,
+  {r4("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)")} AS error_rate_pct,
+  count(*) FILTER (WHERE event_type = 'error' AND value > 300) AS failed_logins, count(DISTINCT user_id) AS active_users
+FROM ev WHERE {_since('ts', EV_ASOF, DAY)}""")
+def kpi21(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return K.platform_tiles(m.events(), m.as_of())
