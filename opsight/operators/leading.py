@@ -483,3 +483,48 @@ def rule_confidence(scored: DataFrame, rules: DataFrame, minute_s: int = 60) ->
                     F.col("a_starts").cast("long").alias("a_starts"), F.col("followed").cast("long").alias("followed"),
                     r4(F.col("followed") / F.col("a_starts")).alias("measured_confidence"),
                     r4("median_lag").alias("median_lag_minutes")))
+
+
+# --------------------------------------------------------------------------- LIP-19
+def regional_signals(region_values: DataFrame, as_of: Column, window_s: int) -> DataFrame:
+    """Per-signal values per region over the cycle window, with the global roll-up (rollup)."""
+    v = region_values.filter(since("ts", as_of, window_s))
+    g = v.rollup("signal_name", "region").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("samples"))
+    return (g.filter(F.col("signal_name").isNotNull())
+            .select("signal_name", F.coalesce("region", F.lit("GLOBAL")).alias("region"), r4("v").alias("numeric_value"),
+                    "samples"))
+
+
+# --------------------------------------------------------------------------- LIP-22
+def incident_scope(incidents: DataFrame, ci_map: DataFrame, open_states=("Open", "In Progress")) -> DataFrame:
+    """Open incidents per configuration item: count, groups involved, whether the CI is on the
+    call path (accept rule R3) or not (weaken it), and whether incidents share the item."""
+    o = incidents.filter(F.col("state").isin(*open_states)).join(ci_map, "incident_id")
+    g = o.groupBy("ci", "call_path").agg(F.count(F.lit(1)).alias("incidents"),
+                                         F.array_join(F.array_sort(F.collect_set("assignment_group")), ",").alias("groups"))
+    return g.select("ci", "call_path", "incidents", "groups", (F.col("incidents") > 1).alias("shared"),
+                    F.when(F.col("call_path"), "accept_R3").otherwise("weaken_R3").alias("rule_r3"))
+
+
+# --------------------------------------------------------------------------- LIP-24
+def ivr_overflow(containment: DataFrame, volume_per_hour: Column, baseline_pct: Column) -> DataFrame:
+    """Extra live calls per hour from a self-service drop: volume x (baseline - current containment)."""
+    return containment.select("period", r4("containment_pct").alias("containment_pct"),
+                              r4(F.greatest(F.lit(0.0), (baseline_pct - F.col("containment_pct")) / 100.0)
+                                 * volume_per_hour).alias("extra_calls_per_hour"))
+
+
+# --------------------------------------------------------------------------- LIP-17
+def multi_correlation(sub_signals: DataFrame, active: DataFrame, templates: DataFrame) -> DataFrame:
+    """Template #7: a parent signal below threshold in named sub-signals, correlated (active rule)
+    with another signal. sub_signals: (parent_signal, sub_name, status, threshold)."""
+    low = sub_signals.filter(F.col("status") != "healthy").groupBy("parent_signal").agg(
+        F.array_join(F.array_sort(F.collect_list("sub_name")), ", ").alias("subs"), F.min("threshold").alias("thr"))
+    cor = active.select(F.col("signal_b").alias("parent_signal"), F.col("signal_a").alias("correlated_signal"),
+                        "recommended_action")
+    t = templates.filter(F.col("template_id") == 7).select("template_text")
+    j = low.join(cor, "parent_signal").withColumn("template_text", t.scalar())
+    fields = F.create_map(F.lit("signal_a"), F.col("parent_signal"), F.lit("threshold"), F.concat(fixed("thr", 0), F.lit("%")),
+                          F.lit("sub_signals"), F.col("subs"), F.lit("correlated_signal"), F.col("correlated_signal"),
+                          F.lit("recommended_action"), F.col("recommended_action"))
+    return j.select("parent_signal", "correlated_signal", fill_template(F.col("template_text"), fields).alias("insight_text"))

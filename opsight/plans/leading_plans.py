@@ -507,3 +507,73 @@ LEFT JOIN (SELECT rule_id, count(*) AS followed, quantile_cont(lag, 0.5) AS medi
 def lip25(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
     return L.rule_confidence(c.scored, c.rules, minute_s=U)
+
+
+# ------------------------------------------------------------------ LIP-19 / LIP-22 / LIP-24 / LIP-17
+@query("lip19_regional_signals", with_("ev", "applications", extra=[("rv", f"""SELECT e.ts, a.infrastructure_group AS region,
+  CASE WHEN (list_position(['click', 'error', 'purchase', 'signup', 'view'], e.event_type) - 1) * 3 + e.user_id % 3 BETWEEN 0 AND 13
+       THEN {NAMES}[(list_position(['click', 'error', 'purchase', 'signup', 'view'], e.event_type) - 1) * 3 + e.user_id % 3 + 1]
+       ELSE e.event_type || '_' || CAST(e.user_id % 3 AS VARCHAR) END AS signal_name, e.value
+FROM ev e JOIN applications a ON a.application_id = e.app""")]) + f"""
+SELECT signal_name, COALESCE(region, 'GLOBAL') AS region, {sr4('avg(value)')} AS numeric_value, count(*) AS samples
+FROM rv WHERE ts >= {ASOF} - to_seconds({24 * U}) GROUP BY ROLLUP (signal_name, region) HAVING signal_name IS NOT NULL""")
+def lip19(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = m.events()
+    a = m.applications().select("application_id", F.col("infrastructure_group").alias("region"))
+    idx = (F.array_position(F.array(*[F.lit(t) for t in Model.EVENT_TYPES]), F.col("event_type")) - 1) * 3 + F.col("user_id") % 3
+    names = F.array(*[F.lit(n) for n in L.SIGNAL_NAMES])
+    name = F.when((idx >= 0) & (idx < len(L.SIGNAL_NAMES)), F.element_at(names, (idx + 1).cast("int"))) \
+        .otherwise(F.concat(F.col("event_type"), F.lit("_"), (F.col("user_id") % 3).cast("string")))
+    rv = e.join(F.broadcast(a), e.app == a.application_id).select("ts", "region", name.alias("signal_name"), "value")
+    return L.regional_signals(rv, m.as_of(), 24 * U)
+
+
+# Configuration items (adapter): incident -> ci-<custkey % 50>; a CI is on the call path when its number % 7 = 0.
+@query("lip22_incident_scope", with_("incidents", extra=[("cim", """SELECT o_orderkey AS incident_id,
+  'ci-' || CAST(o_custkey % 50 AS VARCHAR) AS ci, (o_custkey % 50) % 7 = 0 AS call_path FROM orders""")]) + """
+SELECT ci, call_path, count(*) AS incidents, string_agg(DISTINCT assignment_group, ',' ORDER BY assignment_group) AS groups,
+  count(*) > 1 AS shared, CASE WHEN call_path THEN 'accept_R3' ELSE 'weaken_R3' END AS rule_r3
+FROM incidents JOIN cim USING (incident_id) WHERE state IN ('Open', 'In Progress') GROUP BY ci, call_path""")
+def lip22(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    o = m.raw("orders")
+    ci = o.select(F.col("o_orderkey").alias("incident_id"),
+                  F.concat(F.lit("ci-"), (F.col("o_custkey") % 50).cast("string")).alias("ci"),
+                  ((F.col("o_custkey") % 50) % 7 == 0).alias("call_path"))
+    return L.incident_scope(m.incidents(), ci)
+
+
+@query("lip24_ivr_overflow", with_("ev", extra=[("c", """SELECT date_trunc('day', ts) AS period,
+  count(*) FILTER (WHERE event_type IN ('view', 'click')) * 100.0 / count(*) AS containment_pct, count(*) AS n FROM ev GROUP BY 1""")]) + f"""
+SELECT strftime(period, '%Y-%m-%d %H:%M:%S') AS period, {sr4('containment_pct')} AS containment_pct,
+  {sr4('greatest(0.0, ((SELECT avg(containment_pct) FROM c) - containment_pct) / 100.0) * ((SELECT avg(n) FROM c) / 24.0)')} AS extra_calls_per_hour FROM c""")
+def lip24(spark, sf_dir):
+    """Containment = self-service (view/click) share per day; baseline = mean daily containment;
+    volume per hour = mean daily contacts / 24."""
+    m = Model(spark, sf_dir)
+    e = m.events()
+    c = e.groupBy(F.date_trunc("day", "ts").alias("p")).agg(
+        (F.sum(F.col("event_type").isin("view", "click").cast("int")) * 100.0 / F.count(F.lit(1))).alias("containment_pct"),
+        F.count(F.lit(1)).alias("n"))
+    base = c.agg(F.avg("containment_pct")).scalar()
+    vol = c.agg(F.avg("n") / 24.0).scalar()
+    out = L.ivr_overflow(c.withColumnRenamed("p", "period"), vol, base)
+    return out.withColumn("period", ts_text("period"))
+
+
+@query("lip17_multi_correlation", _ctes(*CORR_CTES, ("subs", """SELECT signal_name AS parent_signal, 'series-' || signal_name AS sub_name,
+  status, healthy_threshold AS threshold FROM latest""")) + f"""
+SELECT l.parent_signal, a.signal_a AS correlated_signal,
+  replace(replace(replace(replace(replace({_q([t for t in L.INSIGHT_TEMPLATES if t[0] == 7][0][3])},
+    '{{signal_a}}', l.parent_signal), '{{threshold}}', printf('%.0f', {srnd('l.thr', 0)}) || '%'), '{{sub_signals}}', l.subs),
+    '{{correlated_signal}}', a.signal_a), '{{recommended_action}}', a.recommended_action) AS insight_text
+FROM (SELECT parent_signal, string_agg(sub_name, ', ' ORDER BY sub_name) AS subs, min(threshold) AS thr FROM subs
+      WHERE status <> 'healthy' GROUP BY 1) l JOIN active a ON a.signal_b = l.parent_signal""")
+def lip17(spark, sf_dir):
+    """Sub-signals here: each degraded signal's own series; the correlated signal comes from the active rules."""
+    c = _Ctx(spark, sf_dir)
+    subs = c.latest.select(F.col("signal_name").alias("parent_signal"),
+                           F.concat(F.lit("series-"), F.col("signal_name")).alias("sub_name"), "status",
+                           F.col("healthy_threshold").alias("threshold"))
+    return L.multi_correlation(subs, c.active(), L.insight_templates(spark))
