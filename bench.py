@@ -49,7 +49,13 @@ def main():
         times[k] = run(k)
         cycle += times[k]
     times["leading_indicator_cycle"] = round(cycle, 3)
-    total = round(sum(v for k, v in times.items() if k != "leading_indicator_cycle"), 3)
+    # One cycle as the job runs it: snapshots once, every stage on them.
+    from opsight.plans.leading_plans import run_cycle
+    t = time.time()
+    for df in run_cycle(spark, sf_dir).values():
+        df.write.format("noop").mode("overwrite").save()
+    times["leading_indicator_cycle_job"] = round(time.time() - t, 3)
+    total = round(sum(v for k, v in times.items() if not k.startswith("leading_indicator_cycle")), 3)
     print(json.dumps({"metric": "headline_total_time", "value": total, "unit": "sec", "queries": times,
                       "sf": sf, "cpus": int(os.environ.get("BENCH_CPUS", "8"))}))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import HOUR, fixed, r4, ts_text
 from ..operators import leading as L
+from ..session import checkpoint_dir
 from ..sources.adapters import Model
 from .oracle_base import ASOF, r4 as sr4, rnd as srnd, tstext, with_
 from .registry import query
@@ -85,7 +86,10 @@ class _Ctx:
     def __init__(self, spark, sf_dir):
         self.spark = spark
         self.m = Model(spark, sf_dir)
-        self.snap = self.m.signal_snapshots()
+        # The snapshot series is the silver table of one cycle: computed once and written to the
+        # shared checkpoint folder (reliable checkpoint, lineage cut); every stage reads it.
+        checkpoint_dir(spark)
+        self.snap = self.m.signal_snapshots().checkpoint()
         self.cfg = L.calibrate_thresholds(self.snap, self.m.calibration_end())
         self.scored = L.score_signals(self.snap, self.cfg)
         self.trended = L.snapshot_trend(self.scored).withColumn(
@@ -577,3 +581,16 @@ def lip17(spark, sf_dir):
                            F.concat(F.lit("series-"), F.col("signal_name")).alias("sub_name"), "status",
                            F.col("healthy_threshold").alias("threshold"))
     return L.multi_correlation(subs, c.active(), L.insight_templates(spark))
+
+
+def run_cycle(spark, sf_dir):
+    """One leading-indicator cycle as a job: snapshots computed and checkpointed once, then the
+    scoring, domain, enterprise, correlation, alert, ETA and outage stages all read them.
+    Returns the stage results (DataFrames) by name."""
+    c = _Ctx(spark, sf_dir)
+    active = c.active()
+    doms = L.domain_scores(c.latest, c.dmap)
+    _, alerts = _alert_parts(c)
+    return {"domain_scores": doms, "enterprise_score": L.enterprise_score(doms), "correlations": active,
+            "new_alerts": alerts, "eta": L.eta(c.snap, c.cfg, c.as_of, window_s=15 * U, per_s=U, max_eta=60),
+            "outage_probability": L.outage_probability(c.latest, active)}
