@@ -34,6 +34,8 @@ class Model:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        # Event times are wall-clock values without zone; all time arithmetic is in UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
