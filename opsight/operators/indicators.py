@@ -398,3 +398,147 @@ def channel_shift(contacts: DataFrame, as_of: Column, period_s: int, digital=("c
     return g.select("contacts_now", "contacts_prior", r4(now).alias("digital_share_now_pct"),
                     r4(pri).alias("digital_share_prior_pct"), r4(vel).alias("shift_velocity_pct"),
                     F.when(vel >= 1, "Healthy").when(now < pri, "Critical").otherwise("At Risk").alias("status"))
+
+
+# --------------------------------------------------------------------------- weighted indices (IND-1.2, 5.3, 13.4, 14.3)
+def weighted_index(df: DataFrame, weights: dict, name: str = "score") -> DataFrame:
+    """Σ component x weight (weights as stated, e.g. privacy .15/.20/.15/.15/.15/.10/.10)."""
+    s = None
+    for c, w in weights.items():
+        term = F.col(c) * F.lit(float(w))
+        s = term if s is None else s + term
+    return df.withColumn(name, s)
+
+
+PRIVACY_WEIGHTS = {"data_minimization": 0.15, "consent": 0.20, "dsar": 0.15, "deletion": 0.15, "retention": 0.15,
+                   "third_party": 0.10, "security": 0.10}
+
+
+def revenue_protection(components: DataFrame) -> DataFrame:
+    """IND-12.2: 100 - revenue at risk / opportunity x 100. components: (category, amount, opportunity)."""
+    g = components.groupBy("opportunity").agg(F.sum("amount").alias("revenue_at_risk"))
+    score = F.lit(100.0) - F.col("revenue_at_risk") * 100.0 / F.col("opportunity")
+    return g.select(r4("revenue_at_risk").alias("revenue_at_risk"), r4("opportunity").alias("opportunity"),
+                    r4(score).alias("protection_score"), status(score, 95.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-2.2 / IND-2.3 / IND-5.2
+def site_connectivity(samples: DataFrame, as_of: Column, window_s: int, site: str = "region") -> DataFrame:
+    """Per site: loss % and latency over the window -> Connected / Degraded / Disconnected; share connected."""
+    s = samples.filter(since("ts", as_of, window_s))
+    g = s.groupBy(site).agg(pct(count_if(F.col("lost")), F.count(F.lit(1))).alias("loss"), F.avg("latency_ms").alias("lat"))
+    st = ladder([((F.col("loss") < 1) & (F.col("lat") < 150), "Connected"),
+                 ((F.col("loss") < 5) & (F.col("lat") < 300), "Degraded")], "Disconnected")
+    g = g.withColumn("site_status", st)
+    share = g.agg(pct(count_if(F.col("site_status") == "Connected"), F.count(F.lit(1)))).scalar()
+    return g.select(site, r4("loss").alias("loss_pct"), r4("lat").alias("latency_ms"), "site_status",
+                    r4(share).alias("connected_sites_pct"))
+
+
+def wan_utilisation(traffic: DataFrame, as_of: Column, capacity: float, rolling_s: int, window_s: int,
+                    site: str = "region") -> DataFrame:
+    """max(in, out) / capacity per site and period, rolling mean over `rolling_s` (range frame per site),
+    then the average and peak over the window."""
+    p = traffic.groupBy(site, F.date_trunc("hour", "ts").alias("period")).agg(F.sum("bytes_in").alias("i"),
+                                                                              F.sum("bytes_out").alias("o"))
+    p = p.withColumn("util", F.greatest("i", "o") * 100.0 / capacity)
+    w = Window.partitionBy(site).orderBy(F.col("period").cast("long")).rangeBetween(-(rolling_s - 1), 0)
+    p = p.withColumn("rolling", F.avg("util").over(w))
+    cur = p.filter(since("period", as_of, window_s))
+    g = cur.groupBy(site).agg(F.avg("rolling").alias("avg_util"), F.max("rolling").alias("peak_util"))
+    return g.select(site, r4("avg_util").alias("avg_utilisation_pct"), r4("peak_util").alias("peak_utilisation_pct"),
+                    status(F.col("peak_util"), 85.0, higher_is_better=False).alias("status"))
+
+
+def ica_latency(sessions: DataFrame, as_of: Column, window_s: int, by: str = "vendor_id") -> DataFrame:
+    """Session-duration-weighted ICA latency and its exact p95, per group."""
+    s = sessions.filter(since("ts", as_of, window_s))
+    g = s.groupBy(by).agg((F.sum(F.col("latency_ms") * F.col("duration")) / F.sum("duration")).alias("w"),
+                          F.percentile("latency_ms", 0.95).alias("p95"))
+    return g.select(by, r4("w").alias("weighted_latency_ms"), r4("p95").alias("p95_latency_ms"),
+                    status(F.col("w"), 100.0, higher_is_better=False).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-4.1 / 4.3 / 10.1 / 10.3 / 10.4
+def staffing_gap(calls: DataFrame, interval_min: float = 1440.0, occupancy: float = 0.85, shrinkage: float = 0.30) -> DataFrame:
+    """Per day: actual agents - calls x AHT / (interval x occupancy) / (1 - shrinkage)."""
+    d = calls.groupBy(F.to_date("call_time").alias("day")).agg(F.countDistinct("agent_id").alias("actual"),
+                                                               F.count(F.lit(1)).alias("calls"), F.avg("duration_min").alias("aht"))
+    req = F.col("calls") * F.col("aht") / (interval_min * occupancy) / (1 - shrinkage)
+    gap = F.col("actual") - req
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "actual", "calls", r4(req).alias("required"),
+                    r4(gap).alias("gap"), ladder([(F.abs(gap) > 500, "Critical"), (F.abs(gap) > 200, "At Risk")],
+                                                 "Healthy").alias("status"))
+
+
+def occupancy_bands(calls: DataFrame, as_of: Column, window_s: int, shift_min: float = 480.0,
+                    by: str = "vendor_id") -> DataFrame:
+    """IND-4.3: handle / (handle + available) per agent-day (available = shift - handle), mean per
+    group, in five bands."""
+    c = calls.filter(since("call_time", as_of, window_s))
+    ad = c.groupBy(by, "agent_id", F.to_date("call_time").alias("day")).agg(F.sum("duration_min").alias("handle"))
+    occ = F.col("handle") * 100.0 / (F.col("handle") + F.greatest(F.lit(0.0), F.lit(shift_min) - F.col("handle")))
+    g = ad.groupBy(by).agg(F.avg(occ).alias("occ"), F.count(F.lit(1)).alias("agent_days"))
+    o = F.col("occ")
+    band = ladder([(o < 65, "Critical (idle)"), (o < 75, "At Risk (low)"), (o <= 85, "Optimal"),
+                   (o <= 90, "At Risk (high)")], "Critical (burnout)")
+    return g.select(by, r4("occ").alias("occupancy_pct"), "agent_days", band.alias("band"))
+
+
+def occupancy_login(calls: DataFrame, as_of: Column, window_s: int, login_min: float = 480.0, aux_min: float = 60.0,
+                    by: str = "queue") -> DataFrame:
+    """IND-10.3: Σhandle / Σ(login - aux) per queue (agent-days)."""
+    c = calls.filter(since("call_time", as_of, window_s))
+    ad = c.groupBy(by, "agent_id", F.to_date("call_time").alias("day")).agg(F.sum("duration_min").alias("handle"))
+    g = ad.groupBy(by).agg((F.sum("handle") * 100.0 / (F.count(F.lit(1)) * (login_min - aux_min))).alias("occ"))
+    o = F.col("occ")
+    return g.select(by, r4(o).alias("occupancy_pct"),
+                    ladder([(o > 90, "Critical"), (o < 70, "Critical"), ((o >= 80) & (o <= 85), "Healthy")],
+                           "At Risk").alias("status"))
+
+
+def shrinkage(calls: DataFrame, roster: DataFrame, planned_pct: float = 30.0) -> DataFrame:
+    """IND-10.1: per day, actual shrinkage = 1 - present / roster; variance to plan; FTE impact."""
+    n = roster.agg(F.count(F.lit(1))).scalar()
+    d = calls.groupBy(F.to_date("call_time").alias("day")).agg(F.countDistinct("agent_id").alias("present"))
+    act = (F.lit(1.0) - F.col("present") / n) * 100.0
+    var = act - planned_pct
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "present", r4(act).alias("actual_shrinkage_pct"),
+                    r4(var).alias("variance_pct"), r4(var / 100.0 * n).alias("fte_impact"),
+                    ladder([(F.abs(var) > 5, "Critical"), (F.abs(var) > 2, "At Risk")], "Healthy").alias("status"))
+
+
+def schedule_efficiency(calls: DataFrame, as_of: Column, window_s: int, shift_min: float = 480.0) -> DataFrame:
+    """IND-10.4: 1 - Σ|required - scheduled| / Σrequired over the intervals (days) of the window."""
+    c = calls.filter(since("call_time", as_of, window_s))
+    d = c.groupBy(F.to_date("call_time").alias("day")).agg(
+        (F.sum("duration_min") / shift_min).alias("req"), F.countDistinct("agent_id").alias("sched"))
+    g = d.agg(F.sum(F.abs(F.col("req") - F.col("sched"))).alias("dev"), F.sum("req").alias("req"),
+              F.count(F.lit(1)).alias("intervals"))
+    eff = (F.lit(1.0) - F.col("dev") / F.col("req")) * 100.0
+    return g.select("intervals", r4("req").alias("required_total"), r4(eff).alias("efficiency_pct"),
+                    status(eff, 90.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-11.4 / IND-7.3
+def coaching_priority(calls: DataFrame, as_of: Column, window_s: int, cohort: str = "vendor_id",
+                      full_coachability_calls: int = 20) -> DataFrame:
+    """(best score in cohort - agent score) x coachability; priority first when above 30."""
+    c = calls.filter(since("call_time", as_of, window_s))
+    a = c.groupBy(cohort, "agent_id").agg((F.avg("mos") * 20.0).alias("score"), F.count(F.lit(1)).alias("calls"))
+    w = Window.partitionBy(cohort)
+    a = a.withColumn("best", F.max("score").over(w))
+    coach = F.least(F.lit(1.0), F.col("calls") / float(full_coachability_calls))
+    pr = (F.col("best") - F.col("score")) * coach
+    return a.select(cohort, "agent_id", r4("score").alias("score"), r4("best").alias("cohort_best"),
+                    r4(coach).alias("coachability"), r4(pr).alias("priority"), (pr > 30).alias("coach_first"))
+
+
+def data_freshness(events: DataFrame, limits: DataFrame, as_of: Column, source: str = "source") -> DataFrame:
+    """Seconds since the last record per source against the source's own limit; overall = the stalest."""
+    g = events.groupBy(source).agg(F.max("ts").alias("last_seen"))
+    j = g.join(F.broadcast(limits), source)
+    age = F.floor((F.unix_micros(as_of) - F.unix_micros("last_seen")) / 1_000_000)
+    return j.select(source, ts_text("last_seen").alias("last_seen"), age.cast("long").alias("age_s"), "limit_s",
+                    F.when(age > F.col("limit_s"), "Critical").when(age > F.col("limit_s") * 0.85, "At Risk")
+                    .otherwise("Healthy").alias("status"))

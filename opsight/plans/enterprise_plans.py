@@ -717,3 +717,155 @@ FROM ev WHERE {_since('ts', EV_ASOF, DAY)}""")
 def kpi21(spark, sf_dir):
     m = Model(spark, sf_dir)
     return K.platform_tiles(m.events(), m.as_of())
+
+
+# ------------------------------------------------------------------ more IND (calls / events)
+# Adapter choices: site = region; a lost packet = an error event; latency (ms) = event value;
+# WAN in = events per hour, out = Σvalue / 50, capacity 20 per hour; ICA latency = call wait;
+# freshness limits per source below; revenue categories from calls (see revenue query).
+FRESH_LIMITS = [("click", 3600), ("view", 3600), ("purchase", 7200), ("signup", 7200), ("error", 1800)]
+REV_OPP_PER_CALL = 120.0
+
+
+@query("ind2_2_site_connectivity", with_("ev", "applications", extra=[EVR, ("g", f"""SELECT region,
+  count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*) AS loss, avg(value) AS lat FROM evr
+  WHERE {_since('ts', EV_ASOF, DAY)} GROUP BY region"""), ("s", """SELECT *, CASE WHEN loss < 1 AND lat < 150 THEN 'Connected'
+  WHEN loss < 5 AND lat < 300 THEN 'Degraded' ELSE 'Disconnected' END AS site_status FROM g""")]) + f"""
+SELECT region, {r4('loss')} AS loss_pct, {r4('lat')} AS latency_ms, site_status,
+  {r4("(SELECT count(*) FILTER (WHERE site_status = 'Connected') * 100.0 / count(*) FROM s)")} AS connected_sites_pct FROM s""")
+def ind2_2(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    s = _ev_region(m).select("ts", "region", (F.col("event_type") == "error").alias("lost"), F.col("value").alias("latency_ms"))
+    return I.site_connectivity(s, m.as_of(), DAY)
+
+
+@query("ind2_3_wan_utilisation", with_("ev", "applications", extra=[EVR, ("p", """SELECT region, date_trunc('hour', ts) AS period,
+  greatest(count(*), sum(value) / 50.0) * 100.0 / 20.0 AS util FROM evr GROUP BY ALL"""), ("r", """SELECT *, avg(util) OVER (PARTITION BY region
+  ORDER BY period RANGE BETWEEN INTERVAL 53999 SECOND PRECEDING AND CURRENT ROW) AS rolling FROM p""")]) + f"""
+SELECT region, {r4('avg(rolling)')} AS avg_utilisation_pct, {r4('max(rolling)')} AS peak_utilisation_pct,
+  {_status('max(rolling)', 85.0, higher=False)} AS status FROM r WHERE {_since('period', EV_ASOF, DAY)} GROUP BY region""")
+def ind2_3(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    t = _ev_region(m).select("ts", "region", F.lit(1).alias("bytes_in"), (F.col("value") / 50.0).alias("bytes_out"))
+    return I.wan_utilisation(t, m.as_of(), capacity=20.0, rolling_s=15 * 3600, window_s=DAY)
+
+
+@query("ind5_2_ica_latency", with_("calls") + f"""SELECT vendor_id, {r4('sum(wait_sec * duration_min) / sum(duration_min)')} AS weighted_latency_ms,
+  {r4('quantile_cont(wait_sec, 0.95)')} AS p95_latency_ms,
+  {_status('sum(wait_sec * duration_min) / sum(duration_min)', 100.0, higher=False)} AS status
+FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
+def ind5_2(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    s = m.calls().select(F.col("call_time").alias("ts"), "vendor_id", F.col("wait_sec").alias("latency_ms"),
+                         F.col("duration_min").alias("duration"))
+    return I.ica_latency(s, _calls_asof(m), 30 * DAY)
+
+
+REQ = "calls * aht / (1440.0 * 0.85) / (1 - 0.3)"
+
+
+@query("ind4_1_staffing_gap", with_("calls") + f"""SELECT strftime(day, '%Y-%m-%d') AS day, actual, calls, {r4(REQ)} AS required,
+  {r4(f'actual - {REQ}')} AS gap, CASE WHEN abs(actual - {REQ}) > 500 THEN 'Critical' WHEN abs(actual - {REQ}) > 200 THEN 'At Risk'
+  ELSE 'Healthy' END AS status FROM (SELECT CAST(call_time AS DATE) AS day, count(DISTINCT agent_id) AS actual, count(*) AS calls,
+  avg(duration_min) AS aht FROM calls GROUP BY 1)""")
+def ind4_1(spark, sf_dir):
+    return I.staffing_gap(Model(spark, sf_dir).calls())
+
+
+OCC = "handle * 100.0 / (handle + greatest(0.0, 480.0 - handle))"
+
+
+@query("ind4_3_occupancy", with_("calls") + f"""SELECT vendor_id, {r4(f'avg({OCC})')} AS occupancy_pct, count(*) AS agent_days,
+  CASE WHEN avg({OCC}) < 65 THEN 'Critical (idle)' WHEN avg({OCC}) < 75 THEN 'At Risk (low)' WHEN avg({OCC}) <= 85 THEN 'Optimal'
+       WHEN avg({OCC}) <= 90 THEN 'At Risk (high)' ELSE 'Critical (burnout)' END AS band FROM (
+  SELECT vendor_id, agent_id, CAST(call_time AS DATE) AS day, sum(duration_min) AS handle FROM calls
+  WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL) GROUP BY vendor_id""")
+def ind4_3(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return I.occupancy_bands(m.calls(), _calls_asof(m), 30 * DAY)
+
+
+@query("ind10_3_occupancy_login", with_("calls") + f"""SELECT queue, {r4('sum(handle) * 100.0 / (count(*) * 420.0)')} AS occupancy_pct,
+  CASE WHEN sum(handle) * 100.0 / (count(*) * 420.0) > 90 THEN 'Critical' WHEN sum(handle) * 100.0 / (count(*) * 420.0) < 70 THEN 'Critical'
+       WHEN sum(handle) * 100.0 / (count(*) * 420.0) BETWEEN 80 AND 85 THEN 'Healthy' ELSE 'At Risk' END AS status FROM (
+  SELECT queue, agent_id, CAST(call_time AS DATE) AS day, sum(duration_min) AS handle FROM calls
+  WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL) GROUP BY queue""")
+def ind10_3(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return I.occupancy_login(m.calls(), _calls_asof(m), 30 * DAY)
+
+
+@query("ind10_1_shrinkage", with_("calls") + f"""SELECT strftime(day, '%Y-%m-%d') AS day, present,
+  {r4('(1.0 - present / n) * 100.0')} AS actual_shrinkage_pct, {r4('(1.0 - present / n) * 100.0 - 30.0')} AS variance_pct,
+  {r4('((1.0 - present / n) * 100.0 - 30.0) / 100.0 * n')} AS fte_impact,
+  CASE WHEN abs((1.0 - present / n) * 100.0 - 30.0) > 5 THEN 'Critical' WHEN abs((1.0 - present / n) * 100.0 - 30.0) > 2 THEN 'At Risk'
+       ELSE 'Healthy' END AS status FROM (SELECT CAST(call_time AS DATE) AS day, count(DISTINCT agent_id) AS present,
+  (SELECT count(*) FROM supplier) AS n FROM calls GROUP BY 1)""")
+def ind10_1(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return I.shrinkage(m.calls(), m.raw("supplier"))
+
+
+@query("ind10_4_schedule_efficiency", with_("calls") + f"""SELECT count(*) AS intervals, {r4('sum(req)')} AS required_total,
+  {r4('(1.0 - sum(abs(req - sched)) / sum(req)) * 100.0')} AS efficiency_pct,
+  {_status('(1.0 - sum(abs(req - sched)) / sum(req)) * 100.0', 90.0)} AS status FROM (
+  SELECT CAST(call_time AS DATE) AS day, sum(duration_min) / 480.0 AS req, count(DISTINCT agent_id) AS sched FROM calls
+  WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY 1)""")
+def ind10_4(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return I.schedule_efficiency(m.calls(), _calls_asof(m), 30 * DAY)
+
+
+@query("ind11_4_coaching_priority", with_("calls") + f"""SELECT vendor_id, agent_id, {r4('score')} AS score, {r4('best')} AS cohort_best,
+  {r4('least(1.0, calls / 20.0)')} AS coachability, {r4('(best - score) * least(1.0, calls / 20.0)')} AS priority,
+  (best - score) * least(1.0, calls / 20.0) > 30 AS coach_first FROM (
+  SELECT *, max(score) OVER (PARTITION BY vendor_id) AS best FROM (
+    SELECT vendor_id, agent_id, avg(mos) * 20.0 AS score, count(*) AS calls FROM calls
+    WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL))""")
+def ind11_4(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return I.coaching_priority(m.calls(), _calls_asof(m), 30 * DAY)
+
+
+FRESH_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {v})" for s, v in FRESH_LIMITS) + ") t(source, limit_s)"
+
+
+@query("ind7_3_data_freshness", with_("ev", extra=[("lim", FRESH_SQL)]) + f"""SELECT g.source, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen,
+  (epoch_us({EV_ASOF}) - epoch_us(last_seen)) // 1000000 AS age_s, limit_s,
+  CASE WHEN (epoch_us({EV_ASOF}) - epoch_us(last_seen)) // 1000000 > limit_s THEN 'Critical'
+       WHEN (epoch_us({EV_ASOF}) - epoch_us(last_seen)) // 1000000 > limit_s * 0.85 THEN 'At Risk' ELSE 'Healthy' END AS status
+FROM (SELECT event_type AS source, max(ts) AS last_seen FROM ev GROUP BY 1) g JOIN lim USING (source)""")
+def ind7_3(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    lim = F.broadcast(spark.createDataFrame(FRESH_LIMITS, "source string, limit_s int"))
+    return I.data_freshness(m.events().withColumnRenamed("event_type", "source"), lim, m.as_of())
+
+
+REV_SQL = f"""SELECT category, amount, opp AS opportunity FROM (
+  SELECT count(*) * {REV_OPP_PER_CALL} AS opp,
+    count(*) FILTER (WHERE line_status = 'O' AND queue = 'A') * 35.0 AS abandoned_calls,
+    count(*) FILTER (WHERE queue = 'R') * 0.15 * 120.0 AS failed_transfers,
+    count(*) FILTER (WHERE line_status = 'O' AND queue = 'N') * 0.30 * 480.0 AS retention_abandons,
+    0.0 AS system_downtime, count(*) FILTER (WHERE mos < 3.0) * 25.0 AS quality_failures
+  FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)})
+UNPIVOT (amount FOR category IN (abandoned_calls, failed_transfers, retention_abandons, system_downtime, quality_failures))"""
+
+
+@query("ind12_2_revenue_protection", with_("calls", extra=[("c", REV_SQL)]) + f"""SELECT {r4('sum(amount)')} AS revenue_at_risk,
+  {r4('opportunity')} AS opportunity, {r4('100.0 - sum(amount) * 100.0 / opportunity')} AS protection_score,
+  {_status('100.0 - sum(amount) * 100.0 / opportunity', 95.0)} AS status FROM c GROUP BY opportunity""")
+def ind12_2(spark, sf_dir):
+    """Categories from calls (30 days): sales-queue (A) abandons x $35, transfers (queue R) x 0.15 x $120,
+    retention-queue (N) abandons x 0.30 x $480, downtime 0, very poor calls (MOS < 3) x $25; opportunity = calls x $120."""
+    m = Model(spark, sf_dir)
+    c = m.calls().filter(F.col("call_time") >= _calls_asof(m) - F.make_dt_interval(days=F.lit(30)))
+    ab = (F.col("line_status") == "O")
+    g = c.agg((F.count(F.lit(1)) * REV_OPP_PER_CALL).alias("opportunity"),
+              (F.sum((ab & (F.col("queue") == "A")).cast("long")) * 35.0).alias("abandoned_calls"),
+              (F.sum((F.col("queue") == "R").cast("long")) * 0.15 * 120.0).alias("failed_transfers"),
+              (F.sum((ab & (F.col("queue") == "N")).cast("long")) * 0.30 * 480.0).alias("retention_abandons"),
+              F.lit(0.0).alias("system_downtime"), (F.sum((F.col("mos") < 3.0).cast("long")) * 25.0).alias("quality_failures"))
+    comp = g.select("opportunity", F.expr("stack(5, 'abandoned_calls', abandoned_calls, 'failed_transfers', failed_transfers, "
+                                          "'retention_abandons', retention_abandons, 'system_downtime', system_downtime, "
+                                          "'quality_failures', quality_failures) AS (category, amount)"))
+    return I.revenue_protection(comp)

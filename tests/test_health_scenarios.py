@@ -122,3 +122,19 @@ def test_luhn(spark):
     r = spark.createDataFrame([("4539578763621486",), ("4539578763621487",), ("79927398713",)], "d string") \
         .select(luhn_ok(F.col("d")).alias("ok")).collect()
     assert [x["ok"] for x in r] == [True, False, True]
+
+
+def test_privacy_weighted_score(spark):
+    from opsight.operators.indicators import PRIVACY_WEIGHTS, weighted_index
+    row = spark.createDataFrame([(92.0, 100.0, 98.0, 100.0, 95.0, 100.0, 100.0)], ", ".join(
+        f"{k} double" for k in PRIVACY_WEIGHTS))
+    assert weighted_index(row, PRIVACY_WEIGHTS).first()["score"] == __import__("pytest").approx(97.75)
+
+
+def test_revenue_protection(spark):
+    from opsight.operators.indicators import revenue_protection
+    comp = spark.createDataFrame([("abandoned", 145 * 35.0, 425000.0), ("transfers", 23 * 0.15 * 120, 425000.0),
+                                  ("retention", 67 * 0.30 * 480, 425000.0), ("downtime", 0.0, 425000.0),
+                                  ("quality", 34 * 25.0, 425000.0)], "category string, amount double, opportunity double")
+    r = revenue_protection(comp).first()
+    assert r["revenue_at_risk"] == 15987.0 and round(r["protection_score"], 1) == 96.2
