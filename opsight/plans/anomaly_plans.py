@@ -312,3 +312,32 @@ SELECT *, CASE rx_urgency WHEN 'urgent' THEN 'Immediate (< 15 min)' WHEN 'modera
 @query("ano16_urgency", ANO16_SQL)
 def ano16(spark, sf_dir):
     return A.urgency(_results(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ ANO-2..17 as registered projections of the result
+STEP_COLUMNS = {
+    "ano2_baseline_split": ["history_length", "baseline_n", "risk_level"],
+    "ano3_6_z_scores": ["metric_type", "method", "baseline_mu", "baseline_sigma", "z_score_raw"],
+    "ano7_directional": ["direction", "z_score_raw", "anomaly_score"],
+    "ano8_bonferroni": ["num_metrics_tested", "bonferroni_alpha", "sigma_elevated", "sigma_critical"],
+    "ano9_risk": ["anomaly_score", "risk_level", "risk_description"],
+    "ano10_ols_trend": ["trend_slope", "trend_r_squared", "trend_slope_norm", "trend_classification", "trend_description"],
+    "ano11_holt": ["hw_level", "hw_trend", "hw_alpha", "hw_beta"],
+    "ano12_forecast": ["forecast_h1", "forecast_h3", "forecast_h5", "forecast_values"],
+    "ano13_intervals": ["residual_se", "ci_95_upper_h5", "ci_95_lower_h5", "ci_80_upper_h5", "ci_80_lower_h5"],
+    "ano14_time_to_breach": ["breach_threshold", "breach_label", "periods_to_breach", "currently_breached",
+                             "forecast_at_breach", "breach_state"],
+    "ano15_prescription": ["risk_level", "rx_urgency", "rx_action", "rx_impact"],
+    "ano17_formatted_value": ["metric_type", "current_value", "formatted_value"],
+}
+
+
+def _step(cols):
+    def fn(spark, sf_dir):
+        return _results(spark, sf_dir).select("metric_id", *cols)
+    return fn
+
+
+for _key, _cols in STEP_COLUMNS.items():
+    query(_key, with_("ev", extra=ANO_STAGES + [("res", RESULT_SELECT)]) + "SELECT metric_id, " + ", ".join(_cols) + " FROM res")(
+        _step(_cols))
