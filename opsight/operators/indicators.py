@@ -542,3 +542,83 @@ def data_freshness(events: DataFrame, limits: DataFrame, as_of: Column, source:
     return j.select(source, ts_text("last_seen").alias("last_seen"), age.cast("long").alias("age_s"), "limit_s",
                     F.when(age > F.col("limit_s"), "Critical").when(age > F.col("limit_s") * 0.85, "At Risk")
                     .otherwise("Healthy").alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-4.2 (interval-overlap join)
+def _hour_buckets(df: DataFrame, start: str, end: str) -> DataFrame:
+    first = F.floor(F.unix_micros(start) / 3_600_000_000).cast("long")
+    last = F.floor((F.unix_micros(end) - 1) / 3_600_000_000).cast("long")
+    return df.withColumn("bucket", F.explode(F.when(last >= first, F.sequence(first, last))))
+
+
+def schedule_adherence(states: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Minutes in the scheduled state / scheduled minutes, per day.
+
+    Interval-overlap join done as an equi-join on (agent, hour bucket): both sides are
+    exploded into the hour buckets they cover and the overlap is clipped to the bucket,
+    so each minute is counted once and no agent's intervals pair with all of its others.
+    states: (agent_id, state, start_ts, end_ts); schedule: (agent_id, day, state, start_ts, end_ts).
+    """
+    a = _hour_buckets(states.select("agent_id", F.col("state").alias("a_state"), F.col("start_ts").alias("a_s"),
+                                    F.col("end_ts").alias("a_e")), "a_s", "a_e")
+    s = _hour_buckets(schedule.select("agent_id", "day", F.col("state").alias("s_state"), F.col("start_ts").alias("s_s"),
+                                      F.col("end_ts").alias("s_e")), "s_s", "s_e")
+    j = s.join(a, ["agent_id", "bucket"]).filter(F.col("a_state") == F.col("s_state"))
+    b0 = F.timestamp_micros(F.col("bucket") * 3_600_000_000)
+    b1 = F.timestamp_micros((F.col("bucket") + 1) * 3_600_000_000)
+    lo = F.greatest(F.col("a_s"), F.col("s_s"), b0)
+    hi = F.least(F.col("a_e"), F.col("s_e"), b1)
+    ov = F.greatest(F.lit(0.0), (F.unix_micros(hi) - F.unix_micros(lo)) / 60_000_000.0)
+    adh = j.groupBy("day").agg(F.sum(ov).alias("adherent_min"))
+    sched = schedule.groupBy("day").agg(F.sum((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 60_000_000.0)
+                                        .alias("scheduled_min"))
+    out = sched.join(adh, "day", "left").fillna(0.0, ["adherent_min"])
+    p = pct(F.col("adherent_min"), F.col("scheduled_min"))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r4("scheduled_min").alias("scheduled_min"),
+                      r4("adherent_min").alias("adherent_min"), r4(p).alias("adherence_pct"), status(p, 85.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-11.3 (JOIN-14)
+def readiness(agents: DataFrame, required_skills: Column, required_systems: Column) -> DataFrame:
+    """Mean of skill match, system access, training currency and tool performance per agent.
+
+    agents: (agent_id, skills array, systems array, certs_current, certs_required, tool_ms).
+    Skill / system match = |have ∩ required| / |required| (array_intersect, no join)."""
+    sm = F.size(F.array_intersect("skills", required_skills)) * 100.0 / F.size(required_skills)
+    sa = F.size(F.array_intersect("systems", required_systems)) * 100.0 / F.size(required_systems)
+    tc = F.try_divide(F.col("certs_current") * 100.0, F.col("certs_required").cast("double"))
+    tp = F.lit(100.0) - F.col("tool_ms") / 50.0
+    idx = (sm + sa + tc + tp) / 4
+    return agents.select("agent_id", r4(sm).alias("skill_match"), r4(sa).alias("system_access"), r4(tc).alias("training"),
+                         r4(tp).alias("tool_performance"), r4(idx).alias("readiness_index"),
+                         ladder([(idx >= 90, "Fully ready"), (idx >= 75, "Partially ready")], "Not ready").alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-11.2
+# Attrition risk factor points (enterprise indicator 11.2).
+ATTRITION_POINTS = {"tenure_lt_90d": 20, "forced_schedule_change": 15, "declining_qa": 12, "absenteeism": 12,
+                    "adherence_decline": 10, "aht_increase": 10, "complaints": 8, "no_promotion_18m": 8,
+                    "low_engagement": 10, "team_attrition": 5}
+
+
+def attrition_risk(factors: DataFrame) -> DataFrame:
+    """Sum of the points of the factors present (boolean columns), capped at 100 (F25), four levels."""
+    pts = None
+    present = [c for c in ATTRITION_POINTS if c in factors.columns]
+    for c in present:
+        t = F.when(F.col(c), F.lit(ATTRITION_POINTS[c])).otherwise(F.lit(0))
+        pts = t if pts is None else pts + t
+    score = F.least(F.lit(100), pts)
+    return factors.select("agent_id", *present, score.alias("risk_score"),
+                          ladder([(score < 25, "Low"), (score < 50, "Medium"), (score < 75, "High")], "Critical").alias("risk_level"))
+
+
+# --------------------------------------------------------------------------- IND-14.2
+def consent_verification(outbound: DataFrame, consent: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Outbound calls with a verified consent on file (left join) / all; calls without one are blocked."""
+    c = consent.select(key).distinct().withColumn("_ok", F.lit(1))
+    j = outbound.join(c, key, "left")
+    g = j.agg(F.count(F.lit(1)).alias("outbound"), F.count("_ok").alias("verified"))
+    v = pct(F.col("verified"), F.col("outbound"))
+    return g.select("outbound", "verified", (F.col("outbound") - F.col("verified")).alias("blocked"),
+                    r4(v).alias("verification_rate"), r4(F.lit(100.0) - v).alias("block_rate"), status(v, 99.0).alias("status"))

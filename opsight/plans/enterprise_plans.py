@@ -869,3 +869,141 @@ def ind12_2(spark, sf_dir):
                                           "'retention_abandons', retention_abandons, 'system_downtime', system_downtime, "
                                           "'quality_failures', quality_failures) AS (category, amount)"))
     return I.revenue_protection(comp)
+
+
+# ------------------------------------------------------------------ IND-4.2
+# Agent states (adapter): each event of a user starts a state for `value` minutes, cut at the user's
+# next event and at the end of the day; click/view = available, purchase/signup = busy, error = offline.
+# Schedule: every user with events on a day is scheduled available 08:00-12:00 and busy 13:00-17:00.
+STATE_CASE = "CASE WHEN event_type IN ('click', 'view') THEN 'available' WHEN event_type = 'error' THEN 'offline' ELSE 'busy' END"
+
+
+def _agent_states(m: Model):
+    from pyspark.sql import Window
+    e = m.events().withColumn("day", F.date_trunc("day", "ts"))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    end = F.least(F.col("ts") + F.make_dt_interval(secs=(F.col("value") * 60).cast("decimal(18,6)")),
+                  F.coalesce(F.lead("ts").over(w), F.col("day") + F.make_dt_interval(days=F.lit(1))),
+                  F.col("day") + F.make_dt_interval(days=F.lit(1)))
+    st = F.when(F.col("event_type").isin("click", "view"), "available").when(F.col("event_type") == "error", "offline") \
+        .otherwise("busy")
+    states = e.select(F.col("user_id").alias("agent_id"), st.alias("state"), F.col("ts").alias("start_ts"), end.alias("end_ts"))
+    days = e.select(F.col("user_id").alias("agent_id"), "day").distinct()
+    h = lambda n: F.make_dt_interval(hours=F.lit(n))
+    sched = (days.select("agent_id", "day", F.lit("available").alias("state"), (F.col("day") + h(8)).alias("start_ts"),
+                         (F.col("day") + h(12)).alias("end_ts"))
+             .unionByName(days.select("agent_id", "day", F.lit("busy").alias("state"), (F.col("day") + h(13)).alias("start_ts"),
+                                      (F.col("day") + h(17)).alias("end_ts"))))
+    return states, sched
+
+
+@query("ind4_2_schedule_adherence", with_("ev", extra=[("st", f"""SELECT user_id AS agent_id, {STATE_CASE} AS state, ts AS s,
+  least(ts + to_seconds(CAST(value * 60 AS DECIMAL(18,6))),
+        COALESCE(lead(ts) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id), date_trunc('day', ts) + INTERVAL 1 DAY),
+        date_trunc('day', ts) + INTERVAL 1 DAY) AS e FROM ev"""),
+    ("days", "SELECT DISTINCT user_id AS agent_id, date_trunc('day', ts) AS day FROM ev"),
+    ("sch", """SELECT agent_id, day, 'available' AS state, day + INTERVAL 8 HOUR AS s, day + INTERVAL 12 HOUR AS e FROM days
+      UNION ALL SELECT agent_id, day, 'busy', day + INTERVAL 13 HOUR, day + INTERVAL 17 HOUR FROM days"""),
+    ("adh", """SELECT sch.day, sum(greatest(0.0, (epoch_us(least(st.e, sch.e)) - epoch_us(greatest(st.s, sch.s))) / 60000000.0)) AS a
+      FROM sch JOIN st ON st.agent_id = sch.agent_id AND st.state = sch.state AND st.s < sch.e AND sch.s < st.e GROUP BY sch.day"""),
+    ("sm", "SELECT day, sum((epoch_us(e) - epoch_us(s)) / 60000000.0) AS m FROM sch GROUP BY day")]) + f"""
+SELECT strftime(sm.day, '%Y-%m-%d') AS day, {r4('sm.m')} AS scheduled_min, {r4('COALESCE(adh.a, 0.0)')} AS adherent_min,
+  {r4('COALESCE(adh.a, 0.0) * 100.0 / sm.m')} AS adherence_pct, {_status('COALESCE(adh.a, 0.0) * 100.0 / sm.m', 85.0)} AS status
+FROM sm LEFT JOIN adh USING (day)""")
+def ind4_2(spark, sf_dir):
+    states, sched = _agent_states(Model(spark, sf_dir))
+    return I.schedule_adherence(states, sched)
+
+
+# ------------------------------------------------------------------ IND-11.3 / 11.2 / 14.2
+# Readiness (adapter): an agent's skills = brands of the parts it ships; queue-required skills =
+# brands #11..#15; systems = line statuses seen, required = {F, O}; certifications: current = lines
+# with discount < 0.08, required = all lines; tool latency = mean wait (ms).
+REQ_SKILLS = ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"]
+
+
+@query("ind11_3_readiness", f"""WITH a AS (SELECT l.l_suppkey AS agent_id, list_distinct(list(p.p_brand)) AS skills,
+  list_distinct(list(l.l_linestatus)) AS systems, count(*) FILTER (WHERE l.l_discount < 0.08) AS cc, count(*) AS cr,
+  avg(l.l_tax * 1000.0) AS tool_ms FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1),
+x AS (SELECT agent_id, len(list_intersect(skills, {REQ_SKILLS!r})) * 100.0 / {len(REQ_SKILLS)} AS sm,
+  len(list_intersect(systems, ['F', 'O'])) * 100.0 / 2 AS sa, cc * 100.0 / cr AS tc, 100.0 - tool_ms / 50.0 AS tp FROM a)
+SELECT agent_id, {r4('sm')} AS skill_match, {r4('sa')} AS system_access, {r4('tc')} AS training, {r4('tp')} AS tool_performance,
+  {r4('(sm + sa + tc + tp) / 4')} AS readiness_index,
+  CASE WHEN (sm + sa + tc + tp) / 4 >= 90 THEN 'Fully ready' WHEN (sm + sa + tc + tp) / 4 >= 75 THEN 'Partially ready'
+       ELSE 'Not ready' END AS status FROM x""")
+def ind11_3(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    li, p = m.raw("lineitem"), m.raw("part").select("p_partkey", "p_brand")
+    a = li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("l_suppkey").alias("agent_id")).agg(
+        F.collect_set("p_brand").alias("skills"), F.collect_set("l_linestatus").alias("systems"),
+        F.sum((F.col("l_discount") < 0.08).cast("long")).alias("certs_current"), F.count(F.lit(1)).alias("certs_required"),
+        F.avg(F.col("l_tax") * 1000.0).alias("tool_ms"))
+    return I.readiness(a, F.array(*[F.lit(s) for s in REQ_SKILLS]), F.array(F.lit("F"), F.lit("O")))
+
+
+# Attrition factors (adapter, per agent over the newest 90 days of calls): tenure < 90 days = first call
+# within them; declining QA = the last two monthly MOS means each lower than the month before; AHT increase
+# = last 30 days > 1.15 x the earlier 60; complaints = 2+ calls with MOS < 3 in the last 30 days;
+# absenteeism = fewer than 3 call days in the last 30 days.
+def _attrition_factors(m: Model):
+    from pyspark.sql import Window
+    a = _calls_asof(m)
+    c = m.calls().filter(F.col("call_time") >= a - F.make_dt_interval(days=F.lit(90)))
+    recent = F.col("call_time") >= a - F.make_dt_interval(days=F.lit(30))
+    first_all = m.calls().groupBy("agent_id").agg(F.min("call_time").alias("first"))
+    mon = (c.groupBy("agent_id", F.date_trunc("month", "call_time").alias("mth")).agg(F.avg("mos").alias("q")))
+    w = Window.partitionBy("agent_id").orderBy("mth")
+    mon = (mon.withColumn("drop", (F.col("q") < F.lag("q").over(w)).cast("int"))
+           .withColumn("rk", F.row_number().over(w.orderBy(F.col("mth").desc()))))
+    qa = mon.filter(F.col("rk") <= 2).groupBy("agent_id").agg(
+        ((F.sum(F.coalesce("drop", F.lit(0))) >= 2)).alias("declining_qa"))
+    g = c.groupBy("agent_id").agg(
+        F.avg(F.when(recent, F.col("duration_min"))).alias("aht_recent"),
+        F.avg(F.when(~recent, F.col("duration_min"))).alias("aht_base"),
+        F.sum((recent & (F.col("mos") < 3.0)).cast("long")).alias("poor"),
+        F.countDistinct(F.when(recent, F.to_date("call_time"))).alias("days"))
+    j = g.join(first_all, "agent_id").join(qa, "agent_id", "left")
+    return j.select("agent_id", (F.col("first") >= a - F.make_dt_interval(days=F.lit(90))).alias("tenure_lt_90d"),
+                    F.coalesce("declining_qa", F.lit(False)).alias("declining_qa"),
+                    (F.col("days") < 3).alias("absenteeism"),
+                    F.coalesce(F.col("aht_recent") > F.col("aht_base") * 1.15, F.lit(False)).alias("aht_increase"),
+                    (F.col("poor") >= 2).alias("complaints"))
+
+
+ATTR_SQL = with_("calls", extra=[("c", f"SELECT * FROM calls WHERE call_time >= {CALLS_ASOF} - INTERVAL 90 DAY"),
+    ("fa", "SELECT agent_id, min(call_time) AS first FROM calls GROUP BY 1"),
+    ("mon", """SELECT agent_id, mth, CASE WHEN q < lag(q) OVER (PARTITION BY agent_id ORDER BY mth) THEN 1 ELSE 0 END AS dr,
+       row_number() OVER (PARTITION BY agent_id ORDER BY mth DESC) AS rk FROM (
+       SELECT agent_id, date_trunc('month', call_time) AS mth, avg(mos) AS q FROM c GROUP BY ALL)"""),
+    ("qa", "SELECT agent_id, sum(dr) >= 2 AS declining_qa FROM mon WHERE rk <= 2 GROUP BY 1"),
+    ("g", f"""SELECT agent_id, avg(duration_min) FILTER (WHERE call_time >= {CALLS_ASOF} - INTERVAL 30 DAY) AS ar,
+       avg(duration_min) FILTER (WHERE call_time < {CALLS_ASOF} - INTERVAL 30 DAY) AS ab,
+       count(*) FILTER (WHERE call_time >= {CALLS_ASOF} - INTERVAL 30 DAY AND mos < 3.0) AS poor,
+       count(DISTINCT CASE WHEN call_time >= {CALLS_ASOF} - INTERVAL 30 DAY THEN CAST(call_time AS DATE) END) AS days FROM c GROUP BY 1"""),
+    ("f", f"""SELECT g.agent_id, fa.first >= {CALLS_ASOF} - INTERVAL 90 DAY AS tenure_lt_90d, COALESCE(qa.declining_qa, FALSE) AS declining_qa,
+       days < 3 AS absenteeism, COALESCE(ar > ab * 1.15, FALSE) AS aht_increase, poor >= 2 AS complaints
+       FROM g JOIN fa USING (agent_id) LEFT JOIN qa USING (agent_id)""")])
+_PTS = "+".join(f"CASE WHEN {k} THEN {v} ELSE 0 END" for k, v in I.ATTRITION_POINTS.items()
+                if k in ("tenure_lt_90d", "declining_qa", "absenteeism", "aht_increase", "complaints"))
+
+
+@query("ind11_2_attrition_risk", ATTR_SQL + f"""SELECT agent_id, tenure_lt_90d, declining_qa, absenteeism, aht_increase, complaints,
+  least(100, {_PTS}) AS risk_score, CASE WHEN least(100, {_PTS}) < 25 THEN 'Low' WHEN least(100, {_PTS}) < 50 THEN 'Medium'
+  WHEN least(100, {_PTS}) < 75 THEN 'High' ELSE 'Critical' END AS risk_level FROM f""")
+def ind11_2(spark, sf_dir):
+    return I.attrition_risk(_attrition_factors(Model(spark, sf_dir)))
+
+
+# Consent (adapter): outbound calls = lines, customer via the order; consent on file = customers with a
+# non-negative account balance.
+@query("ind14_2_consent_verification", """WITH ob AS (SELECT o.o_custkey AS customer_id FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
+cs AS (SELECT DISTINCT c_custkey AS customer_id, 1 AS ok FROM customer WHERE c_acctbal >= 0)
+SELECT count(*) AS outbound, count(ok) AS verified, count(*) - count(ok) AS blocked,
+  """ + r4("count(ok) * 100.0 / count(*)") + " AS verification_rate, " + r4("100.0 - count(ok) * 100.0 / count(*)") + """ AS block_rate,
+  """ + _status("count(ok) * 100.0 / count(*)", 99.0) + """ AS status FROM ob LEFT JOIN cs USING (customer_id)""")
+def ind14_2(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    ob = m.raw("lineitem").join(m.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")) \
+        .select(F.col("o_custkey").alias("customer_id"))
+    cs = m.raw("customer").filter(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("customer_id"))
+    return I.consent_verification(ob, cs)
