@@ -152,3 +152,76 @@ def lob_config(spark: SparkSession, rows) -> DataFrame:
 
 def lob_thresholds(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(LOB_THRESHOLDS, "lob_name string, healthy double, warning double"))
+
+
+# --------------------------------------------------------------------------- SIG-1
+def agent_online_signal(status_rows: DataFrame, schedule: DataFrame, as_of: Column, window_s: int,
+                        excluded=("Training", "Meeting", "Break")) -> DataFrame:
+    """Routable agents / scheduled agents, total and per media; excluded states do not count as routable.
+    The schedule is aggregated per media before the join (no fan-out, F15)."""
+    s = status_rows.filter(since("ts", as_of, window_s) & ~F.col("agent_status").isin(*excluded))
+    routable = s.groupBy("media").agg(F.countDistinct("agent_id").alias("routable"))
+    sched = schedule.groupBy("media").agg(F.sum("scheduled").alias("scheduled"))
+    j = sched.join(routable, "media", "left").fillna(0, ["routable"])
+    tot = j.agg(pct(F.sum("routable"), F.sum("scheduled"))).scalar()
+    v = rnd(pct(F.col("routable"), F.col("scheduled")), 1)
+    return j.select("media", "routable", "scheduled", r4(v).alias("media_pct"), r4(rnd(tot, 1)).alias("numeric_value"),
+                    _status(rnd(tot, 1), 95.0, 90.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- SIG-4 / SIG-9 / SIG-11
+def core_systems_signal(components: DataFrame) -> DataFrame:
+    """UP components / all components for each component type and overall (rollup)."""
+    g = components.rollup("component_type").agg(count_if(F.col("up")).alias("up"), F.count(F.lit(1)).alias("components"))
+    v = rnd(pct(F.col("up"), F.col("components")), 1)
+    return g.select(F.coalesce("component_type", F.lit("ALL")).alias("component_type"), "up", "components",
+                    r4(v).alias("numeric_value"), _status(v, 99.0, 97.0).alias("status"))
+
+
+def connectivity_signal(paths: DataFrame, as_of: Column, window_s: int) -> DataFrame:
+    """Share of network paths with loss < 1 % and latency < 150 ms over the window."""
+    p = paths.filter(since("ts", as_of, window_s)).groupBy("path").agg(
+        pct(count_if(F.col("lost")), F.count(F.lit(1))).alias("loss"), F.avg("latency_ms").alias("lat"))
+    g = p.agg(count_if((F.col("loss") < 1) & (F.col("lat") < 150)).alias("good"), F.count(F.lit(1)).alias("paths"))
+    v = rnd(pct(F.col("good"), F.col("paths")), 1)
+    return g.select(F.lit("Connectivity").alias("signal_name"), "good", "paths", r4(v).alias("numeric_value"),
+                    _status(v, 96.0, 92.0).alias("status"))
+
+
+def ivr_signal(sessions: DataFrame, as_of: Column, window_s: int) -> DataFrame:
+    """IVR / self-service completed / attempted over the window."""
+    s = sessions.filter(since("ts", as_of, window_s))
+    g = s.agg(count_if(F.col("completed")).alias("completed"), F.count(F.lit(1)).alias("attempts"))
+    v = rnd(pct(F.col("completed"), F.col("attempts")), 1)
+    return g.select(F.lit("IVR / Self-Service").alias("signal_name"), "completed", "attempts", r4(v).alias("numeric_value"),
+                    _status(v, 97.0, 93.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- SIG-6 / SIG-19
+def queue_sufficiency(queues: DataFrame, shortage_pct: float = 85.0, systemic_queues: int = 3) -> DataFrame:
+    """Mean of available / required over queues, and the systemic-shortage flag (> 3 queues below 85 %)."""
+    q = queues.withColumn("ratio", F.try_divide(F.col("available") * 100.0, F.col("required")))
+    g = q.agg(F.avg("ratio").alias("v"), count_if(F.col("ratio") < shortage_pct).alias("queues_short"),
+              F.count(F.lit(1)).alias("queues"))
+    v = rnd(F.col("v"), 1)
+    return g.select(F.lit("Queue Sufficiency").alias("signal_name"), r4(v).alias("numeric_value"), "queues_short", "queues",
+                    (F.col("queues_short") > systemic_queues).alias("systemic_shortage"), _status(v, 90.0, 80.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- SIG-17 / LIP-23
+def voice_cause(quality: DataFrame, jitter_high: float = 20.0, loss_high: float = 1.5) -> DataFrame:
+    """Jitter high with loss fine -> congestion; both high -> link or routing; loss only -> packet loss."""
+    j, l = F.col("jitter_ms") > jitter_high, F.col("packet_loss_pct") > loss_high
+    lab = ladder([(j & ~l, "congestion"), (j & l, "link_or_routing"), (~j & l, "packet_loss")], "none")
+    return quality.withColumn("voice_cause", lab)
+
+
+def disambiguate(connectivity: DataFrame, provider_indicator: Column, low_pct: float = 92.0) -> DataFrame:
+    """Platform or own network (rule R14): regional vs global connectivity drop x provider status."""
+    g = connectivity.agg(count_if(F.col("numeric_value") < low_pct).alias("regions_low"), F.count(F.lit(1)).alias("regions"))
+    scope = ladder([(F.col("regions_low") == 0, "none"), (F.col("regions_low") < F.col("regions"), "regional")], "global")
+    major = provider_indicator.isin("major", "critical")
+    verdict = ladder([(scope == "none", "no_drop"), (major & (scope == "global"), "platform_outage"),
+                      (major, "platform_partial"), (scope == "regional", "own_network_regional")], "own_network_global")
+    return g.select("regions_low", "regions", scope.alias("drop_scope"), provider_indicator.alias("provider_indicator"),
+                    verdict.alias("verdict"))

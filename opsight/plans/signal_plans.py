@@ -192,3 +192,141 @@ def sig14(spark, sf_dir):
                           (F.col("value") < 300).alias("browser_responsive"),
                           (F.col("user_id") % 7 != 0).alias("softphone_registered"))
     return S.desktop_signal(e, m.as_of(), 2 * HOUR)
+
+
+# ------------------------------------------------------------------ SIG-1 / 4 / 6 / 9 / 11 / 17 / 19, LIP-23
+# Adapters: agent states from events (click/view Available, purchase/signup Interacting, error Break),
+# media by user_id % 3 (voice/chat/email), scheduled per media = users seen in the last 7 days;
+# components = the core systems of KPI-13 (UP unless critical); paths = region x event type;
+# IVR attempts = view contacts, completed unless the customer comes back within 1 hour;
+# queues = vendor x call queue (available agents / required = handle minutes / (30 x 480));
+# jitter = wait / 2 ms, packet loss = 5 - MOS (= 20 x discount) %.
+from ..operators import kpi as KP
+from .enterprise_plans import CORE_EVAL, EV_ASOF, SYS_SQL, _ev_region, _systems
+from .oracle_base import tstext
+
+MEDIA = "CASE user_id % 3 WHEN 0 THEN 'voice' WHEN 1 THEN 'chat' ELSE 'email' END"
+AGENT_STATUS = "CASE WHEN event_type IN ('click', 'view') THEN 'Available' WHEN event_type = 'error' THEN 'Break' ELSE 'Interacting' END"
+
+
+@query("sig1_agent_online", with_("ev", extra=[
+    ("r", f"""SELECT {MEDIA} AS media, count(DISTINCT user_id) AS routable FROM ev
+  WHERE {_since('ts', ASOF, 2 * HOUR)} AND {AGENT_STATUS} NOT IN ('Training', 'Meeting', 'Break') GROUP BY 1"""),
+    ("s", f"SELECT {MEDIA} AS media, count(DISTINCT user_id) AS scheduled FROM ev WHERE {_since('ts', ASOF, 7 * DAY)} GROUP BY 1"),
+    ("j", "SELECT s.media, COALESCE(r.routable, 0) AS routable, s.scheduled FROM s LEFT JOIN r USING (media)")]) + f"""
+SELECT media, routable, scheduled, {r4(rnd('routable * 100.0 / scheduled', 1))} AS media_pct,
+  {r4(rnd('(SELECT sum(routable) * 100.0 / sum(scheduled) FROM j)', 1))} AS numeric_value,
+  {_st(rnd('(SELECT sum(routable) * 100.0 / sum(scheduled) FROM j)', 1), 95.0, 90.0)} AS status FROM j""")
+def sig1(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = m.events()
+    media = F.when(F.col("user_id") % 3 == 0, "voice").when(F.col("user_id") % 3 == 1, "chat").otherwise("email")
+    st = F.when(F.col("event_type").isin("click", "view"), "Available").when(F.col("event_type") == "error", "Break") \
+        .otherwise("Interacting")
+    rows = e.select("ts", F.col("user_id").alias("agent_id"), media.alias("media"), st.alias("agent_status"))
+    a = m.as_of()
+    sched = (rows.filter(F.col("ts") >= a - F.make_dt_interval(days=F.lit(7))).groupBy("media")
+             .agg(F.countDistinct("agent_id").alias("scheduled")))
+    return S.agent_online_signal(rows, sched, a, 2 * HOUR)
+
+
+@query("sig4_core_systems", with_("ev", extra=[SYS_SQL, CORE_EVAL]) + f"""SELECT COALESCE(type, 'ALL') AS component_type,
+  count(*) FILTER (WHERE severity <> 'critical') AS up, count(*) AS components,
+  {r4(rnd("count(*) FILTER (WHERE severity <> 'critical') * 100.0 / count(*)", 1))} AS numeric_value,
+  {_st(rnd("count(*) FILTER (WHERE severity <> 'critical') * 100.0 / count(*)", 1), 99.0, 97.0)} AS status
+FROM core GROUP BY ROLLUP (type)""")
+def sig4(spark, sf_dir):
+    ev = KP.core_system_health(_systems(Model(spark, sf_dir)))
+    return S.core_systems_signal(ev.select(F.col("type").alias("component_type"), (F.col("severity") != "critical").alias("up")))
+
+
+PATHS_SQL = ("p", f"""SELECT region || '/' || event_type AS path, count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*) AS loss,
+  avg(value) AS lat FROM (SELECT e.*, a.infrastructure_group AS region FROM ev e JOIN applications a ON a.application_id = e.app)
+  WHERE {_since('ts', ASOF, DAY)} GROUP BY 1""")
+
+
+@query("sig9_connectivity", with_("ev", "applications", extra=[PATHS_SQL]) + f"""SELECT 'Connectivity' AS signal_name,
+  count(*) FILTER (WHERE loss < 1 AND lat < 150) AS good, count(*) AS paths,
+  {r4(rnd('count(*) FILTER (WHERE loss < 1 AND lat < 150) * 100.0 / count(*)', 1))} AS numeric_value,
+  {_st(rnd('count(*) FILTER (WHERE loss < 1 AND lat < 150) * 100.0 / count(*)', 1), 96.0, 92.0)} AS status FROM p""")
+def sig9(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    p = _ev_region(m).select("ts", F.concat(F.col("region"), F.lit("/"), F.col("event_type")).alias("path"),
+                             (F.col("event_type") == "error").alias("lost"), F.col("value").alias("latency_ms"))
+    return S.connectivity_signal(p, m.as_of(), DAY)
+
+
+@query("sig11_ivr", with_("contacts", extra=[("c", """SELECT *, NOT COALESCE(lead(contact_time) OVER (PARTITION BY customer_id
+  ORDER BY contact_time, contact_id) <= contact_time + INTERVAL 1 HOUR, FALSE) AS completed FROM contacts""")]) + f"""
+SELECT 'IVR / Self-Service' AS signal_name, count(*) FILTER (WHERE completed) AS completed, count(*) AS attempts,
+  {r4(rnd('count(*) FILTER (WHERE completed) * 100.0 / count(*)', 1))} AS numeric_value,
+  {_st(rnd('count(*) FILTER (WHERE completed) * 100.0 / count(*)', 1), 97.0, 93.0)} AS status
+FROM c WHERE channel = 'view' AND {_since('contact_time', ASOF, 15 * HOUR)}""")
+def sig11(spark, sf_dir):
+    from pyspark.sql import Window
+    m = Model(spark, sf_dir)
+    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
+    c = m.contacts().withColumn("completed", ~F.coalesce(
+        F.lead("contact_time").over(w) <= F.col("contact_time") + F.make_dt_interval(hours=F.lit(1)), F.lit(False)))
+    s = c.filter(F.col("channel") == "view").select(F.col("contact_time").alias("ts"), "completed")
+    return S.ivr_signal(s, m.as_of(), 15 * HOUR)
+
+
+QUEUES_SQL = ("q", f"""SELECT vendor_id, queue, count(DISTINCT agent_id) AS available, sum(duration_min) / (30 * 480.0) AS required
+  FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL""")
+
+
+@query("sig6_19_queue_sufficiency", with_("calls", extra=[QUEUES_SQL]) + f"""SELECT 'Queue Sufficiency' AS signal_name,
+  {r4(rnd('avg(available * 100.0 / required)', 1))} AS numeric_value,
+  count(*) FILTER (WHERE available * 100.0 / required < 85.0) AS queues_short, count(*) AS queues,
+  count(*) FILTER (WHERE available * 100.0 / required < 85.0) > 3 AS systemic_shortage,
+  {_st(rnd('avg(available * 100.0 / required)', 1), 90.0, 80.0)} AS status FROM q""")
+def sig6(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    c = m.calls().filter(F.col("call_time") >= _calls_asof(m) - F.make_dt_interval(days=F.lit(30)))
+    q = c.groupBy("vendor_id", "queue").agg(F.countDistinct("agent_id").alias("available"),
+                                            (F.sum("duration_min") / (30 * 480.0)).alias("required"))
+    return S.queue_sufficiency(q)
+
+
+@query("sig17_voice_cause", with_("calls") + f"""SELECT CASE WHEN wait_sec / 2.0 > 20 AND NOT (l_disc > 1.5) THEN 'congestion'
+  WHEN wait_sec / 2.0 > 20 AND l_disc > 1.5 THEN 'link_or_routing' WHEN l_disc > 1.5 THEN 'packet_loss' ELSE 'none' END AS voice_cause,
+  count(*) AS calls FROM (SELECT *, (5.0 - mos) AS l_disc FROM calls) WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY 1""")
+def sig17(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    q = m.calls().filter(F.col("call_time") >= _calls_asof(m) - F.make_dt_interval(days=F.lit(30))).select(
+        (F.col("wait_sec") / 2.0).alias("jitter_ms"), (F.lit(5.0) - F.col("mos")).alias("packet_loss_pct"))
+    return S.voice_cause(q).groupBy("voice_cause").agg(F.count(F.lit(1)).alias("calls"))
+
+
+PROV_LAST = ("SELECT COALESCE((SELECT CASE WHEN count(*) = 1 THEN 'minor' WHEN count(*) = 2 THEN 'major' ELSE 'critical' END "
+             "FROM ev WHERE event_type = 'error' AND value > 300 AND date_trunc('day', ts) = date_trunc('day', " + ASOF + ") "
+             "HAVING count(*) > 0), 'none')")
+
+
+@query("lip23_disambiguate", with_("ev", "applications", extra=[("rc", f"""SELECT region, count(*) FILTER (WHERE loss < 1 AND lat < 150) * 100.0 / count(*) AS v
+  FROM (SELECT region, event_type, count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*) AS loss, avg(value) AS lat
+        FROM (SELECT e.*, a.infrastructure_group AS region FROM ev e JOIN applications a ON a.application_id = e.app)
+        WHERE {_since('ts', ASOF, DAY)} GROUP BY ALL) GROUP BY region""")]) + f"""
+SELECT count(*) FILTER (WHERE v < 92.0) AS regions_low, count(*) AS regions,
+  CASE WHEN count(*) FILTER (WHERE v < 92.0) = 0 THEN 'none' WHEN count(*) FILTER (WHERE v < 92.0) < count(*) THEN 'regional'
+       ELSE 'global' END AS drop_scope, ({PROV_LAST}) AS provider_indicator,
+  CASE WHEN count(*) FILTER (WHERE v < 92.0) = 0 THEN 'no_drop'
+       WHEN ({PROV_LAST}) IN ('major', 'critical') AND count(*) FILTER (WHERE v < 92.0) = count(*) THEN 'platform_outage'
+       WHEN ({PROV_LAST}) IN ('major', 'critical') THEN 'platform_partial'
+       WHEN count(*) FILTER (WHERE v < 92.0) < count(*) THEN 'own_network_regional' ELSE 'own_network_global' END AS verdict FROM rc""")
+def lip23(spark, sf_dir):
+    """Connectivity per region (share of good paths), provider indicator of the newest day (rule R14)."""
+    m = Model(spark, sf_dir)
+    a = m.as_of()
+    p = _ev_region(m).filter(F.col("ts") >= a - F.make_dt_interval(days=F.lit(1)))
+    per_path = p.groupBy("region", "event_type").agg(
+        (F.sum((F.col("event_type") == "error").cast("long")) * 100.0 / F.count(F.lit(1))).alias("loss"),
+        F.avg("value").alias("lat"))
+    rc = per_path.groupBy("region").agg(
+        (F.sum(((F.col("loss") < 1) & (F.col("lat") < 150)).cast("long")) * 100.0 / F.count(F.lit(1))).alias("numeric_value"))
+    e = m.events()
+    n = e.filter((F.col("event_type") == "error") & (F.col("value") > 300) & (F.date_trunc("day", "ts") == F.date_trunc("day", a))) \
+        .agg(F.count(F.lit(1))).scalar()
+    ind = F.when(n == 0, "none").when(n == 1, "minor").when(n == 2, "major").otherwise("critical")
+    return S.disambiguate(rc, ind)
