@@ -73,7 +73,7 @@ def mos_weighted(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY, keys
     g = c.rollup(*keys).agg((F.sum(F.col("mos") * F.col("duration_min")) / F.sum("duration_min")).alias("mos_weighted"),
                             F.percentile("mos", 0.10).alias("mos_p10"), F.count(F.lit(1)).alias("calls"))
     return g.select(*[F.coalesce(F.col(k), F.lit("ALL")).alias(k) for k in keys], r4("mos_weighted").alias("mos_weighted"),
-                    r4("mos_p10").alias("mos_p10"), "calls", status(F.col("mos_weighted"), 3.6).alias("status"))
+                    r4("mos_p10").alias("mos_p10"), "calls", status(r4("mos_weighted"), 3.6).alias("status"))
 
 
 def poor_call_rate(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY, keys=()) -> DataFrame:
@@ -479,7 +479,7 @@ def occupancy_bands(calls: DataFrame, as_of: Column, window_s: int, shift_min: f
     ad = c.groupBy(by, "agent_id", F.to_date("call_time").alias("day")).agg(F.sum("duration_min").alias("handle"))
     occ = F.col("handle") * 100.0 / (F.col("handle") + F.greatest(F.lit(0.0), F.lit(shift_min) - F.col("handle")))
     g = ad.groupBy(by).agg(F.avg(occ).alias("occ"), F.count(F.lit(1)).alias("agent_days"))
-    o = F.col("occ")
+    o = r4("occ")
     band = ladder([(o < 65, "Critical (idle)"), (o < 75, "At Risk (low)"), (o <= 85, "Optimal"),
                    (o <= 90, "At Risk (high)")], "Critical (burnout)")
     return g.select(by, r4("occ").alias("occupancy_pct"), "agent_days", band.alias("band"))

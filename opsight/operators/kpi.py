@@ -119,7 +119,7 @@ def vendor_table(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY,
                                    F.avg("mos").alias("quality"))
     return g.select("vendor_id", "agents", "calls", r4("quality").alias("quality"),
                     r4(F.col("quality") / 5.0 * 100).alias("score"),
-                    ladder([(F.col("quality") >= active_mos, "Active"), (F.col("quality") >= warning_mos, "Warning")],
+                    ladder([(r4("quality") >= active_mos, "Active"), (r4("quality") >= warning_mos, "Warning")],
                            "Critical").alias("vendor_status"))
 
 

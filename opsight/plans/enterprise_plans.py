@@ -151,7 +151,7 @@ def kpi5(spark, sf_dir):
 
 @query("kpi10_vendor_table", with_("calls") + f"""SELECT vendor_id, count(DISTINCT agent_id) AS agents, count(*) AS calls,
   {r4('avg(mos)')} AS quality, {r4('avg(mos) / 5.0 * 100')} AS score,
-  CASE WHEN avg(mos) >= 4.0 THEN 'Active' WHEN avg(mos) >= 3.6 THEN 'Warning' ELSE 'Critical' END AS vendor_status
+  CASE WHEN {r4('avg(mos)')} >= 4.0 THEN 'Active' WHEN {r4('avg(mos)')} >= 3.6 THEN 'Warning' ELSE 'Critical' END AS vendor_status
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def kpi10(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -231,7 +231,7 @@ def ind8_4(spark, sf_dir):
 
 @query("ind3_1_mos_weighted", with_("calls") + f"""SELECT COALESCE(region, 'ALL') AS region,
   {r4('sum(mos * duration_min) / sum(duration_min)')} AS mos_weighted, {r4('quantile_cont(mos, 0.1)')} AS mos_p10,
-  count(*) AS calls, {_status('sum(mos * duration_min) / sum(duration_min)', 3.6)} AS status
+  count(*) AS calls, {_status(r4('sum(mos * duration_min) / sum(duration_min)'), 3.6)} AS status
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ROLLUP (region)""")
 def ind3_1(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -776,8 +776,8 @@ OCC = "handle * 100.0 / (handle + greatest(0.0, 480.0 - handle))"
 
 
 @query("ind4_3_occupancy", with_("calls") + f"""SELECT vendor_id, {r4(f'avg({OCC})')} AS occupancy_pct, count(*) AS agent_days,
-  CASE WHEN avg({OCC}) < 65 THEN 'Critical (idle)' WHEN avg({OCC}) < 75 THEN 'At Risk (low)' WHEN avg({OCC}) <= 85 THEN 'Optimal'
-       WHEN avg({OCC}) <= 90 THEN 'At Risk (high)' ELSE 'Critical (burnout)' END AS band FROM (
+  CASE WHEN {r4(f'avg({OCC})')} < 65 THEN 'Critical (idle)' WHEN {r4(f'avg({OCC})')} < 75 THEN 'At Risk (low)'
+       WHEN {r4(f'avg({OCC})')} <= 85 THEN 'Optimal' WHEN {r4(f'avg({OCC})')} <= 90 THEN 'At Risk (high)' ELSE 'Critical (burnout)' END AS band FROM (
   SELECT vendor_id, agent_id, CAST(call_time AS DATE) AS day, sum(duration_min) AS handle FROM calls
   WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL) GROUP BY vendor_id""")
 def ind4_3(spark, sf_dir):
@@ -951,7 +951,8 @@ def _attrition_factors(m: Model):
     c = m.calls().filter(F.col("call_time") >= a - F.make_dt_interval(days=F.lit(90)))
     recent = F.col("call_time") >= a - F.make_dt_interval(days=F.lit(30))
     first_all = m.calls().groupBy("agent_id").agg(F.min("call_time").alias("first"))
-    mon = (c.groupBy("agent_id", F.date_trunc("month", "call_time").alias("mth")).agg(F.avg("mos").alias("q")))
+    from ..functions.core import rnd as _rnd
+    mon = (c.groupBy("agent_id", F.date_trunc("month", "call_time").alias("mth")).agg(_rnd(F.avg("mos"), 6).alias("q")))
     w = Window.partitionBy("agent_id").orderBy("mth")
     mon = (mon.withColumn("drop", (F.col("q") < F.lag("q").over(w)).cast("int"))
            .withColumn("rk", F.row_number().over(w.orderBy(F.col("mth").desc()))))
@@ -974,7 +975,7 @@ ATTR_SQL = with_("calls", extra=[("c", f"SELECT * FROM calls WHERE call_time >=
     ("fa", "SELECT agent_id, min(call_time) AS first FROM calls GROUP BY 1"),
     ("mon", """SELECT agent_id, mth, CASE WHEN q < lag(q) OVER (PARTITION BY agent_id ORDER BY mth) THEN 1 ELSE 0 END AS dr,
        row_number() OVER (PARTITION BY agent_id ORDER BY mth DESC) AS rk FROM (
-       SELECT agent_id, date_trunc('month', call_time) AS mth, avg(mos) AS q FROM c GROUP BY ALL)"""),
+       SELECT agent_id, date_trunc('month', call_time) AS mth, """ + rnd("avg(mos)", 6) + """ AS q FROM c GROUP BY ALL)"""),
     ("qa", "SELECT agent_id, sum(dr) >= 2 AS declining_qa FROM mon WHERE rk <= 2 GROUP BY 1"),
     ("g", f"""SELECT agent_id, avg(duration_min) FILTER (WHERE call_time >= {CALLS_ASOF} - INTERVAL 30 DAY) AS ar,
        avg(duration_min) FILTER (WHERE call_time < {CALLS_ASOF} - INTERVAL 30 DAY) AS ab,

@@ -44,7 +44,7 @@ def _since(col: str, units: int) -> str:
 
 
 SNAP_CTES = [
-    ("sh", "SELECT event_type, user_id % 3 AS k, date_trunc('hour', ts) AS h, avg(value) AS v FROM ev GROUP BY ALL"),
+    ("sh", f"SELECT event_type, user_id % 3 AS k, date_trunc('hour', ts) AS h, {srnd('avg(value)', 9)} AS v FROM ev GROUP BY ALL"),
     ("sn", "SELECT *, (list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1) * 3 + k AS idx FROM sh"),
     ("sn2", f"SELECT *, CASE WHEN idx >= 0 AND idx < {len(L.SIGNAL_NAMES)} THEN {NAMES}[idx + 1] "
             "ELSE event_type || '_' || CAST(k AS VARCHAR) END AS signal_name FROM sn"),

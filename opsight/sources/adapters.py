@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import HOUR, count_if
+from ..functions.core import HOUR, count_if, rnd
 from .tables import load
 
 # Fixed values of the test mapping (FIXTURES.md section C).
@@ -218,7 +218,7 @@ class Model:
         from ..operators.leading import SIGNAL_NAMES
         e = self.events()
         g = (e.groupBy("event_type", (F.col("user_id") % 3).alias("k"), F.date_trunc("hour", "ts").alias("h"))
-             .agg(F.avg("value").alias("v")))
+             .agg(rnd(F.avg("value"), 9).alias("v")))
         idx = (F.array_position(F.array(*[F.lit(t) for t in self.EVENT_TYPES]), F.col("event_type")) - 1) * 3 + F.col("k")
         names = F.array(*[F.lit(n) for n in SIGNAL_NAMES])
         name = F.when((idx >= 0) & (idx < len(SIGNAL_NAMES)), F.element_at(names, (idx + 1).cast("int"))) \
