@@ -622,3 +622,79 @@ def consent_verification(outbound: DataFrame, consent: DataFrame, key: str = "cu
     v = pct(F.col("verified"), F.col("outbound"))
     return g.select("outbound", "verified", (F.col("outbound") - F.col("verified")).alias("blocked"),
                     r4(v).alias("verification_rate"), r4(F.lit(100.0) - v).alias("block_rate"), status(v, 99.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-6.1 / 6.3 / 12.4 (next-contact rules)
+def _next_contact(contacts: DataFrame) -> DataFrame:
+    """Each contact with the same customer's next contact time and channel (lead, no self-join)."""
+    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
+    return contacts.withColumn("next_time", F.lead("contact_time").over(w)).withColumn("next_channel", F.lead("channel").over(w))
+
+
+def _within(s: int) -> Column:
+    return F.col("next_time").isNotNull() & (F.col("next_time") <= F.col("contact_time") + F.make_dt_interval(secs=F.lit(float(s))))
+
+
+def ivr_containment(contacts: DataFrame, ivr_channel: str, window_s: int = DAY) -> DataFrame:
+    """Strict: no further contact within the window; broad: no further contact in another channel."""
+    c = _next_contact(contacts).filter(F.col("channel") == ivr_channel)
+    g = c.agg(F.count(F.lit(1)).alias("ivr_sessions"), count_if(~_within(window_s)).alias("contained_strict"),
+              count_if(~(_within(window_s) & (F.col("next_channel") != F.col("channel")))).alias("contained_broad"))
+    broad = pct(F.col("contained_broad"), F.col("ivr_sessions"))
+    return g.select("ivr_sessions", r4(pct(F.col("contained_strict"), F.col("ivr_sessions"))).alias("strict_pct"),
+                    r4(broad).alias("broad_pct"), status(broad, 60.0).alias("status"))
+
+
+def chatbot_by_intent(contacts: DataFrame, bot_channel: str, intent: Column, window_s: int = DAY) -> DataFrame:
+    """Per intent: resolved (no further contact in the window) and escalated (next contact in another channel)."""
+    c = _next_contact(contacts).filter(F.col("channel") == bot_channel).withColumn("intent", intent)
+    g = c.groupBy("intent").agg(F.count(F.lit(1)).alias("sessions"), count_if(~_within(window_s)).alias("resolved"),
+                                count_if(_within(window_s) & (F.col("next_channel") != F.col("channel"))).alias("escalated"))
+    res = pct(F.col("resolved"), F.col("sessions"))
+    return g.select("intent", "sessions", r4(res).alias("resolution_pct"),
+                    r4(pct(F.col("escalated"), F.col("sessions"))).alias("escalation_pct"), status(res, 55.0).alias("status"))
+
+
+def avoidable_contacts(contacts: DataFrame, cost_per_contact: float = 6.0, repeat_s: int = 7 * DAY,
+                       failure_channel: str = "error") -> DataFrame:
+    """Avoidable = repeat of the same category within 7 days or a failure contact; cost and rate per category."""
+    w = Window.partitionBy("customer_id", "category").orderBy("contact_time", "contact_id")
+    prev = F.lag("contact_time").over(w)
+    c = contacts.withColumn("repeat", prev.isNotNull()
+                            & (F.col("contact_time") <= prev + F.make_dt_interval(secs=F.lit(float(repeat_s)))))
+    av = F.col("repeat") | (F.col("channel") == failure_channel)
+    g = c.groupBy("category").agg(F.count(F.lit(1)).alias("contacts"), count_if(av).alias("avoidable"))
+    rate = pct(F.col("avoidable"), F.col("contacts"))
+    return g.select("category", "contacts", "avoidable", r4(F.col("avoidable") * cost_per_contact).alias("avoidable_cost"),
+                    r4(rate).alias("avoidable_rate_pct"), status(rate, 25.0, higher_is_better=False).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-7.1 / IND-8.2 / IND-1.3
+def screen_pop(pops: DataFrame, as_of: Column, window_s: int, strict_ms: float = 100.0, broad_ms: float = 300.0) -> DataFrame:
+    """Screen pops delivered within the strict / broad latency limit over all pops."""
+    p = pops.filter(since("ts", as_of, window_s))
+    g = p.agg(F.count(F.lit(1)).alias("pops"), count_if(F.col("pop_ms") <= strict_ms).alias("strict_ok"),
+              count_if(F.col("pop_ms") <= broad_ms).alias("broad_ok"))
+    broad = pct(F.col("broad_ok"), F.col("pops"))
+    return g.select("pops", r4(pct(F.col("strict_ok"), F.col("pops"))).alias("strict_pct"), r4(broad).alias("broad_pct"),
+                    status(broad, 95.0).alias("status"))
+
+
+def mfa_compliance(users: DataFrame, enrolled: DataFrame) -> DataFrame:
+    """Active users with MFA enrolled / active users; the rest need remediation (left anti join)."""
+    missing = users.join(enrolled, "user_id", "left_anti").agg(F.count(F.lit(1))).scalar()
+    g = users.agg(F.count(F.lit(1)).alias("active_users"))
+    v = pct(F.col("active_users") - missing, F.col("active_users"))
+    return g.select("active_users", missing.alias("remediation_needed"), r4(v).alias("compliance_pct"),
+                    status(v, 99.0).alias("status"))
+
+
+def headroom(usage: DataFrame, capacities: dict, by: str = "region") -> DataFrame:
+    """Per group: 100 - peak utilisation of each component (peak period value / capacity); headroom is
+    the smallest of them (the tightest component)."""
+    aggs = [F.max(c).alias(c) for c in capacities]
+    g = usage.groupBy(by).agg(*aggs)
+    parts = {c: F.lit(100.0) - F.col(c) * 100.0 / cap for c, cap in capacities.items()}
+    hr = F.least(*parts.values())
+    return g.select(by, *[r4(v).alias(f"{c}_headroom") for c, v in parts.items()], r4(hr).alias("headroom_pct"),
+                    status(hr, 10.0).alias("status"))

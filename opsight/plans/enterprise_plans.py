@@ -1008,3 +1008,82 @@ def ind14_2(spark, sf_dir):
         .select(F.col("o_custkey").alias("customer_id"))
     cs = m.raw("customer").filter(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("customer_id"))
     return I.consent_verification(ob, cs)
+
+
+# ------------------------------------------------------------------ IND-6.1 / 6.3 / 12.4 / 7.1 / 8.2 / 1.3
+# Adapters: IVR = 'view' contacts, chatbot = 'click' contacts, intent = customer_id % 4 (billing,
+# technical, account, sales); failure contacts = 'error'; screen pops = 'purchase' events with
+# pop latency = value ms; MFA: users active in the last 7 days, enrolled = users with a signup event;
+# headroom components per region and hour: events / 30, users / 20, Σvalue / 3000, errors / 10.
+NEXT = ("nx", """SELECT *, lead(contact_time) OVER w AS next_time, lead(channel) OVER w AS next_channel FROM contacts
+  WINDOW w AS (PARTITION BY customer_id ORDER BY contact_time, contact_id)""")
+WITHIN_DAY = "(next_time IS NOT NULL AND next_time <= contact_time + INTERVAL 1 DAY)"
+INTENT = "CASE customer_id % 4 WHEN 0 THEN 'billing' WHEN 1 THEN 'technical' WHEN 2 THEN 'account' ELSE 'sales' END"
+
+
+@query("ind6_1_ivr_containment", with_("contacts", extra=[NEXT]) + f"""SELECT count(*) AS ivr_sessions,
+  {r4(f'count(*) FILTER (WHERE NOT {WITHIN_DAY}) * 100.0 / count(*)')} AS strict_pct,
+  {r4(f'count(*) FILTER (WHERE NOT ({WITHIN_DAY} AND next_channel <> channel)) * 100.0 / count(*)')} AS broad_pct,
+  {_status(f'count(*) FILTER (WHERE NOT ({WITHIN_DAY} AND next_channel <> channel)) * 100.0 / count(*)', 60.0)} AS status
+FROM nx WHERE channel = 'view'""")
+def ind6_1(spark, sf_dir):
+    return I.ivr_containment(Model(spark, sf_dir).contacts(), "view")
+
+
+@query("ind6_3_chatbot_by_intent", with_("contacts", extra=[NEXT]) + f"""SELECT {INTENT} AS intent, count(*) AS sessions,
+  {r4(f'count(*) FILTER (WHERE NOT {WITHIN_DAY}) * 100.0 / count(*)')} AS resolution_pct,
+  {r4(f'count(*) FILTER (WHERE {WITHIN_DAY} AND next_channel <> channel) * 100.0 / count(*)')} AS escalation_pct,
+  {_status(f'count(*) FILTER (WHERE NOT {WITHIN_DAY}) * 100.0 / count(*)', 55.0)} AS status
+FROM nx WHERE channel = 'click' GROUP BY 1""")
+def ind6_3(spark, sf_dir):
+    c = F.col("customer_id") % 4
+    intent = F.when(c == 0, "billing").when(c == 1, "technical").when(c == 2, "account").otherwise("sales")
+    return I.chatbot_by_intent(Model(spark, sf_dir).contacts(), "click", intent)
+
+
+@query("ind12_4_avoidable_contacts", with_("contacts", extra=[("r", """SELECT *, lag(contact_time) OVER (PARTITION BY customer_id, category
+  ORDER BY contact_time, contact_id) AS prev FROM contacts"""), ("x", """SELECT *, (prev IS NOT NULL AND contact_time <= prev + INTERVAL 7 DAY)
+  OR channel = 'error' AS av FROM r""")]) + f"""SELECT category, count(*) AS contacts, count(*) FILTER (WHERE av) AS avoidable,
+  {r4('count(*) FILTER (WHERE av) * 6.0')} AS avoidable_cost, {r4('count(*) FILTER (WHERE av) * 100.0 / count(*)')} AS avoidable_rate_pct,
+  {_status('count(*) FILTER (WHERE av) * 100.0 / count(*)', 25.0, higher=False)} AS status FROM x GROUP BY category""")
+def ind12_4(spark, sf_dir):
+    return I.avoidable_contacts(Model(spark, sf_dir).contacts())
+
+
+@query("ind7_1_screen_pop", with_("ev") + f"""SELECT count(*) AS pops, {r4('count(*) FILTER (WHERE value <= 100.0) * 100.0 / count(*)')} AS strict_pct,
+  {r4('count(*) FILTER (WHERE value <= 300.0) * 100.0 / count(*)')} AS broad_pct,
+  {_status('count(*) FILTER (WHERE value <= 300.0) * 100.0 / count(*)', 95.0)} AS status
+FROM ev WHERE event_type = 'purchase' AND {_since('ts', EV_ASOF, EV_W)}""")
+def ind7_1(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    p = m.events().filter(F.col("event_type") == "purchase").select("ts", F.col("value").alias("pop_ms"))
+    return I.screen_pop(p, m.as_of(), EV_W)
+
+
+@query("ind8_2_mfa_compliance", with_("ev") + f"""SELECT count(*) AS active_users, count(*) - count(en.user_id) AS remediation_needed,
+  {r4('count(en.user_id) * 100.0 / count(*)')} AS compliance_pct, {_status('count(en.user_id) * 100.0 / count(*)', 99.0)} AS status
+FROM (SELECT DISTINCT user_id FROM ev WHERE {_since('ts', EV_ASOF, EV_W)}) u
+LEFT JOIN (SELECT DISTINCT user_id FROM ev WHERE event_type = 'signup') en USING (user_id)""")
+def ind8_2(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = m.events()
+    users = e.filter(F.col("ts") >= m.as_of() - F.make_dt_interval(days=F.lit(7))).select("user_id").distinct()
+    enrolled = e.filter(F.col("event_type") == "signup").select("user_id").distinct()
+    return I.mfa_compliance(users, enrolled)
+
+
+HEADROOM_CAPS = {"cpu": 30.0, "memory": 20.0, "db": 3000.0, "network": 10.0}
+
+
+@query("ind1_3_headroom", with_("ev", "applications", extra=[EVR, ("u", """SELECT region, date_trunc('hour', ts) AS h, count(*) AS cpu,
+  count(DISTINCT user_id) AS memory, sum(value) AS db, count(*) FILTER (WHERE event_type = 'error') AS network FROM evr GROUP BY ALL""")]) + f"""
+SELECT region, {', '.join(f"{r4(f'100.0 - max({c}) * 100.0 / {cap}')} AS {c}_headroom" for c, cap in HEADROOM_CAPS.items())},
+  {r4('least(' + ', '.join(f'100.0 - max({c}) * 100.0 / {cap}' for c, cap in HEADROOM_CAPS.items()) + ')')} AS headroom_pct,
+  {_status('least(' + ', '.join(f'100.0 - max({c}) * 100.0 / {cap}' for c, cap in HEADROOM_CAPS.items()) + ')', 10.0)} AS status
+FROM u GROUP BY region""")
+def ind1_3(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    u = (_ev_region(m).groupBy("region", F.date_trunc("hour", "ts").alias("h"))
+         .agg(F.count(F.lit(1)).cast("double").alias("cpu"), F.countDistinct("user_id").cast("double").alias("memory"),
+              F.sum("value").alias("db"), F.sum((F.col("event_type") == "error").cast("long")).cast("double").alias("network")))
+    return I.headroom(u, HEADROOM_CAPS)
