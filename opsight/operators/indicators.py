@@ -698,3 +698,43 @@ def headroom(usage: DataFrame, capacities: dict, by: str = "region") -> DataFram
     hr = F.least(*parts.values())
     return g.select(by, *[r4(v).alias(f"{c}_headroom") for c, v in parts.items()], r4(hr).alias("headroom_pct"),
                     status(hr, 10.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-9.2
+# Effort penalty points of the CES predictor (enterprise indicator 9.2).
+CES_PENALTIES = {"repeat_contact": 20, "long_hold": 15, "auth_failure": 10, "channel_switch": 15, "escalation": 10,
+                 "long_handle": 10}
+
+
+def ces_predictor(contacts: DataFrame, hold_limit: float = 120.0) -> DataFrame:
+    """100 - effort penalties per contact, then per category: mean CES-P and the high-effort share.
+
+    Previous / next contact of the customer come from lag / lead; the long-handle test uses the
+    category mean from a grouped aggregate joined back (categories are few), not a window over a
+    whole category."""
+    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
+    wc = Window.partitionBy("customer_id", "category").orderBy("contact_time", "contact_id")
+    day = F.make_dt_interval(days=F.lit(1))
+    c = (contacts.withColumn("p_t", F.lag("contact_time").over(w)).withColumn("p_ch", F.lag("channel").over(w))
+         .withColumn("n_t", F.lead("contact_time").over(w)).withColumn("n_ch", F.lead("channel").over(w))
+         .withColumn("pc_t", F.lag("contact_time").over(wc)))
+    avg = contacts.groupBy("category").agg(F.avg("value").alias("cat_avg"))
+    c = c.join(avg, "category")
+    f = {
+        "repeat_contact": F.col("pc_t").isNotNull() & (F.col("contact_time") <= F.col("pc_t") + F.make_dt_interval(days=F.lit(7))),
+        "long_hold": F.col("value") > hold_limit,
+        "auth_failure": (F.col("p_ch") == "error") & (F.col("contact_time") <= F.col("p_t") + F.make_dt_interval(hours=F.lit(1))),
+        "channel_switch": (F.col("p_ch") != F.col("channel")) & (F.col("contact_time") <= F.col("p_t") + day),
+        "escalation": (F.col("n_ch") != F.col("channel")) & (F.col("n_t") <= F.col("contact_time") + day),
+        "long_handle": F.col("value") > 2 * F.col("cat_avg"),
+    }
+    pen = None
+    for k, cond in f.items():
+        t = F.when(F.coalesce(cond, F.lit(False)), F.lit(CES_PENALTIES[k])).otherwise(F.lit(0))
+        pen = t if pen is None else pen + t
+    c = c.withColumn("ces_p", F.lit(100) - pen)
+    g = c.groupBy("category").agg(F.avg("ces_p").alias("ces"), count_if(F.col("ces_p") < 60).alias("high_effort"),
+                                  F.count(F.lit(1)).alias("contacts"))
+    return g.select("category", "contacts", r4("ces").alias("ces_predictor"),
+                    r4(pct(F.col("high_effort"), F.col("contacts"))).alias("high_effort_pct"),
+                    ladder([(r4("ces") >= 75, "Healthy"), (r4("ces") >= 60, "At Risk")], "Critical").alias("status"))

@@ -300,3 +300,16 @@ def platform_tiles(events: DataFrame, as_of: Column, window_s: int = DAY) -> Dat
               F.countDistinct("user_id").alias("active_users"))
     return g.select("sessions", r4(pct(F.col("ok"), F.col("sessions"))).alias("success_pct"),
                     r4(pct(F.col("errors"), F.col("sessions"))).alias("error_rate_pct"), "failed_logins", "active_users")
+
+
+# --------------------------------------------------------------------------- KPI-20
+def root_cause(events: DataFrame, as_of: Column, window_s: int = DAY) -> DataFrame:
+    """Per event id: events, servers hit, priority by servers, and the silo holding the largest share."""
+    e = events.filter(since("ts", as_of, window_s))
+    per = e.groupBy("event_code", "silo").agg(F.count(F.lit(1)).alias("n"))
+    tot = e.groupBy("event_code").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("server").alias("servers"))
+    top = per.groupBy("event_code").agg(F.max_by(F.struct("n", "silo"), F.struct("n", "silo")).alias("t"))
+    j = tot.join(top, "event_code")
+    return j.select("event_code", "events", "servers",
+                    ladder([(F.col("servers") >= 10, "P1"), (F.col("servers") >= 5, "P2")], "P3").alias("priority"),
+                    F.col("t.silo").alias("top_silo"), r4(F.col("t.n") * 100.0 / F.col("events")).alias("top_silo_share_pct"))

@@ -341,3 +341,32 @@ def _step(cols):
 for _key, _cols in STEP_COLUMNS.items():
     query(_key, with_("ev", extra=ANO_STAGES + [("res", RESULT_SELECT)]) + "SELECT metric_id, " + ", ".join(_cols) + " FROM res")(
         _step(_cols))
+
+
+# ------------------------------------------------------------------ ANO-24: the same engine on another domain
+# Daily cost per line status and return flag from lineitem (Σ extended price x (1 - discount)), unbounded,
+# higher is bad. Configuration only: the operators are unchanged.
+COST_ADAPTER = [
+    ("raw", "SELECT 'cost_' || l_returnflag || l_linestatus AS metric_id, CAST(l_shipdate AS TIMESTAMP) AS recorded_at, "
+            "sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY ALL"),
+    ("cfg", "SELECT DISTINCT metric_id, 'Cloud Cost' AS category, 'unbounded_count' AS metric_type, 'higher_is_bad' AS direction, "
+            "CAST(NULL AS DOUBLE) AS capacity, '$' AS unit FROM raw"),
+    ("top", "SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY recorded_at DESC) AS rn FROM raw"),
+    ANO_ADAPTER[-1],
+]
+ANO24_SQL = with_("ev", extra=COST_ADAPTER + ANO_STAGES[len(ANO_ADAPTER):] + [("res", RESULT_SELECT)]) + "SELECT * FROM res"
+
+
+@query("ano24_other_domain", ANO24_SQL)
+def ano24(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    li = m.raw("lineitem")
+    raw = li.groupBy(F.concat(F.lit("cost_"), F.col("l_returnflag"), F.col("l_linestatus")).alias("metric_id"),
+                     F.col("l_shipdate").cast("timestamp").alias("recorded_at")).agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
+    cfg = raw.select("metric_id").distinct().select(
+        "metric_id", F.col("metric_id").alias("metric_name"), F.lit("Cloud Cost").alias("category"),
+        F.lit("unbounded_count").alias("metric_type"), F.lit("higher_is_bad").alias("direction"),
+        F.lit(None).cast("double").alias("capacity"), F.lit("$").alias("unit"), F.lit(20).alias("history_min_points"),
+        F.lit(True).alias("is_active"))
+    return A.run_anomaly(A.metric_histories(raw, cfg, n=20), m.as_of())

@@ -1087,3 +1087,39 @@ def ind1_3(spark, sf_dir):
          .agg(F.count(F.lit(1)).cast("double").alias("cpu"), F.countDistinct("user_id").cast("double").alias("memory"),
               F.sum("value").alias("db"), F.sum((F.col("event_type") == "error").cast("long")).cast("double").alias("network")))
     return I.headroom(u, HEADROOM_CAPS)
+
+
+# ------------------------------------------------------------------ IND-9.2 / KPI-20
+@query("ind9_2_ces_predictor", with_("contacts", extra=[("c", """SELECT *,
+  lag(contact_time) OVER w AS p_t, lag(channel) OVER w AS p_ch, lead(contact_time) OVER w AS n_t, lead(channel) OVER w AS n_ch,
+  lag(contact_time) OVER (PARTITION BY customer_id, category ORDER BY contact_time, contact_id) AS pc_t FROM contacts
+  WINDOW w AS (PARTITION BY customer_id ORDER BY contact_time, contact_id)"""),
+    ("a", "SELECT category, avg(value) AS cat_avg FROM contacts GROUP BY 1"),
+    ("x", """SELECT c.category, 100 - (CASE WHEN COALESCE(pc_t IS NOT NULL AND contact_time <= pc_t + INTERVAL 7 DAY, FALSE) THEN 20 ELSE 0 END
+      + CASE WHEN value > 120.0 THEN 15 ELSE 0 END
+      + CASE WHEN COALESCE(p_ch = 'error' AND contact_time <= p_t + INTERVAL 1 HOUR, FALSE) THEN 10 ELSE 0 END
+      + CASE WHEN COALESCE(p_ch <> channel AND contact_time <= p_t + INTERVAL 1 DAY, FALSE) THEN 15 ELSE 0 END
+      + CASE WHEN COALESCE(n_ch <> channel AND n_t <= contact_time + INTERVAL 1 DAY, FALSE) THEN 10 ELSE 0 END
+      + CASE WHEN value > 2 * a.cat_avg THEN 10 ELSE 0 END) AS ces_p FROM c JOIN a USING (category)""")]) + f"""
+SELECT category, count(*) AS contacts, {r4('avg(ces_p)')} AS ces_predictor, {r4('count(*) FILTER (WHERE ces_p < 60) * 100.0 / count(*)')} AS high_effort_pct,
+  CASE WHEN {r4('avg(ces_p)')} >= 75 THEN 'Healthy' WHEN {r4('avg(ces_p)')} >= 60 THEN 'At Risk' ELSE 'Critical' END AS status
+FROM x GROUP BY category""")
+def ind9_2(spark, sf_dir):
+    return I.ces_predictor(Model(spark, sf_dir).contacts())
+
+
+# Event id (adapter) = 'E' || value class of 50 for error events; servers = users; silo = region.
+@query("kpi20_root_cause", with_("ev", "applications", extra=[("e", f"""SELECT 'E' || CAST(CAST(floor(e.value / 50) AS BIGINT) AS VARCHAR) AS event_code,
+  a.infrastructure_group AS silo, e.user_id AS server FROM ev e JOIN applications a ON a.application_id = e.app
+  WHERE e.event_type = 'error' AND {_since('e.ts', EV_ASOF, 7 * DAY)}""")]) + f"""
+SELECT t.event_code, t.events, t.servers, CASE WHEN t.servers >= 10 THEN 'P1' WHEN t.servers >= 5 THEN 'P2' ELSE 'P3' END AS priority,
+  s.silo AS top_silo, {r4('s.n * 100.0 / t.events')} AS top_silo_share_pct FROM
+  (SELECT event_code, count(*) AS events, count(DISTINCT server) AS servers FROM e GROUP BY 1) t JOIN
+  (SELECT event_code, arg_max(silo, (n, silo)) AS silo, max(n) AS n FROM (SELECT event_code, silo, count(*) AS n FROM e GROUP BY ALL)
+   GROUP BY 1) s USING (event_code)""")
+def kpi20(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = _ev_region(m).filter(F.col("event_type") == "error").select(
+        "ts", F.concat(F.lit("E"), F.floor(F.col("value") / 50).cast("long").cast("string")).alias("event_code"),
+        F.col("region").alias("silo"), F.col("user_id").alias("server"))
+    return K.root_cause(e, m.as_of(), 7 * DAY)
