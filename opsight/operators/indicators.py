@@ -738,3 +738,57 @@ def ces_predictor(contacts: DataFrame, hold_limit: float = 120.0) -> DataFrame:
     return g.select("category", "contacts", r4("ces").alias("ces_predictor"),
                     r4(pct(F.col("high_effort"), F.col("contacts"))).alias("high_effort_pct"),
                     ladder([(r4("ces") >= 75, "Healthy"), (r4("ces") >= 60, "At Risk")], "Critical").alias("status"))
+
+
+# Weights of the weighted-sum indices (enterprise indicators 1.2, 5.3, 13.4).
+DR_WEIGHTS = {"replication": 0.30, "test_recency": 0.25, "rto_confidence": 0.25, "capacity_match": 0.20}
+DEX_WEIGHTS = {"device": 0.20, "os": 0.15, "app": 0.25, "network": 0.20, "sentiment": 0.20}
+DXS_WEIGHTS = {"task_completion": 0.30, "response_time": 0.25, "effort": 0.25, "satisfaction": 0.20}
+
+
+# --------------------------------------------------------------------------- IND-12.3 / IND-5.4
+def labour_efficiency(calls: DataFrame, as_of: Column, window_s: int, paid_hours_per_day: float = 8.0,
+                      by: str = "vendor_id") -> DataFrame:
+    """(contacts x (0.8 + QA / 100 x 0.4)) / paid hours; QA = 20 x mean MOS, paid hours = agent-days x 8."""
+    c = calls.filter(since("call_time", as_of, window_s))
+    g = c.groupBy(by).agg(F.count(F.lit(1)).alias("contacts"), (F.avg("mos") * 20.0).alias("qa"),
+                          F.countDistinct("agent_id", F.to_date("call_time")).alias("agent_days"))
+    qf = F.lit(0.8) + F.col("qa") / 100.0 * 0.4
+    ler = F.col("contacts") * qf / (F.col("agent_days") * paid_hours_per_day)
+    return g.select(by, "contacts", r4("qa").alias("qa_score"), r4(qf).alias("quality_factor"), r4(ler).alias("labour_efficiency"),
+                    status(ler, 3.0).alias("status"))
+
+
+def vda_health(vdas: DataFrame, sessions_per_vda: int = 60, load_limit: float = 10000.0) -> DataFrame:
+    """Healthy = registered, load index under the limit and no critical alert; capacity = healthy x sessions."""
+    healthy = (F.col("state") == "Registered") & (F.col("load_index") < load_limit) & ~F.col("critical_alert")
+    g = vdas.agg(F.count(F.lit(1)).alias("vdas"), count_if(healthy).alias("healthy"))
+    v = pct(F.col("healthy"), F.col("vdas"))
+    return g.select("vdas", "healthy", r4(v).alias("vda_health_pct"),
+                    (F.col("healthy") * sessions_per_vda).alias("available_sessions"), status(v, 75.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-13.4
+def response_index(seconds: Column) -> Column:
+    """< 30 s -> 100, 30-60 s -> 80, above: 120 - seconds, not below 0."""
+    return ladder([(seconds < 30, 100.0), (seconds <= 60, 80.0)], F.greatest(F.lit(0.0), F.lit(120.0) - seconds))
+
+
+def digital_experience(contacts: DataFrame, digital=("click", "view"), failure: str = "error") -> DataFrame:
+    """DXS = .30 task completion + .25 response-time index + .25 effort + .20 satisfaction.
+
+    Task completion: digital customer-days without a failure contact; response index per digital contact
+    (value = seconds); effort = mean CES-P; satisfaction = 100 - repeat-contact rate."""
+    d = contacts.withColumn("day", F.to_date("contact_time"))
+    cd = d.groupBy("customer_id", "day").agg(count_if(F.col("channel").isin(*digital)).alias("dig"),
+                                             count_if(F.col("channel") == failure).alias("fail"))
+    tc = cd.filter(F.col("dig") > 0).agg(pct(count_if(F.col("fail") == 0), F.count(F.lit(1)))).scalar()
+    rt = contacts.filter(F.col("channel").isin(*digital)).agg(F.avg(response_index(F.col("value")))).scalar()
+    ces = ces_predictor(contacts).agg(F.sum(F.col("ces_predictor") * F.col("contacts")) / F.sum("contacts")).scalar()
+    rep = repeat_contacts(contacts, contacts.select(F.max("contact_time")).scalar()) \
+        .agg(pct(F.sum("repeats_all"), F.sum("contacts_all"))).scalar()
+    one = contacts.agg(F.count(F.lit(1)).alias("contacts"))
+    parts = one.withColumns({"task_completion": tc, "response_time": rt, "effort": ces, "satisfaction": F.lit(100.0) - rep})
+    out = weighted_index(parts, DXS_WEIGHTS, "dxs")
+    return out.select("contacts", *[r4(c).alias(c) for c in DXS_WEIGHTS], r4("dxs").alias("dxs"),
+                      status(r4("dxs"), 65.0).alias("status"))

@@ -1123,3 +1123,67 @@ def kpi20(spark, sf_dir):
         "ts", F.concat(F.lit("E"), F.floor(F.col("value") / 50).cast("long").cast("string")).alias("event_code"),
         F.col("region").alias("silo"), F.col("user_id").alias("server"))
     return K.root_cause(e, m.as_of(), 7 * DAY)
+
+
+# ------------------------------------------------------------------ IND-12.3 / 5.4 / 13.4
+@query("ind12_3_labour_efficiency", with_("calls") + f"""SELECT vendor_id, count(*) AS contacts, {r4('avg(mos) * 20.0')} AS qa_score,
+  {r4('0.8 + avg(mos) * 20.0 / 100.0 * 0.4')} AS quality_factor,
+  {r4('count(*) * (0.8 + avg(mos) * 20.0 / 100.0 * 0.4) / (count(DISTINCT (agent_id, CAST(call_time AS DATE))) * 8.0)')} AS labour_efficiency,
+  {_status('count(*) * (0.8 + avg(mos) * 20.0 / 100.0 * 0.4) / (count(DISTINCT (agent_id, CAST(call_time AS DATE))) * 8.0)', 3.0)} AS status
+FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
+def ind12_3(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    return I.labour_efficiency(m.calls(), _calls_asof(m), 30 * DAY)
+
+
+# VDAs (adapter): hosts seen in the newest hour; Registered unless their latest status is UNHEALTHY;
+# load index = 100 x events of the host in that hour; critical alert = an error above 300 in that hour.
+@query("ind5_4_vda_health", with_("ev", extra=[("v", f"""SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0
+  THEN 'Unregistered' ELSE 'Registered' END AS state, count(*) * 100.0 AS load_index,
+  count(*) FILTER (WHERE event_type = 'error' AND value > 300) > 0 AS critical_alert FROM ev
+  WHERE ts >= date_trunc('hour', {EV_ASOF}) GROUP BY 1""")]) + f"""SELECT count(*) AS vdas,
+  count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) AS healthy,
+  {r4("count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) * 100.0 / count(*)")} AS vda_health_pct,
+  count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) * 60 AS available_sessions,
+  {_status("count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) * 100.0 / count(*)", 75.0)} AS status FROM v""")
+def ind5_4(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    e = m.events().filter(F.col("ts") >= F.date_trunc("hour", m.as_of()))
+    v = e.groupBy("user_id").agg(
+        F.when(F.sum((F.col("event_type") == "error").cast("int")) > 0, "Unregistered").otherwise("Registered").alias("state"),
+        (F.count(F.lit(1)) * 100.0).alias("load_index"),
+        (F.sum(((F.col("event_type") == "error") & (F.col("value") > 300)).cast("int")) > 0).alias("critical_alert"))
+    return I.vda_health(v)
+
+
+def _ces_sql():
+    return with_("contacts", extra=[("c", """SELECT *,
+  lag(contact_time) OVER w AS p_t, lag(channel) OVER w AS p_ch, lead(contact_time) OVER w AS n_t, lead(channel) OVER w AS n_ch,
+  lag(contact_time) OVER (PARTITION BY customer_id, category ORDER BY contact_time, contact_id) AS pc_t FROM contacts
+  WINDOW w AS (PARTITION BY customer_id ORDER BY contact_time, contact_id)"""),
+        ("a", "SELECT category, avg(value) AS cat_avg FROM contacts GROUP BY 1"),
+        ("x", """SELECT c.*, 100 - (CASE WHEN COALESCE(pc_t IS NOT NULL AND contact_time <= pc_t + INTERVAL 7 DAY, FALSE) THEN 20 ELSE 0 END
+      + CASE WHEN value > 120.0 THEN 15 ELSE 0 END
+      + CASE WHEN COALESCE(p_ch = 'error' AND contact_time <= p_t + INTERVAL 1 HOUR, FALSE) THEN 10 ELSE 0 END
+      + CASE WHEN COALESCE(p_ch <> channel AND contact_time <= p_t + INTERVAL 1 DAY, FALSE) THEN 15 ELSE 0 END
+      + CASE WHEN COALESCE(n_ch <> channel AND n_t <= contact_time + INTERVAL 1 DAY, FALSE) THEN 10 ELSE 0 END
+      + CASE WHEN value > 2 * a.cat_avg THEN 10 ELSE 0 END) AS ces_p FROM c JOIN a USING (category)"""),
+        ("cat", f"SELECT category, count(*) AS n, {r4('avg(ces_p)')} AS ces FROM x GROUP BY 1"),
+        ("cd", """SELECT customer_id, CAST(contact_time AS DATE) AS day, count(*) FILTER (WHERE channel IN ('click', 'view')) AS dig,
+       count(*) FILTER (WHERE channel = 'error') AS fail FROM contacts GROUP BY ALL"""),
+        ("parts", """SELECT (SELECT count(*) FILTER (WHERE fail = 0) * 100.0 / count(*) FROM cd WHERE dig > 0) AS task_completion,
+       (SELECT avg(CASE WHEN value < 30 THEN 100.0 WHEN value <= 60 THEN 80.0 ELSE greatest(0.0, 120.0 - value) END)
+          FROM contacts WHERE channel IN ('click', 'view')) AS response_time,
+       (SELECT sum(ces * n) / sum(n) FROM cat) AS effort,
+       100.0 - (SELECT count(*) FILTER (WHERE pc_t IS NOT NULL AND contact_time <= pc_t + INTERVAL 7 DAY) * 100.0 / count(*) FROM x) AS satisfaction,
+       (SELECT count(*) FROM contacts) AS contacts""")])
+
+
+DXS = "task_completion * 0.3 + response_time * 0.25 + effort * 0.25 + satisfaction * 0.2"
+
+
+@query("ind13_4_digital_experience", _ces_sql() + f"""SELECT contacts, {r4('task_completion')} AS task_completion,
+  {r4('response_time')} AS response_time, {r4('effort')} AS effort, {r4('satisfaction')} AS satisfaction, {r4(DXS)} AS dxs,
+  {_status(r4(DXS), 65.0)} AS status FROM parts""")
+def ind13_4(spark, sf_dir):
+    return I.digital_experience(Model(spark, sf_dir).contacts())

@@ -138,3 +138,11 @@ def test_revenue_protection(spark):
                                   ("quality", 34 * 25.0, 425000.0)], "category string, amount double, opportunity double")
     r = revenue_protection(comp).first()
     assert r["revenue_at_risk"] == 15987.0 and round(r["protection_score"], 1) == 96.2
+
+
+def test_dr_and_dex_examples(spark):
+    from opsight.operators.indicators import DEX_WEIGHTS, DR_WEIGHTS, weighted_index
+    dr = spark.createDataFrame([(100.0, 100.0, 100.0, 95.0)], ", ".join(f"{k} double" for k in DR_WEIGHTS))
+    dex = spark.createDataFrame([(8.5, 9.0, 7.8, 8.0, 8.2)], ", ".join(f"{k} double" for k in DEX_WEIGHTS))
+    assert round(weighted_index(dr, DR_WEIGHTS).first()["score"], 4) == 99.0
+    assert round(weighted_index(dex, DEX_WEIGHTS).first()["score"], 4) == 8.24
