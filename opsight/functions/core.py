@@ -150,3 +150,34 @@ def mmss(seconds: Column) -> Column:
 def fixed(c: str | Column, digits: int) -> Column:
     """Fixed-point text of a value ('%.2f'), rounded first so both engines print the same digits."""
     return F.format_string(f"%.{digits}f", rnd(c, digits))
+
+
+def neighbour_within(df: DataFrame, keys, order, window_s: float, cols, direction: str = "prev",
+                     prefix: str = "nb_") -> DataFrame:
+    """Previous (or next) row of the same keys if it lies within `window_s` of this row, else NULL.
+
+    Adds `prefix + order[0]` and `prefix + c` for each c in `cols`. Instead of one window per key
+    over its whole history (a hot key would sit in one task), rows are partitioned by
+    (keys, time bucket of width window_s) and each row is also copied, as a halo, into the
+    adjacent bucket: a neighbour within window_s is always in the same or the adjacent bucket,
+    so the result is exact while a hot key is split over its buckets.
+    """
+    from pyspark.sql import Window
+
+    ts = order[0]
+    w_us = int(window_s * 1_000_000)
+    b = F.floor(F.unix_micros(col(ts)) / F.lit(w_us)).cast("long")
+    shift = 1 if direction == "prev" else -1
+    prim = df.withColumn("_nb_b", b).withColumn("_nb_h", F.lit(0))
+    halo = df.withColumn("_nb_b", b + shift).withColumn("_nb_h", F.lit(1))
+    u = prim.unionByName(halo)
+    w = Window.partitionBy(*keys, "_nb_b").orderBy(*order)
+    nb = F.struct(*[col(c).alias(c) for c in [ts, *cols]])
+    pick = F.lag(nb).over(w) if direction == "prev" else F.lead(nb).over(w)
+    u = u.withColumn("_nb", pick).filter(F.col("_nb_h") == 0)
+    gap = F.col(ts) - F.col(f"_nb.{ts}") if direction == "prev" else F.col(f"_nb.{ts}") - F.col(ts)
+    ok = F.col("_nb").isNotNull() & (gap <= F.make_dt_interval(secs=F.lit(float(window_s))))
+    out = u
+    for c in [ts, *cols]:
+        out = out.withColumn(prefix + c, F.when(ok, F.col(f"_nb.{c}")))
+    return out.drop("_nb", "_nb_b", "_nb_h")

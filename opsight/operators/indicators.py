@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import DAY, HOUR, count_if, ladder, mmss, pct, r4, rnd, since, ts_text
+from ..functions.core import DAY, HOUR, count_if, ladder, mmss, neighbour_within, pct, r4, rnd, since, ts_text
 from ..functions.stats import luhn_ok
 
 AT_RISK_MARGIN = 0.15
@@ -129,10 +129,8 @@ def queue_wait(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY) -> Dat
 def repeat_contacts(contacts: DataFrame, as_of: Column, lookback_s: int = 7 * DAY) -> DataFrame:
     """Repeat contact: same customer and category within 7 days before (previous contact by lag,
     no self-join). Rates for the current hour, rolling 4 hours and today, by reason."""
-    w = Window.partitionBy("customer_id", "category").orderBy("contact_time", "contact_id")
-    prev = F.lag("contact_time").over(w)
-    c = contacts.withColumn("is_repeat", (prev.isNotNull()
-                                          & (F.col("contact_time") <= prev + F.make_dt_interval(secs=F.lit(float(lookback_s))))))
+    c = neighbour_within(contacts, ["customer_id", "category"], ["contact_time", "contact_id"], lookback_s, [], "prev", "p_")
+    c = c.withColumn("is_repeat", F.col("p_contact_time").isNotNull())
     c = c.filter(F.col("contact_time") <= as_of)
     in_h = since("contact_time", as_of, HOUR)
     in_4h = since("contact_time", as_of, 4 * HOUR)
@@ -373,10 +371,8 @@ def cost_per_contact(calls: DataFrame, cost_per_min: float = 0.75) -> DataFrame:
 def channel_containment(contacts: DataFrame, escalation_s: int = DAY) -> DataFrame:
     """A contact is contained when the same customer's next contact (lead, no self-join) is not in
     another channel within `escalation_s`. Rate per channel and the contact-weighted total."""
-    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
-    nxt_ch, nxt_t = F.lead("channel").over(w), F.lead("contact_time").over(w)
-    c = contacts.withColumn("escalated", nxt_ch.isNotNull() & (nxt_ch != F.col("channel"))
-                            & (nxt_t <= F.col("contact_time") + F.make_dt_interval(secs=F.lit(float(escalation_s)))))
+    c = neighbour_within(contacts, ["customer_id"], ["contact_time", "contact_id"], escalation_s, ["channel"], "next", "n_")
+    c = c.withColumn("escalated", F.coalesce(F.col("n_channel") != F.col("channel"), F.lit(False)))
     g = c.groupBy("channel").agg(F.count(F.lit(1)).alias("started"), count_if(~F.col("escalated")).alias("completed"))
     rate = pct(F.col("completed"), F.col("started"))
     tot = g.agg((F.sum(F.col("started") * F.col("completed") * 100.0 / F.col("started")) / F.sum("started"))).scalar()
@@ -625,19 +621,19 @@ def consent_verification(outbound: DataFrame, consent: DataFrame, key: str = "cu
 
 
 # --------------------------------------------------------------------------- IND-6.1 / 6.3 / 12.4 (next-contact rules)
-def _next_contact(contacts: DataFrame) -> DataFrame:
-    """Each contact with the same customer's next contact time and channel (lead, no self-join)."""
-    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
-    return contacts.withColumn("next_time", F.lead("contact_time").over(w)).withColumn("next_channel", F.lead("channel").over(w))
+def _next_contact(contacts: DataFrame, window_s: int = DAY) -> DataFrame:
+    """Each contact with the same customer's next contact (time, channel) if it comes within the window."""
+    c = neighbour_within(contacts, ["customer_id"], ["contact_time", "contact_id"], window_s, ["channel"], "next", "n_")
+    return c.withColumnRenamed("n_contact_time", "next_time").withColumnRenamed("n_channel", "next_channel")
 
 
 def _within(s: int) -> Column:
-    return F.col("next_time").isNotNull() & (F.col("next_time") <= F.col("contact_time") + F.make_dt_interval(secs=F.lit(float(s))))
+    return F.col("next_time").isNotNull()
 
 
 def ivr_containment(contacts: DataFrame, ivr_channel: str, window_s: int = DAY) -> DataFrame:
     """Strict: no further contact within the window; broad: no further contact in another channel."""
-    c = _next_contact(contacts).filter(F.col("channel") == ivr_channel)
+    c = _next_contact(contacts, window_s).filter(F.col("channel") == ivr_channel)
     g = c.agg(F.count(F.lit(1)).alias("ivr_sessions"), count_if(~_within(window_s)).alias("contained_strict"),
               count_if(~(_within(window_s) & (F.col("next_channel") != F.col("channel")))).alias("contained_broad"))
     broad = pct(F.col("contained_broad"), F.col("ivr_sessions"))
@@ -647,7 +643,7 @@ def ivr_containment(contacts: DataFrame, ivr_channel: str, window_s: int = DAY)
 
 def chatbot_by_intent(contacts: DataFrame, bot_channel: str, intent: Column, window_s: int = DAY) -> DataFrame:
     """Per intent: resolved (no further contact in the window) and escalated (next contact in another channel)."""
-    c = _next_contact(contacts).filter(F.col("channel") == bot_channel).withColumn("intent", intent)
+    c = _next_contact(contacts, window_s).filter(F.col("channel") == bot_channel).withColumn("intent", intent)
     g = c.groupBy("intent").agg(F.count(F.lit(1)).alias("sessions"), count_if(~_within(window_s)).alias("resolved"),
                                 count_if(_within(window_s) & (F.col("next_channel") != F.col("channel"))).alias("escalated"))
     res = pct(F.col("resolved"), F.col("sessions"))
@@ -658,10 +654,8 @@ def chatbot_by_intent(contacts: DataFrame, bot_channel: str, intent: Column, win
 def avoidable_contacts(contacts: DataFrame, cost_per_contact: float = 6.0, repeat_s: int = 7 * DAY,
                        failure_channel: str = "error") -> DataFrame:
     """Avoidable = repeat of the same category within 7 days or a failure contact; cost and rate per category."""
-    w = Window.partitionBy("customer_id", "category").orderBy("contact_time", "contact_id")
-    prev = F.lag("contact_time").over(w)
-    c = contacts.withColumn("repeat", prev.isNotNull()
-                            & (F.col("contact_time") <= prev + F.make_dt_interval(secs=F.lit(float(repeat_s)))))
+    c = neighbour_within(contacts, ["customer_id", "category"], ["contact_time", "contact_id"], repeat_s, [], "prev", "p_")
+    c = c.withColumn("repeat", F.col("p_contact_time").isNotNull())
     av = F.col("repeat") | (F.col("channel") == failure_channel)
     g = c.groupBy("category").agg(F.count(F.lit(1)).alias("contacts"), count_if(av).alias("avoidable"))
     rate = pct(F.col("avoidable"), F.col("contacts"))
@@ -712,12 +706,14 @@ def ces_predictor(contacts: DataFrame, hold_limit: float = 120.0) -> DataFrame:
     Previous / next contact of the customer come from lag / lead; the long-handle test uses the
     category mean from a grouped aggregate joined back (categories are few), not a window over a
     whole category."""
-    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
-    wc = Window.partitionBy("customer_id", "category").orderBy("contact_time", "contact_id")
     day = F.make_dt_interval(days=F.lit(1))
-    c = (contacts.withColumn("p_t", F.lag("contact_time").over(w)).withColumn("p_ch", F.lag("channel").over(w))
-         .withColumn("n_t", F.lead("contact_time").over(w)).withColumn("n_ch", F.lead("channel").over(w))
-         .withColumn("pc_t", F.lag("contact_time").over(wc)))
+    o = ["contact_time", "contact_id"]
+    c = neighbour_within(contacts, ["customer_id"], o, DAY, ["channel"], "prev", "pv_")
+    c = neighbour_within(c, ["customer_id"], o, DAY, ["channel"], "next", "nx_")
+    c = neighbour_within(c, ["customer_id", "category"], o, 7 * DAY, [], "prev", "pc_")
+    c = (c.withColumnRenamed("pv_contact_time", "p_t").withColumnRenamed("pv_channel", "p_ch")
+         .withColumnRenamed("nx_contact_time", "n_t").withColumnRenamed("nx_channel", "n_ch")
+         .withColumnRenamed("pc_contact_time", "pc_t"))
     avg = contacts.groupBy("category").agg(F.avg("value").alias("cat_avg"))
     c = c.join(avg, "category")
     f = {

@@ -263,11 +263,10 @@ SELECT 'IVR / Self-Service' AS signal_name, count(*) FILTER (WHERE completed) AS
   {_st(rnd('count(*) FILTER (WHERE completed) * 100.0 / count(*)', 1), 97.0, 93.0)} AS status
 FROM c WHERE channel = 'view' AND {_since('contact_time', ASOF, 15 * HOUR)}""")
 def sig11(spark, sf_dir):
-    from pyspark.sql import Window
+    from ..functions.core import neighbour_within
     m = Model(spark, sf_dir)
-    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
-    c = m.contacts().withColumn("completed", ~F.coalesce(
-        F.lead("contact_time").over(w) <= F.col("contact_time") + F.make_dt_interval(hours=F.lit(1)), F.lit(False)))
+    c = neighbour_within(m.contacts(), ["customer_id"], ["contact_time", "contact_id"], HOUR, [], "next", "n_") \
+        .withColumn("completed", F.col("n_contact_time").isNull())
     s = c.filter(F.col("channel") == "view").select(F.col("contact_time").alias("ts"), "completed")
     return S.ivr_signal(s, m.as_of(), 15 * HOUR)
 
