@@ -181,3 +181,25 @@ def neighbour_within(df: DataFrame, keys, order, window_s: float, cols, directio
     for c in [ts, *cols]:
         out = out.withColumn(prefix + c, F.when(ok, F.col(f"_nb.{c}")))
     return out.drop("_nb", "_nb_b", "_nb_h")
+
+
+def sessionize(df: DataFrame, keys, order, gap_s: float, bucket_s: float, out: str = "session_start") -> DataFrame:
+    """Gap-based sessions per key without a window over a key's whole history.
+
+    A row starts a session when no earlier row of its key lies within `gap_s` (bucketed
+    neighbour test). Its session is the latest start at or before it: a running max inside
+    (key, time bucket) plus a carry-in = the latest start of the key's earlier buckets, taken
+    from a per-(key, bucket) aggregate (one row per bucket, not per event). Exact.
+    """
+    from pyspark.sql import Window
+
+    ts = order[0]
+    s = neighbour_within(df, keys, order, gap_s, [], "prev", "_gp_").withColumn(
+        "_start", F.when(F.col(f"_gp_{ts}").isNull(), F.col(ts))).drop(f"_gp_{ts}")
+    s = s.withColumn("_bk", F.floor(F.unix_micros(col(ts)) / F.lit(int(bucket_s * 1_000_000))).cast("long"))
+    per_b = s.groupBy(*keys, "_bk").agg(F.max("_start").alias("_bmax"))
+    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_b.withColumn("_carry", F.max("_bmax").over(wb)).drop("_bmax")
+    wi = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_in", F.max("_start").over(wi)).join(carry, [*keys, "_bk"], "left")
+    return s.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_start", "_bk", "_in", "_carry")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import DAY, HOUR, count_if, ladder, mmss, neighbour_within, pct, r4, rnd, since, ts_text
+from ..functions.core import DAY, HOUR, count_if, ladder, mmss, neighbour_within, pct, r4, rnd, sessionize, since, ts_text
 from ..functions.stats import luhn_ok
 
 AT_RISK_MARGIN = 0.15
@@ -149,13 +149,10 @@ def repeat_contacts(contacts: DataFrame, as_of: Column, lookback_s: int = 7 * DA
 
 # --------------------------------------------------------------------------- IND-13.3
 def cross_channel_journeys(contacts: DataFrame, gap_s: int = 7 * DAY, resolved_categories=("purchase", "signup")) -> DataFrame:
-    """Journeys per customer: a new journey starts after a gap > 7 days (lag + running sum).
+    """Journeys per customer: a new journey starts after a gap > 7 days (`sessionize`: bucketed, exact).
     A journey is cross-channel with >= 2 channels; resolved when its last contact is in
     `resolved_categories`. Rate = resolved cross-channel journeys / cross-channel journeys."""
-    w = Window.partitionBy("customer_id").orderBy("contact_time", "contact_id")
-    prev = F.lag("contact_time").over(w)
-    new = F.when(prev.isNull() | (F.col("contact_time") > prev + F.make_dt_interval(secs=F.lit(float(gap_s)))), 1).otherwise(0)
-    c = contacts.withColumn("_new", new).withColumn("journey", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = sessionize(contacts, ["customer_id"], ["contact_time", "contact_id"], gap_s, bucket_s=30 * DAY, out="journey")
     j = c.groupBy("customer_id", "journey").agg(
         F.countDistinct("channel").alias("channels"), F.count(F.lit(1)).alias("contacts"),
         F.max_by("category", F.struct("contact_time", "contact_id")).alias("last_category"))
