@@ -33,7 +33,7 @@ def threshold_breach(metrics: DataFrame, thresholds: DataFrame, errors: DataFram
     """
     a = resolve_as_of(as_of, metrics, "recorded_at")
     cur = (metrics.filter(since("recorded_at", a, current_s))
-           .join(thresholds, ["entity_id", "metric_name"])
+           .join(F.broadcast(thresholds), ["entity_id", "metric_name"])
            .withColumn("is_breaching", (F.col("metric_value") > F.col("threshold_value")).cast("int")))
     he = (errors.filter(since("recorded_at", a, lookback_s))
           .groupBy("entity_id")
@@ -231,7 +231,7 @@ def spike_classification(metrics: DataFrame, thresholds: DataFrame, as_of=None,
     a = resolve_as_of(as_of, metrics, "recorded_at")
     w = Window.partitionBy("entity_id", "metric_name").orderBy("recorded_at", "row_id")
     m = (metrics.filter(since("recorded_at", a, window_units * unit_s))
-         .join(thresholds, ["entity_id", "metric_name"])
+         .join(F.broadcast(thresholds), ["entity_id", "metric_name"])
          .withColumn("rolling_avg", F.avg("metric_value").over(w.rowsBetween(-10, -1)))
          .withColumn("rolling_stddev", F.stddev_samp("metric_value").over(w.rowsBetween(-10, -1)))
          .withColumn("breaches_in_window",
@@ -481,7 +481,7 @@ def breach_streaks(metrics: DataFrame, thresholds: DataFrame, as_of=None, window
     a = resolve_as_of(as_of, metrics, "recorded_at")
     w = Window.partitionBy("entity_id", "metric_name").orderBy("recorded_at", "row_id")
     m = (metrics.filter(since("recorded_at", a, window_s))
-         .join(thresholds, ["entity_id", "metric_name"])
+         .join(F.broadcast(thresholds), ["entity_id", "metric_name"])
          .withColumn("breach", (F.col("metric_value") > F.col("threshold_value")).cast("int"))
          .withColumn("island", F.sum(1 - F.col("breach")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     wi = Window.partitionBy("entity_id", "metric_name", "island").orderBy("recorded_at", "row_id")

@@ -85,9 +85,17 @@ class Model:
                         F.col("value").alias("metric_value"),
                         F.col("ts").alias("recorded_at")))
 
+    METRIC_NAMES = ["click", "purchase", "signup", "view"]
+
     def thresholds(self, metrics: DataFrame | None = None) -> DataFrame:
-        m = metrics if metrics is not None else self.metrics_long()
-        return (m.select("entity_id", "metric_name").distinct()
+        """threshold_config: one row per (application, metric), threshold 60.
+
+        A configuration table of fixed size (applications x metric names), built from the
+        `nation` dimension, not from the metrics themselves: no scan of the event data.
+        `metrics` is accepted for call compatibility and not read.
+        """
+        n = self.raw("nation").select(F.col("n_nationkey").alias("entity_id"))
+        return (n.select("entity_id", F.explode(F.array(*[F.lit(x) for x in self.METRIC_NAMES])).alias("metric_name"))
                 .withColumn("threshold_value", F.lit(DEFAULT_THRESHOLD)))
 
     def metrics_wide(self) -> DataFrame:
