@@ -21,11 +21,11 @@ SINCE, UNTIL = "1996-01-01", "2000-12-31 23:59:59"
 
 
 def _calls_asof(m: Model):
-    return m.raw("lineitem").select(F.max("l_shipdate").cast("timestamp")).scalar()
+    return m.newest("lineitem", "l_shipdate")
 
 
 def _inc_asof(m: Model):
-    return m.raw("orders").select(F.max("o_orderdate").cast("timestamp")).scalar()
+    return m.newest("orders", "o_orderdate")
 
 
 def _since(col: str, asof: str, seconds: int) -> str:

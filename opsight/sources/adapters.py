@@ -28,6 +28,9 @@ def app_of(user_id: str = "user_id"):
     return F.floor(m * m * m / F.lit(APP_DIVISOR)).cast("int")
 
 
+_NEWEST: dict = {}
+
+
 class Model:
     """Lazily built model tables over one scale-factor directory."""
 
@@ -128,8 +131,20 @@ class Model:
                 .select(F.col("event_id").alias("alert_id"), F.col("app").alias("application_id"),
                         F.lit("ACTIVE").alias("status"), F.col("ts").alias("created_at")))
 
+    def newest(self, table: str, column: str):
+        """Newest value of a time column as a timestamp literal (the job's 'now').
+
+        Evaluated once per job and table (one small aggregate over one column) and passed to
+        every operator as a constant: plans then carry a literal instead of one scalar
+        subquery per reference, and time filters can reach the scan.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, table, column)
+        if key not in _NEWEST:
+            _NEWEST[key] = self.raw(table).select(F.unix_micros(F.max(F.col(column).cast("timestamp")))).first()[0]
+        return F.timestamp_micros(F.lit(_NEWEST[key]))
+
     def as_of(self):
-        return self.events().select(F.max("ts")).scalar()
+        return self.newest("events", "ts")
 
     def maintenance_windows(self) -> DataFrame:
         """One 10-hour window per infrastructure group near as_of, plus one of scope ALL.
