@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import _A, _B, _C, _D, _P_LOW
 from ..operators import anomaly as A
+from ..session import checkpoint_dir
 from ..sources.adapters import Model
 from .oracle_base import ASOF, r4, rnd, tstext, with_
 from .registry import query
 
 
 def _hist(spark, sf_dir):
+    """Histories of one run: one row per metric (bounded), written once to the shared checkpoint
+    folder so the result projection and the count of tested metrics both read them."""
     m = Model(spark, sf_dir)
-    return m, A.metric_histories(m.metrics_raw(), m.metric_config(), n=20)
+    checkpoint_dir(spark)
+    return m, A.metric_histories(m.metrics_raw(), m.metric_config(), n=20).checkpoint()
 
 
 def _results(spark, sf_dir):
