@@ -785,3 +785,30 @@ def digital_experience(contacts: DataFrame, digital=("click", "view"), failure:
     out = weighted_index(parts, DXS_WEIGHTS, "dxs")
     return out.select("contacts", *[r4(c).alias(c) for c in DXS_WEIGHTS], r4("dxs").alias("dxs"),
                       status(r4("dxs"), 65.0).alias("status"))
+
+
+# --------------------------------------------------------------------------- IND-4.4
+def unplanned_shrinkage(states: DataFrame, schedule: DataFrame, technical_state: str = "offline") -> DataFrame:
+    """Unplanned absent time / scheduled time per day, by category: technical issues (the technical
+    state inside the schedule) and unplanned absence (scheduled time covered by no state at all).
+    Same bucketed interval join as `schedule_adherence`, without the state match."""
+    a = _hour_buckets(states.select("agent_id", F.col("state").alias("a_state"), F.col("start_ts").alias("a_s"),
+                                    F.col("end_ts").alias("a_e")), "a_s", "a_e")
+    s = _hour_buckets(schedule.select("agent_id", "day", F.col("start_ts").alias("s_s"), F.col("end_ts").alias("s_e")),
+                      "s_s", "s_e")
+    j = s.join(a, ["agent_id", "bucket"])
+    b0 = F.timestamp_micros(F.col("bucket") * 3_600_000_000)
+    b1 = F.timestamp_micros((F.col("bucket") + 1) * 3_600_000_000)
+    ov = F.greatest(F.lit(0.0), (F.unix_micros(F.least("a_e", "s_e", b1)) - F.unix_micros(F.greatest("a_s", "s_s", b0)))
+                    / 60_000_000.0)
+    cov = j.groupBy("day").agg(F.sum(ov).alias("covered"),
+                               F.sum(F.when(F.col("a_state") == technical_state, ov).otherwise(0.0)).alias("technical"))
+    sched = schedule.groupBy("day").agg(F.sum((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 60_000_000.0)
+                                        .alias("scheduled"))
+    d = sched.join(cov, "day", "left").fillna(0.0, ["covered", "technical"])
+    absent = F.col("scheduled") - F.col("covered")
+    tot = pct(F.col("technical") + absent, F.col("scheduled"))
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r4("scheduled").alias("scheduled_min"),
+                    r4(pct(F.col("technical"), F.col("scheduled"))).alias("technical_pct"),
+                    r4(pct(absent, F.col("scheduled"))).alias("absence_pct"), r4(tot).alias("unplanned_shrinkage_pct"),
+                    status(tot, 10.0, higher_is_better=False).alias("status"))

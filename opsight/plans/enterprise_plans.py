@@ -1187,3 +1187,26 @@ DXS = "task_completion * 0.3 + response_time * 0.25 + effort * 0.25 + satisfacti
   {_status(r4(DXS), 65.0)} AS status FROM parts""")
 def ind13_4(spark, sf_dir):
     return I.digital_experience(Model(spark, sf_dir).contacts())
+
+
+# ------------------------------------------------------------------ IND-4.4 (same agent states and schedule as IND-4.2)
+@query("ind4_4_unplanned_shrinkage", with_("ev", extra=[("st", f"""SELECT user_id AS agent_id, {STATE_CASE} AS state, ts AS s,
+  least(ts + to_seconds(CAST(value * 60 AS DECIMAL(18,6))),
+        COALESCE(lead(ts) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id), date_trunc('day', ts) + INTERVAL 1 DAY),
+        date_trunc('day', ts) + INTERVAL 1 DAY) AS e FROM ev"""),
+    ("days", "SELECT DISTINCT user_id AS agent_id, date_trunc('day', ts) AS day FROM ev"),
+    ("sch", """SELECT agent_id, day, day + INTERVAL 8 HOUR AS s, day + INTERVAL 12 HOUR AS e FROM days
+      UNION ALL SELECT agent_id, day, day + INTERVAL 13 HOUR, day + INTERVAL 17 HOUR FROM days"""),
+    ("ov", """SELECT sch.day, st.state, greatest(0.0, (epoch_us(least(st.e, sch.e)) - epoch_us(greatest(st.s, sch.s))) / 60000000.0) AS m
+      FROM sch JOIN st ON st.agent_id = sch.agent_id AND st.s < sch.e AND sch.s < st.e"""),
+    ("cov", "SELECT day, sum(m) AS covered, sum(CASE WHEN state = 'offline' THEN m ELSE 0.0 END) AS technical FROM ov GROUP BY day"),
+    ("sm", "SELECT day, sum((epoch_us(e) - epoch_us(s)) / 60000000.0) AS scheduled FROM sch GROUP BY day"),
+    ("d", """SELECT sm.day, sm.scheduled, COALESCE(cov.covered, 0.0) AS covered, COALESCE(cov.technical, 0.0) AS technical
+      FROM sm LEFT JOIN cov USING (day)""")]) + f"""
+SELECT strftime(day, '%Y-%m-%d') AS day, {r4('scheduled')} AS scheduled_min, {r4('technical * 100.0 / scheduled')} AS technical_pct,
+  {r4('(scheduled - covered) * 100.0 / scheduled')} AS absence_pct,
+  {r4('(technical + scheduled - covered) * 100.0 / scheduled')} AS unplanned_shrinkage_pct,
+  {_status('(technical + scheduled - covered) * 100.0 / scheduled', 10.0, higher=False)} AS status FROM d""")
+def ind4_4(spark, sf_dir):
+    states, sched = _agent_states(Model(spark, sf_dir))
+    return I.unplanned_shrinkage(states, sched)
