@@ -460,8 +460,8 @@ def rule_confidence(scored: DataFrame, rules: DataFrame, minute_s: int = 60) ->
     """Measured confidence and lag of each rule: share of A's degradation starts followed by a
     B degradation start within the rule window, and the median lag of those that were.
 
-    Episode starts come from `lag(status)`; the A-to-B match is an equi-join on the
-    rule's signals with the time range as a residual (interval join).
+    Episode starts come from `lag(status)`; the A-to-B match is an equi-join on the rule's
+    signal and a time bucket, with the exact time range as a residual (interval join).
     """
     w = Window.partitionBy("signal_name").orderBy("snapshot_time")
     bad = F.col("status").isin("warning", "critical")
@@ -470,11 +470,19 @@ def rule_confidence(scored: DataFrame, rules: DataFrame, minute_s: int = 60) ->
     a = starts.select(F.col("signal_name").alias("signal_a"), F.col("snapshot_time").alias("ta"))
     b = starts.select(F.col("signal_name").alias("signal_b"), F.col("snapshot_time").alias("tb"))
     ra = rules.join(a, "signal_a")
+    # Interval join without pairing whole histories: bucket width = the largest rule window, so the
+    # B-starts within [ta, ta + window] are in ta's bucket or the next; A-starts are exploded into
+    # those two buckets and joined on (signal, bucket), the exact range is the residual.
+    width_us = rules.agg(F.max("time_window_min")).scalar() * F.lit(minute_s * 1_000_000)
+    bk = lambda c: F.floor(F.unix_micros(c) / width_us).cast("long")
+    ra_b = ra.withColumn("bucket", F.explode(F.array(bk(F.col("ta")), bk(F.col("ta")) + 1)))
+    b_b = b.withColumn("bucket", bk(F.col("tb")))
     gap = (F.unix_timestamp("tb") - F.unix_timestamp("ta")) / F.lit(minute_s)
-    m = (ra.join(b, (ra.signal_b == b.signal_b) & (F.col("tb") >= F.col("ta"))
+    m = (ra_b.join(b_b, ["signal_b", "bucket"])
+         .filter((F.col("tb") >= F.col("ta"))
                  & (F.col("tb") <= F.col("ta") + F.make_dt_interval(
                      secs=(F.col("time_window_min") * minute_s).cast("decimal(18,6)"))))
-         .select(ra.rule_id, ra.ta, gap.alias("gap")))
+         .select("rule_id", "ta", gap.alias("gap")))
     first = m.groupBy("rule_id", "ta").agg(F.min("gap").alias("lag"))
     tot = ra.groupBy("rule_id", "signal_a", "signal_b", "confidence").agg(F.count(F.lit(1)).alias("a_starts"))
     hit = first.groupBy("rule_id").agg(F.count(F.lit(1)).alias("followed"), F.percentile("lag", 0.5).alias("median_lag"))
