@@ -265,16 +265,11 @@ SIP_CAPACITY = 500.0
 @query("ind3_3_concurrent_calls", with_("calls", extra=[
     ("c", "SELECT call_time AS s, call_time + to_seconds(CAST(duration_min * 60 AS DECIMAL(18,6))) AS e FROM calls"),
     ("ev", "SELECT s AS t, 1 AS d FROM c UNION ALL SELECT e, -1 FROM c"),
-    ("carry", """SELECT p, count(*) AS carry FROM (
-       SELECT unnest(generate_series(date_trunc('day', s) + INTERVAL 1 DAY, date_trunc('day', e), INTERVAL 1 DAY)) AS p, e FROM c)
-     WHERE p < e GROUP BY p"""),
-    ("run", """SELECT date_trunc('day', t) AS p, sum(d) OVER (PARTITION BY date_trunc('day', t) ORDER BY t, d
-       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS conc FROM ev""")]) + f"""
-SELECT {tstext('p')} AS period, CAST(max(conc + COALESCE(carry, 0)) AS BIGINT) AS peak_concurrent,
-  {r4('avg(conc + COALESCE(carry, 0))')} AS avg_concurrent,
-  {r4(f'max(conc + COALESCE(carry, 0)) * 100.0 / {SIP_CAPACITY}')} AS peak_utilisation_pct,
-  {_status(f'max(conc + COALESCE(carry, 0)) * 100.0 / {SIP_CAPACITY}', 90.0, higher=False)} AS status
-FROM run LEFT JOIN carry USING (p) GROUP BY p""")
+    ("run", "SELECT t, sum(d) OVER (ORDER BY t, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS conc FROM ev")]) + f"""
+SELECT {tstext("date_trunc('day', t)")} AS period, CAST(max(conc) AS BIGINT) AS peak_concurrent, {r4('avg(conc)')} AS avg_concurrent,
+  {r4(f'max(conc) * 100.0 / {SIP_CAPACITY}')} AS peak_utilisation_pct,
+  {_status(f'max(conc) * 100.0 / {SIP_CAPACITY}', 90.0, higher=False)} AS status
+FROM run GROUP BY date_trunc('day', t)""")
 def ind3_3(spark, sf_dir):
     return I.concurrent_calls(Model(spark, sf_dir).calls(), capacity=SIP_CAPACITY)
 
