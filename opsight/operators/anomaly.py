@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import fixed, ladder, r4, rank_of, rnd, ts_text
+from ..functions.core import fixed, ladder, r4, rank_of, ts_text
 from ..functions.stats import (HOLT_ALPHA, HOLT_BETA, Z80, Z95, arr_mad, arr_mean, arr_median, arr_sd,
                                bonferroni, holt, logit, ols, residual_se)
 

@@ -6,7 +6,7 @@ numstat: (repo, branch, commit, author, committed_at, path, added string, delete
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC = r"^\d+$"

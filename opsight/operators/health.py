@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import (MIN, HOUR, DAY, ago, bucket, count_if, day_type, ladder, pct,
-                              r4, rank_of, ratio, resolve_as_of, rnd, since, ts_text)
+from ..functions.core import (MIN, DAY, bucket, count_if, day_type, ladder, r4, rank_of, resolve_as_of, rnd,
+                              since, ts_text)
 
 HEALTH_ORDER = ["CRITICAL", "DEGRADED", "WARNING", "RECOVERING", "HEALTHY"]
 

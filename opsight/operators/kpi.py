@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import DAY, count_if, elapsed_text, ladder, mmss, pct, r4, ratio, rnd, since, ts_text
+from ..functions.core import DAY, count_if, elapsed_text, ladder, mmss, pct, r4, rnd, since, ts_text
 
 POOR_MOS = 3.5
 AHT_TARGET_MIN = 5.0

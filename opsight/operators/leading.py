@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, fixed, ladder, r4, resolve_as_of, rnd, since, ts_text
-from ..functions.stats import cosine
+from ..functions.core import count_if, fixed, ladder, r4, rnd, since, ts_text
 
 # The fourteen signals, their default thresholds and orientation
 # (signal_config insert of the implementation guide): name, healthy, warning, critical, inverted.

@@ -202,8 +202,7 @@ def sig14(spark, sf_dir):
 # queues = vendor x call queue (available agents / required = handle minutes / (30 x 480));
 # jitter = wait / 2 ms, packet loss = 5 - MOS (= 20 x discount) %.
 from ..operators import kpi as KP
-from .enterprise_plans import CORE_EVAL, EV_ASOF, SYS_SQL, _ev_region, _systems
-from .oracle_base import tstext
+from .enterprise_plans import CORE_EVAL, SYS_SQL, _ev_region, _systems
 
 MEDIA = "CASE user_id % 3 WHEN 0 THEN 'voice' WHEN 1 THEN 'chat' ELSE 'email' END"
 AGENT_STATUS = "CASE WHEN event_type IN ('click', 'view') THEN 'Available' WHEN event_type = 'error' THEN 'Break' ELSE 'Interacting' END"

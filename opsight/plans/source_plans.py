@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import DAY, HOUR, r4, rnd, ts_text
+from ..functions.core import DAY, r4, rnd, ts_text
 from ..operators import anomaly as A
 from ..operators import gitstats as G
 from ..operators import health as H
