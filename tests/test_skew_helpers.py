@@ -47,3 +47,25 @@ def test_sessionize_matches_running_sum(spark):
     a = sorted(tuple(r) for r in got.select("id", "s").collect())
     b = sorted(tuple(r) for r in exp.select("id", "s").collect())
     assert a == b
+
+
+def test_bucketed_interval_join_matches_brute_force(spark):
+    from opsight.operators.indicators import schedule_adherence
+    rnd = random.Random(3)
+    day = dt.datetime(2024, 1, 2)
+    states, sched = [], []
+    for agent in range(6):
+        t = day
+        while t < day + dt.timedelta(hours=20):                      # back-to-back states of random length
+            d = dt.timedelta(minutes=rnd.randrange(5, 200))
+            states.append((agent, rnd.choice(["available", "busy", "offline"]), t, t + d))
+            t += d
+        sched += [(agent, day, "available", day + dt.timedelta(hours=8), day + dt.timedelta(hours=12, minutes=30)),
+                  (agent, day, "busy", day + dt.timedelta(hours=13), day + dt.timedelta(hours=17, minutes=45))]
+    st = spark.createDataFrame(states, "agent_id int, state string, start_ts timestamp, end_ts timestamp")
+    sc = spark.createDataFrame(sched, "agent_id int, day timestamp, state string, start_ts timestamp, end_ts timestamp")
+    got = schedule_adherence(st, sc).first()
+    adherent = sum(max(0.0, (min(a[3], s[4]) - max(a[2], s[3])).total_seconds() / 60)
+                   for a in states for s in sched if a[0] == s[0] and a[1] == s[2])
+    scheduled = sum((s[4] - s[3]).total_seconds() / 60 for s in sched)
+    assert got["adherent_min"] == round(adherent, 4) and got["scheduled_min"] == round(scheduled, 4)
