@@ -1,0 +1,49 @@
+"""The registered queries of the operators: thin forms that return each contract's columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import materialise, ship_code, table
+from .covertree import embedding_neighbours
+from .sharding import feistel_shards
+from .simhash import simhash_groups
+from .topk import top_inner_products
+
+SHARDS = 24
+
+
+def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
+    placed = feistel_shards(materialise(docs, "op1-rows"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_embedding_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neighbours(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op5_topk_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return top_inner_products(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op7_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _shipped(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (
+    op1_feistel_sharding, op2_embedding_cover_tree, op5_topk_norm_sorted, op7_simhash_bk_tree)}
+ORACLES: dict[str, str] = {}
