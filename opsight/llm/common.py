@@ -7,7 +7,10 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsight.session import checkpoint_dir
 
@@ -64,3 +67,22 @@ def ship_code(spark: SparkSession) -> None:
 def encode_text(text) -> bytes:
     """UTF-8 of a text; null counts as empty. Spark strings are valid UTF-8 or replaced on the way in."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+
+
+def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, make, keep: list[str] | None = None) -> DataFrame:
+    """df with a new last column `name` that make(arrow array of the column `source`) gives, batch by batch.
+
+    Only the columns in `keep` (default: all) come back from the tasks; an input column called `name` is replaced.
+    """
+    kept = [c for c in (df.columns if keep is None else keep) if c != name]
+    sent = kept if source in kept else [*kept, source]
+    fields = {f.name: f for f in df.schema.fields}
+    schema = T.StructType([fields[c] for c in kept] + [T.StructField(name, kind)])
+    at = sent.index(source)
+
+    def run(batches):
+        for b in batches:
+            arrays = [b.column(i) for i in range(len(kept))] + [make(b.column(at))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, name])
+
+    return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)

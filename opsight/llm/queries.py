@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, ship_code, table
+from . import linededup, mixing, warc
+from .bitpack import read_token_files, write_token_files
+from .bpe import bpe_decode, bpe_encode, digests
+from .common import materialise, shared_path, ship_code, table
 from .covertree import embedding_neighbours
 from .sharding import feistel_shards
 from .simhash import simhash_groups
 from .topk import top_inner_products
+from .toxicity import toxicity_scores
 
 SHARDS = 24
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE, END_ID = "word_bpe_49k.json", 2
+MIX = {"budget_share": 1.0, "max_repeats": 1.25}
 
 
 def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,16 +34,49 @@ def op2_embedding_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neighbours(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op3_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(BPE_RANKS)
+    ids = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    both = bpe_decode(ids, ranks)
+    return both.select("doc_id", *digests(both))
+
+
+def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_topk_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return top_inner_products(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+def op6_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "ids"), public_tokenizers.path(WORD_BPE), END_ID)
+    return read_token_files(files)
+
+
 def op7_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), **MIX)
+    return mix.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens"), "epoch", "mix_block", "mix_key")
+
+
+def op9_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op10_line_dedup_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", linededup.url_host(F.col("url")).alias("host"), linededup.page_lines(F.col("html")).alias("text"))
+    clean = linededup.drop_boilerplate(materialise(pages, "op10-pages"), "host", "text")
+    return clean.select("page_id", "host", "n_lines", "dropped_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _shipped(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_code(spark)
@@ -45,5 +86,6 @@ def _shipped(f):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
-    op1_feistel_sharding, op2_embedding_cover_tree, op5_topk_norm_sorted, op7_simhash_bk_tree)}
-ORACLES: dict[str, str] = {}
+    op1_feistel_sharding, op2_embedding_cover_tree, op3_bpe_merge_replay, op4_warc_capture_index, op5_topk_norm_sorted,
+    op6_bit_packed_ids, op7_simhash_bk_tree, op8_temperature_mixing, op9_toxicity_factorization_machine, op10_line_dedup_by_host)}
+ORACLES: dict[str, str] = {"op8_temperature_mixing": mixing.mix_sql(**MIX)}
