@@ -65,7 +65,7 @@ def page_lines(html: Column) -> Column:
     t = F.regexp_replace(t, r"[\r\n]+", " ")
     t = F.regexp_replace(t, r"(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|article|section|header|footer|title|head|body|html|table|tr|td|th|main|aside|blockquote|pre)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def url_host(url: Column) -> Column:

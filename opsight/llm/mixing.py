@@ -126,7 +126,7 @@ def mix_sources(df: DataFrame, budget_share: float = 1.0, max_repeats: float | N
     terms = plan.where("budget > 0").select(F.struct(F.col("source"), "passes", "cut").alias("__plan"))
     rows = df.select(*[F.col(f"`{c}`") for c in cols], doc_key(id_col, text_col).alias("__doc"))
     met = rows.join(terms, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__plan.source")))
-    passed = met.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__plan.passes"))).cast("int"))
+    passed = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__plan.passes").cast("int"))))
     keyed = passed.withColumn("mix_key", mix_key(F.col("epoch"), F.col("__doc"), seed))
     drawn = keyed.where((F.col("epoch") < F.col("__plan.passes")) | (F.col("mix_key") < F.col("__plan.cut")))
     unit = float(1 << BITS)
@@ -138,18 +138,18 @@ def mix_sql(budget_share: float, max_repeats: float, blocks: int = 64, seed: int
     """DuckDB statement for mix_sources(documents, ..., max_repeats): doc_id, source, tokens, epoch, mix_block, mix_key."""
     return rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), w -> w <> '')) AS tokens,
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS tokens,
          concat_ws('|', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, ''))) AS doc
   FROM documents),
 s AS (SELECT source, sum(tokens)::BIGINT AS n FROM d GROUP BY source HAVING sum(tokens) > 0),
 t AS (SELECT sum(n)::DOUBLE AS total, list(n::DOUBLE) AS ns FROM s),
-reps AS (SELECT total, list_transform(ns, n -> n / total) AS ps FROM t),
+reps AS (SELECT total, list_transform(ns, lambda n: n / total) AS ps FROM t),
 bisect(i, lo, hi) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
   UNION ALL
   SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
   FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
-               list_max(list_transform(ps, p -> pow(p, (lo + hi) / 2 - 1))) / list_sum(list_transform(ps, p -> pow(p, (lo + hi) / 2)))
+               list_max(list_transform(ps, lambda p: pow(p, (lo + hi) / 2 - 1))) / list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2)))
                  * {budget_share} <= {max_repeats} * (1 + 1e-12) AS ok
         FROM bisect, reps WHERE i < 45)),
 e AS (SELECT ceil(hi * 1e9 - 1e-4) / 1e9 AS a FROM bisect WHERE i = 45),

@@ -3,7 +3,9 @@
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j): besides a weight for each term the model learns a short
 factor vector, so that pairs of terms (an insult with the mention of a group) count beyond their sum. Terms are the
 distinct words of the whole text, lower case and without punctuation at their ends, and the words' first four letters;
-they are hashed into 2^bits places. x is 1/sqrt(number of terms) for the pairwise part and 1 for the linear part.
+they are hashed into 2^bits places. Terms whose class shares differ by Z_MIN standard errors get a weight, terms of PAIR_SHARE of the
+training rows get factors, and the others don't count: long neutral texts stay neutral. The pairwise sum is divided by
+the number of terms that count.
 
 Training takes at most `per_class` labelled documents of each class (a documented bound; those with the least hash of
 their id), drawn from rows that are not held out. Their term lists are made on the executors; one task fits the
@@ -29,7 +31,8 @@ from .bpe import _Index
 from .common import add_column
 
 BITS, FACTORS, PER_CLASS = 18, 4, 8_000
-EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 6, 64, 0.1, 1e-5, 1e-4, 7
+EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 8, 64, 0.1, 1e-5, 1e-4, 7
+Z_MIN, PAIR_SHARE = 4.0, 0.05
 EDGES = ".,;:!?\"'()[]{}<>*%$#&-_/\\|~`^+=…“”„»«¿¡"
 PREFIX = 4
 MAX_WORDS = 1_000_000
@@ -83,12 +86,14 @@ def terms_of(bits: int) -> Terms:
 
 
 class Model:
-    """w0, w (places) and v (places x factors)."""
+    """w0, w (places) and v (places x factors); `used` marks the places that count."""
 
-    def __init__(self, w0: float, w: np.ndarray, v: np.ndarray):
+    def __init__(self, w0: float, w: np.ndarray, v: np.ndarray, used: np.ndarray | None = None):
         self.w0, self.w, self.v = w0, w, v
+        self.used = (w != 0) | (v != 0).any(axis=1) if used is None else used
 
     def raw(self, places: np.ndarray) -> float:
+        places = places[self.used[places]]
         if not len(places):
             return self.w0
         v = self.v[places]
@@ -100,6 +105,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def evidence(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place: whether its class shares differ beyond chance (it gets a weight of its own), and whether
+    it occurs often enough to learn pairs from (it gets factors)."""
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    c1 = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == 1]), minlength=size)
+    c0 = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == 0]), minlength=size)
+    p = (c1 + c0 + 0.5) / (n1 + n0 + 1)
+    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    return z >= Z_MIN, c1 + c0 >= PAIR_SHARE * (n1 + n0)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Mini-batch AdaGrad on the logistic loss; classes weigh the same."""
     rng = np.random.default_rng(seed)
@@ -109,6 +125,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     if n1 in (0, len(labels)):
         share = np.clip((n1 + 0.5) / (len(labels) + 1), 0.01, 0.99)
         return Model(float(np.log(share / (1 - share))), w, np.zeros((size, factors)))
+    told, often = evidence(rows, labels, size)
+    v[~often] = 0
+    used = told | often
+    rows = [r[used[r]] for r in rows]
     gw, gv, w0, g0 = np.full(size, 1e-6), np.full((size, factors), 1e-6), 0.0, 1e-6
     weight = np.where(labels == 1, len(labels) / (2 * n1), len(labels) / (2 * (len(labels) - n1)))
     for _ in range(epochs):
@@ -132,12 +152,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
             dv = np.stack([np.bincount(back, part[:, f], len(at)) for f in range(factors)], axis=1) + L2_V * v[at]
             gw[at] += dw * dw
             gv[at] += dv * dv
-            w[at] -= RATE * dw / np.sqrt(gw[at])
-            v[at] -= RATE / 4 * dv / np.sqrt(gv[at])
+            w[at] -= RATE * told[at] * dw / np.sqrt(gw[at])
+            v[at] -= RATE / 4 * often[at][:, None] * dv / np.sqrt(gv[at])
             d0 = err.sum()
             g0 += d0 * d0
             w0 -= RATE * d0 / np.sqrt(g0)
-    return Model(w0, w, v)
+    return Model(w0, w, v, used)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> DataFrame:
@@ -167,14 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         pdf = pdf.sort_values(["id", "toxic", "key"])  # any order of arrival gives the same model
         rows = [np.array(p, np.int64) for p in pdf["places"]]
         m = fit(rows, pdf["toxic"].to_numpy(np.int64), bits, factors)
-        yield pd.DataFrame({"w0": [m.w0], "w": [m.w.astype(np.float32).tobytes()], "v": [m.v.astype(np.float32).tobytes()]})
+        yield pd.DataFrame({"w0": [m.w0], "w": [m.w.astype(np.float32).tobytes()], "v": [m.v.astype(np.float32).tobytes()], "used": [m.used.tobytes()]})
 
     # at most 2 * per_class rows (and repeats of their ids): one bounded task
-    row = drawn.repartition(1).mapInPandas(learn, "w0 double, w binary, v binary").collect()
+    row = drawn.repartition(1).mapInPandas(learn, "w0 double, w binary, v binary, used binary").collect()
     if not row:
         return fit([], np.empty(0, np.int64), bits, factors)
     m = row[0]
-    return Model(m["w0"], np.frombuffer(m["w"], np.float32), np.frombuffer(m["v"], np.float32).reshape(-1, factors))
+    return Model(m["w0"], np.frombuffer(m["w"], np.float32), np.frombuffer(m["v"], np.float32).reshape(-1, factors), np.frombuffer(m["used"], bool))
 
 
 def add_score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score", bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
