@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.core import DAY, HOUR, count_if, ladder, mmss, neighbour_within, pct, r4, rnd, sessionize, since, ts_text
 from ..functions.stats import luhn_ok
 
-AT_RISK_MARGIN = 0.15
-
 
 # --------------------------------------------------------------------------- IND-0
-def status(value: Column, critical: float, higher_is_better: bool = True, margin: float = AT_RISK_MARGIN) -> Column:
-    """Healthy / At Risk (within 15 % of the breach limit) / Critical (limit breached)."""
+def status(value: Column, target: float, critical: float, higher_is_better: bool = True, inclusive: bool = False) -> Column:
+    """Healthy within the target, Critical beyond the critical limit, At Risk between the two.
+
+    A target of an indicator that should be high includes the target itself; one that should be low
+    excludes it unless `inclusive`.
+    """
     if higher_is_better:
-        return ladder([(value < critical, "Critical"), (value < critical * (1 + margin), "At Risk")], "Healthy")
-    return ladder([(value > critical, "Critical"), (value > critical * (1 - margin), "At Risk")], "Healthy")
+        return ladder([(value < critical, "Critical"), (value < target, "At Risk")], "Healthy")
+    beyond = value > target if inclusive else value >= target
+    return ladder([(value > critical, "Critical"), (beyond, "At Risk")], "Healthy")
 
 
 # --------------------------------------------------------------------------- IND-00
@@ -46,7 +49,7 @@ def escalation(status_series: DataFrame, key: str, ts: str = "ts", st: str = "st
 
 
 # --------------------------------------------------------------------------- IND-1.4 / IND-8.4
-def active_major_incidents(incidents: DataFrame, as_of: Column, velocity_s: int = DAY, critical: int = 5) -> DataFrame:
+def active_major_incidents(incidents: DataFrame, as_of: Column, velocity_s: int = DAY, target: int = 3, critical: int = 5) -> DataFrame:
     """Open P1/P2 incidents at as_of, by priority total, and new P1/P2 in the last velocity window."""
     o = incidents.filter(F.col("priority").isin(1, 2) & (F.col("opened_at") <= as_of))
     g = o.agg(count_if(F.col("state") != "Resolved").alias("active_p1_p2"),
@@ -54,16 +57,14 @@ def active_major_incidents(incidents: DataFrame, as_of: Column, velocity_s: int
               count_if(since("opened_at", as_of, velocity_s)).alias("new_in_window"),
               F.sum(F.when(F.col("state") != "Resolved", F.col("impact_value"))).alias("impact_value"))
     return g.select("active_p1_p2", "active_p1", "new_in_window", r4("impact_value").alias("impact_value"),
-                    status(F.col("active_p1_p2").cast("double"), float(critical), higher_is_better=False).alias("status"))
+                    status(F.col("active_p1_p2").cast("double"), float(target), float(critical), higher_is_better=False, inclusive=True).alias("status"))
 
 
-def security_incidents_24h(incidents: DataFrame, as_of: Column) -> DataFrame:
-    """IND-8.4: P1/P2 opened in the trailing 24 h per day (range frame over daily counts)."""
-    d = (incidents.filter(F.col("priority").isin(1, 2))
-         .groupBy(F.date_trunc("day", "opened_at").alias("day")).agg(F.count(F.lit(1)).alias("n")))
-    w = Window.orderBy(F.col("day").cast("long")).rangeBetween(-(DAY - 1), 0)
-    return d.select(ts_text("day").alias("day"), F.sum("n").over(w).alias("p1_p2_24h")) \
-        .withColumn("status", F.when(F.col("p1_p2_24h") > 0, "Critical").otherwise("Healthy"))
+def security_incidents_24h(incidents: DataFrame, as_of: Column, window_s: int = DAY) -> DataFrame:
+    """IND-8.4: P1 and P2 opened in the 24 h before as_of; any P1 is Critical, a P2 alone is Warning."""
+    n = incidents.filter(since("opened_at", as_of, window_s) & (F.col("opened_at") <= as_of)).agg(
+        count_if(F.col("priority") == 1).alias("p1_24h"), count_if(F.col("priority") == 2).alias("p2_24h"))
+    return n.withColumn("status", ladder([(F.col("p1_24h") > 0, "Critical"), (F.col("p2_24h") > 0, "Warning")], "Healthy"))
 
 
 # --------------------------------------------------------------------------- IND-3.x (voice)
@@ -73,7 +74,7 @@ def mos_weighted(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY, keys
     g = c.rollup(*keys).agg((F.sum(F.col("mos") * F.col("duration_min")) / F.sum("duration_min")).alias("mos_weighted"),
                             F.percentile("mos", 0.10).alias("mos_p10"), F.count(F.lit(1)).alias("calls"))
     return g.select(*[F.coalesce(F.col(k), F.lit("ALL")).alias(k) for k in keys], r4("mos_weighted").alias("mos_weighted"),
-                    r4("mos_p10").alias("mos_p10"), "calls", status(r4("mos_weighted"), 3.6).alias("status"))
+                    r4("mos_p10").alias("mos_p10"), "calls", status(r4("mos_weighted"), 4.0, 3.6).alias("status"))
 
 
 def poor_call_rate(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY, keys=()) -> DataFrame:
@@ -86,32 +87,41 @@ def poor_call_rate(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY, ke
         count_if(F.col("mos") < 3.0).alias("very_poor"))
     rate = rnd(pct(F.col("poor_calls"), F.col("total_calls")), 2)
     return g.select(*keys, "poor_calls", "total_calls", r4(rate).alias("poor_call_rate"), "acceptable", "poor",
-                    "very_poor", status(rate, 5.0, higher_is_better=False).alias("status"))
+                    "very_poor", status(rate, 3.0, 5.0, higher_is_better=False).alias("status"))
 
 
 def concurrent_calls(calls: DataFrame, capacity: float, unit: str = "day", bucket: str = "hour") -> DataFrame:
-    """IND-3.3: concurrent calls from +1 / -1 events (an end sorts before a start at the same
-    instant); peak, average and utilisation of the trunk capacity per reporting period `unit`.
+    """IND-3.3: concurrent calls from starts and ends (at one instant ends come first); peak, time-weighted
+    mean and utilisation of the trunk capacity per reporting period `unit`.
 
+    Changes are summed by instant before anything is ordered, so that many calls that start together are one row.
     Exact two-level prefix sum, no global ordering: a running sum inside each `bucket`, plus a
-    carry-in per bucket = the running total of the per-bucket net counts (one row per bucket).
+    carry-in per bucket = the running total of the per-bucket net counts (one row per bucket). Every bucket
+    has a row at its start, so calls carried into a period count in its peak and its mean.
     """
     start = F.col("call_time")
     end = start + F.make_dt_interval(secs=(F.col("duration_min") * 60).cast("decimal(18,6)"))
     c = calls.select(start.alias("s"), end.alias("e"))
     ev = c.select(F.col("s").alias("t"), F.lit(1).alias("d")).unionByName(c.select(F.col("e").alias("t"), F.lit(-1).alias("d")))
-    ev = ev.withColumn("b", F.date_trunc(bucket, "t"))
-    net = ev.groupBy("b").agg(F.sum("d").alias("net"))
+    at = ev.groupBy("t").agg(F.sum("d").alias("d"))
+    ends = at.agg(F.min(F.date_trunc(bucket, "t")).alias("lo"), F.max(F.date_trunc(bucket, "t")).alias("hi"))
+    marks = ends.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL 1 {bucket}"))).alias("t"), F.lit(0).cast("long").alias("d"))
+    at = at.unionByName(marks).groupBy("t").agg(F.sum("d").alias("d")).withColumn("b", F.date_trunc(bucket, "t"))
+    net = at.groupBy("b").agg(F.sum("d").alias("net"))
     carry = net.withColumn("carry", F.coalesce(F.sum("net").over(
         Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("net")
-    w = Window.partitionBy("b").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    run = ev.withColumn("conc", F.sum("d").over(w)).join(carry, "b").withColumn("concurrent", F.col("conc") + F.col("carry"))
-    g = run.groupBy(F.date_trunc(unit, "t").alias("p")).agg(F.max("concurrent").alias("peak_concurrent"),
-                                                           F.avg("concurrent").alias("avg_concurrent"))
+    w = Window.partitionBy("b").orderBy("t")
+    run = (at.withColumn("conc", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("until", F.coalesce(F.lead("t").over(w), F.col("b") + F.expr(f"INTERVAL 1 {bucket}")))
+           .join(carry, "b").withColumn("concurrent", F.col("conc") + F.col("carry"))
+           .withColumn("secs", (F.unix_micros("until") - F.unix_micros("t")) / 1e6))
+    g = run.groupBy(F.date_trunc(unit, "t").alias("p")).agg(
+        F.max("concurrent").alias("peak_concurrent"),
+        (F.sum(F.col("concurrent") * F.col("secs")) / F.sum("secs")).alias("avg_concurrent"))
     return g.select(ts_text("p").alias("period"), F.col("peak_concurrent").cast("long").alias("peak_concurrent"),
                     r4("avg_concurrent").alias("avg_concurrent"),
                     r4(F.col("peak_concurrent") * 100.0 / capacity).alias("peak_utilisation_pct"),
-                    status(F.col("peak_concurrent") * 100.0 / capacity, 90.0, higher_is_better=False).alias("status"))
+                    status(F.col("peak_concurrent") * 100.0 / capacity, 80.0, 90.0, higher_is_better=False).alias("status"))
 
 
 def queue_wait(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY) -> DataFrame:
@@ -119,7 +129,7 @@ def queue_wait(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY) -> Dat
     c = calls.filter(since("call_time", as_of, window_s))
     g = c.groupBy("queue").agg((F.sum("wait_sec") / F.count(F.lit(1))).alias("asa_sec"), F.count(F.lit(1)).alias("answered"))
     return g.select("queue", r4("asa_sec").alias("asa_sec"), mmss(F.col("asa_sec")).alias("asa_text"), "answered",
-                    status(F.col("asa_sec"), 180.0, higher_is_better=False).alias("status"))
+                    status(F.col("asa_sec"), 90.0, 180.0, higher_is_better=False).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-9.4 (JOIN-13)
@@ -141,7 +151,7 @@ def repeat_contacts(contacts: DataFrame, as_of: Column, lookback_s: int = 7 * DA
     return g.select("category", "contacts_1h", "repeats_1h", "contacts_4h", "repeats_4h", "contacts_today",
                     "repeats_today", "contacts_all", "repeats_all",
                     r4(pct(F.col("repeats_today"), F.col("contacts_today"))).alias("repeat_rate_today"),
-                    r4(rate).alias("repeat_rate_all"), status(rate, 30.0, higher_is_better=False).alias("status"))
+                    r4(rate).alias("repeat_rate_all"), status(rate, 20.0, 30.0, higher_is_better=False).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-13.3
@@ -158,7 +168,7 @@ def cross_channel_journeys(contacts: DataFrame, gap_s: int = 7 * DAY, resolved_c
               count_if(F.col("last_category").isin(*resolved_categories)).alias("resolved"))
     rate = pct(F.col("resolved"), F.col("cross_channel_journeys"))
     return g.select("cross_channel_journeys", "resolved", r4(rate).alias("resolution_rate"),
-                    status(rate, 70.0).alias("status"))
+                    status(rate, 80.0, 70.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-11.1 / IND-14.4 (transcripts)
@@ -177,7 +187,7 @@ def qa_predictor(transcripts: DataFrame, behaviours: dict, agent_role: str = "as
     shown = sum((F.col(f"b_{n}") > 0).cast("int") for n in behaviours)
     score = shown * 100.0 / len(behaviours)
     return g.select("conv_id", *[F.col(f"b_{n}").cast("long").alias(f"b_{n}") for n in behaviours],
-                    r4(score).alias("qa_score"), status(score, 70.0).alias("status"))
+                    r4(score).alias("qa_score"), status(score, 85.0, 70.0).alias("status"))
 
 
 def disclosure_compliance(transcripts: DataFrame, phrases, agent_role: str = "assistant") -> DataFrame:
@@ -191,7 +201,7 @@ def disclosure_compliance(transcripts: DataFrame, phrases, agent_role: str = "as
               F.sum("turns").alias("turns"))
     rate = pct(F.col("compliant_turns"), F.col("turns"))
     return t.select("conversations", "compliant", r4(pct(F.col("compliant"), F.col("conversations"))).alias("compliance_pct"),
-                    r4(rate).alias("weighted_compliance_pct"), status(rate, 99.0).alias("status"))
+                    r4(rate).alias("weighted_compliance_pct"), status(rate, 100.0, 99.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-14.1 (PCI)
@@ -213,7 +223,7 @@ def pci_compliance(documents: DataFrame) -> DataFrame:
                                 F.sum(F.coalesce(F.col("cards"), F.lit(0))).alias("card_numbers"))
     comp = pct(F.col("documents") - F.col("with_card_numbers"), F.col("documents"))
     return g.select("source", "documents", "with_card_numbers", F.col("card_numbers").cast("long").alias("card_numbers"),
-                    r4(comp).alias("compliance_pct"), status(comp, 99.5).alias("status"))
+                    r4(comp).alias("compliance_pct"), status(comp, 100.0, 99.5).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-6.4 / IND-13.1 (channel shares)
@@ -235,7 +245,7 @@ def availability(host_status: DataFrame, as_of: Column, window_s: int = 30 * DAY
     g = h.rollup(by).agg(count_if(F.col("health_status") == "HEALTHY").alias("uptime"), F.count(F.lit(1)).alias("scheduled"))
     a = pct(F.col("uptime"), F.col("scheduled"))
     return g.select(F.coalesce(F.col(by), F.lit("GLOBAL")).alias(by), "uptime", "scheduled",
-                    r4(a).alias("availability_pct"), status(a, 99.5).alias("status"))
+                    r4(a).alias("availability_pct"), status(a, 99.9, 99.5).alias("status"))
 
 
 def latency_by_agents(samples: DataFrame, as_of: Column, window_s: int, site: str = "region") -> DataFrame:
@@ -247,7 +257,7 @@ def latency_by_agents(samples: DataFrame, as_of: Column, window_s: int, site: st
     p95 = s.agg(F.percentile("latency_ms", 0.95)).scalar()
     return g.select(r4("weighted_latency_ms").alias("weighted_latency_ms"), r4(p95).alias("p95_latency_ms"),
                     F.col("agents").cast("long").alias("agents"),
-                    status(F.col("weighted_latency_ms"), 180.0, higher_is_better=False).alias("status"))
+                    status(F.col("weighted_latency_ms"), 120.0, 180.0, higher_is_better=False).alias("status"))
 
 
 def packet_loss(traffic: DataFrame, as_of: Column, window_s: int, by: str = "region") -> DataFrame:
@@ -257,7 +267,7 @@ def packet_loss(traffic: DataFrame, as_of: Column, window_s: int, by: str = "reg
     v = pct(F.col("lost"), F.col("sent"))
     return g.select(F.coalesce(F.col(by), F.lit("GLOBAL")).alias(by), F.col("lost").cast("long").alias("lost"),
                     F.col("sent").cast("long").alias("sent"), r4(v).alias("packet_loss_pct"),
-                    status(v, 1.0, higher_is_better=False).alias("status"))
+                    status(v, 0.5, 1.0, higher_is_better=False).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-5.1 / IND-7.2 / IND-7.4 / IND-8.1 / IND-8.3
@@ -268,12 +278,14 @@ def session_success(sessions: DataFrame, as_of: Column, window_s: int) -> DataFr
               count_if(F.col("outcome") == "slow").alias("slow"))
     broad = pct(F.col("success") + F.col("slow"), F.col("attempts"))
     return g.select("attempts", "success", "slow", r4(pct(F.col("success"), F.col("attempts"))).alias("strict_success_pct"),
-                    r4(broad).alias("success_pct"), status(broad, 95.0).alias("status"))
+                    r4(broad).alias("success_pct"), status(broad, 98.0, 95.0).alias("status"))
 
 
-def crm_response(tx: DataFrame, limits: DataFrame, as_of: Column, window_s: int) -> DataFrame:
-    """Average and p95 response per transaction type against its own limit, share over limit, error rate."""
-    t = tx.filter(since("ts", as_of, window_s)).join(F.broadcast(limits), "tx_type")
+def crm_response(tx: DataFrame, limits: DataFrame, as_of: Column, window_s: int, default_limit: float = 5.0) -> DataFrame:
+    """Average and p95 response per transaction type against its own limit (unlisted types: the default),
+    share over limit, error rate."""
+    t = (tx.filter(since("ts", as_of, window_s)).join(limits, "tx_type", "left")
+         .withColumn("limit_s", F.coalesce("limit_s", F.lit(default_limit))))
     g = t.groupBy("tx_type", "limit_s").agg(
         F.avg("response_s").alias("avg_s"), F.percentile("response_s", 0.95).alias("p95_s"),
         count_if(F.col("response_s") > F.col("limit_s")).alias("over_limit"), count_if(F.col("is_error")).alias("errors"),
@@ -281,7 +293,7 @@ def crm_response(tx: DataFrame, limits: DataFrame, as_of: Column, window_s: int)
     return g.select("tx_type", "limit_s", r4("avg_s").alias("avg_s"), r4("p95_s").alias("p95_s"),
                     r4(pct(F.col("over_limit"), F.col("tx"))).alias("over_limit_pct"),
                     r4(pct(F.col("errors"), F.col("tx"))).alias("error_rate_pct"),
-                    status(F.col("avg_s"), 5.0, higher_is_better=False).alias("status"))
+                    status(F.col("avg_s"), 3.0, 5.0, higher_is_better=False).alias("status"))
 
 
 def api_error_rate(requests: DataFrame, as_of: Column, window_s: int, by: str = "endpoint") -> DataFrame:
@@ -292,7 +304,7 @@ def api_error_rate(requests: DataFrame, as_of: Column, window_s: int, by: str =
     broad = pct(F.col("e5xx") + F.col("timeouts"), F.col("requests"))
     return g.select(by, "requests", r4(pct(F.col("e5xx"), F.col("requests"))).alias("strict_pct"), r4(broad).alias("broad_pct"),
                     r4(pct(F.col("e5xx") + F.col("timeouts") + F.col("slow"), F.col("requests"))).alias("very_broad_pct"),
-                    status(broad, 1.0, higher_is_better=False).alias("status"))
+                    status(broad, 0.5, 1.0, higher_is_better=False).alias("status"))
 
 
 def sso_success(auth: DataFrame, as_of: Column, window_s: int) -> DataFrame:
@@ -303,7 +315,7 @@ def sso_success(auth: DataFrame, as_of: Column, window_s: int) -> DataFrame:
     s = pct(F.col("success"), F.col("attempts"))
     return g.select("attempts", "success", "technical_failures", r4(s).alias("success_pct"),
                     r4(pct(F.col("technical_failures"), F.col("attempts"))).alias("technical_failure_pct"),
-                    status(s, 98.0).alias("status"))
+                    status(s, 99.5, 98.0).alias("status"))
 
 
 def abnormal_terminations(ends: DataFrame, unit: str = "hour", spike_factor: float = 2.0, trail_s: int = DAY) -> DataFrame:
@@ -316,7 +328,7 @@ def abnormal_terminations(ends: DataFrame, unit: str = "hour", spike_factor: flo
     return p.select(ts_text("period").alias("period"), "abnormal", "ends", r4("rate").alias("abnormal_rate_pct"),
                     r4("trailing").alias("trailing_avg_pct"),
                     F.coalesce(F.col("rate") > F.col("trailing") * spike_factor, F.lit(False)).alias("spike"),
-                    status(F.col("rate"), 2.0, higher_is_better=False).alias("status"))
+                    status(F.col("rate"), 1.0, 2.0, higher_is_better=False).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-10.2 / IND-12.1
@@ -409,7 +421,7 @@ def revenue_protection(components: DataFrame) -> DataFrame:
     g = components.groupBy("opportunity").agg(F.sum("amount").alias("revenue_at_risk"))
     score = F.lit(100.0) - F.col("revenue_at_risk") * 100.0 / F.col("opportunity")
     return g.select(r4("revenue_at_risk").alias("revenue_at_risk"), r4("opportunity").alias("opportunity"),
-                    r4(score).alias("protection_score"), status(score, 95.0).alias("status"))
+                    r4(score).alias("protection_score"), status(score, 97.0, 95.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-2.2 / IND-2.3 / IND-5.2
@@ -437,7 +449,7 @@ def wan_utilisation(traffic: DataFrame, as_of: Column, capacity: float, rolling_
     cur = p.filter(since("period", as_of, window_s))
     g = cur.groupBy(site).agg(F.avg("rolling").alias("avg_util"), F.max("rolling").alias("peak_util"))
     return g.select(site, r4("avg_util").alias("avg_utilisation_pct"), r4("peak_util").alias("peak_utilisation_pct"),
-                    status(F.col("peak_util"), 85.0, higher_is_better=False).alias("status"))
+                    status(F.col("peak_util"), 70.0, 85.0, higher_is_better=False).alias("status"))
 
 
 def ica_latency(sessions: DataFrame, as_of: Column, window_s: int, by: str = "vendor_id") -> DataFrame:
@@ -446,7 +458,7 @@ def ica_latency(sessions: DataFrame, as_of: Column, window_s: int, by: str = "ve
     g = s.groupBy(by).agg((F.sum(F.col("latency_ms") * F.col("duration")) / F.sum("duration")).alias("w"),
                           F.percentile("latency_ms", 0.95).alias("p95"))
     return g.select(by, r4("w").alias("weighted_latency_ms"), r4("p95").alias("p95_latency_ms"),
-                    status(F.col("w"), 100.0, higher_is_better=False).alias("status"))
+                    status(F.col("w"), 60.0, 100.0, higher_is_better=False).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-4.1 / 4.3 / 10.1 / 10.3 / 10.4
@@ -507,7 +519,7 @@ def schedule_efficiency(calls: DataFrame, as_of: Column, window_s: int, shift_mi
               F.count(F.lit(1)).alias("intervals"))
     eff = (F.lit(1.0) - F.col("dev") / F.col("req")) * 100.0
     return g.select("intervals", r4("req").alias("required_total"), r4(eff).alias("efficiency_pct"),
-                    status(eff, 90.0).alias("status"))
+                    status(eff, 95.0, 90.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-11.4 / IND-7.3
@@ -524,12 +536,16 @@ def coaching_priority(calls: DataFrame, as_of: Column, window_s: int, cohort: st
                     r4(coach).alias("coachability"), r4(pr).alias("priority"), (pr > 30).alias("coach_first"))
 
 
-def data_freshness(events: DataFrame, limits: DataFrame, as_of: Column, source: str = "source") -> DataFrame:
-    """Seconds since the last record per source against the source's own limit; overall = the stalest."""
+def data_freshness(events: DataFrame, limits: DataFrame, as_of: Column, source: str = "source",
+                   default_limit: int = 60) -> DataFrame:
+    """Seconds since the last record per source against the source's own limit (unlisted sources: the default);
+    the stalest source, which sets the overall value, is marked."""
     g = events.groupBy(source).agg(F.max("ts").alias("last_seen"))
-    j = g.join(F.broadcast(limits), source)
+    j = g.join(limits, source, "left").withColumn("limit_s", F.coalesce("limit_s", F.lit(default_limit)))
+    stalest = g.select(F.min("last_seen")).scalar()
     age = F.floor((F.unix_micros(as_of) - F.unix_micros("last_seen")) / 1_000_000)
     return j.select(source, ts_text("last_seen").alias("last_seen"), age.cast("long").alias("age_s"), "limit_s",
+                    (F.col("last_seen") == stalest).alias("is_worst"),
                     F.when(age > F.col("limit_s"), "Critical").when(age > F.col("limit_s") * 0.85, "At Risk")
                     .otherwise("Healthy").alias("status"))
 
@@ -565,7 +581,7 @@ def schedule_adherence(states: DataFrame, schedule: DataFrame) -> DataFrame:
     out = sched.join(adh, "day", "left").fillna(0.0, ["adherent_min"])
     p = pct(F.col("adherent_min"), F.col("scheduled_min"))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r4("scheduled_min").alias("scheduled_min"),
-                      r4("adherent_min").alias("adherent_min"), r4(p).alias("adherence_pct"), status(p, 85.0).alias("status"))
+                      r4("adherent_min").alias("adherent_min"), r4(p).alias("adherence_pct"), status(p, 92.0, 85.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-11.3 (JOIN-14)
@@ -611,7 +627,7 @@ def consent_verification(outbound: DataFrame, consent: DataFrame, key: str = "cu
     g = j.agg(F.count(F.lit(1)).alias("outbound"), F.count("_ok").alias("verified"))
     v = pct(F.col("verified"), F.col("outbound"))
     return g.select("outbound", "verified", (F.col("outbound") - F.col("verified")).alias("blocked"),
-                    r4(v).alias("verification_rate"), r4(F.lit(100.0) - v).alias("block_rate"), status(v, 99.0).alias("status"))
+                    r4(v).alias("verification_rate"), r4(F.lit(100.0) - v).alias("block_rate"), status(v, 100.0, 99.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-6.1 / 6.3 / 12.4 (next-contact rules)
@@ -632,7 +648,7 @@ def ivr_containment(contacts: DataFrame, ivr_channel: str, window_s: int = DAY)
               count_if(~(_within(window_s) & (F.col("next_channel") != F.col("channel")))).alias("contained_broad"))
     broad = pct(F.col("contained_broad"), F.col("ivr_sessions"))
     return g.select("ivr_sessions", r4(pct(F.col("contained_strict"), F.col("ivr_sessions"))).alias("strict_pct"),
-                    r4(broad).alias("broad_pct"), status(broad, 60.0).alias("status"))
+                    r4(broad).alias("broad_pct"), status(broad, 68.0, 60.0).alias("status"))
 
 
 def chatbot_by_intent(contacts: DataFrame, bot_channel: str, intent: Column, window_s: int = DAY) -> DataFrame:
@@ -642,7 +658,7 @@ def chatbot_by_intent(contacts: DataFrame, bot_channel: str, intent: Column, win
                                 count_if(_within(window_s) & (F.col("next_channel") != F.col("channel"))).alias("escalated"))
     res = pct(F.col("resolved"), F.col("sessions"))
     return g.select("intent", "sessions", r4(res).alias("resolution_pct"),
-                    r4(pct(F.col("escalated"), F.col("sessions"))).alias("escalation_pct"), status(res, 55.0).alias("status"))
+                    r4(pct(F.col("escalated"), F.col("sessions"))).alias("escalation_pct"), status(res, 65.0, 55.0).alias("status"))
 
 
 def avoidable_contacts(contacts: DataFrame, cost_per_contact: float = 6.0, repeat_s: int = 7 * DAY,
@@ -654,7 +670,7 @@ def avoidable_contacts(contacts: DataFrame, cost_per_contact: float = 6.0, repea
     g = c.groupBy("category").agg(F.count(F.lit(1)).alias("contacts"), count_if(av).alias("avoidable"))
     rate = pct(F.col("avoidable"), F.col("contacts"))
     return g.select("category", "contacts", "avoidable", r4(F.col("avoidable") * cost_per_contact).alias("avoidable_cost"),
-                    r4(rate).alias("avoidable_rate_pct"), status(rate, 25.0, higher_is_better=False).alias("status"))
+                    r4(rate).alias("avoidable_rate_pct"), status(rate, 15.0, 25.0, higher_is_better=False).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-7.1 / IND-8.2 / IND-1.3
@@ -665,7 +681,7 @@ def screen_pop(pops: DataFrame, as_of: Column, window_s: int, strict_ms: float =
               count_if(F.col("pop_ms") <= broad_ms).alias("broad_ok"))
     broad = pct(F.col("broad_ok"), F.col("pops"))
     return g.select("pops", r4(pct(F.col("strict_ok"), F.col("pops"))).alias("strict_pct"), r4(broad).alias("broad_pct"),
-                    status(broad, 95.0).alias("status"))
+                    status(broad, 99.0, 95.0).alias("status"))
 
 
 def mfa_compliance(users: DataFrame, enrolled: DataFrame) -> DataFrame:
@@ -674,7 +690,7 @@ def mfa_compliance(users: DataFrame, enrolled: DataFrame) -> DataFrame:
     g = users.agg(F.count(F.lit(1)).alias("active_users"))
     v = pct(F.col("active_users") - missing, F.col("active_users"))
     return g.select("active_users", missing.alias("remediation_needed"), r4(v).alias("compliance_pct"),
-                    status(v, 99.0).alias("status"))
+                    status(v, 100.0, 99.0).alias("status"))
 
 
 def headroom(usage: DataFrame, capacities: dict, by: str = "region") -> DataFrame:
@@ -685,7 +701,7 @@ def headroom(usage: DataFrame, capacities: dict, by: str = "region") -> DataFram
     parts = {c: F.lit(100.0) - F.col(c) * 100.0 / cap for c, cap in capacities.items()}
     hr = F.least(*parts.values())
     return g.select(by, *[r4(v).alias(f"{c}_headroom") for c, v in parts.items()], r4(hr).alias("headroom_pct"),
-                    status(hr, 10.0).alias("status"))
+                    status(hr, 20.0, 10.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-9.2
@@ -746,7 +762,7 @@ def labour_efficiency(calls: DataFrame, as_of: Column, window_s: int, paid_hours
     qf = F.lit(0.8) + F.col("qa") / 100.0 * 0.4
     ler = F.col("contacts") * qf / (F.col("agent_days") * paid_hours_per_day)
     return g.select(by, "contacts", r4("qa").alias("qa_score"), r4(qf).alias("quality_factor"), r4(ler).alias("labour_efficiency"),
-                    status(ler, 3.0).alias("status"))
+                    status(ler, 4.0, 3.0).alias("status"))
 
 
 def vda_health(vdas: DataFrame, sessions_per_vda: int = 60, load_limit: float = 10000.0) -> DataFrame:
@@ -755,7 +771,7 @@ def vda_health(vdas: DataFrame, sessions_per_vda: int = 60, load_limit: float =
     g = vdas.agg(F.count(F.lit(1)).alias("vdas"), count_if(healthy).alias("healthy"))
     v = pct(F.col("healthy"), F.col("vdas"))
     return g.select("vdas", "healthy", r4(v).alias("vda_health_pct"),
-                    (F.col("healthy") * sessions_per_vda).alias("available_sessions"), status(v, 75.0).alias("status"))
+                    (F.col("healthy") * sessions_per_vda).alias("available_sessions"), status(v, 85.0, 75.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-13.4
@@ -781,7 +797,7 @@ def digital_experience(contacts: DataFrame, digital=("click", "view"), failure:
     parts = one.withColumns({"task_completion": tc, "response_time": rt, "effort": ces, "satisfaction": F.lit(100.0) - rep})
     out = weighted_index(parts, DXS_WEIGHTS, "dxs")
     return out.select("contacts", *[r4(c).alias(c) for c in DXS_WEIGHTS], r4("dxs").alias("dxs"),
-                      status(r4("dxs"), 65.0).alias("status"))
+                      status(r4("dxs"), 80.0, 65.0).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-4.4
@@ -808,4 +824,4 @@ def unplanned_shrinkage(states: DataFrame, schedule: DataFrame, technical_state:
     return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r4("scheduled").alias("scheduled_min"),
                     r4(pct(F.col("technical"), F.col("scheduled"))).alias("technical_pct"),
                     r4(pct(absent, F.col("scheduled"))).alias("absence_pct"), r4(tot).alias("unplanned_shrinkage_pct"),
-                    status(tot, 10.0, higher_is_better=False).alias("status"))
+                    status(tot, 6.0, 10.0, higher_is_better=False).alias("status"))

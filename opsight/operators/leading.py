@@ -129,10 +129,11 @@ def status_of(value: Column, cfg_h: Column, cfg_w: Column, inverted: Column) ->
 
 
 def score_signals(values: DataFrame, signal_config: DataFrame) -> DataFrame:
-    """Threshold scoring, normal and inverted (config is one row per signal, broadcast)."""
-    j = values.join(F.broadcast(signal_config), "signal_name")
-    return j.withColumn("status", status_of(F.col("numeric_value"), F.col("healthy_threshold"),
-                                            F.col("warning_threshold"), F.col("is_inverted")))
+    """Threshold scoring, normal and inverted; a signal without thresholds is kept as 'unconfigured'."""
+    j = values.join(signal_config, "signal_name", "left")
+    scored = status_of(F.col("numeric_value"), F.col("healthy_threshold"), F.col("warning_threshold"), F.col("is_inverted"))
+    known = F.col("healthy_threshold").isNotNull() & F.col("warning_threshold").isNotNull()
+    return j.withColumn("status", F.when(known, scored).otherwise("unconfigured"))
 
 
 # --------------------------------------------------------------------------- LIP-2
@@ -200,21 +201,26 @@ def correlations(scored: DataFrame, rules: DataFrame, as_of: Column, recent_s: i
 
 
 # --------------------------------------------------------------------------- LIP-6
-def cascade(active: DataFrame, depth: int = 3) -> DataFrame:
-    """Root causes of each affected signal by walking active cause -> effect edges up to `depth` hops.
+def cascade(active: DataFrame) -> DataFrame:
+    """Root causes of each affected signal over active cause -> effect edges, with the least number of hops.
 
-    A bounded iterative self-join over the (small) active-edge table: one join per hop.
+    The walk goes on until it finds no new (signal, cause) pair, so chains have any length and cycles end. A root
+    is a cause that nothing outside its own cycle causes; of a cycle the first signal by name stands
+    for all. The edges come from the rule table (one row per rule), so each hop is a join of small tables.
     """
-    e = active.select(F.col("signal_a").alias("cause"), F.col("signal_b").alias("effect"))
-    paths = e.select(F.col("effect").alias("signal"), F.col("cause").alias("root"), F.lit(1).alias("hops"))
-    frontier = paths
-    for hop in range(2, depth + 1):
-        frontier = (frontier.join(e.withColumnRenamed("effect", "root"), "root")
-                    .select("signal", F.col("cause").alias("root"), F.lit(hop).alias("hops")))
-        paths = paths.unionByName(frontier)
-    has_parent = e.select(F.col("effect").alias("root")).distinct()
-    roots = paths.join(has_parent, "root", "left_anti")
-    return (roots.groupBy("signal", "root").agg(F.min("hops").alias("hops")))
+    e = active.select(F.col("signal_a").alias("cause"), F.col("signal_b").alias("effect")).distinct().checkpoint()
+    found = e.select(F.col("effect").alias("signal"), F.col("cause").alias("root"), F.lit(1).alias("hops"))
+    frontier = found
+    while not frontier.isEmpty():
+        step = (frontier.join(e.withColumnRenamed("effect", "root"), "root")
+                .select("signal", F.col("cause").alias("root"), (F.col("hops") + 1).alias("hops")).distinct())
+        frontier = step.join(found, ["signal", "root"], "left_anti").checkpoint()
+        found = found.unionByName(frontier)
+    back = found.select(F.col("root").alias("signal"), F.col("signal").alias("root"), F.lit(True).alias("mutual"))
+    pairs = found.join(back, ["signal", "root"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
+    # A cause is no root if something causes it from outside its cycle, or if its cycle has a signal with a smaller name.
+    caused = pairs.filter(~F.col("mutual") | (F.col("root") < F.col("signal"))).select(F.col("signal").alias("root")).distinct()
+    return found.join(caused, "root", "left_anti").select("signal", "root", "hops")
 
 
 # --------------------------------------------------------------------------- LIP-7

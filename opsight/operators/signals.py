@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import count_if, ladder, pct, r4, rnd, since
 
+DEFAULT_SLA = 30  # seconds, for calls of a queue without a line of business
+
 OPEN_STATES = ("Open", "In Progress", "New", "On Hold")
 
 # LOB sub-signal thresholds (healthy, warning) of the Call LOB SLA signal.
@@ -65,9 +67,15 @@ def platform_signal(provider_status: DataFrame, checks: DataFrame, unit: str = "
 
 
 # --------------------------------------------------------------------------- SIG-5 / SIG-16
+def _with_lob(calls: DataFrame, lob_config: DataFrame, default_sla: int = DEFAULT_SLA) -> DataFrame:
+    """Calls with their line of business; calls of a queue that has none stay, as 'Unlisted' with the default target."""
+    return (calls.join(lob_config, "queue", "left").withColumn("lob_name", F.coalesce("lob_name", F.lit("Unlisted")))
+            .withColumn("sla_target_sec", F.coalesce("sla_target_sec", F.lit(default_sla))))
+
+
 def lob_sla_signal(calls: DataFrame, lob_config: DataFrame, as_of: Column, window_s: int) -> DataFrame:
     """Share of calls answered within the LOB's target, total and per LOB (sorted breakdown)."""
-    c = calls.filter(since("call_time", as_of, window_s)).join(F.broadcast(lob_config), "queue")
+    c = _with_lob(calls.filter(since("call_time", as_of, window_s)), lob_config)
     per = c.groupBy("lob_name").agg(count_if(F.col("wait_sec") <= F.col("sla_target_sec")).alias("sla_met"),
                                     F.count(F.lit(1)).alias("call_count"))
     g = per.agg(F.sum("sla_met").alias("met"), F.sum("call_count").alias("n"),
@@ -82,17 +90,17 @@ def lob_sla_signal(calls: DataFrame, lob_config: DataFrame, as_of: Column, windo
 
 def lob_sub_signals(calls: DataFrame, lob_config: DataFrame, thresholds: DataFrame, as_of: Column, window_s: int) -> DataFrame:
     """Per-LOB sub-signal snapshots scored with their own thresholds (unpivoted rows + threshold join)."""
-    c = calls.filter(since("call_time", as_of, window_s)).join(F.broadcast(lob_config), "queue")
+    c = _with_lob(calls.filter(since("call_time", as_of, window_s)), lob_config)
     per = c.groupBy("lob_name").agg(rnd(pct(count_if(F.col("wait_sec") <= F.col("sla_target_sec")),
                                              F.count(F.lit(1))), 1).alias("v"))
-    j = per.join(F.broadcast(thresholds), "lob_name")
+    j = per.join(thresholds, "lob_name", "left")
     return j.select(F.lit("Call LOB SLA").alias("parent_signal"), F.col("lob_name").alias("sub_name"),
                     r4("v").alias("numeric_value"),
                     _status_cols(F.col("v"), F.col("healthy"), F.col("warning")).alias("status"))
 
 
 def _status_cols(v: Column, h: Column, w: Column) -> Column:
-    return F.when(v >= h, "healthy").when(v >= w, "warning").otherwise("critical")
+    return F.when(h.isNull() | w.isNull(), "unconfigured").when(v >= h, "healthy").when(v >= w, "warning").otherwise("critical")
 
 
 # --------------------------------------------------------------------------- SIG-7 / SIG-8 / SIG-18

@@ -32,10 +32,10 @@ def _since(col: str, asof: str, seconds: int) -> str:
     return f"{col} >= {asof} - to_seconds({seconds})"
 
 
-def _status(v: str, crit: float, higher=True, margin=0.15) -> str:
+def _status(v: str, target: float, crit: float, higher=True, inclusive=False) -> str:
     if higher:
-        return f"CASE WHEN {v} < {crit} THEN 'Critical' WHEN {v} < {crit * (1 + margin)!r} THEN 'At Risk' ELSE 'Healthy' END"
-    return f"CASE WHEN {v} > {crit} THEN 'Critical' WHEN {v} > {crit * (1 - margin)!r} THEN 'At Risk' ELSE 'Healthy' END"
+        return f"CASE WHEN {v} < {crit} THEN 'Critical' WHEN {v} >= {target} THEN 'Healthy' ELSE 'At Risk' END"
+    return f"CASE WHEN {v} > {crit} THEN 'Critical' WHEN {v} {'<=' if inclusive else '<'} {target} THEN 'Healthy' ELSE 'At Risk' END"
 
 
 def _mmss(sec: str) -> str:
@@ -213,17 +213,17 @@ def kpi17(spark, sf_dir):
   count(*) FILTER (WHERE state <> 'Resolved' AND priority = 1) AS active_p1,
   count(*) FILTER (WHERE {_since('opened_at', INC_ASOF, DAY)}) AS new_in_window,
   {r4("sum(CASE WHEN state <> 'Resolved' THEN impact_value END)")} AS impact_value,
-  {_status("CAST(count(*) FILTER (WHERE state <> 'Resolved') AS DOUBLE)", 5.0, higher=False)} AS status
+  {_status("CAST(count(*) FILTER (WHERE state <> 'Resolved') AS DOUBLE)", 3.0, 5.0, higher=False, inclusive=True)} AS status
 FROM incidents WHERE priority IN (1, 2) AND opened_at <= {INC_ASOF}""")
 def ind1_4(spark, sf_dir):
     m = Model(spark, sf_dir)
     return I.active_major_incidents(m.incidents(), _inc_asof(m))
 
 
-@query("ind8_4_security_incidents_24h", with_("incidents") + f"""SELECT {tstext('day')} AS day,
-  sum(n) OVER (ORDER BY day RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW) AS p1_p2_24h,
-  CASE WHEN sum(n) OVER (ORDER BY day RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW) > 0 THEN 'Critical' ELSE 'Healthy' END AS status
-FROM (SELECT date_trunc('day', opened_at) AS day, count(*) AS n FROM incidents WHERE priority IN (1, 2) GROUP BY 1)""")
+@query("ind8_4_security_incidents_24h", with_("incidents") + f"""SELECT count(*) FILTER (WHERE priority = 1) AS p1_24h,
+  count(*) FILTER (WHERE priority = 2) AS p2_24h, CASE WHEN count(*) FILTER (WHERE priority = 1) > 0 THEN 'Critical'
+  WHEN count(*) FILTER (WHERE priority = 2) > 0 THEN 'Warning' ELSE 'Healthy' END AS status
+FROM incidents WHERE {_since('opened_at', INC_ASOF, DAY)} AND opened_at <= {INC_ASOF}""")
 def ind8_4(spark, sf_dir):
     m = Model(spark, sf_dir)
     return I.security_incidents_24h(m.incidents(), _inc_asof(m))
@@ -231,7 +231,7 @@ def ind8_4(spark, sf_dir):
 
 @query("ind3_1_mos_weighted", with_("calls") + f"""SELECT COALESCE(region, 'ALL') AS region,
   {r4('sum(mos * duration_min) / sum(duration_min)')} AS mos_weighted, {r4('quantile_cont(mos, 0.1)')} AS mos_p10,
-  count(*) AS calls, {_status(r4('sum(mos * duration_min) / sum(duration_min)'), 3.6)} AS status
+  count(*) AS calls, {_status(r4('sum(mos * duration_min) / sum(duration_min)'), 4.0, 3.6)} AS status
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ROLLUP (region)""")
 def ind3_1(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -244,7 +244,7 @@ PCR = f"{rnd('count(*) FILTER (WHERE mos < 3.5) * 100.0 / count(*)', 2)}"
 @query("ind3_2_poor_call_rate", with_("calls") + f"""SELECT count(*) FILTER (WHERE mos < 3.5) AS poor_calls, count(*) AS total_calls,
   {r4(PCR)} AS poor_call_rate, count(*) FILTER (WHERE mos BETWEEN 3.5 AND 4.0) AS acceptable,
   count(*) FILTER (WHERE mos >= 3.0 AND mos < 3.5) AS poor, count(*) FILTER (WHERE mos < 3.0) AS very_poor,
-  {_status(PCR, 5.0, higher=False)} AS status FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)}""")
+  {_status(PCR, 3.0, 5.0, higher=False)} AS status FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)}""")
 def ind3_2(spark, sf_dir):
     m = Model(spark, sf_dir)
     return I.poor_call_rate(m.calls(), _calls_asof(m))
@@ -253,7 +253,7 @@ def ind3_2(spark, sf_dir):
 @query("ind3_2_poor_call_rate_by_vendor", with_("calls") + f"""SELECT vendor_id, count(*) FILTER (WHERE mos < 3.5) AS poor_calls, count(*) AS total_calls,
   {r4(PCR)} AS poor_call_rate, count(*) FILTER (WHERE mos BETWEEN 3.5 AND 4.0) AS acceptable,
   count(*) FILTER (WHERE mos >= 3.0 AND mos < 3.5) AS poor, count(*) FILTER (WHERE mos < 3.0) AS very_poor,
-  {_status(PCR, 5.0, higher=False)} AS status FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
+  {_status(PCR, 3.0, 5.0, higher=False)} AS status FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def ind3_2v(spark, sf_dir):
     m = Model(spark, sf_dir)
     return I.poor_call_rate(m.calls(), _calls_asof(m), keys=("vendor_id",))
@@ -265,10 +265,13 @@ SIP_CAPACITY = 500.0
 @query("ind3_3_concurrent_calls", with_("calls", extra=[
     ("c", "SELECT call_time AS s, call_time + to_seconds(CAST(duration_min * 60 AS DECIMAL(18,6))) AS e FROM calls"),
     ("ev", "SELECT s AS t, 1 AS d FROM c UNION ALL SELECT e, -1 FROM c"),
-    ("run", "SELECT t, sum(d) OVER (ORDER BY t, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS conc FROM ev")]) + f"""
-SELECT {tstext("date_trunc('day', t)")} AS period, CAST(max(conc) AS BIGINT) AS peak_concurrent, {r4('avg(conc)')} AS avg_concurrent,
-  {r4(f'max(conc) * 100.0 / {SIP_CAPACITY}')} AS peak_utilisation_pct,
-  {_status(f'max(conc) * 100.0 / {SIP_CAPACITY}', 90.0, higher=False)} AS status
+    ("days", """SELECT unnest(generate_series(date_trunc('day', min(t)), date_trunc('day', max(t)), INTERVAL 1 DAY)) AS t, 0 AS d FROM ev"""),
+    ("al", "SELECT t, sum(d) AS d FROM (SELECT t, d FROM ev UNION ALL SELECT t, d FROM days) GROUP BY t"),
+    ("run", """SELECT t, sum(d) OVER (ORDER BY t) AS conc,
+  (epoch_us(COALESCE(lead(t) OVER (ORDER BY t), date_trunc('hour', t) + INTERVAL 1 HOUR)) - epoch_us(t)) / 1e6 AS secs FROM al""")]) + f"""
+SELECT {tstext("date_trunc('day', t)")} AS period, CAST(max(conc) AS BIGINT) AS peak_concurrent,
+  {r4('sum(conc * secs) / sum(secs)')} AS avg_concurrent, {r4(f'max(conc) * 100.0 / {SIP_CAPACITY}')} AS peak_utilisation_pct,
+  {_status(f'max(conc) * 100.0 / {SIP_CAPACITY}', 80.0, 90.0, higher=False)} AS status
 FROM run GROUP BY date_trunc('day', t)""")
 def ind3_3(spark, sf_dir):
     return I.concurrent_calls(Model(spark, sf_dir).calls(), capacity=SIP_CAPACITY)
@@ -276,7 +279,7 @@ def ind3_3(spark, sf_dir):
 
 @query("ind3_4_queue_wait", with_("calls") + f"""SELECT queue, {r4('sum(wait_sec) / count(*)')} AS asa_sec,
   {_mmss('sum(wait_sec) / count(*)')} AS asa_text, count(*) AS answered,
-  {_status('sum(wait_sec) / count(*)', 180.0, higher=False)} AS status
+  {_status('sum(wait_sec) / count(*)', 90.0, 180.0, higher=False)} AS status
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY queue""")
 def ind3_4(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -296,7 +299,7 @@ SELECT category, count(*) FILTER (WHERE in_h) AS contacts_1h, count(*) FILTER (W
   count(*) AS contacts_all, count(*) FILTER (WHERE is_repeat) AS repeats_all,
   {r4('(count(*) FILTER (WHERE today AND is_repeat)) * 100.0 / NULLIF(count(*) FILTER (WHERE today), 0)')} AS repeat_rate_today,
   {r4('(count(*) FILTER (WHERE is_repeat)) * 100.0 / count(*)')} AS repeat_rate_all,
-  {_status('(count(*) FILTER (WHERE is_repeat)) * 100.0 / count(*)', 30.0, higher=False)} AS status FROM x GROUP BY category""")
+  {_status('(count(*) FILTER (WHERE is_repeat)) * 100.0 / count(*)', 20.0, 30.0, higher=False)} AS status FROM x GROUP BY category""")
 def ind9_4(spark, sf_dir):
     m = Model(spark, sf_dir)
     return I.repeat_contacts(m.contacts(), m.as_of())
@@ -310,7 +313,7 @@ def ind9_4(spark, sf_dir):
   arg_max(category, (contact_time, contact_id)) AS last_category FROM j1 GROUP BY ALL""")]) + f"""
 SELECT count(*) AS cross_channel_journeys, count(*) FILTER (WHERE last_category IN ('purchase', 'signup')) AS resolved,
   {r4("(count(*) FILTER (WHERE last_category IN ('purchase', 'signup'))) * 100.0 / NULLIF(count(*), 0)")} AS resolution_rate,
-  {_status("(count(*) FILTER (WHERE last_category IN ('purchase', 'signup'))) * 100.0 / NULLIF(count(*), 0)", 70.0)} AS status
+  {_status("(count(*) FILTER (WHERE last_category IN ('purchase', 'signup'))) * 100.0 / NULLIF(count(*), 0)", 80.0, 70.0)} AS status
 FROM jj WHERE channels >= 2""")
 def ind13_3(spark, sf_dir):
     return I.cross_channel_journeys(Model(spark, sf_dir).contacts())
@@ -331,7 +334,7 @@ def _qa_sql() -> str:
     shown = " + ".join(f"CASE WHEN sum({_pc('text', ph)}) > 0 THEN 1 ELSE 0 END" for ph in QA_BEHAVIOURS.values())
     score = f"({shown}) * 100.0 / {len(QA_BEHAVIOURS)}"
     cols = ", ".join(f"CAST(sum({_pc('text', ph)}) AS BIGINT) AS b_{n}" for n, ph in QA_BEHAVIOURS.items())
-    return (f"SELECT conv_id, {cols}, {r4(score)} AS qa_score, {_status(score, 70.0)} AS status "
+    return (f"SELECT conv_id, {cols}, {r4(score)} AS qa_score, {_status(score, 85.0, 70.0)} AS status "
             "FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 
 
@@ -343,7 +346,7 @@ def ind11_1(spark, sf_dir):
 @query("ind14_4_disclosure_compliance", f"""SELECT count(*) AS conversations, count(*) FILTER (WHERE hits > 0) AS compliant,
   {r4('(count(*) FILTER (WHERE hits > 0)) * 100.0 / count(*)')} AS compliance_pct,
   {r4('sum(CASE WHEN hits > 0 THEN turns ELSE 0 END) * 100.0 / sum(turns)')} AS weighted_compliance_pct,
-  {_status('sum(CASE WHEN hits > 0 THEN turns ELSE 0 END) * 100.0 / sum(turns)', 99.0)} AS status FROM (
+  {_status('sum(CASE WHEN hits > 0 THEN turns ELSE 0 END) * 100.0 / sum(turns)', 100.0, 99.0)} AS status FROM (
   SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN {_pc('text', DISCLOSURE)} ELSE 0 END) AS hits, count(*) AS turns
   FROM conversations GROUP BY conv_id)""")
 def ind14_4(spark, sf_dir):
@@ -360,7 +363,7 @@ hits AS (SELECT doc_id, count(*) AS cards FROM d WHERE length(digits) BETWEEN 13
 SELECT source, count(*) AS documents, count(*) FILTER (WHERE cards > 0) AS with_card_numbers,
   CAST(sum(COALESCE(cards, 0)) AS BIGINT) AS card_numbers,
   {r4('(count(*) - count(*) FILTER (WHERE cards > 0)) * 100.0 / count(*)')} AS compliance_pct,
-  {_status('(count(*) - count(*) FILTER (WHERE cards > 0)) * 100.0 / count(*)', 99.5)} AS status
+  {_status('(count(*) - count(*) FILTER (WHERE cards > 0)) * 100.0 / count(*)', 100.0, 99.5)} AS status
 FROM documents LEFT JOIN hits USING (doc_id) GROUP BY source""")
 def ind14_1(spark, sf_dir):
     return I.pci_compliance(Model(spark, sf_dir).raw("documents"))
@@ -374,7 +377,7 @@ def ind6_4(spark, sf_dir):
     return I.channel_share(m.contacts(), m.as_of())
 
 
-ESC_SQL = with_("incidents", extra=[("d", f"""SELECT assignment_group, day, {_status('n', 3.0, higher=False)} AS status FROM (
+ESC_SQL = with_("incidents", extra=[("d", f"""SELECT assignment_group, day, {_status('n', 2.0, 3.0, higher=False, inclusive=True)} AS status FROM (
   SELECT assignment_group, date_trunc('day', opened_at) AS day, CAST(count(*) FILTER (WHERE priority = 1) AS DOUBLE) AS n
   FROM incidents GROUP BY ALL)"""), ("s0", """SELECT *, CASE WHEN lag(status) OVER (PARTITION BY assignment_group ORDER BY day) IS NULL
   OR status <> lag(status) OVER (PARTITION BY assignment_group ORDER BY day) THEN 1 ELSE 0 END AS chg FROM d"""),
@@ -391,7 +394,7 @@ def ind00(spark, sf_dir):
     inc = Model(spark, sf_dir).incidents()
     d = (inc.groupBy("assignment_group", F.date_trunc("day", "opened_at").alias("day"))
          .agg(F.sum((F.col("priority") == 1).cast("int")).cast("double").alias("n")))
-    d = d.withColumn("status", I.status(F.col("n"), 3.0, higher_is_better=False))
+    d = d.withColumn("status", I.status(F.col("n"), 2.0, 3.0, higher_is_better=False, inclusive=True))
     return I.escalation(d, "assignment_group", ts="day", st="status", unit_s=DAY)
 
 
@@ -414,7 +417,7 @@ def _ev_region(m: Model):
 @query("ind1_1_availability", with_("host_metrics", "applications") + f"""SELECT COALESCE(region, 'GLOBAL') AS region,
   count(*) FILTER (WHERE health_status = 'HEALTHY') AS uptime, count(*) AS scheduled,
   {r4("count(*) FILTER (WHERE health_status = 'HEALTHY') * 100.0 / count(*)")} AS availability_pct,
-  {_status("count(*) FILTER (WHERE health_status = 'HEALTHY') * 100.0 / count(*)", 99.5)} AS status
+  {_status("count(*) FILTER (WHERE health_status = 'HEALTHY') * 100.0 / count(*)", 99.9, 99.5)} AS status
 FROM (SELECT h.*, a.infrastructure_group AS region FROM host_metrics h JOIN applications a USING (application_id)
       WHERE {_since('h.recorded_at', EV_ASOF, 30 * DAY)}) GROUP BY ROLLUP (region)""")
 def ind1_1(spark, sf_dir):
@@ -426,7 +429,7 @@ def ind1_1(spark, sf_dir):
 
 @query("ind2_1_latency_by_agents", with_("ev", "applications", extra=[EVR, ("s", f"SELECT * FROM evr WHERE {_since('ts', EV_ASOF, EV_W)}")]) + f"""
 SELECT {r4('sum(lat * agents) / sum(agents)')} AS weighted_latency_ms, {r4('(SELECT quantile_cont(value, 0.95) FROM s)')} AS p95_latency_ms,
-  CAST(sum(agents) AS BIGINT) AS agents, {_status('sum(lat * agents) / sum(agents)', 180.0, higher=False)} AS status
+  CAST(sum(agents) AS BIGINT) AS agents, {_status('sum(lat * agents) / sum(agents)', 120.0, 180.0, higher=False)} AS status
 FROM (SELECT region, avg(value) AS lat, count(DISTINCT user_id) AS agents FROM s GROUP BY region)""")
 def ind2_1(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -437,7 +440,7 @@ def ind2_1(spark, sf_dir):
 @query("ind2_4_packet_loss", with_("ev", "applications", extra=[EVR]) + f"""SELECT COALESCE(region, 'GLOBAL') AS region,
   CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS lost, CAST(count(*) AS BIGINT) AS sent,
   {r4("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)")} AS packet_loss_pct,
-  {_status("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)", 1.0, higher=False)} AS status
+  {_status("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)", 0.5, 1.0, higher=False)} AS status
 FROM evr WHERE {_since('ts', EV_ASOF, EV_W)} GROUP BY ROLLUP (region)""")
 def ind2_4(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -451,7 +454,7 @@ OUTCOME = "CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 300 THEN 's
 @query("ind5_1_session_success", with_("ev") + f"""SELECT count(*) AS attempts, count(*) FILTER (WHERE o = 'success') AS success,
   count(*) FILTER (WHERE o = 'slow') AS slow, {r4("count(*) FILTER (WHERE o = 'success') * 100.0 / count(*)")} AS strict_success_pct,
   {r4("count(*) FILTER (WHERE o IN ('success', 'slow')) * 100.0 / count(*)")} AS success_pct,
-  {_status("count(*) FILTER (WHERE o IN ('success', 'slow')) * 100.0 / count(*)", 95.0)} AS status
+  {_status("count(*) FILTER (WHERE o IN ('success', 'slow')) * 100.0 / count(*)", 98.0, 95.0)} AS status
 FROM (SELECT {OUTCOME} AS o FROM ev WHERE {_since('ts', EV_ASOF, EV_W)})""")
 def ind5_1(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -466,8 +469,8 @@ CRM_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({v} AS DOUBLE))" f
 @query("ind7_2_crm_response", with_("ev", extra=[("lim", CRM_SQL)]) + f"""SELECT tx_type, limit_s, {r4('avg(value / 100.0)')} AS avg_s,
   {r4('quantile_cont(value / 100.0, 0.95)')} AS p95_s, {r4('count(*) FILTER (WHERE value / 100.0 > limit_s) * 100.0 / count(*)')} AS over_limit_pct,
   {r4("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)")} AS error_rate_pct,
-  {_status('avg(value / 100.0)', 5.0, higher=False)} AS status
-FROM ev JOIN lim ON lim.tx_type = ev.event_type WHERE {_since('ts', EV_ASOF, EV_W)} GROUP BY tx_type, limit_s""")
+  {_status('avg(value / 100.0)', 3.0, 5.0, higher=False)} AS status
+FROM (SELECT ev.*, ev.event_type AS tx_type, COALESCE(lim.limit_s, 5.0) AS limit_s FROM ev LEFT JOIN lim ON lim.tx_type = ev.event_type) WHERE {_since('ts', EV_ASOF, EV_W)} GROUP BY tx_type, limit_s""")
 def ind7_2(spark, sf_dir):
     m = Model(spark, sf_dir)
     tx = m.events().select("ts", F.col("event_type").alias("tx_type"), (F.col("value") / 100.0).alias("response_s"),
@@ -480,7 +483,7 @@ def ind7_2(spark, sf_dir):
   {r4("count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*)")} AS strict_pct,
   {r4("count(*) FILTER (WHERE event_type = 'error' OR value > 300) * 100.0 / count(*)")} AS broad_pct,
   {r4("count(*) FILTER (WHERE event_type = 'error' OR value > 200) * 100.0 / count(*)")} AS very_broad_pct,
-  {_status("count(*) FILTER (WHERE event_type = 'error' OR value > 300) * 100.0 / count(*)", 1.0, higher=False)} AS status
+  {_status("count(*) FILTER (WHERE event_type = 'error' OR value > 300) * 100.0 / count(*)", 0.5, 1.0, higher=False)} AS status
 FROM ev WHERE {_since('ts', EV_ASOF, EV_W)} GROUP BY app""")
 def ind7_4(spark, sf_dir):
     """5xx = error event; timeouts and slow responses are non-error events (value > 300 / 200-300]."""
@@ -500,7 +503,7 @@ AUTH = ("CASE WHEN event_type = 'signup' AND value <= 300 THEN 'success' "
   count(*) FILTER (WHERE r = 'technical_failure') AS technical_failures,
   {r4("count(*) FILTER (WHERE r = 'success') * 100.0 / count(*)")} AS success_pct,
   {r4("count(*) FILTER (WHERE r = 'technical_failure') * 100.0 / count(*)")} AS technical_failure_pct,
-  {_status("count(*) FILTER (WHERE r = 'success') * 100.0 / count(*)", 98.0)} AS status
+  {_status("count(*) FILTER (WHERE r = 'success') * 100.0 / count(*)", 99.5, 98.0)} AS status
 FROM (SELECT {AUTH} AS r FROM ev WHERE event_type IN ('signup', 'error') AND {_since('ts', EV_ASOF, EV_W)})""")
 def ind8_1(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -513,7 +516,7 @@ def ind8_1(spark, sf_dir):
 
 @query("ind8_3_abnormal_terminations", with_("ev") + f"""SELECT strftime(period, '%Y-%m-%d %H:%M:%S') AS period, abnormal, ends,
   {r4('rate')} AS abnormal_rate_pct, {r4('tr')} AS trailing_avg_pct, COALESCE(rate > tr * 2.0, FALSE) AS spike,
-  {_status('rate', 2.0, higher=False)} AS status FROM (
+  {_status('rate', 1.0, 2.0, higher=False)} AS status FROM (
   SELECT *, avg(rate) OVER (ORDER BY period RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND INTERVAL 1 SECOND PRECEDING) AS tr FROM (
     SELECT date_trunc('hour', ts) AS period, count(*) FILTER (WHERE event_type = 'error') AS abnormal, count(*) AS ends,
       count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*) AS rate FROM ev GROUP BY 1))""")
@@ -738,7 +741,7 @@ def ind2_2(spark, sf_dir):
   greatest(count(*), sum(value) / 50.0) * 100.0 / 20.0 AS util FROM evr GROUP BY ALL"""), ("r", """SELECT *, avg(util) OVER (PARTITION BY region
   ORDER BY period RANGE BETWEEN INTERVAL 53999 SECOND PRECEDING AND CURRENT ROW) AS rolling FROM p""")]) + f"""
 SELECT region, {r4('avg(rolling)')} AS avg_utilisation_pct, {r4('max(rolling)')} AS peak_utilisation_pct,
-  {_status('max(rolling)', 85.0, higher=False)} AS status FROM r WHERE {_since('period', EV_ASOF, DAY)} GROUP BY region""")
+  {_status('max(rolling)', 70.0, 85.0, higher=False)} AS status FROM r WHERE {_since('period', EV_ASOF, DAY)} GROUP BY region""")
 def ind2_3(spark, sf_dir):
     m = Model(spark, sf_dir)
     t = _ev_region(m).select("ts", "region", F.lit(1).alias("bytes_in"), (F.col("value") / 50.0).alias("bytes_out"))
@@ -747,7 +750,7 @@ def ind2_3(spark, sf_dir):
 
 @query("ind5_2_ica_latency", with_("calls") + f"""SELECT vendor_id, {r4('sum(wait_sec * duration_min) / sum(duration_min)')} AS weighted_latency_ms,
   {r4('quantile_cont(wait_sec, 0.95)')} AS p95_latency_ms,
-  {_status('sum(wait_sec * duration_min) / sum(duration_min)', 100.0, higher=False)} AS status
+  {_status('sum(wait_sec * duration_min) / sum(duration_min)', 60.0, 100.0, higher=False)} AS status
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def ind5_2(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -803,7 +806,7 @@ def ind10_1(spark, sf_dir):
 
 @query("ind10_4_schedule_efficiency", with_("calls") + f"""SELECT count(*) AS intervals, {r4('sum(req)')} AS required_total,
   {r4('(1.0 - sum(abs(req - sched)) / sum(req)) * 100.0')} AS efficiency_pct,
-  {_status('(1.0 - sum(abs(req - sched)) / sum(req)) * 100.0', 90.0)} AS status FROM (
+  {_status('(1.0 - sum(abs(req - sched)) / sum(req)) * 100.0', 95.0, 90.0)} AS status FROM (
   SELECT CAST(call_time AS DATE) AS day, sum(duration_min) / 480.0 AS req, count(DISTINCT agent_id) AS sched FROM calls
   WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY 1)""")
 def ind10_4(spark, sf_dir):
@@ -826,10 +829,10 @@ FRESH_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {v})" for s, v in FRE
 
 
 @query("ind7_3_data_freshness", with_("ev", extra=[("lim", FRESH_SQL)]) + f"""SELECT g.source, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen,
-  (epoch_us({EV_ASOF}) - epoch_us(last_seen)) // 1000000 AS age_s, limit_s,
+  (epoch_us({EV_ASOF}) - epoch_us(last_seen)) // 1000000 AS age_s, limit_s, last_seen = oldest AS is_worst,
   CASE WHEN (epoch_us({EV_ASOF}) - epoch_us(last_seen)) // 1000000 > limit_s THEN 'Critical'
        WHEN (epoch_us({EV_ASOF}) - epoch_us(last_seen)) // 1000000 > limit_s * 0.85 THEN 'At Risk' ELSE 'Healthy' END AS status
-FROM (SELECT event_type AS source, max(ts) AS last_seen FROM ev GROUP BY 1) g JOIN lim USING (source)""")
+FROM (SELECT g.source, last_seen, COALESCE(lim.limit_s, 60) AS limit_s, min(last_seen) OVER () AS oldest FROM (SELECT event_type AS source, max(ts) AS last_seen FROM ev GROUP BY 1) g LEFT JOIN lim USING (source)) g""")
 def ind7_3(spark, sf_dir):
     m = Model(spark, sf_dir)
     lim = F.broadcast(spark.createDataFrame(FRESH_LIMITS, "source string, limit_s int"))
@@ -848,7 +851,7 @@ UNPIVOT (amount FOR category IN (abandoned_calls, failed_transfers, retention_ab
 
 @query("ind12_2_revenue_protection", with_("calls", extra=[("c", REV_SQL)]) + f"""SELECT {r4('sum(amount)')} AS revenue_at_risk,
   {r4('opportunity')} AS opportunity, {r4('100.0 - sum(amount) * 100.0 / opportunity')} AS protection_score,
-  {_status('100.0 - sum(amount) * 100.0 / opportunity', 95.0)} AS status FROM c GROUP BY opportunity""")
+  {_status('100.0 - sum(amount) * 100.0 / opportunity', 97.0, 95.0)} AS status FROM c GROUP BY opportunity""")
 def ind12_2(spark, sf_dir):
     """Categories from calls (30 days): sales-queue (A) abandons x $35, transfers (queue R) x 0.15 x $120,
     retention-queue (N) abandons x 0.30 x $480, downtime 0, very poor calls (MOS < 3) x $25; opportunity = calls x $120."""
@@ -903,7 +906,7 @@ def _agent_states(m: Model):
       FROM sch JOIN st ON st.agent_id = sch.agent_id AND st.state = sch.state AND st.s < sch.e AND sch.s < st.e GROUP BY sch.day"""),
     ("sm", "SELECT day, sum((epoch_us(e) - epoch_us(s)) / 60000000.0) AS m FROM sch GROUP BY day")]) + f"""
 SELECT strftime(sm.day, '%Y-%m-%d') AS day, {r4('sm.m')} AS scheduled_min, {r4('COALESCE(adh.a, 0.0)')} AS adherent_min,
-  {r4('COALESCE(adh.a, 0.0) * 100.0 / sm.m')} AS adherence_pct, {_status('COALESCE(adh.a, 0.0) * 100.0 / sm.m', 85.0)} AS status
+  {r4('COALESCE(adh.a, 0.0) * 100.0 / sm.m')} AS adherence_pct, {_status('COALESCE(adh.a, 0.0) * 100.0 / sm.m', 92.0, 85.0)} AS status
 FROM sm LEFT JOIN adh USING (day)""")
 def ind4_2(spark, sf_dir):
     states, sched = _agent_states(Model(spark, sf_dir))
@@ -996,7 +999,7 @@ def ind11_2(spark, sf_dir):
 cs AS (SELECT DISTINCT c_custkey AS customer_id, 1 AS ok FROM customer WHERE c_acctbal >= 0)
 SELECT count(*) AS outbound, count(ok) AS verified, count(*) - count(ok) AS blocked,
   """ + r4("count(ok) * 100.0 / count(*)") + " AS verification_rate, " + r4("100.0 - count(ok) * 100.0 / count(*)") + """ AS block_rate,
-  """ + _status("count(ok) * 100.0 / count(*)", 99.0) + """ AS status FROM ob LEFT JOIN cs USING (customer_id)""")
+  """ + _status("count(ok) * 100.0 / count(*)", 100.0, 99.0) + """ AS status FROM ob LEFT JOIN cs USING (customer_id)""")
 def ind14_2(spark, sf_dir):
     m = Model(spark, sf_dir)
     ob = m.raw("lineitem").join(m.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")) \
@@ -1019,7 +1022,7 @@ INTENT = "CASE customer_id % 4 WHEN 0 THEN 'billing' WHEN 1 THEN 'technical' WHE
 @query("ind6_1_ivr_containment", with_("contacts", extra=[NEXT]) + f"""SELECT count(*) AS ivr_sessions,
   {r4(f'count(*) FILTER (WHERE NOT {WITHIN_DAY}) * 100.0 / count(*)')} AS strict_pct,
   {r4(f'count(*) FILTER (WHERE NOT ({WITHIN_DAY} AND next_channel <> channel)) * 100.0 / count(*)')} AS broad_pct,
-  {_status(f'count(*) FILTER (WHERE NOT ({WITHIN_DAY} AND next_channel <> channel)) * 100.0 / count(*)', 60.0)} AS status
+  {_status(f'count(*) FILTER (WHERE NOT ({WITHIN_DAY} AND next_channel <> channel)) * 100.0 / count(*)', 68.0, 60.0)} AS status
 FROM nx WHERE channel = 'view'""")
 def ind6_1(spark, sf_dir):
     return I.ivr_containment(Model(spark, sf_dir).contacts(), "view")
@@ -1028,7 +1031,7 @@ def ind6_1(spark, sf_dir):
 @query("ind6_3_chatbot_by_intent", with_("contacts", extra=[NEXT]) + f"""SELECT {INTENT} AS intent, count(*) AS sessions,
   {r4(f'count(*) FILTER (WHERE NOT {WITHIN_DAY}) * 100.0 / count(*)')} AS resolution_pct,
   {r4(f'count(*) FILTER (WHERE {WITHIN_DAY} AND next_channel <> channel) * 100.0 / count(*)')} AS escalation_pct,
-  {_status(f'count(*) FILTER (WHERE NOT {WITHIN_DAY}) * 100.0 / count(*)', 55.0)} AS status
+  {_status(f'count(*) FILTER (WHERE NOT {WITHIN_DAY}) * 100.0 / count(*)', 65.0, 55.0)} AS status
 FROM nx WHERE channel = 'click' GROUP BY 1""")
 def ind6_3(spark, sf_dir):
     c = F.col("customer_id") % 4
@@ -1040,14 +1043,14 @@ def ind6_3(spark, sf_dir):
   ORDER BY contact_time, contact_id) AS prev FROM contacts"""), ("x", """SELECT *, (prev IS NOT NULL AND contact_time <= prev + INTERVAL 7 DAY)
   OR channel = 'error' AS av FROM r""")]) + f"""SELECT category, count(*) AS contacts, count(*) FILTER (WHERE av) AS avoidable,
   {r4('count(*) FILTER (WHERE av) * 6.0')} AS avoidable_cost, {r4('count(*) FILTER (WHERE av) * 100.0 / count(*)')} AS avoidable_rate_pct,
-  {_status('count(*) FILTER (WHERE av) * 100.0 / count(*)', 25.0, higher=False)} AS status FROM x GROUP BY category""")
+  {_status('count(*) FILTER (WHERE av) * 100.0 / count(*)', 15.0, 25.0, higher=False)} AS status FROM x GROUP BY category""")
 def ind12_4(spark, sf_dir):
     return I.avoidable_contacts(Model(spark, sf_dir).contacts())
 
 
 @query("ind7_1_screen_pop", with_("ev") + f"""SELECT count(*) AS pops, {r4('count(*) FILTER (WHERE value <= 100.0) * 100.0 / count(*)')} AS strict_pct,
   {r4('count(*) FILTER (WHERE value <= 300.0) * 100.0 / count(*)')} AS broad_pct,
-  {_status('count(*) FILTER (WHERE value <= 300.0) * 100.0 / count(*)', 95.0)} AS status
+  {_status('count(*) FILTER (WHERE value <= 300.0) * 100.0 / count(*)', 99.0, 95.0)} AS status
 FROM ev WHERE event_type = 'purchase' AND {_since('ts', EV_ASOF, EV_W)}""")
 def ind7_1(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -1056,7 +1059,7 @@ def ind7_1(spark, sf_dir):
 
 
 @query("ind8_2_mfa_compliance", with_("ev") + f"""SELECT count(*) AS active_users, count(*) - count(en.user_id) AS remediation_needed,
-  {r4('count(en.user_id) * 100.0 / count(*)')} AS compliance_pct, {_status('count(en.user_id) * 100.0 / count(*)', 99.0)} AS status
+  {r4('count(en.user_id) * 100.0 / count(*)')} AS compliance_pct, {_status('count(en.user_id) * 100.0 / count(*)', 100.0, 99.0)} AS status
 FROM (SELECT DISTINCT user_id FROM ev WHERE {_since('ts', EV_ASOF, EV_W)}) u
 LEFT JOIN (SELECT DISTINCT user_id FROM ev WHERE event_type = 'signup') en USING (user_id)""")
 def ind8_2(spark, sf_dir):
@@ -1074,7 +1077,7 @@ HEADROOM_CAPS = {"cpu": 30.0, "memory": 20.0, "db": 3000.0, "network": 10.0}
   count(DISTINCT user_id) AS memory, sum(value) AS db, count(*) FILTER (WHERE event_type = 'error') AS network FROM evr GROUP BY ALL""")]) + f"""
 SELECT region, {', '.join(f"{r4(f'100.0 - max({c}) * 100.0 / {cap}')} AS {c}_headroom" for c, cap in HEADROOM_CAPS.items())},
   {r4('least(' + ', '.join(f'100.0 - max({c}) * 100.0 / {cap}' for c, cap in HEADROOM_CAPS.items()) + ')')} AS headroom_pct,
-  {_status('least(' + ', '.join(f'100.0 - max({c}) * 100.0 / {cap}' for c, cap in HEADROOM_CAPS.items()) + ')', 10.0)} AS status
+  {_status('least(' + ', '.join(f'100.0 - max({c}) * 100.0 / {cap}' for c, cap in HEADROOM_CAPS.items()) + ')', 20.0, 10.0)} AS status
 FROM u GROUP BY region""")
 def ind1_3(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -1124,7 +1127,7 @@ def kpi20(spark, sf_dir):
 @query("ind12_3_labour_efficiency", with_("calls") + f"""SELECT vendor_id, count(*) AS contacts, {r4('avg(mos) * 20.0')} AS qa_score,
   {r4('0.8 + avg(mos) * 20.0 / 100.0 * 0.4')} AS quality_factor,
   {r4('count(*) * (0.8 + avg(mos) * 20.0 / 100.0 * 0.4) / (count(DISTINCT (agent_id, CAST(call_time AS DATE))) * 8.0)')} AS labour_efficiency,
-  {_status('count(*) * (0.8 + avg(mos) * 20.0 / 100.0 * 0.4) / (count(DISTINCT (agent_id, CAST(call_time AS DATE))) * 8.0)', 3.0)} AS status
+  {_status('count(*) * (0.8 + avg(mos) * 20.0 / 100.0 * 0.4) / (count(DISTINCT (agent_id, CAST(call_time AS DATE))) * 8.0)', 4.0, 3.0)} AS status
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def ind12_3(spark, sf_dir):
     m = Model(spark, sf_dir)
@@ -1140,7 +1143,7 @@ def ind12_3(spark, sf_dir):
   count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) AS healthy,
   {r4("count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) * 100.0 / count(*)")} AS vda_health_pct,
   count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) * 60 AS available_sessions,
-  {_status("count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) * 100.0 / count(*)", 75.0)} AS status FROM v""")
+  {_status("count(*) FILTER (WHERE state = 'Registered' AND load_index < 10000.0 AND NOT critical_alert) * 100.0 / count(*)", 85.0, 75.0)} AS status FROM v""")
 def ind5_4(spark, sf_dir):
     m = Model(spark, sf_dir)
     e = m.events().filter(F.col("ts") >= F.date_trunc("hour", m.as_of()))
@@ -1179,7 +1182,7 @@ DXS = "task_completion * 0.3 + response_time * 0.25 + effort * 0.25 + satisfacti
 
 @query("ind13_4_digital_experience", _ces_sql() + f"""SELECT contacts, {r4('task_completion')} AS task_completion,
   {r4('response_time')} AS response_time, {r4('effort')} AS effort, {r4('satisfaction')} AS satisfaction, {r4(DXS)} AS dxs,
-  {_status(r4(DXS), 65.0)} AS status FROM parts""")
+  {_status(r4(DXS), 80.0, 65.0)} AS status FROM parts""")
 def ind13_4(spark, sf_dir):
     return I.digital_experience(Model(spark, sf_dir).contacts())
 
@@ -1201,7 +1204,7 @@ def ind13_4(spark, sf_dir):
 SELECT strftime(day, '%Y-%m-%d') AS day, {r4('scheduled')} AS scheduled_min, {r4('technical * 100.0 / scheduled')} AS technical_pct,
   {r4('(scheduled - covered) * 100.0 / scheduled')} AS absence_pct,
   {r4('(technical + scheduled - covered) * 100.0 / scheduled')} AS unplanned_shrinkage_pct,
-  {_status('(technical + scheduled - covered) * 100.0 / scheduled', 10.0, higher=False)} AS status FROM d""")
+  {_status('(technical + scheduled - covered) * 100.0 / scheduled', 6.0, 10.0, higher=False)} AS status FROM d""")
 def ind4_4(spark, sf_dir):
     states, sched = _agent_states(Model(spark, sf_dir))
     return I.unplanned_shrinkage(states, sched)

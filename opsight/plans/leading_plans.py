@@ -181,11 +181,13 @@ def lip5(spark, sf_dir):
     return _Ctx(spark, sf_dir).active()
 
 
-LIP6_SQL = _ctes(*CORR_CTES, ("e", "SELECT signal_a AS cause, signal_b AS effect FROM active"), (
-    "paths", """SELECT effect AS signal, cause AS root, 1 AS hops FROM e
-UNION ALL SELECT p.effect, e2.cause, 2 FROM e p JOIN e e2 ON e2.effect = p.cause
-UNION ALL SELECT p.effect, e3.cause, 3 FROM e p JOIN e e2 ON e2.effect = p.cause JOIN e e3 ON e3.effect = e2.cause""")) + """
-SELECT signal, root, min(hops) AS hops FROM paths WHERE root NOT IN (SELECT effect FROM e) GROUP BY signal, root"""
+LIP6_SQL = _ctes(*CORR_CTES, ("e", "SELECT DISTINCT signal_a AS cause, signal_b AS effect FROM active"), (
+    "walk(signal, root, hops)", """SELECT effect, cause, 1 FROM e
+UNION SELECT w.signal, e.cause, w.hops + 1 FROM walk w JOIN e ON e.effect = w.root WHERE w.hops < 14"""), (
+    "found", "SELECT signal, root, min(hops) AS hops FROM walk GROUP BY signal, root")).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT signal, root, hops FROM found r WHERE NOT EXISTS (
+  SELECT 1 FROM found f WHERE f.signal = r.root
+    AND (f.root < r.root OR NOT EXISTS (SELECT 1 FROM found g WHERE g.signal = f.root AND g.root = f.signal)))"""
 
 
 @query("lip6_cascade", LIP6_SQL)

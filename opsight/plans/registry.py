@@ -24,11 +24,13 @@ def query(key: str, oracle: str | None = None, headline: bool = False):
 
 def load_all():
     """Import every plan module so their queries register."""
-    from . import health_plans  # noqa: F401
-    for mod in ("anomaly_plans", "leading_plans", "enterprise_plans", "signal_plans", "stream_plans", "source_plans"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+    from . import (  # noqa: F401
+        anomaly_plans,
+        enterprise_plans,
+        health_plans,
+        leading_plans,
+        signal_plans,
+        source_plans,
+        stream_plans,
+    )
     return QUERIES, ORACLES

@@ -28,20 +28,22 @@ def app_of(user_id: str = "user_id"):
     return F.floor(m * m * m / F.lit(APP_DIVISOR)).cast("int")
 
 
-_NEWEST: dict = {}
-
-
 class Model:
     """Lazily built model tables over one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        # One Model is one run: its tables are listed once and its `now` is evaluated once; the next run has its own.
+        self._tables: dict = {}
+        self._newest: dict = {}
         # Event times are wall-clock values without zone; all time arithmetic is in UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = load(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     # -- events: ts cast to timestamp once (watermarks reject timestamp_ntz) --
     def events(self) -> DataFrame:
@@ -88,17 +90,16 @@ class Model:
                         F.col("value").alias("metric_value"),
                         F.col("ts").alias("recorded_at")))
 
-    METRIC_NAMES = ["click", "purchase", "signup", "view"]
-
     def thresholds(self, metrics: DataFrame | None = None) -> DataFrame:
         """threshold_config: one row per (application, metric), threshold 60.
 
-        A configuration table of fixed size (applications x metric names), built from the
-        `nation` dimension, not from the metrics themselves: no scan of the event data.
-        `metrics` is accepted for call compatibility and not read.
+        A configuration table (applications x metric names); the names are the event types that occur, so a
+        new type has a threshold too. `metrics` is accepted for call compatibility and not read.
         """
         n = self.raw("nation").select(F.col("n_nationkey").alias("entity_id"))
-        return (n.select("entity_id", F.explode(F.array(*[F.lit(x) for x in self.METRIC_NAMES])).alias("metric_name"))
+        names = (self.raw("events").filter(F.col("event_type") != "error")
+                 .agg(F.sort_array(F.collect_set("event_type")).alias("names")).scalar())
+        return (n.select("entity_id", F.explode(names).alias("metric_name"))
                 .withColumn("threshold_value", F.lit(DEFAULT_THRESHOLD)))
 
     def metrics_wide(self) -> DataFrame:
@@ -132,16 +133,11 @@ class Model:
                         F.lit("ACTIVE").alias("status"), F.col("ts").alias("created_at")))
 
     def newest(self, table: str, column: str):
-        """Newest value of a time column as a timestamp literal (the job's 'now').
-
-        Evaluated once per job and table (one small aggregate over one column) and passed to
-        every operator as a constant: plans then carry a literal instead of one scalar
-        subquery per reference, and time filters can reach the scan.
-        """
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, table, column)
-        if key not in _NEWEST:
-            _NEWEST[key] = self.raw(table).select(F.unix_micros(F.max(F.col(column).cast("timestamp")))).first()[0]
-        return F.timestamp_micros(F.lit(_NEWEST[key]))
+        """The newest time of a table as a literal, evaluated once per run (one aggregate over one column)."""
+        key = (table, column)
+        if key not in self._newest:
+            self._newest[key] = self.raw(table).select(F.unix_micros(F.max(F.col(column).cast("timestamp")))).first()[0]
+        return F.timestamp_micros(F.lit(self._newest[key]))
 
     def as_of(self):
         return self.newest("events", "ts")

@@ -8,17 +8,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-_LOADED: dict = {}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table. Parquet: Catalyst prunes columns and pushes filters into the scan.
 
-    The DataFrame (a plan, not data) is reused within a session, so a query that reads a table
-    in several branches lists the files and reads the schema once.
+    Nothing is kept between calls, so files that have come since are read; `Model` keeps a run's tables.
     """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    if key not in _LOADED:
-        _LOADED[key] = spark.read.parquet(path)
-    return _LOADED[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
