@@ -27,18 +27,31 @@ from pyspark.sql import types as T
 from .common import add_column, encode_text
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that doesn't merge
-MAX_UNITS = 2_000_000  # cached distinct units of a worker; the cache starts anew beyond
+MAX_UNITS = 400_000  # cached distinct units of a worker; the cache starts anew beyond
+CHUNK = 8_000_000  # characters of text whose words are replayed together
+
+
+def ranks_of(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+
+
+class Tokens:
+    """Bytes of each id; what decoding needs."""
+
+    def __init__(self, rank_file: bytes):
+        ids = ranks_of(rank_file)
+        self.bytes = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            self.bytes[i] = token
+        self.known = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes)) > 0
 
 
 class MergeTable:
-    """Ranks of a vocabulary: token bytes by id, and the rank of every pair of tokens that merges."""
+    """Ranks of a vocabulary: id by token bytes, and the rank of every pair of tokens that merges."""
 
     def __init__(self, rank_file: bytes):
-        self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+        self.ids = ranks_of(rank_file)
         self.size = max(self.ids.values()) + 1
-        self.tokens = [b""] * self.size
-        for token, i in self.ids.items():
-            self.tokens[i] = token
         self.byte_id = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         codes, ranks = [], []
         late = np.zeros(self.size, bool)  # tokens that can be part of a pair of lower rank than their own
@@ -173,8 +186,8 @@ class Encoder:
     part (with its space) gives the same matches anywhere, so distinct parts are split once. Other texts are matched whole.
     """
 
-    def __init__(self, table: MergeTable, pattern: str):
-        self.table, self.pattern = table, regex.compile(pattern)
+    def __init__(self, rank_file: bytes, pattern: str):
+        self.table, self.pattern = merge_table(rank_file), regex.compile(pattern)
         self._reset()
 
     def _reset(self):
@@ -228,7 +241,17 @@ class Encoder:
             self.unit_ids[kind].extend(values, starts[ends])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in turn, start of each text and the end)."""
+        """(ids of all texts in turn, start of each text and the end); texts are taken in chunks of bounded size."""
+        parts, at, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= CHUNK or i + 1 == len(texts):
+                parts += self._encode(texts[at:i + 1])
+                at, size = i + 1, 0
+        starts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+        return (np.concatenate(parts) if parts else np.empty(0, np.int32)).astype(np.int32), starts
+
+    def _encode(self, texts: list) -> list[np.ndarray]:
         if len(self.units["lead"]) + len(self.units["bare"]) > MAX_UNITS:
             self._reset()
         lead, bare = self.units["lead"], self.units["bare"]
@@ -254,27 +277,26 @@ class Encoder:
                 done.append(np.r_[head, self.unit_ids["lead"].gather(c[1])[0]])
             else:
                 done.append(self.unit_ids["bare"].gather(c)[0])
-        starts = np.r_[0, np.cumsum([len(d) for d in done])].astype(np.int64)
-        return (np.concatenate(done) if done else np.empty(0, np.int32)).astype(np.int32), starts
+        return done
+
+
+_KEPT: dict[tuple, object] = {}
 
 
-_TABLES: dict[str, MergeTable] = {}
-_ENCODERS: dict[tuple, Encoder] = {}
+def _kept(kind, rank_file: bytes, *args):
+    """The worker's object for a vocabulary; kept between tasks."""
+    key = (kind, hashlib.sha256(rank_file).hexdigest(), *args)
+    if key not in _KEPT:
+        _KEPT[key] = kind(rank_file, *args)
+    return _KEPT[key]
 
 
 def merge_table(rank_file: bytes) -> MergeTable:
-    key = hashlib.sha256(rank_file).hexdigest()
-    if key not in _TABLES:
-        _TABLES[key] = MergeTable(rank_file)
-    return _TABLES[key]
+    return _kept(MergeTable, rank_file)
 
 
 def encoder(rank_file: bytes, pattern: str) -> Encoder:
-    """The worker's encoder for a vocabulary; kept between tasks."""
-    key = (hashlib.sha256(rank_file).hexdigest(), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(merge_table(rank_file), pattern)
-    return _ENCODERS[key]
+    return _kept(Encoder, rank_file, pattern)
 
 
 def read_file(path: str) -> bytes:
@@ -298,18 +320,17 @@ def bpe_decode(df: DataFrame, rank_path: str, ids_col: str = "ids", out: str = "
     ranks = df.sparkSession.sparkContext.broadcast(read_file(rank_path))
 
     def make(ids):
-        tokens = merge_table(ranks.value).tokens
-        return pa.array([b"".join(map(tokens.__getitem__, row)) for row in _lists(ids, tokens)], pa.binary())
+        tokens = _kept(Tokens, ranks.value)
+        return pa.array([b"".join(map(tokens.bytes.__getitem__, row)) for row in _lists(ids, tokens.known)], pa.binary())
 
     return add_column(df, out, T.BinaryType(), ids_col, make, keep)
 
 
-def _lists(ids, tokens: list[bytes]):
+def _lists(ids, known: np.ndarray):
     """The rows of a list array as lists of ids that have a token; null as an empty list."""
-    known = np.fromiter(map(len, tokens), np.int64, len(tokens)) > 0
     for row in ids:
         row = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.empty(0, np.int32)
-        if len(row) and (row.min() < 0 or row.max() >= len(tokens) or not known[row].all()):
+        if len(row) and (row.min() < 0 or row.max() >= len(known) or not known[row].all()):
             raise ValueError("a token id is not in the vocabulary")
         yield row.tolist()
 
