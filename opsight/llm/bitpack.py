@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _Csr, _Index, read_file
-from .common import materialise
+from .common import materialise, spread
 from .files import TaskFile, open_input, read_range
 
 MAGIC = b"OPSIGHT1"
 BLOCK = 4096
 RUN = 256  # blocks that are read and unpacked at once
-MAX_PIECES = 1_000_000
+MAX_PIECES = 400_000  # cached distinct pieces of a worker; the cache starts anew beyond
+SLICE = 500  # documents that a worker encodes at once
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -212,9 +213,11 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
         part = TaskContext.get().partitionId()
         for b in batches:
             enc = piece_encoder(spec.value)
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                writer = writer or Writer(folder, f"part-{part:06d}", max(1, (max(enc.size, end_id + 1) - 1).bit_length()))
-                writer.add(doc, np.append(ids, end_id).astype(np.uint32))
+            for i in range(0, b.num_rows, SLICE):
+                s = b.slice(i, SLICE)
+                for doc, ids in zip(s.column(0).to_pylist(), enc.encode(s.column(1).to_pylist())):
+                    writer = writer or Writer(folder, f"part-{part:06d}", max(1, (max(enc.size, end_id + 1) - 1).bit_length()))
+                    writer.add(doc, np.append(ids, end_id).astype(np.uint32))
         if writer is not None:
             uri = writer.close()
             import pyarrow as pa
@@ -228,7 +231,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, from the files alone."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    placed = files.withColumn("file_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("uri", "file_start").repartition("uri")
+    placed = spread(files.withColumn("file_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("uri", "file_start"), "uri")
 
     def run(batches):
         for pdf in batches:

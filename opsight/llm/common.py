@@ -46,6 +46,14 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(files: DataFrame, column: str, most: int = 10_000) -> DataFrame:
+    """One small row for each file, dealt to as many tasks as there are files (at most `most`).
+
+    The number is given, so that adaptive execution doesn't join tasks whose rows are few but whose files are large.
+    """
+    return files.repartition(max(1, min(most, files.count())), column)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, as --py-files would, so that tasks can import it on any cluster."""
     sc = spark.sparkContext

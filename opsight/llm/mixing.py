@@ -163,9 +163,10 @@ keyed AS (
 placed AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY mix_key RANGE UNBOUNDED PRECEDING) - sum(tokens) OVER (PARTITION BY source, epoch, mix_key) AS start
   FROM keyed),
+ends AS (SELECT source, max(mix_key >> {BITS - RANGE_BITS}) AS r FROM placed WHERE epoch = passes AND start < rest GROUP BY source),
 cuts AS (
-  SELECT source, coalesce(min(CASE WHEN start >= rest THEN mix_key END),
-                          ((max(mix_key) >> {BITS - RANGE_BITS}) + 1) << {BITS - RANGE_BITS}) AS cut FROM placed WHERE epoch = passes AND rest > 0 GROUP BY source)
+  SELECT p.source, coalesce(min(CASE WHEN start >= rest AND mix_key >> {BITS - RANGE_BITS} = r THEN mix_key END), (any_value(r) + 1) << {BITS - RANGE_BITS}) AS cut
+  FROM placed p JOIN ends ON p.source IS NOT DISTINCT FROM ends.source WHERE epoch = passes GROUP BY p.source)
 SELECT doc_id, p.source, tokens::BIGINT AS tokens, epoch,
        least(floor((epoch + mix_key / {float(1 << BITS)!r}) / (passes + coalesce(cut, 0) / {float(1 << BITS)!r}) * {blocks}), {blocks - 1})::INTEGER AS mix_block, mix_key
 FROM placed p LEFT JOIN cuts ON p.source IS NOT DISTINCT FROM cuts.source

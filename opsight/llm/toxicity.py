@@ -35,7 +35,7 @@ EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 8, 64, 0.1, 1e-5, 1e-4, 7
 Z_MIN, PAIR_SHARE = 4.0, 0.05
 EDGES = ".,;:!?\"'()[]{}<>*%$#&-_/\\|~`^+=…“”„»«¿¡"
 PREFIX = 4
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000  # cached distinct words of a worker; the cache starts anew beyond
 
 
 def held_out(id_col: str, folds: int = 5) -> Column:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_text, materialise, shared_path
+from .common import encode_text, materialise, shared_path, spread
 from .files import TaskFile, open_input, read_range
 
 DATE = "2024-01-01T00:00:00Z"  # the tables carry no capture time
@@ -282,7 +282,7 @@ def read_archives(captures: DataFrame, index: DataFrame) -> DataFrame:
     Size and digest are those of the full payload that was read; for a revisit that of its response, found by the index.
     """
     shards = shard_list(index)
-    files = captures.select("uri").distinct().repartition("uri")
+    files = spread(captures.select("uri").distinct(), "uri")
 
     def run(batches):
         caps, known = CaptureIndex(shards), OrderedDict()
