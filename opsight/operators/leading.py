@@ -407,18 +407,16 @@ def pattern_match(current: DataFrame, library: DataFrame, vec: str = "embedding"
     """Cosine similarity of the current signal vector to each past pattern; the `top` most
     similar, ranked (a top-k report).
 
-    The current vector is exploded to (dimension, value) rows (its size is the vector
-    dimension) and joined to the exploded library on the dimension: an equi-join, then
-    per-pattern sums give the dot product and norms. No pairing of whole tables.
+    The current vector is one scalar array, so each pattern is compared in its own row: no join and no shuffle of
+    the library; the top-k is taken per partition first.
     """
-    cur = current.select(F.posexplode(vec).alias("dim", "y")).select("dim", F.col("y").cast("double").alias("y"))
-    lib = library.select("vec_id", "label", F.posexplode(vec).alias("dim", "x")) \
-        .withColumn("x", F.col("x").cast("double"))
-    ny = F.sqrt(cur.agg(F.sum(F.col("y") * F.col("y"))).scalar())
-    dots = (lib.join(F.broadcast(cur), "dim")
-            .groupBy("vec_id", "label").agg(F.sum(F.col("x") * F.col("y")).alias("dot"),
-                                            F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx")))
-    sims = dots.withColumn("similarity", F.try_divide(F.col("dot"), F.col("nx") * ny))
+    lib = library.select("vec_id", "label", F.col(vec).cast("array<double>").alias("x"),
+                         current.select(F.col(vec).cast("array<double>")).scalar().alias("y"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    sims = lib.withColumn("similarity", F.try_divide(dot("x", "y"), F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))))
     w = Window.orderBy(F.col("similarity").desc(), F.col("vec_id"))
     return (sims.orderBy(F.col("similarity").desc(), F.col("vec_id")).limit(top)
             .withColumn("rank", F.row_number().over(w))

@@ -57,14 +57,14 @@ def git1(spark, sf_dir):
 
 @query("git2_active_branches", with_("numstat") + f"SELECT DISTINCT repo, branch FROM numstat WHERE {PERIOD}")
 def git2(spark, sf_dir):
-    return G.active_branches(Model(spark, sf_dir).numstat(), SINCE, UNTIL)
+    return G.active_branches(Model(spark, sf_dir).numstat(authors=False), SINCE, UNTIL)
 
 
 @query("git3_lines_per_branch", with_("numstat") + f"""SELECT repo, branch, CAST(sum(lines) AS BIGINT) AS total_lines, count(*) AS files
 FROM (SELECT repo, branch, path, sum(CAST(added AS BIGINT)) - sum(CAST(deleted AS BIGINT)) AS lines FROM numstat
       WHERE {NUM} GROUP BY ALL) WHERE lines > 0 GROUP BY ALL""")
 def git3(spark, sf_dir):
-    return G.lines_per_branch(Model(spark, sf_dir).numstat())
+    return G.lines_per_branch(Model(spark, sf_dir).numstat(authors=False))
 
 
 @query("git4_author_branches", with_("numstat") + f"""SELECT author, string_agg(DISTINCT repo || '/' || branch, ';' ORDER BY repo || '/' || branch) AS branches,
@@ -83,7 +83,7 @@ def git4(spark, sf_dir):
       count(*) FILTER (WHERE queue = 'R') AS disc, count(*) FILTER (WHERE mos < 3.5) AS deg FROM calls GROUP BY ALL)
   GROUP BY ALL)""")
 def kpi1(spark, sf_dir):
-    return K.vendor_scorecard(Model(spark, sf_dir).calls())
+    return K.vendor_scorecard(Model(spark, sf_dir).calls_geo())
 
 
 def _period_sql():
@@ -155,7 +155,7 @@ def kpi5(spark, sf_dir):
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def kpi10(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return K.vendor_table(m.calls(), _calls_asof(m))
+    return K.vendor_table(m.calls_geo(), _calls_asof(m))
 
 
 @query("kpi8_call_metrics", with_("calls") + f"""SELECT count(*) AS total_calls, count(*) FILTER (WHERE queue = 'R') AS errored_calls,
@@ -235,7 +235,7 @@ def ind8_4(spark, sf_dir):
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ROLLUP (region)""")
 def ind3_1(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return I.mos_weighted(m.calls(), _calls_asof(m))
+    return I.mos_weighted(m.calls_geo(), _calls_asof(m))
 
 
 PCR = f"{rnd('count(*) FILTER (WHERE mos < 3.5) * 100.0 / count(*)', 2)}"
@@ -256,7 +256,7 @@ def ind3_2(spark, sf_dir):
   {_status(PCR, 3.0, 5.0, higher=False)} AS status FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def ind3_2v(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return I.poor_call_rate(m.calls(), _calls_asof(m), keys=("vendor_id",))
+    return I.poor_call_rate(m.calls_geo(), _calls_asof(m), keys=("vendor_id",))
 
 
 SIP_CAPACITY = 500.0
@@ -391,7 +391,7 @@ SELECT assignment_group, {tstext('day')} AS day, status, {r4('dur')} AS status_d
 
 @query("ind00_escalation", ESC_SQL)
 def ind00(spark, sf_dir):
-    inc = Model(spark, sf_dir).incidents()
+    inc = Model(spark, sf_dir).incidents(groups=True)
     d = (inc.groupBy("assignment_group", F.date_trunc("day", "opened_at").alias("day"))
          .agg(F.sum((F.col("priority") == 1).cast("int")).cast("double").alias("n")))
     d = d.withColumn("status", I.status(F.col("n"), 2.0, 3.0, higher_is_better=False, inclusive=True))
@@ -754,7 +754,7 @@ def ind2_3(spark, sf_dir):
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def ind5_2(spark, sf_dir):
     m = Model(spark, sf_dir)
-    s = m.calls().select(F.col("call_time").alias("ts"), "vendor_id", F.col("wait_sec").alias("latency_ms"),
+    s = m.calls_geo().select(F.col("call_time").alias("ts"), "vendor_id", F.col("wait_sec").alias("latency_ms"),
                          F.col("duration_min").alias("duration"))
     return I.ica_latency(s, _calls_asof(m), 30 * DAY)
 
@@ -780,7 +780,7 @@ OCC = "handle * 100.0 / (handle + greatest(0.0, 480.0 - handle))"
   WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL) GROUP BY vendor_id""")
 def ind4_3(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return I.occupancy_bands(m.calls(), _calls_asof(m), 30 * DAY)
+    return I.occupancy_bands(m.calls_geo(), _calls_asof(m), 30 * DAY)
 
 
 @query("ind10_3_occupancy_login", with_("calls") + f"""SELECT queue, {r4('sum(handle) * 100.0 / (count(*) * 420.0)')} AS occupancy_pct,
@@ -822,7 +822,7 @@ def ind10_4(spark, sf_dir):
     WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY ALL))""")
 def ind11_4(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return I.coaching_priority(m.calls(), _calls_asof(m), 30 * DAY)
+    return I.coaching_priority(m.calls_geo(), _calls_asof(m), 30 * DAY)
 
 
 FRESH_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {v})" for s, v in FRESH_LIMITS) + ") t(source, limit_s)"
@@ -1131,7 +1131,7 @@ def kpi20(spark, sf_dir):
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 30 * DAY)} GROUP BY vendor_id""")
 def ind12_3(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return I.labour_efficiency(m.calls(), _calls_asof(m), 30 * DAY)
+    return I.labour_efficiency(m.calls_geo(), _calls_asof(m), 30 * DAY)
 
 
 # VDAs (adapter): hosts seen in the newest hour; Registered unless their latest status is UNHEALTHY;

@@ -277,8 +277,8 @@ HLT9_SQL = with_("applications", "error_logs", "synthetic_metrics", "host_metric
 
 def _health(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return H.application_health(m.applications(), m.synthetic_metrics(), m.host_metrics(), m.error_logs(),
-                                m.alerts(), m.metrics_wide(), m.as_of(), unit_s=U)
+    return H.application_health(m.applications(), m.synthetic_metrics(5 * U), m.host_metrics(5 * U), m.error_logs(),
+                                m.alerts(), m.metrics_wide(10 * U), m.as_of(), unit_s=U)
 
 
 query("hlt9_application_health", HLT9_SQL)(_health)
@@ -405,7 +405,7 @@ HLT14_SQL = with_("applications", "metrics_wide", "host_metrics", "error_logs",
 
 def _dash(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return H.application_dashboard(m.applications(), m.metrics_wide(), m.host_metrics(), m.error_logs(),
+    return H.application_dashboard(m.applications(), m.metrics_wide(5 * U), m.host_metrics(5 * U), m.error_logs(),
                                    m.alerts(), m.as_of(), unit_s=U)
 
 
@@ -472,7 +472,7 @@ HLT18_SQL = with_("applications", "metrics_wide", "host_metrics", "error_logs",
 def _tiers(spark, sf_dir):
     m = Model(spark, sf_dir)
     a = m.as_of()
-    d = H.application_dashboard(m.applications(), m.metrics_wide(), m.host_metrics(), m.error_logs(),
+    d = H.application_dashboard(m.applications(), m.metrics_wide(5 * U), m.host_metrics(5 * U), m.error_logs(),
                                 m.alerts(), a, unit_s=U)
     return H.alert_tier(d, H.weighted_error_score(m.error_logs(), a, unit_s=U))
 

@@ -547,7 +547,7 @@ def lip22(spark, sf_dir):
     ci = o.select(F.col("o_orderkey").alias("incident_id"),
                   F.concat(F.lit("ci-"), (F.col("o_custkey") % 50).cast("string")).alias("ci"),
                   ((F.col("o_custkey") % 50) % 7 == 0).alias("call_path"))
-    return L.incident_scope(m.incidents(), ci)
+    return L.incident_scope(m.incidents(groups=True), ci)
 
 
 @query("lip24_ivr_overflow", with_("ev", extra=[("c", """SELECT date_trunc('day', ts) AS period,

@@ -169,7 +169,7 @@ def sig18(spark, sf_dir):
 FROM calls WHERE {_since('call_time', CALLS_ASOF, 5 * DAY)} GROUP BY ROLLUP (region)""")
 def sig12(spark, sf_dir):
     m = Model(spark, sf_dir)
-    return S.call_quality_signal(m.calls(), _calls_asof(m), 5 * DAY)
+    return S.call_quality_signal(m.calls_geo(), _calls_asof(m), 5 * DAY)
 
 
 @query("sig13_network_latency", with_("ev") + f"""SELECT 'Network Latency' AS signal_name, {r4(rnd('avg(value)', 1))} AS numeric_value,
@@ -281,7 +281,7 @@ QUEUES_SQL = ("q", f"""SELECT vendor_id, queue, count(DISTINCT agent_id) AS avai
   {_st(rnd('avg(available * 100.0 / required)', 1), 90.0, 80.0)} AS status FROM q""")
 def sig6(spark, sf_dir):
     m = Model(spark, sf_dir)
-    c = m.calls().filter(F.col("call_time") >= _calls_asof(m) - F.make_dt_interval(days=F.lit(30)))
+    c = m.calls_geo().filter(F.col("call_time") >= _calls_asof(m) - F.make_dt_interval(days=F.lit(30)))
     q = c.groupBy("vendor_id", "queue").agg(F.countDistinct("agent_id").alias("available"),
                                             (F.sum("duration_min") / (30 * 480.0)).alias("required"))
     return S.queue_sufficiency(q)

@@ -17,6 +17,7 @@ from ..functions.core import HOUR, count_if, rnd
 from .tables import load
 
 # Fixed values of the test mapping (FIXTURES.md section C).
+F_CALL_ID = "l_orderkey * 10 + l_linenumber"
 N_APP_USERS_MOD = 25      # app = (user_id % 25)^3 div 625
 APP_DIVISOR = 625
 DEFAULT_THRESHOLD = 60.0  # threshold_config: constant per (entity, metric)
@@ -102,9 +103,16 @@ class Model:
         return (n.select("entity_id", F.explode(names).alias("metric_name"))
                 .withColumn("threshold_value", F.lit(DEFAULT_THRESHOLD)))
 
-    def metrics_wide(self) -> DataFrame:
-        """Per application and hour: requests, errors, success/error rate, response time."""
+    def _last_hours(self, lookback_s: int | None) -> DataFrame:
+        """Events since the start of the hour that lies `lookback_s` before now; the filter reaches the scan."""
         e = self.events()
+        if lookback_s is None:
+            return e
+        return e.filter(F.col("ts") >= F.date_trunc("hour", self.as_of() - F.make_dt_interval(secs=F.lit(lookback_s))))
+
+    def metrics_wide(self, lookback_s: int | None = None) -> DataFrame:
+        """Per application and hour: requests, errors, success/error rate, response time."""
+        e = self._last_hours(lookback_s)
         agg = (e.groupBy(F.col("app").alias("application_id"),
                          F.date_trunc("hour", "ts").alias("recorded_at"))
                .agg(F.count(F.lit(1)).alias("request_count"),
@@ -114,12 +122,12 @@ class Model:
                 .withColumn("error_rate", F.col("error_count") * 100.0 / F.col("request_count"))
                 .withColumn("success_rate", F.lit(100.0) - F.col("error_rate")))
 
-    def synthetic_metrics(self) -> DataFrame:
-        return self.metrics_wide().select("application_id", "success_rate", "recorded_at")
+    def synthetic_metrics(self, lookback_s: int | None = None) -> DataFrame:
+        return self.metrics_wide(lookback_s).select("application_id", "success_rate", "recorded_at")
 
-    def host_metrics(self) -> DataFrame:
+    def host_metrics(self, lookback_s: int | None = None) -> DataFrame:
         """Host UNHEALTHY in an hour with any error, else HEALTHY."""
-        e = self.events()
+        e = self._last_hours(lookback_s)
         return (e.groupBy(F.col("user_id").alias("host_id"), F.col("app").alias("application_id"),
                           F.date_trunc("hour", "ts").alias("recorded_at"))
                 .agg(count_if(F.col("event_type") == "error").alias("n_err"))
@@ -258,37 +266,39 @@ class Model:
         return F.date_trunc("day", first) + F.make_dt_interval(days=F.lit(20))
 
     # -- contact-centre tables from the TPC-H-like tables --------------------------------
+    _CALL = (("call_id", F_CALL_ID), ("agent_id", "l_suppkey"), ("duration_min", "l_quantity"), ("mos", "5.0D - 20.0D * l_discount"),
+             ("queue", "l_returnflag"), ("call_time", "cast(l_shipdate as timestamp)"), ("wait_sec", "l_tax * 1000.0D"),
+             ("line_status", "l_linestatus"))
+
     def calls(self) -> DataFrame:
-        """Calls: one per lineitem. agent = l_suppkey, vendor = s_nationkey % 5, region of the
-        supplier's nation, duration (min) = l_quantity, mos = 5 - 20 * l_discount, queue =
-        l_returnflag, time = l_shipdate, wait (s) = 1000 * l_tax, status = l_linestatus."""
+        """Calls: one per lineitem. agent = l_suppkey, duration (min) = l_quantity, mos = 5 - 20 * l_discount,
+        queue = l_returnflag, time = l_shipdate, wait (s) = 1000 * l_tax, status = l_linestatus. No join."""
+        return self.raw("lineitem").select(*[F.expr(e).alias(n) for n, e in self._CALL])
+
+    def calls_geo(self) -> DataFrame:
+        """Calls with vendor = s_nationkey % 5 and the region of the supplier's nation."""
         li = self.raw("lineitem")
         su = self.raw("supplier").select("s_suppkey", "s_nationkey")
         geo = (self.raw("nation").join(F.broadcast(self.raw("region")), F.col("n_regionkey") == F.col("r_regionkey"))
                .select("n_nationkey", F.col("r_name").alias("region")))
         j = li.join(su, li.l_suppkey == su.s_suppkey).join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
-        return j.select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"),
-            F.col("l_suppkey").alias("agent_id"), (F.col("s_nationkey") % 5).cast("int").alias("vendor_id"),
-            F.col("region"), F.col("l_quantity").alias("duration_min"),
-            (F.lit(5.0) - F.lit(20.0) * F.col("l_discount")).alias("mos"),
-            F.col("l_returnflag").alias("queue"), F.col("l_shipdate").cast("timestamp").alias("call_time"),
-            (F.col("l_tax") * 1000.0).alias("wait_sec"), F.col("l_linestatus").alias("line_status"))
-
-    def incidents(self) -> DataFrame:
+        return j.select(*[F.expr(e).alias(n) for n, e in self._CALL], (F.col("s_nationkey") % 5).cast("int").alias("vendor_id"), "region")
+
+    def incidents(self, groups: bool = False) -> DataFrame:
         """Incidents: one per order. priority = first digit of o_orderpriority, state from
-        o_orderstatus (F resolved, O open, P in progress), opened_at = o_orderdate,
-        assignment group = c_mktsegment."""
-        o = self.raw("orders")
-        c = self.raw("customer").select("c_custkey", "c_mktsegment")
-        j = o.join(c, o.o_custkey == c.c_custkey)
+        o_orderstatus (F resolved, O open, P in progress), opened_at = o_orderdate;
+        with `groups` also the assignment group = c_mktsegment (a join with customer)."""
+        j = self.raw("orders")
+        if groups:
+            c = self.raw("customer").select("c_custkey", "c_mktsegment")
+            j = j.join(c, j.o_custkey == c.c_custkey)
         return j.select(
             F.col("o_orderkey").alias("incident_id"),
             F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
             F.when(F.col("o_orderstatus") == "F", "Resolved").when(F.col("o_orderstatus") == "O", "Open")
             .otherwise("In Progress").alias("state"),
             F.col("o_orderdate").cast("timestamp").alias("opened_at"),
-            F.col("c_mktsegment").alias("assignment_group"), F.col("o_totalprice").alias("impact_value"))
+            F.col("o_totalprice").alias("impact_value"), *([F.col("c_mktsegment").alias("assignment_group")] if groups else []))
 
     def contacts(self) -> DataFrame:
         """Contacts: customer = user_id, category and channel = event_type, time = ts."""
@@ -296,15 +306,16 @@ class Model:
                                     F.col("event_type").alias("category"), F.col("event_type").alias("channel"),
                                     F.col("ts").alias("contact_time"), F.col("value"))
 
-    def numstat(self) -> DataFrame:
-        """Commit numstat: repo = l_returnflag, branch = l_linestatus, commit = order,
-        author = o_custkey % 20, path = part, added = l_quantity, deleted = l_linenumber."""
-        li = self.raw("lineitem")
-        o = self.raw("orders").select("o_orderkey", "o_custkey")
-        j = li.join(o, li.l_orderkey == o.o_orderkey)
+    def numstat(self, authors: bool = True) -> DataFrame:
+        """Commit numstat: repo = l_returnflag, branch = l_linestatus, commit = order, path = part,
+        added = l_quantity, deleted = l_linenumber; author = o_custkey % 20 (a join with orders) unless not asked for."""
+        j = self.raw("lineitem")
+        if authors:
+            o = self.raw("orders").select("o_orderkey", "o_custkey")
+            j = j.join(o, j.l_orderkey == o.o_orderkey)
         return j.select(F.col("l_returnflag").alias("repo"), F.col("l_linestatus").alias("branch"),
                         F.col("l_orderkey").cast("string").alias("commit"),
-                        F.concat(F.lit("author-"), (F.col("o_custkey") % 20).cast("string")).alias("author"),
+                        *([F.concat(F.lit("author-"), (F.col("o_custkey") % 20).cast("string")).alias("author")] if authors else []),
                         F.col("l_shipdate").cast("timestamp").alias("committed_at"),
                         F.concat(F.lit("src/part-"), F.col("l_partkey").cast("string")).alias("path"),
                         F.col("l_quantity").cast("long").cast("string").alias("added"),
