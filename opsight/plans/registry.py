@@ -29,6 +29,7 @@ def load_all():
         enterprise_plans,
         health_plans,
         leading_plans,
+        predictor_plans,
         signal_plans,
         source_plans,
         stream_plans,

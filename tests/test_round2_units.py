@@ -98,3 +98,15 @@ def test_a_missing_plan_module_is_an_error(monkeypatch):
     monkeypatch.delattr(sys.modules["opsight.plans"], "source_plans", raising=False)
     with pytest.raises(ImportError):
         registry.load_all()
+
+
+def test_predictor_examples(spark):
+    from opsight.operators import predictors as P
+
+    call = spark.sql("select true as kb_hit, 'none' as transfer, 45.0D as hold_sec, 360.0D as talk_sec, 14.0D as sentiment, cast(null as string) as wrap_code")
+    assert round(call.select(P.fcr_score()).first()[0]) == 93  # 79 of 85
+    call = spark.sql("select 22.0D as sentiment, 'resolved' as resolution, 80.0D as ces, 'minor' as issue")
+    assert call.select(P.nps_score()).first()[0] == 65.0
+    rec = spark.sql("select 'm' as menu, timestamp'2024-01-01 00:30:00' as ts, if(id < 947, 'correct', 'rejection') as outcome, 0 as errors, 3 as words from range(1000)")
+    got = P.asr_accuracy(rec, F.lit("2024-01-01 01:00:00").cast("timestamp"), 3600).first()
+    assert (got["accuracy_pct"], got["status"]) == (94.7, "Healthy")
