@@ -112,17 +112,24 @@ def error_sessions(stream: DataFrame, key: str, gap: str, ts: str = "ts", waterm
             .agg(F.count(F.lit(1)).alias("errors")))
 
 
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 # --------------------------------------------------------------------------- STR-5
-HYST_OUT = "application_id int, period long, errors long, bad int, ok int, status string"
+HYST_OUT = "application_id int, period long, errors long, bad int, ok int, status string, late boolean"
 HYST_STATE = "status string, bad int, ok int, last_period long"
 
 
 def hysteresis_stream(stream: DataFrame, key: str = "application_id", start: str = "HEALTHY", min_errors: int = 1,
-                      degrade: int = 4, critical: int = 8, recover: int = 5, healthy: int = 8) -> DataFrame:
+                      degrade: int = 4, critical: int = 8, recover: int = 5, healthy: int = 8, idle_ms: int | None = None) -> DataFrame:
     """Recovery hysteresis over a stream of (key, period, errors) rows, state kept per key.
 
     The same transitions as the batch `recovery_status`; rows of a key inside one
-    micro-batch are applied in period order, older periods than the state's are ignored.
+    micro-batch are applied in period order. A row whose period is not after the state's comes too late to
+    change it: it is returned with `late` true and the status of that time is left as it is, so a
+    caller can route such rows to a side table and replay them. A key that is idle for `idle_ms`
+    (for streams that run on; a drained one has no use for it) starts anew.
     """
 
     def nxt(st, bad, ok):
@@ -139,6 +146,9 @@ def hysteresis_stream(stream: DataFrame, key: str = "application_id", start: str
         return st
 
     def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             st, bad, ok, last = state.get
         else:
@@ -152,6 +162,7 @@ def hysteresis_stream(stream: DataFrame, key: str = "application_id", start: str
         out = []
         for period, errors in zip(df["period"].tolist(), df["errors"].tolist()):
             if period <= last:
+                out.append((k[0], period, errors, bad, ok, st, True))
                 continue
             if errors >= min_errors:
                 bad, ok = bad + 1, 0
@@ -159,23 +170,33 @@ def hysteresis_stream(stream: DataFrame, key: str = "application_id", start: str
                 bad, ok = 0, ok + 1
             st = nxt(st, bad, ok)
             last = period
-            out.append((k[0], period, errors, bad, ok, st))
+            out.append((k[0], period, errors, bad, ok, st, False))
         state.update((st, bad, ok, last))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
-            yield pd.DataFrame(out, columns=["application_id", "period", "errors", "bad", "ok", "status"])
+            yield pd.DataFrame(out, columns=["application_id", "period", "errors", "bad", "ok", "status", "late"])
 
-    return stream.groupBy(key).applyInPandasWithState(fn, HYST_OUT, HYST_STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(fn, HYST_OUT, HYST_STATE, "append", _timeout(idle_ms))
 
 
 # --------------------------------------------------------------------------- STR-7
-HOLT_OUT = "metric_id string, recorded_at timestamp, level double, trend double, sse double, n long"
+HOLT_OUT = "metric_id string, recorded_at timestamp, level double, trend double, sse double, n long, late boolean"
 HOLT_STATE = "level double, trend double, sse double, n long, y0 double, y1 double, last_ts timestamp"
 
 
-def holt_stream(stream: DataFrame, alpha: float = 0.3, beta: float = 0.1) -> DataFrame:
-    """Holt level / trend / Σe² kept per metric as values arrive (same recursion as the batch fold)."""
+def holt_stream(stream: DataFrame, alpha: float = 0.3, beta: float = 0.1, idle_ms: int | None = None) -> DataFrame:
+    """Holt level / trend / Σe² kept per metric as values arrive (same recursion as the batch fold).
+
+    Values of one time are all applied, in ascending order. A value older than the state's time can't be applied any
+    more: it is returned with `late` true and the state as it is. A metric that is idle for `idle_ms`
+    (for streams that run on) starts anew.
+    """
 
     def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             level, trend, sse, n, y0, y1, last = state.get
         else:
@@ -185,10 +206,11 @@ def holt_stream(stream: DataFrame, alpha: float = 0.3, beta: float = 0.1) -> Dat
             lvl = alpha * y + (1 - alpha) * (lv + tr)
             return lvl, beta * (lvl - lv) + (1 - beta) * tr, e2 + (y - (lv + tr)) ** 2
 
-        df = pd.concat(list(pdfs)).sort_values("recorded_at")
+        df = pd.concat(list(pdfs)).sort_values(["recorded_at", "value"])
         out = []
         for ts, y in zip(df["recorded_at"].tolist(), df["value"].tolist()):
-            if last is not None and ts <= last:
+            if last is not None and ts < last:
+                out.append((k[0], ts, level, trend, sse, n, True))
                 continue
             n += 1
             if n == 1:
@@ -202,10 +224,12 @@ def holt_stream(stream: DataFrame, alpha: float = 0.3, beta: float = 0.1) -> Dat
             else:
                 level, trend, sse = step(level, trend, sse, y)
             last = ts
-            out.append((k[0], ts, level, trend, sse, n))
+            out.append((k[0], ts, level, trend, sse, n, False))
         state.update((level, trend, sse, n, y0, y1, last))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
-            yield pd.DataFrame(out, columns=["metric_id", "recorded_at", "level", "trend", "sse", "n"])
+            yield pd.DataFrame(out, columns=["metric_id", "recorded_at", "level", "trend", "sse", "n", "late"])
 
     return stream.groupBy("metric_id").applyInPandasWithState(fn, HOLT_OUT, HOLT_STATE, "append",
-                                                              GroupStateTimeout.NoTimeout)
+                                                              _timeout(idle_ms))

@@ -110,3 +110,41 @@ def test_predictor_examples(spark):
     rec = spark.sql("select 'm' as menu, timestamp'2024-01-01 00:30:00' as ts, if(id < 947, 'correct', 'rejection') as outcome, 0 as errors, 3 as words from range(1000)")
     got = P.asr_accuracy(rec, F.lit("2024-01-01 01:00:00").cast("timestamp"), 3600).first()
     assert (got["accuracy_pct"], got["status"]) == (94.7, "Healthy")
+
+
+def run_stream(spark, folder, operator, schema, batches):
+    """Each batch is one run of the stream from the same checkpoint; rows of the sink by run."""
+    seen, out = 0, []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        q = (operator(spark.readStream.schema(schema).parquet(f"{folder}/in")).writeStream.format("parquet").option("path", f"{folder}/out")
+             .option("checkpointLocation", f"{folder}/ckpt").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        now = [tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()]
+        out.append(now[seen:] if not out else [r for r in now if r not in sum(out, [])])
+    return out
+
+
+def test_hysteresis_marks_late_rows_and_keeps_its_state(spark, tmp_path):
+    from opsight.streaming import streams as S
+
+    schema = "application_id int, period long, errors long"
+    first, second = run_stream(spark, str(tmp_path), S.hysteresis_stream, schema,
+                               [[(1, p, 5) for p in range(3)], [(1, 1, 9), (1, 3, 5), (1, 4, 0)]])
+    assert sorted(first) == [(1, 0, 5, 1, 0, "HEALTHY", False), (1, 1, 5, 2, 0, "HEALTHY", False), (1, 2, 5, 3, 0, "HEALTHY", False)]
+    assert sorted(second) == [(1, 1, 9, 3, 0, "HEALTHY", True), (1, 3, 5, 4, 0, "DEGRADED", False), (1, 4, 0, 0, 1, "DEGRADED", False)]
+
+
+def test_holt_marks_late_values_and_applies_equal_times(spark, tmp_path):
+    import datetime as dt
+
+    from opsight.streaming import streams as S
+
+    t = [dt.datetime(2024, 1, 1, h) for h in range(6)]
+    schema = "metric_id string, recorded_at timestamp, value double"
+    one = run_stream(spark, f"{tmp_path}/a", S.holt_stream, schema, [[("m", t[1], 1.0), ("m", t[2], 2.0)], [("m", t[0], 9.0), ("m", t[2], 3.0), ("m", t[3], 4.0)]])
+    two = run_stream(spark, f"{tmp_path}/b", S.holt_stream, schema, [[("m", t[1], 1.0), ("m", t[2], 2.0), ("m", t[2], 3.0), ("m", t[3], 4.0)]])
+    late = [r for r in one[1] if r[-1]]
+    assert len(late) == 1 and late[0][5] == 2
+    last = lambda rows: max((r for r in rows if not r[-1]), key=lambda r: r[5])[2:6]
+    assert last(one[1]) == last(two[0]) and last(two[0])[3] == 4
