@@ -16,9 +16,9 @@ from ..streaming.streams import scratch
 from .anomaly_plans import ANO18_SQL
 from .enterprise_plans import SINCE, UNTIL
 from .health_plans import HLT3_SQL
-from .leading_plans import _Ctx
+from .leading_plans import _Ctx, _ctes
 from .oracle_base import ASOF, r4 as sr4, rnd as srnd, tstext, with_
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 
 
 @query("src7_save_partitioned", HLT3_SQL)
@@ -109,18 +109,24 @@ def src2(spark, sf_dir):
                                      r4(rnd(F.avg(F.col("is_healthy") * 100.0), 1)).alias("health_pct"))
 
 
-@query("src12_serving_document")
+SRC12_SQL = f"""SELECT 'enterprise_score' AS section, '' AS name, {sr4('round(avg(score), 1)')} AS value, NULL AS text FROM ({ORACLES['lip3_domain_scores']})
+UNION ALL SELECT 'outage_probability', '', {sr4('probability')}, NULL FROM ({ORACLES['lip15_outage_probability']})
+UNION ALL SELECT 'signal', signal_name, {sr4('numeric_value')}, status FROM ({_ctes()} SELECT * FROM latest)
+UNION ALL SELECT 'domain', domain_key, {sr4('score')}, NULL FROM ({ORACLES['lip3_domain_scores']})
+UNION ALL SELECT 'insight', related_signals, NULL, insight_text FROM (SELECT * FROM ({ORACLES['lip11_insights']})
+  ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, insight_text LIMIT 10)"""
+
+
+@query("src12_serving_document", SRC12_SQL)
 def src12(spark, sf_dir):
-    """Serving document of the newest cycle (JSON; checked for shape only)."""
+    """Serving document of the newest cycle, parsed back into rows."""
     c = _Ctx(spark, sf_dir)
     lt = c.latest.select("signal_name", r4("numeric_value").alias("numeric_value"), "status", "trend", "direction")
     dom = L.domain_scores(c.latest, c.dmap)
     prob = L.outage_probability(c.latest, c.active())
-    ins = lt.filter(F.col("status") == "critical").select(
-        F.lit("critical").alias("severity"),
-        F.concat(F.col("signal_name"), F.lit(" is critical")).alias("insight_text"),
-        F.lit("").alias("domains"), F.col("signal_name").alias("related_signals"))
-    return K.serving_document(lt, dom, prob, ins, c.as_of)
+    ins = K.newest_insights(QUERIES["lip11_insights"](spark, sf_dir).withColumn("created_at", c.as_of))
+    doc = K.serving_document(lt, dom, prob, ins, c.as_of)
+    return K.document_rows(doc).withColumn("value", r4("value"))
 
 
 @query("src11_latest_anomaly_view", ANO18_SQL.replace("SELECT * FROM res", "SELECT res.* FROM res"))

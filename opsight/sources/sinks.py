@@ -74,9 +74,35 @@ def shape_synthetic(raw: DataFrame, payload: str = "payload") -> DataFrame:
                     F.to_timestamp("executionTimestamp").alias("check_time"))
 
 
+def newest_insights(insights: DataFrame, n: int = 10) -> DataFrame:
+    """The n newest active insights; of one time the most severe first, then by text."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return insights.orderBy(F.col("created_at").desc(), rank, "insight_text").limit(n)
+
+
+DOCUMENT = """timestamp string, enterprise_score double, outage_probability double,
+  signals array<struct<signal_name: string, numeric_value: double, status: string, trend: string, direction: string>>,
+  domains array<struct<domain_key: string, score: double>>,
+  insights array<struct<severity: string, insight_text: string, domains: string, related_signals: string>>"""
+
+
+def document_rows(documents: DataFrame) -> DataFrame:
+    """A serving document as rows (section, name, value, text); null values are left out of the JSON and come back as null."""
+    d = documents.select(F.from_json("document", DOCUMENT).alias("d")).select("d.*")
+    text = F.lit(None).cast("string")
+    value = F.lit(None).cast("double")
+    parts = F.concat(
+        F.array(F.struct(F.lit("enterprise_score").alias("section"), F.lit("").alias("name"), F.col("enterprise_score").alias("value"), text.alias("text")),
+                F.struct(F.lit("outage_probability").alias("section"), F.lit("").alias("name"), F.col("outage_probability").alias("value"), text.alias("text"))),
+        F.transform("signals", lambda s: F.struct(F.lit("signal").alias("section"), s["signal_name"].alias("name"), s["numeric_value"].alias("value"), s["status"].alias("text"))),
+        F.transform("domains", lambda s: F.struct(F.lit("domain").alias("section"), s["domain_key"].alias("name"), s["score"].alias("value"), text.alias("text"))),
+        F.transform("insights", lambda s: F.struct(F.lit("insight").alias("section"), s["related_signals"].alias("name"), value.alias("value"), s["insight_text"].alias("text"))))
+    return d.select(F.explode(parts).alias("p")).select("p.*")
+
+
 def serving_document(signals: DataFrame, domains: DataFrame, probability: DataFrame, insights: DataFrame,
                      as_of: Column) -> DataFrame:
-    """One JSON document (SRC-12 / LIP-20): signals, domains, enterprise score, outage probability, insights.
+    """One JSON document (SRC-12 / LIP-20): signals, domains, enterprise score, outage probability, newest insights.
 
     Each part is aggregated to one row (collect_list of small, bounded sets: one row per
     signal / domain / insight); the one-value parts are attached as scalar subqueries.

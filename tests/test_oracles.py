@@ -27,6 +27,6 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "health_status" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
-    # every query of the library but the JSON serving document has an oracle
+    # every query of the library has an oracle
     assert set(QUERIES) <= set(E.queries())
-    assert set(QUERIES) - set(E.oracle_sql()) <= {"src12_serving_document"}
+    assert set(QUERIES) <= set(E.oracle_sql())
