@@ -90,6 +90,27 @@ ACTION_RULES = [
      "Correlate with marketing campaigns, seasonal patterns. Update baseline if organic.",
      "Distinguishing growth from anomaly prevents false alerts."),
     ("rpm", "always", None, "monitor", "Continue baseline calibration.", "No action required."),
+    ("monthly_azure_spend", "critical_breached", None, "urgent",
+     "Budget exceeded. Identify top 3 cost drivers via Azure Cost Analysis. "
+     "Engage resource owners for immediate right-sizing or shutdown.",
+     "Every day over budget costs ~$1,600. FinOps SLA breach triggers executive review."),
+    ("monthly_azure_spend", "breach_within", 5, "moderate",
+     "Budget breach projected. Review auto-scaling policies, orphaned resources, and dev/test environment schedules.",
+     "Proactive cost control avoids budget overrun and executive escalation."),
+    ("monthly_azure_spend", "always", None, "monitor", "Spend within budget. Continue weekly cost review cadence.",
+     "No action required."),
+    ("reserved_instance_utilization", "risk_not_nominal", None, "moderate",
+     "RI utilization dropping. Review instance families with <50% usage. "
+     "Consider exchanging or selling unused reservations on Azure marketplace.",
+     "Each unused RI wastes $200-2,000/month depending on SKU."),
+    ("reserved_instance_utilization", "always", None, "monitor", "RI utilization healthy. Continue tracking.",
+     "No action required."),
+    ("storage_growth_rate", "critical", None, "urgent",
+     "Abnormal storage growth detected. Check for log floods, backup duplication, "
+     "or data pipeline errors. Review lifecycle policies.",
+     "Unchecked growth at this rate adds ~$15K/month to storage costs."),
+    ("storage_growth_rate", "always", None, "monitor",
+     "Growth within expected range. Continue lifecycle policy enforcement.", "No action required."),
 ]
 
 # Urgency classes (requirements §11.3).
@@ -128,7 +149,7 @@ def metric_histories(raw: DataFrame, config: DataFrame, n: int = DEFAULT_HISTORY
 def z_parts(hist: Column, current: Column, metric_type: Column, capacity: Column, pct=BASELINE_PCT):
     """Baseline slice and method-specific (mu, sigma, transformed current, method)."""
     n = F.size(hist)
-    m = F.floor(n * F.lit(float(pct))).cast("int")
+    m = F.floor(n * (pct if isinstance(pct, Column) else F.lit(float(pct)))).cast("int")
     base = F.slice(hist, 1, F.greatest(m, F.lit(1)))
     cap_ok = capacity.isNotNull() & (capacity > 0)
     lb = F.transform(base, lambda x: logit(x))
@@ -219,7 +240,9 @@ def run_anomaly(hist: DataFrame, as_of: Column, run_id: Column | None = None, n_
 
     `n_tests` defaults to the number of metrics in `hist` (a scalar subquery);
     thresholds are the one-sided normal quantiles at 0.05/N and 0.005/N unless a
-    fixed (elevated, critical) pair is given.
+    fixed (elevated, critical) pair is given. Config columns that override the defaults where they are present and
+    not null: baseline_window_pct, history_min_points, breach_threshold, breach_direction ('above' / 'below'),
+    breach_label, rule_set.
     """
     if n_tests is None:
         n_tests = hist.select(F.count(F.lit(1))).scalar()
@@ -238,6 +261,14 @@ def run_anomaly(hist: DataFrame, as_of: Column, run_id: Column | None = None, n_
     direction = F.col("direction")
     min_pts = F.coalesce(F.col("history_min_points"), F.lit(min_points)) if "history_min_points" in hist.columns \
         else F.lit(min_points)
+
+    def given(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default) if name in hist.columns else default
+
+    pct = given("baseline_window_pct", F.lit(float(pct)))
+    set_threshold = given("breach_threshold", F.lit(None).cast("double"))
+    set_direction = given("breach_direction", F.lit(None).cast("string"))
+    set_label = given("breach_label", F.lit(None).cast("string"))
     # Stage 1: baseline statistics (each fold computed once; later stages refer to columns).
     base, m, mu, sigma, cur_t, method = z_parts(h, cur, mt, cap, pct)
     st1 = hist.withColumns({"_base": base, "_m": m, "_n": F.size(h), "_min_pts": min_pts})
@@ -286,15 +317,16 @@ def run_anomaly(hist: DataFrame, as_of: Column, run_id: Column | None = None, n_
                   (is_ratio, F.lit(RATIO_HIGH_THRESHOLD)),
                   (is_cap & (cap > 0), cap * CAPACITY_BREACH_SHARE)],
                  F.col("_bmed") * UNBOUNDED_BREACH_FACTOR)
-    st1 = st1.withColumn("_thr", thr)
+    st1 = st1.withColumn("_thr", F.coalesce(set_threshold, thr))
     thr = F.col("_thr")
     label = ladder([
+        (set_label.isNotNull(), set_label),
         (is_ratio & (direction == "lower_is_bad"), F.lit("Drops below 0.70 (Poor)")),
         (is_ratio, F.lit("Exceeds 95%")),
         (is_cap & (cap > 0), F.format_string("Utilization exceeds 95%% (%d/%d)",
                                              (cap * CAPACITY_BREACH_SHARE).cast("long"), cap.cast("long")))],
         F.format_string("RPM exceeds 2× baseline (%d)", thr.cast("long")))
-    below = direction == "lower_is_bad"
+    below = F.coalesce(set_direction == "below", direction == "lower_is_bad")
     hits = F.filter(F.sequence(F.lit(1), F.lit(MAX_LOOKAHEAD)),
                     lambda k: F.when(below, (lvl + k * trd) < thr).otherwise((lvl + k * trd) > thr))
     st1 = st1.withColumn("_periods", F.try_element_at(hits, F.lit(1)))
@@ -306,8 +338,7 @@ def run_anomaly(hist: DataFrame, as_of: Column, run_id: Column | None = None, n_
         periods = F.when(risk != "Nominal", periods)
     state = ladder([(breached, "Already Breached"), (periods <= IMMINENT, "Breach Imminent"),
                     (periods.isNotNull(), "Breach Projected")], "No Breach")
-    rule_set = F.col("rule_set") if "rule_set" in hist.columns else \
-        ladder([(mt == t, s) for t, s in DEFAULT_RULE_SET], "rpm")
+    rule_set = given("rule_set", ladder([(mt == t, s) for t, s in DEFAULT_RULE_SET], "rpm"))
     ctx = {"score": score, "crit": crit, "elev": elev, "breached": breached, "periods": periods,
            "risk": risk, "slope": tr["slope"], "r2": tr["r_squared"]}
     urg, act, imp = prescribe(rule_set, ctx)

@@ -308,13 +308,18 @@ def fill_template(template: Column, fields: Column) -> Column:
 
 
 def insights(triggers: DataFrame, templates: DataFrame, dmap: DataFrame) -> DataFrame:
-    """Insight text per trigger: template by (trigger_type, severity), domains of the signal.
+    """Insight text per trigger, with the domains of the signal.
 
-    `triggers`: (trigger_type, severity, signal_name, related_signal, fields map<string,string>).
+    `triggers`: (trigger_type, severity, signal_name, related_signal, fields map<string,string>) and optionally
+    template_id, e.g. a rule's own; without one the first template of (trigger_type, severity) is taken.
     """
-    t = (templates.groupBy("trigger_type", "severity").agg(F.min_by("template_text", "template_id").alias("template_text")))
+    if "template_id" not in triggers.columns:
+        triggers = triggers.withColumn("template_id", F.lit(None).cast("int"))
+    first = templates.groupBy("trigger_type", "severity").agg(F.min("template_id").alias("_first"))
     d = dmap.groupBy("signal_name").agg(F.array_sort(F.collect_set("domain_key")).alias("domains"))
-    j = triggers.join(F.broadcast(t), ["trigger_type", "severity"]).join(d, "signal_name", "left")
+    j = (triggers.join(first, ["trigger_type", "severity"], "left")
+         .withColumn("template_id", F.coalesce("template_id", "_first"))
+         .join(templates.select("template_id", "template_text"), "template_id").join(d, "signal_name", "left"))
     return j.select("trigger_type", "severity", "signal_name",
                     fill_template(F.col("template_text"), F.col("fields")).alias("insight_text"),
                     F.array_join(F.coalesce(F.col("domains"), F.array().cast("array<string>")), ",").alias("domains"),

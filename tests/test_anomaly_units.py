@@ -118,3 +118,31 @@ def test_bounds_and_bonferroni(spark):
         assert row[f"b{n}"]["elevated"] == pytest.approx(e, abs=1e-3)
         assert row[f"b{n}"]["critical"] == pytest.approx(c, abs=1e-3)
     assert row["q975"] == pytest.approx(1.959964, abs=1e-6)
+
+
+def test_config_columns_override_the_defaults(spark):
+    hist = [float(x) for x in range(100, 120)]
+    rows = [("plain", hist, None, None, None, None, None), ("half", hist, 0.5, None, None, None, None),
+            ("low", hist, None, 150.0, "below", "Under 150", None), ("spend", hist[:-1] + [500.0], None, 300.0, "above", "Over budget", "monthly_azure_spend")]
+    df = spark.createDataFrame([(i, i, "Cost", "unbounded_count", "higher_is_bad", None, "$", h, p, t, d, lab, rs) for i, h, p, t, d, lab, rs in rows],
+                               "metric_id string, metric_name string, category string, metric_type string, direction string, capacity double, unit string, "
+                               "history array<double>, baseline_window_pct double, breach_threshold double, breach_direction string, breach_label string, rule_set string")
+    df = df.withColumn("current_value", F.element_at("history", -1))
+    got = {r["metric_id"]: r for r in run_anomaly(df, F.lit("2024-01-30 00:00:00").cast("timestamp")).collect()}
+    assert (got["plain"]["baseline_n"], got["half"]["baseline_n"]) == (14, 10)
+    assert got["plain"]["breach_threshold"] == pytest.approx(213.0) and got["plain"]["currently_breached"] is False
+    assert (got["low"]["breach_threshold"], got["low"]["breach_label"], got["low"]["currently_breached"]) == (150.0, "Under 150", True)
+    assert got["spend"]["breach_label"] == "Over budget" and got["spend"]["rx_action"].startswith("Budget exceeded")
+
+
+def test_cost_rules(spark):
+    from opsight.operators.anomaly import prescribe
+
+    ctx = {"score": F.col("score"), "crit": F.lit(3.0), "elev": F.lit(2.0), "breached": F.col("breached"), "periods": F.col("periods"),
+           "risk": F.when(F.col("score") > 3, "Critical").when(F.col("score") > 2, "Elevated").otherwise("Nominal"), "slope": F.lit(0.0), "r2": F.lit(0.0)}
+    cases = [("monthly_azure_spend", 4.0, True, None, "urgent"), ("monthly_azure_spend", 0.0, False, 5, "moderate"), ("monthly_azure_spend", 0.0, False, 6, "monitor"),
+             ("reserved_instance_utilization", 2.5, False, None, "moderate"), ("reserved_instance_utilization", 0.0, False, None, "monitor"),
+             ("storage_growth_rate", 4.0, False, None, "urgent"), ("storage_growth_rate", 2.5, False, None, "monitor"), ("ugw_apdex", 2.5, False, None, "moderate")]
+    df = spark.createDataFrame(cases, "rs string, score double, breached boolean, periods int, want string")
+    got = df.select(prescribe(F.col("rs"), ctx)[0].alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]

@@ -148,3 +148,34 @@ def test_holt_marks_late_values_and_applies_equal_times(spark, tmp_path):
     assert len(late) == 1 and late[0][5] == 2
     last = lambda rows: max((r for r in rows if not r[-1]), key=lambda r: r[5])[2:6]
     assert last(one[1]) == last(two[0]) and last(two[0])[3] == 4
+
+
+def test_every_insight_template_can_be_chosen(spark):
+    ids = [t[0] for t in L.INSIGHT_TEMPLATES]
+    rows = [(t, k, s, "IVR / Self-Service", None, {"signal_name": "x"}) for t, k, s, _ in L.INSIGHT_TEMPLATES]
+    trig = spark.createDataFrame(rows, "template_id int, trigger_type string, severity string, signal_name string, related_signal string, fields map<string,string>")
+    got = L.insights(trig, L.insight_templates(spark), L.domain_map(spark)).collect()
+    assert len(got) == len(ids) == 9 and len({r.insight_text for r in got}) == 9
+    assert {r.domains for r in got} == {"app,genesys"}
+    plain = L.insights(trig.drop("template_id"), L.insight_templates(spark), L.domain_map(spark)).collect()
+    assert len(plain) == 9 and not any("Active Incidents" in r.insight_text for r in plain)
+
+
+def test_maintenance_windows_of_every_scope(spark):
+    from opsight.operators import health as H
+
+    st = spark.sql("""select * from values (1, 'one', 'WARNING', 3, 'G1'), (2, 'two', 'CRITICAL', 3, 'G2'), (3, 'three', 'HEALTHY', 0, 'G1')
+                      t(application_id, application_name, current_status, error_count, infrastructure_group)""")
+    win = "select {id}L as maintenance_id, {app} as application_id, {grp} as infrastructure_group, '{scope}' as scope, 'PLANNED' as maintenance_type, timestamp'{a}' as start_time, timestamp'{b}' as end_time"
+    app = win.format(id=1, app="1", grp="cast(null as string)", scope="APP", a="2024-01-01 09:00:00", b="2024-01-01 11:00:00")
+    grp = win.format(id=2, app="cast(null as int)", grp="'G2'", scope="GROUP", a="2024-01-01 10:10:00", b="2024-01-01 11:00:00")
+    every = win.format(id=3, app="cast(null as int)", grp="cast(null as string)", scope="ALL", a="2024-01-01 08:00:00", b="2024-01-01 09:45:00")
+    now = F.lit("2024-01-01 10:00:00").cast("timestamp")
+
+    def modes(*sql):
+        got = H.maintenance_mode(st, spark.sql(" union all ".join(sql)), now).collect()
+        return sorted(((r.application_id, r.maintenance_id, r.monitoring_mode) for r in got), key=str)
+
+    assert {m[0]: m[2] for m in modes(app)} == {1: "SUPPRESS_DURING_MAINTENANCE", 2: "NORMAL_MONITORING"}
+    assert (2, 2, "PRE_MAINTENANCE_WINDOW") in modes(grp, app) and (1, 1, "SUPPRESS_DURING_MAINTENANCE") in modes(grp, app)
+    assert modes(every) == [(1, 3, "POST_MAINTENANCE_STABILIZATION"), (2, 3, "POST_MAINTENANCE_STABILIZATION")]
