@@ -31,8 +31,8 @@ from .files import TaskFile, open_input, read_range
 MAGIC = b"OPSIGHT1"
 BLOCK = 4096
 RUN = 256  # blocks that are read and unpacked at once
-MAX_PIECES = 400_000  # cached distinct pieces of a worker; the cache starts anew beyond
-SLICE = 500  # documents that a worker encodes at once
+MAX_PIECES = 800_000  # cached distinct pieces of a worker; the cache starts anew beyond
+SLICE = 1000  # documents that a worker encodes at once
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
