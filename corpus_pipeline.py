@@ -41,6 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """0.8 of the tokens, in source weights as even as they get without reading a source more than once."""
+    ship_code(spark)
     return mixing.mix_sources(docs, budget_share=BUDGET_SHARE, max_repeats=MAX_REPEATS).select(*docs.columns)
 
 

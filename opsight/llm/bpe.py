@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 from .common import add_column, encode_text
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that doesn't merge
-MAX_UNITS = 400_000  # cached distinct units of a worker; the cache starts anew beyond
+MAX_UNITS = 300_000  # cached distinct units of a task; the cache starts anew beyond
 CHUNK = 8_000_000  # characters of text whose words are replayed together
+ROWS = 3000  # documents that a task encodes at once
 
 
 def ranks_of(rank_file: bytes) -> dict[bytes, int]:
@@ -295,10 +296,6 @@ def merge_table(rank_file: bytes) -> MergeTable:
     return _kept(MergeTable, rank_file)
 
 
-def encoder(rank_file: bytes, pattern: str) -> Encoder:
-    return _kept(Encoder, rank_file, pattern)
-
-
 def read_file(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -308,22 +305,27 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
     """df with the array of token ids of each whole text."""
     ranks = df.sparkSession.sparkContext.broadcast(read_file(rank_path))  # a vocabulary: fixed size
 
-    def make(texts):
-        ids, starts = encoder(ranks.value, pattern).encode(texts.to_pylist())
-        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+    def start():
+        encoder = Encoder(ranks.value, pattern)
+
+        def make(texts):
+            ids, starts = encoder.encode(texts.to_pylist())
+            return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+
+        return make
 
-    return add_column(df, out, T.ArrayType(T.IntegerType()), text_col, make, keep)
+    return add_column(df, out, T.ArrayType(T.IntegerType()), text_col, start, keep, ROWS)
 
 
 def bpe_decode(df: DataFrame, rank_path: str, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """df with the bytes of each array of token ids."""
     ranks = df.sparkSession.sparkContext.broadcast(read_file(rank_path))
 
-    def make(ids):
+    def start():
         tokens = _kept(Tokens, ranks.value)
-        return pa.array([b"".join(map(tokens.bytes.__getitem__, row)) for row in _lists(ids, tokens.known)], pa.binary())
+        return lambda ids: pa.array([b"".join(map(tokens.bytes.__getitem__, row)) for row in _lists(ids, tokens.known)], pa.binary())
 
-    return add_column(df, out, T.BinaryType(), ids_col, make, keep)
+    return add_column(df, out, T.BinaryType(), ids_col, start, keep)
 
 
 def _lists(ids, known: np.ndarray):

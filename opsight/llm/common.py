@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 from pathlib import Path
@@ -54,8 +55,18 @@ def spread(files: DataFrame, column: str, most: int = 10_000) -> DataFrame:
     return files.repartition(max(1, min(most, files.count())), column)
 
 
+BATCH_BYTES = 8 << 20
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Give the executors this package, as --py-files would, so that tasks can import it on any cluster."""
+    """Give the executors this package, as --py-files would, so that tasks can import it on any cluster.
+
+    Also bounds the Arrow batches of the session by bytes: with long texts the default of 10,000 rows or 64 MB, held by the
+    JVM and by Python in several forms, is a large part of a small executor.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(limit)) or 0) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_opsight_shipped", False):
         return
@@ -77,10 +88,10 @@ def encode_text(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, make, keep: list[str] | None = None) -> DataFrame:
-    """df with a new last column `name` that make(arrow array of the column `source`) gives, batch by batch.
+def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, start, keep: list[str] | None = None, rows: int = 1000) -> DataFrame:
+    """df with a new last column `name`: start() gives each task a function from an arrow array of `source` to its values.
 
-    Only the columns in `keep` (default: all) come back from the tasks; an input column called `name` is replaced.
+    The function gets `rows` rows at a time and what it keeps goes with the task. Only the columns in `keep` (default: all) come back from the tasks; an input column called `name` is replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c != name]
     sent = kept if source in kept else [*kept, source]
@@ -89,8 +100,10 @@ def add_column(df: DataFrame, name: str, kind: T.DataType, source: str, make, ke
     at = sent.index(source)
 
     def run(batches):
+        make = start()
         for b in batches:
-            arrays = [b.column(i) for i in range(len(kept))] + [make(b.column(at))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, name])
+            for i in range(0, b.num_rows, rows):
+                s = b.slice(i, rows)
+                yield pa.RecordBatch.from_arrays([s.column(j) for j in range(len(kept))] + [make(s.column(at))], names=[*kept, name])
 
     return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)

@@ -19,11 +19,13 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import encode_text, materialise
+from .common import add_column, encode_text, materialise
 from .components import connected_components, local_roots
 
 SEED = 42  # of XXH64
@@ -52,12 +54,10 @@ def simhash_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, fp): the id column and the fingerprint as a signed 64-bit long."""
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    def run(batches):
-        for pdf in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in pdf["text"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"id": pdf["id"], "fp": fp.view(np.int64)})
+    def start():
+        return lambda texts: pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
 
-    return src.mapInPandas(run, "id long, fp long")
+    return add_column(src, "fp", T.LongType(), "text", start, keep=["id"])
 
 
 class BKForest:
@@ -212,6 +212,8 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = groups.where("id <> component").select(F.col("id").alias("__id")).distinct()
     again = groups.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
     left = df.join(gone, key == F.col("__id"), "left_anti")
+    if again.isEmpty():  # else the texts would be dealt out twice for nothing
+        return left
     once = left.join(again, key == F.col("__id"), "left_anti")
     repeated = left.join(again, key == F.col("__id"), "left_semi")
     cols = [F.col(f"`{c}`") for c in df.columns]

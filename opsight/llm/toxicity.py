@@ -35,7 +35,7 @@ EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 8, 64, 0.1, 1e-5, 1e-4, 7
 Z_MIN, PAIR_SHARE = 4.0, 0.05
 EDGES = ".,;:!?\"'()[]{}<>*%$#&-_/\\|~`^+=…“”„»«¿¡"
 PREFIX = 4
-MAX_WORDS = 400_000  # cached distinct words of a worker; the cache starts anew beyond
+MAX_WORDS = 300_000  # cached distinct words of a task; the cache starts anew beyond
 
 
 def held_out(id_col: str, folds: int = 5) -> Column:
@@ -44,7 +44,7 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 
 
 class Terms:
-    """Hashed terms of texts; a word is looked at once by a worker."""
+    """Hashed terms of texts; a word is looked at once by a task."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -77,14 +77,6 @@ class Terms:
         return out
 
 
-_TERMS: dict[int, Terms] = {}
-
-
-def terms_of(bits: int) -> Terms:
-    """The worker's term maker; kept between tasks."""
-    return _TERMS.setdefault(bits, Terms(bits))
-
-
 class Model:
     """w0, w (places) and v (places x factors); `used` marks the places that count."""
 
@@ -176,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           bits: int = BITS, factors: int = FACTORS) -> Model:
     """Fits the model in one task on the drawn documents' term lists and brings the parameters to the driver."""
     def terms(batches):
+        maker = Terms(bits)
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "toxic": pdf["toxic"], "places": [r.tolist() for r in terms_of(bits).of(pdf["text"])]})
+            yield pd.DataFrame({"id": pdf["id"], "toxic": pdf["toxic"], "places": [r.tolist() for r in maker.of(pdf["text"])]})
 
     drawn = training_rows(docs, labels, id_col, text_col, per_class).mapInPandas(terms, "id long, toxic int, places array<int>")
 
@@ -201,10 +194,11 @@ def add_score(df: DataFrame, model: Model, text_col: str = "text", out: str = "s
     """df with the model's score of each whole text."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # (factors + 1) * 2^bits floats: fixed size
 
-    def make(texts):
-        return pa.array(sent.value.scores(terms_of(bits).of(texts.to_pylist())))
+    def start():
+        terms, model = Terms(bits), sent.value
+        return lambda texts: pa.array(model.scores(terms.of(texts.to_pylist())))
 
-    return add_column(df, out, T.DoubleType(), text_col, make, keep)
+    return add_column(df, out, T.DoubleType(), text_col, start, keep)
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
