@@ -33,6 +33,7 @@ from .common import add_column
 BITS, FACTORS, PER_CLASS = 18, 4, 8_000
 EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 8, 64, 0.1, 1e-5, 1e-4, 7
 Z_MIN, PAIR_SHARE = 4.0, 0.05
+STEPS = 1500  # of the optimiser at least: few training rows are passed more often
 EDGES = ".,;:!?\"'()[]{}<>*%$#&-_/\\|~`^+=…“”„»«¿¡"
 PREFIX = 4
 MAX_WORDS = 300_000  # cached distinct words of a task; the cache starts anew beyond
@@ -123,7 +124,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     rows = [r[used[r]] for r in rows]
     gw, gv, w0, g0 = np.full(size, 1e-6), np.full((size, factors), 1e-6), 0.0, 1e-6
     weight = np.where(labels == 1, len(labels) / (2 * n1), len(labels) / (2 * (len(labels) - n1)))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(rows)))):
         order = rng.permutation(len(rows))
         for s in range(0, len(order), BATCH):
             batch = order[s:s + BATCH]
