@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from .common import add_column, encode_text
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that doesn't merge
-MAX_UNITS = 300_000  # cached distinct units of a task; the cache starts anew beyond
-CHUNK = 8_000_000  # characters of text whose words are replayed together
-ROWS = 3000  # documents that a task encodes at once
+MAX_UNITS = 150_000  # cached distinct units of a task; the cache starts anew beyond
+CHUNK = 6_000_000  # characters of text whose words are replayed together
+ROWS = 1500  # documents that a task encodes at once
 
 
 def ranks_of(rank_file: bytes) -> dict[bytes, int]:
