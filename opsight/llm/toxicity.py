@@ -1,15 +1,15 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j): besides a weight for each term the model learns a short
+score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j> x_i x_j): besides a weight for each term the model learns a short
 factor vector, so that pairs of terms (an insult with the mention of a group) count beyond their sum. Terms are the
 distinct words of the whole text, lower case and without punctuation at their ends, and the words' first four letters;
-they are hashed into 2^bits places. Terms whose class shares differ by Z_MIN standard errors get a weight, terms of PAIR_SHARE of the
-training rows get factors, and the others don't count: long neutral texts stay neutral. The pairwise sum is divided by
-the number of terms that count.
+they are hashed into 2^bits places. Terms whose class shares differ by Z_MIN standard errors get a weight, these and all terms on
+PAIR_ROWS training rows get factors, and the others don't count: they were met too seldom to learn from. x is 1 for a term with
+a weight, so that a telling pair counts the same in a text of any length, and 1/sqrt(n) for the n others of a text.
 
 Training takes at most `per_class` labelled documents of each class (a documented bound; those with the least hash of
 their id), drawn from rows that are not held out. Their term lists are made on the executors; one task fits the
-model, whose size is fixed by `bits` and `factors`. All documents are scored on the executors.
+model, which holds the terms that count alone. All documents are scored on the executors.
 
 Edge cases: a null or empty text has no terms and scores sigmoid(w0); repeated labels of one id count as toxic if any is;
 labels other than 0 and 1 (or null) are ignored; without training rows of both classes the model is constant (the share of toxic
@@ -32,7 +32,7 @@ from .common import add_column
 
 BITS, FACTORS, PER_CLASS = 18, 4, 8_000
 EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 8, 64, 0.1, 1e-5, 1e-4, 7
-Z_MIN, PAIR_SHARE = 4.0, 0.05
+Z_MIN, PAIR_ROWS = 4.0, 5
 STEPS = 1500  # of the optimiser at least: few training rows are passed more often
 EDGES = ".,;:!?\"'()[]{}<>*%$#&-_/\\|~`^+=…“”„»«¿¡"
 PREFIX = 4
@@ -79,49 +79,57 @@ class Terms:
 
 
 class Model:
-    """w0, w (places) and v (places x factors); `used` marks the places that count."""
+    """w0, and for each term that counts its place (`keys`, in order), w, v (factors) and whether it has a weight (`told`)."""
 
-    def __init__(self, w0: float, w: np.ndarray, v: np.ndarray, used: np.ndarray | None = None):
-        self.w0, self.w, self.v = w0, w, v
-        self.used = (w != 0) | (v != 0).any(axis=1) if used is None else used
+    def __init__(self, w0: float, keys: np.ndarray, w: np.ndarray, v: np.ndarray, told: np.ndarray):
+        self.w0, self.keys, self.w, self.v, self.told = w0, keys, w, v, told
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Where the places that count stand in `keys`."""
+        i = np.searchsorted(self.keys, places)
+        known = i < len(self.keys)
+        return i[known][self.keys[i[known]] == places[known]]
 
     def raw(self, places: np.ndarray) -> float:
-        places = places[self.used[places]]
-        if not len(places):
+        at = self.at(places)
+        if not len(at):
             return self.w0
-        v = self.v[places]
+        told = self.told[at]
+        v = self.v[at] * np.where(told, 1, 1 / np.sqrt(max((~told).sum(), 1)))[:, None]
         s = v.sum(axis=0)
-        return self.w0 + float(self.w[places].sum()) + 0.5 * float(s @ s - (v * v).sum()) / len(places)
+        return self.w0 + float(self.w[at].sum()) + 0.5 * float(s @ s - (v * v).sum())
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         z = np.array([self.raw(r) for r in rows], np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def evidence(rows: list[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place: whether its class shares differ beyond chance (it gets a weight of its own), and whether
-    it occurs often enough to learn pairs from (it gets factors)."""
+def evidence(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, told): the places that count in order, and whether their class shares differ beyond chance (they get a
+    weight of their own); the others are on PAIR_ROWS rows, enough to learn pairs from."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    c1 = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == 1]), minlength=size)
-    c0 = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == 0]), minlength=size)
+    flat = np.concatenate(rows)
+    keys, back = np.unique(flat, return_inverse=True)
+    toxic = np.repeat(labels == 1, [len(r) for r in rows])
+    c1, c0 = np.bincount(back[toxic], minlength=len(keys)), np.bincount(back[~toxic], minlength=len(keys))
     p = (c1 + c0 + 0.5) / (n1 + n0 + 1)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    return z >= Z_MIN, c1 + c0 >= PAIR_SHARE * (n1 + n0)
+    told = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) >= Z_MIN
+    used = told | (c1 + c0 >= PAIR_ROWS)
+    return keys[used], told[used]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Mini-batch AdaGrad on the logistic loss; classes weigh the same."""
     rng = np.random.default_rng(seed)
-    size = 1 << bits
-    w, v = np.zeros(size), rng.normal(0, 0.05, (size, factors))
     n1 = int(labels.sum())
     if n1 in (0, len(labels)):
         share = np.clip((n1 + 0.5) / (len(labels) + 1), 0.01, 0.99)
-        return Model(float(np.log(share / (1 - share))), w, np.zeros((size, factors)))
-    told, often = evidence(rows, labels, size)
-    v[~often] = 0
-    used = told | often
-    rows = [r[used[r]] for r in rows]
+        return Model(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0), np.empty((0, factors)), np.empty(0, bool))
+    keys, told = evidence(rows, labels)
+    size = len(keys)
+    w, v = np.zeros(size), rng.normal(0, 0.2, (size, factors))
+    model = Model(0.0, keys, w, v, told)
+    rows = [model.at(r) for r in rows]
     gw, gv, w0, g0 = np.full(size, 1e-6), np.full((size, factors), 1e-6), 0.0, 1e-6
     weight = np.where(labels == 1, len(labels) / (2 * n1), len(labels) / (2 * (len(labels) - n1)))
     for _ in range(max(epochs, -(-STEPS * BATCH // len(rows)))):
@@ -131,26 +139,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
             lens = np.array([len(rows[i]) for i in batch])
             flat = np.concatenate([rows[i] for i in batch])
             doc = np.repeat(np.arange(len(batch)), lens)
-            n = np.maximum(lens, 1)
-            vf = v[flat]
+            x = np.where(told[flat], 1, 1 / np.sqrt(np.maximum(np.bincount(doc, ~told[flat], len(batch)), 1))[doc])[:, None]
+            vf = v[flat] * x
             sums = np.zeros((len(batch), factors))
             np.add.at(sums, doc, vf)
             squares = np.bincount(doc, (vf * vf).sum(axis=1), len(batch))
-            z = w0 + np.bincount(doc, w[flat], len(batch)) + 0.5 * ((sums * sums).sum(axis=1) - squares) / n
+            z = w0 + np.bincount(doc, w[flat], len(batch)) + 0.5 * ((sums * sums).sum(axis=1) - squares)
             err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[batch]) * weight[batch] / len(batch)
             # gradients, summed by place
             at, back = np.unique(flat, return_inverse=True)
             dw = np.bincount(back, err[doc], len(at)) + L2_W * w[at]
-            part = (err / n)[doc][:, None] * (sums[doc] - vf)
+            part = err[doc][:, None] * x * (sums[doc] - vf)
             dv = np.stack([np.bincount(back, part[:, f], len(at)) for f in range(factors)], axis=1) + L2_V * v[at]
             gw[at] += dw * dw
             gv[at] += dv * dv
             w[at] -= RATE * told[at] * dw / np.sqrt(gw[at])
-            v[at] -= RATE / 4 * often[at][:, None] * dv / np.sqrt(gv[at])
+            v[at] -= RATE * dv / np.sqrt(gv[at])
             d0 = err.sum()
             g0 += d0 * d0
             w0 -= RATE * d0 / np.sqrt(g0)
-    return Model(w0, w, v, used)
+    return Model(w0, keys, w, v, told)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> DataFrame:
@@ -177,23 +185,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def learn(batches):
         pdf = pd.concat([pd.DataFrame({"id": [], "toxic": [], "places": []}), *batches], ignore_index=True)
-        pdf["key"] = [tuple(p) for p in pdf["places"]]
+        pdf["key"] = [np.asarray(p, np.int64).tobytes() for p in pdf["places"]]
         pdf = pdf.sort_values(["id", "toxic", "key"])  # any order of arrival gives the same model
         rows = [np.array(p, np.int64) for p in pdf["places"]]
         m = fit(rows, pdf["toxic"].to_numpy(np.int64), bits, factors)
-        yield pd.DataFrame({"w0": [m.w0], "w": [m.w.astype(np.float32).tobytes()], "v": [m.v.astype(np.float32).tobytes()], "used": [m.used.tobytes()]})
+        yield pd.DataFrame({"w0": [m.w0], "keys": [m.keys.tobytes()], "w": [m.w.astype(np.float32).tobytes()], "v": [m.v.astype(np.float32).tobytes()], "told": [m.told.tobytes()]})
 
     # at most 2 * per_class rows (and repeats of their ids): one bounded task
-    row = drawn.repartition(1).mapInPandas(learn, "w0 double, w binary, v binary, used binary").collect()
+    row = drawn.repartition(1).mapInPandas(learn, "w0 double, keys binary, w binary, v binary, told binary").collect()
     if not row:
         return fit([], np.empty(0, np.int64), bits, factors)
     m = row[0]
-    return Model(m["w0"], np.frombuffer(m["w"], np.float32), np.frombuffer(m["v"], np.float32).reshape(-1, factors), np.frombuffer(m["used"], bool))
+    return Model(m["w0"], np.frombuffer(m["keys"], np.int64), np.frombuffer(m["w"], np.float32), np.frombuffer(m["v"], np.float32).reshape(-1, factors), np.frombuffer(m["told"], bool))
 
 
 def add_score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score", bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
     """df with the model's score of each whole text."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # (factors + 1) * 2^bits floats: fixed size
+    sent = df.sparkSession.sparkContext.broadcast(model)  # (factors + 2) numbers for each term that counts
 
     def start():
         terms, model = Terms(bits), sent.value

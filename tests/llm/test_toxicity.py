@@ -32,6 +32,29 @@ def test_learns_what_no_linear_model_can():
     assert area_under_curve(m.scores(rows[1200:]), labels[1200:]) < 0.8
 
 
+def rare_pairs(n, seed, both, alone):
+    """(text, toxic, a, b): a word on 2 % of the rows, another on 2 %, on 1 % together; the other rows by the plain word `vile`."""
+    rng = random.Random(seed)
+    words, out = [f"w{i}" for i in range(300)], []
+    for _ in range(n):
+        u = rng.random()
+        a, b = u < 0.02, 0.01 <= u < 0.03
+        toxic = both if a and b else alone if a or b else int(both and rng.random() < 0.5)
+        out.append((" ".join(rng.sample(words, 12) + ["insult"] * a + ["group"] * b + ["vile"] * (toxic and not (a or b))), toxic, a, b))
+    return out
+
+
+def test_learns_pairs_of_rare_words():
+    """Insult and group are on 2 % of the rows: toxic only together (each tells nothing alone), or only apart (no linear model learns that)."""
+    for both, alone in ((1, 0), (0, 1)):
+        train, test = rare_pairs(4000, 0, both, alone), [r for r in rare_pairs(4000, 1, both, alone) if r[2] or r[3]]
+        m = X.fit(X.Terms(X.BITS).of([t for t, *_ in train]), np.array([y for _, y, *_ in train]))
+        rows, labels = X.Terms(X.BITS).of([t for t, *_ in test]), np.array([y for _, y, *_ in test])
+        assert area_under_curve(m.scores(rows), labels) > 0.95
+        m.v = np.zeros_like(m.v)
+        assert area_under_curve(m.scores(rows), labels) < 0.8
+
+
 def test_query_on_held_out_rows(spark):
     got = Q.QUERIES["op9_toxicity_factorization_machine"](spark, SF).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
