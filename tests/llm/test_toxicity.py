@@ -55,6 +55,15 @@ def test_learns_pairs_of_rare_words():
         assert area_under_curve(m.scores(rows), labels) < 0.8
 
 
+def test_telling_pair_in_a_long_neutral_text():
+    train = rare_pairs(4000, 0, 0, 1)
+    m = X.fit(X.Terms(X.BITS).of([t for t, *_ in train]), np.array([y for _, y, *_ in train]))
+    for more in (0, 50, 300):
+        pad = " ".join(f"w{i}" for i in range(more))
+        scores = m.scores(X.Terms(X.BITS).of([f"{pad} insult", f"{pad} group", f"{pad} insult group", pad]))
+        assert (scores >= 0.5).tolist() == [True, True, False, False], more
+
+
 def test_query_on_held_out_rows(spark):
     got = Q.QUERIES["op9_toxicity_factorization_machine"](spark, SF).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
