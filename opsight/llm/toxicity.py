@@ -18,7 +18,7 @@ rows, 0.5 without any rows); an input column named like an output column (held_o
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .bpe import _Index
 from .common import add_column
 
-BITS, FACTORS, PER_CLASS = 18, 4, 8_000
+BITS, FACTORS, PER_CLASS = 63, 4, 8_000  # so many bits that distinct terms don't meet
 EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 8, 64, 0.1, 1e-5, 1e-4, 7
 Z_MIN, PAIR_ROWS = 4.0, 5
 STEPS = 1500  # of the optimiser at least: few training rows are passed more often
@@ -53,15 +53,16 @@ class Terms:
 
     def _reset(self):
         self.words = _Index()
-        self.places = np.empty((0, 2), np.int32)
+        self.places = np.empty((0, 2), np.int64)
 
     def _place(self, word: str) -> tuple[int, int]:
         w = word.lower().strip(EDGES)
         if not w:
             return -1, -1
-        mask = (1 << self.bits) - 1
-        prefix = zlib.crc32(b"p" + w[:PREFIX].encode("utf-8", "replace")) & mask if len(w) > PREFIX else -1
-        return zlib.crc32(b"w" + w.encode("utf-8", "replace")) & mask, prefix
+        return self._hash("w" + w), self._hash("p" + w[:PREFIX]) if len(w) > PREFIX else -1
+
+    def _hash(self, term: str) -> int:
+        return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "replace"), digest_size=8).digest(), "little") & (1 << self.bits) - 1
 
     def of(self, texts) -> list[np.ndarray]:
         """Distinct places of each text, in order."""
@@ -69,7 +70,7 @@ class Terms:
             self._reset()
         rows = [np.fromiter(map(self.words.__getitem__, set(t.split())), np.int64) if isinstance(t, str) else np.empty(0, np.int64) for t in texts]
         if self.words.fresh:
-            self.places = np.concatenate([self.places, np.array([self._place(w) for w in self.words.fresh], np.int32).reshape(-1, 2)])
+            self.places = np.concatenate([self.places, np.array([self._place(w) for w in self.words.fresh], np.int64).reshape(-1, 2)])
             self.words.fresh = []
         out = []
         for r in rows:
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "toxic": pdf["toxic"], "places": [r.tolist() for r in maker.of(pdf["text"])]})
 
-    drawn = training_rows(docs, labels, id_col, text_col, per_class).mapInPandas(terms, "id long, toxic int, places array<int>")
+    drawn = training_rows(docs, labels, id_col, text_col, per_class).mapInPandas(terms, "id long, toxic int, places array<long>")
 
     def learn(batches):
         pdf = pd.concat([pd.DataFrame({"id": [], "toxic": [], "places": []}), *batches], ignore_index=True)

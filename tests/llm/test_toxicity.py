@@ -64,6 +64,12 @@ def test_telling_pair_in_a_long_neutral_text():
         assert (scores >= 0.5).tolist() == [True, True, False, False], more
 
 
+def test_distinct_terms_share_no_place():
+    words = [f"{i:06d}x" for i in range(280_000)]
+    places = X.Terms(X.BITS).of([" ".join(words)])[0]
+    assert len(places) == len(words) + len({w[:X.PREFIX] for w in words})
+
+
 def test_query_on_held_out_rows(spark):
     got = Q.QUERIES["op9_toxicity_factorization_machine"](spark, SF).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
