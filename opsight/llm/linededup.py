@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-RATIO, MIN_PAGES = 0.05, 10
+RATIO, MIN_PAGES = 0.05, 2  # one page can't show that a line repeats; beyond that the ratio decides
 
 
 def line_key(line: Column) -> Column:

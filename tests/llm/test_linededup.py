@@ -47,3 +47,18 @@ def test_query_on_pages(spark):
     want = brute([tuple(r) for r in pages], L.RATIO, L.MIN_PAGES)
     got = Q.QUERIES["op10_line_dedup_by_host"](spark, sf).select("page_id", "host", "n_lines", "dropped_lines").collect()
     assert sorted(map(tuple, got), key=str) == sorted(((i, h, n, d) for i, h, _, n, d in want), key=str)
+
+
+def test_small_hosts_lose_their_menus(spark):
+    rows = [(i, f"h{i % 2}", f"Menu {i % 2}\nbody {i}\nFooter") for i in range(8)] + [(10 + i, "big", f"Menu\nbody {i}" + "\nseldom" * (i < 5)) for i in range(100)] + [(200, "one", "Menu")]
+    out = L.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {i: (t if h == "one" else f"body {t.split('body ')[1]}".removesuffix("\nFooter")) for i, h, t in rows}
+
+
+def test_query_drops_lines(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", L.url_host(F.col("url")).alias("host"), L.page_lines(F.col("html")).alias("text")).collect()
+    want = brute([tuple(r) for r in pages], 0.05, 2)
+    got = Q.QUERIES["op10_line_dedup_by_host"](spark, sf).select("page_id", "host", "n_lines", "dropped_lines").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, h, n, d) for i, h, _, n, d in want), key=str)
+    assert sum(r.dropped_lines for r in got) > 100
