@@ -31,18 +31,33 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line_key, pages, host_pages) of the lines on more than `ratio` of a host's pages and on min_pages at least."""
+def n_words(line: Column) -> Column:
+    return F.size(F.split(F.trim(line), r"\s+"))
+
+
+def boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float | dict[int, float] = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, line_key, pages, host_pages) of the lines on more than `ratio` of a host's pages and on min_pages at least.
+
+    A dict gives the ratio of lines of so many words and more; lines with fewer words than any key stay.
+    """
     pages = df.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").cast("string").alias("text"))
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""), line_key))
-    counts = (pages.select("host", F.explode(keys).alias("line_key")).groupBy("host", "line_key").agg(F.count("*").alias("pages"))
-              .where(F.col("pages") >= min_pages))
+    lines = F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != "")
+    by, limit = ["host", "line_key"], F.lit(ratio)
+    if isinstance(ratio, dict):
+        by, limit = [*by, "ratio"], F.col("ratio")
+        steps = sorted(ratio.items(), reverse=True)
+        own = lambda x: F.coalesce(*[F.when(n_words(x) >= n, F.lit(float(r))) for n, r in steps])
+        keys = F.transform(lines, lambda x: F.struct(line_key(x).alias("line_key"), own(x).alias("ratio")))
+        dealt = pages.select("host", F.explode(F.array_distinct(keys)).alias("key")).select("host", "key.*").where("ratio is not null")
+    else:
+        dealt = pages.select("host", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("line_key"))
+    counts = dealt.groupBy(*by).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return (counts.join(totals, counts["host"].eqNullSafe(totals["host"])).drop(totals["host"])
-            .where(F.col("pages") > F.col("host_pages") * F.lit(ratio)))
+            .where(F.col("pages") > F.col("host_pages") * limit).drop("ratio"))
 
 
-def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float | dict[int, float] = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """df with its boilerplate lines removed from text_col, and n_lines and dropped_lines (counts of lines)."""
     cols = [c for c in df.columns if c not in ("n_lines", "dropped_lines")]
     common = materialise(boilerplate(df, host_col, text_col, ratio, min_pages).select("host", "line_key"), "boilerplate")

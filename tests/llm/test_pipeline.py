@@ -64,3 +64,17 @@ def test_each_stage_on_its_own_input(spark):
     for r in out:
         assert r.ids == library.encode_ordinary(left[r.doc_id].text) and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256(left[r.doc_id].text.encode()).hexdigest()
+
+
+def test_planted_lines_go_from_a_source(spark):
+    """Of a source of 400 documents; the default ratio of hosts drops none of the planted lines."""
+    passage, notice, short = " ".join(f"p{i}" for i in range(60)), "all rights reserved by the owner of this", "Of that."
+    rows = []
+    for i in range(500):
+        lines = [f"clean line {i} of words that nobody else has", " ".join(f"c{i}x{k}" for k in range(60)), "both alone of two documents here" * (i in (50, 51))]
+        lines += [passage] * (i < 4) + [notice] * (10 <= i < 16) + [short] * (20 <= i < 36)
+        rows.append((i, "\n".join(lines), "en", "large" if i < 400 else "other", 1))
+    rows.append((600, passage, "en", "other", 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows_of(P.drop_boilerplate(spark, df, SF))
+    assert {i: r.text for i, r in got.items()} == {r[0]: "\n".join(x for x in r[1].split("\n") if x != notice and (x != passage or r[3] == "other")) for r in rows}
