@@ -53,11 +53,15 @@ def fingerprint(text, shingle: int) -> int:
 def simhash_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): the id column and the fingerprint as a signed 64-bit long."""
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return add_column(src, "fp", T.LongType(), "text", _fingerprints(shingle), keep=["id"])
 
+
+def _fingerprints(shingle: int):
+    """What add_column starts in a task."""
     def start():
         return lambda texts: pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
 
-    return add_column(src, "fp", T.LongType(), "text", start, keep=["id"])
+    return start
 
 
 class BKForest:
@@ -193,29 +197,39 @@ def _next_masks(used: int, radius: int) -> list[int]:
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most `radius` bits."""
+    return _groups(df, id_col, text_col, shingle, radius)[0].drop("root")
+
+
+def _groups(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, component, root) of all rows, and (fp, component, root) of all fingerprints; components whose
+    smallest ids are the same (of texts that share an id) differ in their roots."""
     docs = materialise(simhash_fingerprints(df, id_col, text_col, shingle), "simhash-docs")
     nodes = materialise(docs.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
     roots = connected_components(near_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = materialise(rooted.join(lows, "root").select("fp", "component"), "simhash-named")
-    return docs.join(named, "fp", "left").select("id", "fp", "component")
+    named = materialise(rooted.join(lows, "root").select("fp", "component", "root"), "simhash-named")
+    return docs.join(named, "fp", "left").select("id", "fp", "component", "root"), named
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of df whose id is the smallest of its group (of repeated ids one row, the first by its columns).
+    """Of each group the row of the smallest id (of rows that share it the first by its columns).
 
     Rows with a null id can't be told apart by id and stay as they are.
     """
     key = F.col(f"`{id_col}`")
-    groups = materialise(simhash_groups(df, id_col, text_col, shingle, radius), "simhash-groups")
+    groups, named = _groups(df, id_col, text_col, shingle, radius)
+    groups = materialise(groups.drop("root"), "simhash-groups")
     gone = groups.where("id <> component").select(F.col("id").alias("__id")).distinct()
     again = groups.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
-    left = df.join(gone, key == F.col("__id"), "left_anti")
     if again.isEmpty():  # else the texts would be dealt out twice for nothing
-        return left
-    once = left.join(again, key == F.col("__id"), "left_anti")
-    repeated = left.join(again, key == F.col("__id"), "left_semi")
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    first = repeated.groupBy(key.alias("__id")).agg(F.min(F.struct(*cols)).alias("__row")).select("__row.*")
+        return df.join(gone, key == F.col("__id"), "left_anti")
+    once = df.join(gone.unionByName(again).distinct(), key == F.col("__id"), "left_anti")
+    # Rows that share an id can be in several groups: each is found by its own fingerprint.
+    repeated = df.join(again, key == F.col("__id"), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    packed = repeated.select(row, key.cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marked = add_column(packed, "fp", T.LongType(), "text", _fingerprints(shingle), keep=["row", "id"])
+    least = marked.join(named, "fp").where(F.col("id") == F.col("component"))
+    first = least.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     return once.unionByName(first)

@@ -69,3 +69,11 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     want = [g[0] for g in groups_of(rows, 3, 2) if g[0] is not None and g[0] == g[2]]
     assert sorted(k[0] for k in kept if k[0] is not None) == sorted(set(want))
     assert sum(k[0] is None for k in kept) == 2
+
+
+def test_dedup_of_repeated_ids_on_different_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "lorem ipsum dolor sit amet consectetur")
+    for rows, want in (([(5, a), (7, a), (5, b), (3, b)], [(3, b), (5, a)]), ([(5, a), (5, b), (5, b), (5, c), (9, c), (1, "x y z w")], [(1, "x y z w"), (5, a), (5, b), (5, c)]),
+                       ([(5, a), (5, a), (2, a), (8, b)], [(2, a), (8, b)])):
+        kept = S.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, kept)) == sorted(want)
