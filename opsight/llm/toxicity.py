@@ -105,18 +105,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def evidence(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, told): the places that count in order, and whether their class shares differ beyond chance (they get a
-    weight of their own); the others are on PAIR_ROWS rows, enough to learn pairs from."""
+def evidence(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, told, rows): the places that count in order, whether their class shares differ beyond chance (they get a
+    weight of their own), and the rows as positions in keys; the others are on PAIR_ROWS rows, enough to learn pairs from."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    flat = np.concatenate(rows)
-    keys, back = np.unique(flat, return_inverse=True)
-    toxic = np.repeat(labels == 1, [len(r) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    keys, back = np.unique(np.concatenate(rows), return_inverse=True)
+    toxic = labels[doc] == 1
     c1, c0 = np.bincount(back[toxic], minlength=len(keys)), np.bincount(back[~toxic], minlength=len(keys))
     p = (c1 + c0 + 0.5) / (n1 + n0 + 1)
     told = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) >= Z_MIN
     used = told | (c1 + c0 >= PAIR_ROWS)
-    return keys[used], told[used]
+    at = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)[back]
+    ends = np.cumsum(np.bincount(doc[at >= 0], minlength=len(rows)))
+    return keys[used], told[used], np.split(at[at >= 0], ends[:-1])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -126,11 +128,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     if n1 in (0, len(labels)):
         share = np.clip((n1 + 0.5) / (len(labels) + 1), 0.01, 0.99)
         return Model(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0), np.empty((0, factors)), np.empty(0, bool))
-    keys, told = evidence(rows, labels)
+    keys, told, rows = evidence(rows, labels)
     size = len(keys)
     w, v = np.zeros(size), rng.normal(0, 0.2, (size, factors))
-    model = Model(0.0, keys, w, v, told)
-    rows = [model.at(r) for r in rows]
     gw, gv, w0, g0 = np.full(size, 1e-6), np.full((size, factors), 1e-6), 0.0, 1e-6
     weight = np.where(labels == 1, len(labels) / (2 * n1), len(labels) / (2 * (len(labels) - n1)))
     for _ in range(max(epochs, -(-STEPS * BATCH // len(rows)))):
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def learn(batches):
         pdf = pd.concat([pd.DataFrame({"id": [], "toxic": [], "places": []}), *batches], ignore_index=True)
-        pdf["key"] = [np.asarray(p, np.int64).tobytes() for p in pdf["places"]]
+        pdf["key"] = [hashlib.blake2b(np.asarray(p, np.int64).tobytes()).digest() for p in pdf["places"]]
         pdf = pdf.sort_values(["id", "toxic", "key"])  # any order of arrival gives the same model
         rows = [np.array(p, np.int64) for p in pdf["places"]]
         m = fit(rows, pdf["toxic"].to_numpy(np.int64), bits, factors)
