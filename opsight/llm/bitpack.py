@@ -146,7 +146,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self._reset()
 
@@ -155,7 +155,11 @@ class PieceEncoder:
         self.stems, self.stem_ids = _Index(), _Csr()
 
     def _parts(self, piece: str) -> list[int]:
-        """Stems of a piece: lower case where it is ASCII, and a comma or full stop after an ASCII letter or digit apart."""
+        """Stems of a piece: lower case where it is ASCII, and a comma or full stop after an ASCII letter or digit apart.
+
+        A piece that may hold an added token, which the library looks for before lower case, is a stem as it is."""
+        if any(t in piece.lower() for t in self.added):
+            return [self.stems[piece]]
         if piece.isascii():
             piece = piece.lower()
         if piece[-1:] in (",", ".") and piece[-2:-1].isalnum() and piece[-2:-1].isascii():

@@ -74,3 +74,12 @@ def test_query(spark, library):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in Q.QUERIES["op6_bit_packed_ids"](spark, SF).collect())
     assert got == expected(rows, library)
+
+
+def test_added_tokens_as_the_library_finds_them():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["foo <|endoftext|> bar", "<|startoftext|>", "a<|endoftext|>b, c", "x <|ENDOFTEXT|> <|endoftext|>. y", "Foo<|StartOfText|>,", "<|endoftext|><|endoftext|> É<|endoftext|>É", "<|endof text|>", "end\n<|endoftext|>\nof"]
+    enc = B.PieceEncoder(open(PATH, "rb").read())
+    assert enc.encode(texts[:1])[0].tolist() == [23435, 49407, 2411]
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
