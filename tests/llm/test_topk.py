@@ -43,3 +43,18 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     got = Q.QUERIES["op5_topk_norm_sorted"](spark, sf).collect()
     assert sorted(map(tuple, got)) == brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+
+
+def test_large_components_are_exact(spark):
+    """Products beyond 2^53 and beyond a long: exact ranks, scores cut off at the range of a long."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randrange(-2**24, 2**24)) for _ in range(64)]) for i in range(60)]
+    rows += [(100 + i, [2.0 ** 24 + i % 3] * 63 + [float(i)]) for i in range(40)]
+    rows += [(200 + i, [rng.choice([-1, 1]) * 1e8] * 64) for i in range(5)] + [(300, [1e20] + [0.5] * 63), (301, [-1e20] + [0.25] * 63), (302, [1e200] * 64), (303, [0.0] * 64)]
+    rows += [(400 + i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ends = lambda s: max(-2**63, min(2**63 - 1, s))
+    for sizes in ({"block": 16, "query_block": 4}, {}):
+        got = top_inner_products(df, df.where("vec_id % 20 = 0 or vec_id >= 300"), k=12, head=8, **sizes).collect()
+        want = brute(rows, [r for r in rows if r[0] % 20 == 0 or r[0] >= 300], 12)
+        assert sorted(map(tuple, got)) == [(q, n, i, ends(s)) for q, n, i, s in want]
