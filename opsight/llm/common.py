@@ -55,6 +55,18 @@ def spread(files: DataFrame, column: str, most: int = 10_000) -> DataFrame:
     return files.repartition(max(1, min(most, files.count())), column)
 
 
+def free_names(columns, *stems: str) -> list[str]:
+    """Names for working columns beside `columns`, none of which they meet (Spark looks at no case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 BATCH_BYTES = 8 << 20
 
 

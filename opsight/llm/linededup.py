@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_names, materialise
 
 RATIO, MIN_PAGES = 0.05, 2  # one page can't show that a line repeats; beyond that the ratio decides
 
@@ -62,14 +62,15 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     cols = [c for c in df.columns if c not in ("n_lines", "dropped_lines")]
     common = materialise(boilerplate(df, host_col, text_col, ratio, min_pages).select("host", "line_key"), "boilerplate")
     # A line on more than `ratio` of the pages is one of at most 1/ratio times the lines of an average page: a short list by host.
-    lists = common.groupBy("host").agg(F.collect_set("line_key").alias("__drop")).withColumnRenamed("host", "__host")
+    drop_, host_, kept_ = free_names(cols, "drop", "host", "kept")
+    lists = common.groupBy("host").agg(F.collect_set("line_key").alias(drop_)).withColumnRenamed("host", host_)
     host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`")
-    met = df.select(*[F.col(f"`{c}`") for c in cols]).join(lists, host.eqNullSafe(F.col("__host")), "left")
+    met = df.select(*[F.col(f"`{c}`") for c in cols]).join(lists, host.eqNullSafe(F.col(host_)), "left")
     lines = lines_of(text.cast("string"))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), line_key(x))))
-    met = met.withColumn("__kept", kept)
-    gone = F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0))
-    new_text = F.when(text.isNull() | (gone == 0), text).otherwise(F.array_join("__kept", "\n"))
+    kept = F.when(F.col(drop_).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(drop_), line_key(x))))
+    met = met.withColumn(kept_, kept)
+    gone = F.coalesce(F.size(lines) - F.size(kept_), F.lit(0))
+    new_text = F.when(text.isNull() | (gone == 0), text).otherwise(F.array_join(kept_, "\n"))
     return met.select(*[(new_text if c == text_col else F.col(f"`{c}`")).alias(c) for c in cols],
                       F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(text.isNull(), 0).otherwise(gone).alias("dropped_lines"))
 

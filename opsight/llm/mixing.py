@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_names, materialise
 
 SEED = 42
 BITS, RANGE_BITS = 60, 12
@@ -123,14 +123,15 @@ def mix_sources(df: DataFrame, budget_share: float = 1.0, max_repeats: float | N
     """
     cols = [c for c in df.columns if c not in OUT]
     plan = mixing_plan(df, budget_share, max_repeats, target_entropy, id_col, source_col, text_col, seed)
-    terms = plan.where("budget > 0").select(F.struct(F.col("source"), "passes", "cut").alias("__plan"))
-    rows = df.select(*[F.col(f"`{c}`") for c in cols], doc_key(id_col, text_col).alias("__doc"))
-    met = rows.join(terms, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__plan.source")))
-    passed = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__plan.passes").cast("int"))))
-    keyed = passed.withColumn("mix_key", mix_key(F.col("epoch"), F.col("__doc"), seed))
-    drawn = keyed.where((F.col("epoch") < F.col("__plan.passes")) | (F.col("mix_key") < F.col("__plan.cut")))
+    plan_, doc_ = free_names([*cols, *OUT], "plan", "doc")
+    terms = plan.where("budget > 0").select(F.struct(F.col("source"), "passes", "cut").alias(plan_))
+    rows = df.select(*[F.col(f"`{c}`") for c in cols], doc_key(id_col, text_col).alias(doc_))
+    met = rows.join(terms, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(f"{plan_}.source")))
+    passed = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(f"{plan_}.passes").cast("int"))))
+    keyed = passed.withColumn("mix_key", mix_key(F.col("epoch"), F.col(doc_), seed))
+    drawn = keyed.where((F.col("epoch") < F.col(f"{plan_}.passes")) | (F.col("mix_key") < F.col(f"{plan_}.cut")))
     unit = float(1 << BITS)
-    at = (F.col("epoch") + F.col("mix_key") / F.lit(unit)) / (F.col("__plan.passes") + F.col("__plan.cut") / F.lit(unit))
+    at = (F.col("epoch") + F.col("mix_key") / F.lit(unit)) / (F.col(f"{plan_}.passes") + F.col(f"{plan_}.cut") / F.lit(unit))
     return drawn.select(*[F.col(f"`{c}`") for c in cols], "epoch", F.least(F.floor(at * blocks), F.lit(blocks - 1)).cast("int").alias("mix_block"), "mix_key")
 
 

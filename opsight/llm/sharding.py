@@ -97,8 +97,9 @@ def feistel_shards(df: DataFrame, n_shards: int, seed: int = 42, **numbering) ->
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
-    df = df.drop(*OUT, "n_rows")
+    df = df.drop(*OUT)
     cols = df.columns
-    numbered = number_rows(df, **numbering)
+    own = [f"c{i}" for i in range(len(cols))]  # names of our own, so that the rows may use any
+    numbered = number_rows(df.toDF(*own), **numbering)
     placed = numbered.withColumn("__p", place(F.col("row_number"), F.col("n_rows"), n_shards, seed))
-    return placed.select(*[F.col(f"`{c}`") for c in cols], "row_number", "__p.permuted", "__p.shard", "__p.slot")
+    return placed.select(*[F.col(o).alias(c) for o, c in zip(own, cols)], "row_number", "__p.permuted", "__p.shard", "__p.slot")

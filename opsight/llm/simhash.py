@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, encode_text, materialise
+from .common import add_column, encode_text, free_names, materialise
 from .components import connected_components, local_roots
 
 SEED = 42  # of XXH64
@@ -217,16 +217,16 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with a null id can't be told apart by id and stay as they are.
     """
-    key = F.col(f"`{id_col}`")
+    key, (gone_,) = F.col(f"`{id_col}`"), free_names(df.columns, "id")
     groups, named = _groups(df, id_col, text_col, shingle, radius)
     groups = materialise(groups.drop("root"), "simhash-groups")
-    gone = groups.where("id <> component").select(F.col("id").alias("__id")).distinct()
-    again = groups.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
+    gone = groups.where("id <> component").select(F.col("id").alias(gone_)).distinct()
+    again = groups.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(gone_))
     if again.isEmpty():  # else the texts would be dealt out twice for nothing
-        return df.join(gone, key == F.col("__id"), "left_anti")
-    once = df.join(gone.unionByName(again).distinct(), key == F.col("__id"), "left_anti")
+        return df.join(gone, key == F.col(gone_), "left_anti")
+    once = df.join(gone.unionByName(again).distinct(), key == F.col(gone_), "left_anti")
     # Rows that share an id can be in several groups: each is found by its own fingerprint.
-    repeated = df.join(again, key == F.col("__id"), "left_semi")
+    repeated = df.join(again, key == F.col(gone_), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     packed = repeated.select(row, key.cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     marked = add_column(packed, "fp", T.LongType(), "text", _fingerprints(shingle), keep=["row", "id"])

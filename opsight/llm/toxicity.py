@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _Index
-from .common import add_column
+from .common import add_column, free_names
 
 BITS, FACTORS, PER_CLASS = 63, 4, 8_000  # so many bits that distinct terms don't meet
 EPOCHS, BATCH, RATE, L2_W, L2_V, SEED = 8, 64, 0.1, 1e-5, 1e-4, 7
@@ -225,4 +225,5 @@ def drop_toxic(df: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
                per_class: int = PER_CLASS, bits: int = BITS, factors: int = FACTORS) -> DataFrame:
     """The rows of df that score below the threshold, with df's columns."""
     model = train(df, labels, id_col, text_col, per_class, bits, factors)
-    return add_score(df, model, text_col, "__score", bits).where(F.col("__score") < threshold).drop("__score")
+    score, = free_names(df.columns, "score")
+    return add_score(df, model, text_col, score, bits).where(F.col(score) < threshold).drop(score)

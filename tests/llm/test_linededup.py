@@ -62,3 +62,9 @@ def test_query_drops_lines(spark):
     got = Q.QUERIES["op10_line_dedup_by_host"](spark, sf).select("page_id", "host", "n_lines", "dropped_lines").collect()
     assert sorted(map(tuple, got), key=str) == sorted(((i, h, n, d) for i, h, _, n, d in want), key=str)
     assert sum(r.dropped_lines for r in got) > 100
+
+
+def test_working_names_in_the_table(spark):
+    df = spark.createDataFrame([("h", "a\nb", 1, 2, 3), ("h", "a\nc", 1, 2, 3)], "source string, text string, __drop int, __host int, __kept int")
+    got = L.drop_boilerplate(df).collect()
+    assert sorted(r["text"] for r in got) == ["b", "c"] and {(r["__drop"], r["__host"], r["__kept"]) for r in got} == {(1, 2, 3)}

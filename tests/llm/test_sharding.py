@@ -48,3 +48,9 @@ def test_edge_rows(spark):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got)) == sorted(map(key, again.collect()))
     assert feistel_shards(spark.createDataFrame([], schema), 4).collect() == []
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(i, 7, 8, 9, 10, 11) for i in range(50)], "doc_id long, n_rows int, __h int, __b int, __n int, shard int")
+    got = feistel_shards(df, 3).collect()
+    assert {(r["n_rows"], r["__h"], r["__b"], r["__n"]) for r in got} == {(7, 8, 9, 10)} and {r["shard"] for r in got} == {0, 1, 2}
