@@ -22,6 +22,7 @@ beyond that run's first period goes; tables may be empty; kept columns may have
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ LEAST, TIMES = 6, 4
 GROUP = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 TILES = "array<struct<octave: int, first: long, at: array<int>, words: binary>>"
 
 
@@ -184,18 +187,22 @@ def stitch(fragments: DataFrame, least: int = LEAST, times: int = TIMES) -> Data
 
 
 def _collapse(batches):
+    """Rows (..., runs, text) -> (..., runs, collapsed, dropped_words); collapsed is null where nothing goes."""
     for b in batches:
+        found = [runs or [] for runs in b.column("runs").to_pylist()]
         texts, dropped = [], []
-        for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
-            words = text.encode("utf-8", "surrogatepass").split()
+        for text, runs in zip(b.column("text").to_pylist(), found):
+            words = encode_text(text).split()
             cut = np.zeros(len(words) + 1, np.int64)
             for r in runs:
                 cut[r["start"] + r["period"]] += 1
                 cut[r["start"] + r["length"]] -= 1
             kept = (np.cumsum(cut[:-1]) == 0).tolist()
-            texts.append(b" ".join(w for w, k in zip(words, kept) if k).decode("utf-8", "surrogatepass"))
+            texts.append(b" ".join(itertools.compress(words, kept)).decode("utf-8", "surrogatepass") if runs else None)
             dropped.append(len(words) - sum(kept))
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("runs"), pa.array(texts, pa.string()), pa.array(dropped, pa.int64())], names=["key", "runs", "collapsed", "dropped_words"])
+        cols = [c for n, c in zip(b.schema.names, b.columns) if n not in ("runs", "text")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(found, _RUNS), pa.array(texts, pa.string()), pa.array(dropped, pa.int64())],
+                                         names=[*(n for n in b.schema.names if n not in ("runs", "text")), "runs", "collapsed", "dropped_words"])
 
 
 def periodic_runs(df: DataFrame, keep: list[str], text_col: str = "text", least: int = LEAST, times: int = TIMES) -> DataFrame:
@@ -215,9 +222,12 @@ def periodic_runs(df: DataFrame, keep: list[str], text_col: str = "text", least:
     fragments = dealt.repartition(n, "key", "octave", "first").mapInArrow(_solve, "key long, period long, lo long, hi long")
     runs = stitch(fragments, least, times)
     by_doc = materialise(runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "length", "period"))).alias("runs")), "runs-found")
-    with_text = docs.where("text is not null").select("key", "text").join(by_doc, "key").select("key", "text", "runs")
-    gone = with_text.mapInArrow(_collapse, "key long, runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string, dropped_words long")
-    none = F.array().cast("array<struct<start: bigint, length: bigint, period: bigint>>")
-    return docs.drop("text", "tiles").join(gone, "key", "left").select(
-        *[F.col(o).alias(c) for o, c in zip(own, keep)], "n_words", F.coalesce("runs", none).alias("runs"), "collapsed", "whole",
-        F.coalesce("dropped_words", F.lit(0)).alias("dropped_words"))
+    # Only texts with tiles are read again; the merge hint because the runs grow with the corpus at any size.
+    suspects = docs.where("text is not null").drop("tiles").hint("merge").join(by_doc, "key", "left")
+    sent = [*own, "n_words", "whole"]
+    done = T.StructType([f for f in out.fields if f.name in sent] + [T.StructField("runs", T.DataType.fromDDL(RUNS)), T.StructField("collapsed", T.StringType()),
+                                                                     T.StructField("dropped_words", T.LongType())])
+    searched = suspects.select(*sent, "runs", "text").mapInArrow(_collapse, done)
+    plain = docs.where("text is null").select(*sent, F.array().cast(RUNS).alias("runs"), F.lit(None).cast("string").alias("collapsed"), F.lit(0).cast("long").alias("dropped_words"))
+    rows = searched.unionByName(plain)
+    return rows.select(*[F.col(o).alias(c) for o, c in zip(own, keep)], "n_words", "runs", "collapsed", "whole", "dropped_words")
