@@ -148,8 +148,9 @@ def mmss(seconds: Column) -> Column:
 
 
 def fixed(c: str | Column, digits: int) -> Column:
-    """Fixed-point text of a value ('%.2f'), rounded first so both engines print the same digits."""
-    return F.format_string(f"%.{digits}f", rnd(c, digits))
+    """Fixed-point text of a value ('%.2f'), rounded first so both engines print the same digits; null for a null value."""
+    v = rnd(c, digits)
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
 
 
 def neighbour_within(df: DataFrame, keys, order, window_s: float, cols, direction: str = "prev",

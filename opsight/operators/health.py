@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.core import (MIN, DAY, bucket, count_if, day_type, ladder, r4, rank_of, resolve_as_of, rnd,
                               since, ts_text)
+from ..functions.segments import (SEG, carried_states, machine_table, segmented, streak_summary, with_carried_rows,
+                                  with_streak)
+from ..functions.selection import with_percentiles
 
+BASELINE_PROBS = {"baseline_p50": 0.50, "baseline_p95": 0.95, "baseline_p99": 0.99}
 HEALTH_ORDER = ["CRITICAL", "DEGRADED", "WARNING", "RECOVERING", "HEALTHY"]
 
 
@@ -68,15 +72,14 @@ def same_hour_baseline(metrics: DataFrame, as_of=None, days: int = 7, weekdays_o
     m = metrics.filter(since("recorded_at", a, days * DAY) & (F.hour("recorded_at") == F.hour(a)))
     if weekdays_only:
         m = m.filter(F.dayofweek("recorded_at").between(2, 6))
-    return (m.groupBy("entity_id", "entity_name", "metric_name")
-            .agg(F.avg("metric_value").alias("baseline_avg"),
-                 F.stddev_samp("metric_value").alias("baseline_stddev"),
-                 F.count(F.lit(1)).alias("sample_count"),
-                 F.min("metric_value").alias("baseline_min"),
-                 F.max("metric_value").alias("baseline_max"),
-                 F.percentile("metric_value", 0.50).alias("baseline_p50"),
-                 F.percentile("metric_value", 0.95).alias("baseline_p95"),
-                 F.percentile("metric_value", 0.99).alias("baseline_p99"))
+    keys = ["entity_id", "entity_name", "metric_name"]
+    moments = (m.groupBy(*keys)
+               .agg(F.avg("metric_value").alias("baseline_avg"),
+                    F.stddev_samp("metric_value").alias("baseline_stddev"),
+                    F.count(F.lit(1)).alias("sample_count"),
+                    F.min("metric_value").alias("baseline_min"),
+                    F.max("metric_value").alias("baseline_max")))
+    return (with_percentiles(moments, m, keys, "metric_value", BASELINE_PROBS)
             .select("entity_id", "entity_name", "metric_name", F.hour(a).alias("current_hour"),
                     *[r4(c).alias(c) for c in ("baseline_avg", "baseline_stddev")],
                     F.col("sample_count").cast("long").alias("sample_count"),
@@ -91,14 +94,11 @@ def entity_baseline(metrics: DataFrame, as_of=None, days: int = 30, rounded: boo
     m = (metrics.filter(since("recorded_at", a, days * DAY))
          .withColumn("hour_of_day", F.hour("recorded_at"))
          .withColumn("day_type", day_type("recorded_at")))
-    out = (m.groupBy("entity_id", "entity_name", "metric_name", "hour_of_day", "day_type")
-           .agg(F.avg("metric_value").alias("baseline_avg"),
-                F.stddev_samp("metric_value").alias("baseline_stddev"),
-                F.percentile("metric_value", 0.50).alias("baseline_p50"),
-                F.percentile("metric_value", 0.95).alias("baseline_p95"),
-                F.percentile("metric_value", 0.99).alias("baseline_p99"),
-                F.count(F.lit(1)).alias("sample_count"))
-           .withColumn("calculated_at", ts_text(a)))
+    keys = ["entity_id", "entity_name", "metric_name", "hour_of_day", "day_type"]
+    moments = m.groupBy(*keys).agg(F.avg("metric_value").alias("baseline_avg"),
+                                   F.stddev_samp("metric_value").alias("baseline_stddev"),
+                                   F.count(F.lit(1)).alias("sample_count"))
+    out = with_percentiles(moments, m, keys, "metric_value", BASELINE_PROBS).withColumn("calculated_at", ts_text(a))
     if rounded:
         for c in ("baseline_avg", "baseline_stddev", "baseline_p50", "baseline_p95", "baseline_p99"):
             out = out.withColumn(c, r4(c))
@@ -224,18 +224,30 @@ def repeated_host_errors(host_errors: DataFrame, as_of=None, unit_s: int = MIN,
 
 
 # --------------------------------------------------------------------------- HLT-8 (WIN-1..3)
+def _breaches(metrics: DataFrame, thresholds: DataFrame, as_of: Column, window_s: float, segment_s: float | None) -> DataFrame:
+    """Rows of the window with `breach`, cut into segments of `segment_s` (default: a sixth of the window)."""
+    m = (metrics.filter(since("recorded_at", as_of, window_s)).join(thresholds, ["entity_id", "metric_name"])
+         .withColumn("breach", (F.col("metric_value") > F.col("threshold_value")).cast("int")))
+    return segmented(m, "recorded_at", segment_s or window_s / 6)
+
+
+SERIES, IN_ORDER = ["entity_id", "metric_name"], ["recorded_at", "row_id"]
+
+
 def spike_classification(metrics: DataFrame, thresholds: DataFrame, as_of=None, unit_s: int = MIN,
-                         window_units: int = 30, current_units: int = 1) -> DataFrame:
+                         window_units: int = 30, current_units: int = 1, segment_s: float | None = None) -> DataFrame:
     """Transient spike vs genuine issue, from rolling mean/SD over the 10 previous rows
-    and the breach count over rows 5 preceding..current (as coded, F2)."""
+    and the breach count over rows 5 preceding..current (as coded, F2).
+
+    The series is cut into segments that carry in the ten rows before them, so a long one is the work of many tasks.
+    """
     a = resolve_as_of(as_of, metrics, "recorded_at")
-    w = Window.partitionBy("entity_id", "metric_name").orderBy("recorded_at", "row_id")
-    m = (metrics.filter(since("recorded_at", a, window_units * unit_s))
-         .join(thresholds, ["entity_id", "metric_name"])
-         .withColumn("rolling_avg", F.avg("metric_value").over(w.rowsBetween(-10, -1)))
+    rows = with_carried_rows(_breaches(metrics, thresholds, a, window_units * unit_s, segment_s), SERIES, IN_ORDER, 10,
+                             ["metric_value", "breach"])
+    w = Window.partitionBy(*SERIES, SEG).orderBy(*IN_ORDER)
+    m = (rows.withColumn("rolling_avg", F.avg("metric_value").over(w.rowsBetween(-10, -1)))
          .withColumn("rolling_stddev", F.stddev_samp("metric_value").over(w.rowsBetween(-10, -1)))
-         .withColumn("breaches_in_window",
-                     F.sum((F.col("metric_value") > F.col("threshold_value")).cast("int")).over(w.rowsBetween(-5, 0))))
+         .withColumn("breaches_in_window", F.sum("breach").over(w.rowsBetween(-5, 0))).filter(~F.col("_halo")))
     v, ra, rs, c = F.col("metric_value"), F.col("rolling_avg"), F.col("rolling_stddev"), F.col("breaches_in_window")
     cls = ladder([(c >= 4, "GENUINE_ISSUE"),
                   ((v > ra + 3 * rs) & (c <= 1), "TRANSIENT_SPIKE"),
@@ -471,23 +483,16 @@ def application_dashboard(apps: DataFrame, wide: DataFrame, hosts: DataFrame, er
 
 # --------------------------------------------------------------------------- WIN-8 / HLT-15
 def breach_streaks(metrics: DataFrame, thresholds: DataFrame, as_of=None, window_s: int = 30 * MIN,
-                   n: int = 4) -> DataFrame:
+                   n: int = 4, segment_s: float | None = None) -> DataFrame:
     """Consecutive-breach streak per row (gaps and islands), plus the coded 6-row count (F2).
 
-    Islands: a running count of non-breach rows labels each run; the streak is the
-    row number inside its run. Windows are over the lookback only, so a partition
-    holds one entity-metric's rows of that window.
+    Segmented scan: a streak continues over the segments it fills, whose summaries give what each carries in.
     """
     a = resolve_as_of(as_of, metrics, "recorded_at")
-    w = Window.partitionBy("entity_id", "metric_name").orderBy("recorded_at", "row_id")
-    m = (metrics.filter(since("recorded_at", a, window_s))
-         .join(thresholds, ["entity_id", "metric_name"])
-         .withColumn("breach", (F.col("metric_value") > F.col("threshold_value")).cast("int"))
-         .withColumn("island", F.sum(1 - F.col("breach")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    wi = Window.partitionBy("entity_id", "metric_name", "island").orderBy("recorded_at", "row_id")
-    m = (m.withColumn("breach_streak",
-                      F.sum("breach").over(wi.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("breaches_in_window", F.sum("breach").over(w.rowsBetween(-5, 0))))
+    rows = with_streak(_breaches(metrics, thresholds, a, window_s, segment_s), SERIES, IN_ORDER, "breach", "breach_streak")
+    w = Window.partitionBy(*SERIES, SEG).orderBy(*IN_ORDER)
+    m = (with_carried_rows(rows, SERIES, IN_ORDER, 5, ["breach"])
+         .withColumn("breaches_in_window", F.sum("breach").over(w.rowsBetween(-5, 0))).filter(~F.col("_halo")))
     return m.select("entity_id", "entity_name", "metric_name", ts_text("recorded_at").alias("recorded_at"),
                     r4("metric_value").alias("metric_value"), "breach",
                     F.col("breach_streak").cast("long").alias("breach_streak"),
@@ -496,14 +501,14 @@ def breach_streaks(metrics: DataFrame, thresholds: DataFrame, as_of=None, window
 
 
 def persistent_breach(metrics: DataFrame, thresholds: DataFrame, as_of=None, window_s: int = 30 * MIN,
-                      n: int = 4) -> DataFrame:
-    """Alert gate: per entity-metric the longest and the final streak in the window."""
-    s = breach_streaks(metrics, thresholds, as_of, window_s, n)
-    return (s.groupBy("entity_id", "entity_name", "metric_name")
-            .agg(F.max("breach_streak").alias("max_streak"),
-                 F.max_by("breach_streak", F.struct("recorded_at", "breach_streak")).alias("current_streak"),
-                 F.sum("should_alert").cast("long").alias("alert_rows"))
-            .withColumn("persistent", (F.col("max_streak") >= n).cast("int")))
+                      n: int = 4, segment_s: float | None = None) -> DataFrame:
+    """Alert gate: per entity-metric the longest and the final streak in the window, from segment summaries alone."""
+    a = resolve_as_of(as_of, metrics, "recorded_at")
+    s = streak_summary(_breaches(metrics, thresholds, a, window_s, segment_s), ["entity_id", "entity_name", "metric_name"],
+                       IN_ORDER, "breach", n)
+    return s.select("entity_id", "entity_name", "metric_name", F.col("max_streak").cast("long").alias("max_streak"),
+                    F.col("current_streak").cast("long").alias("current_streak"), F.col("long_rows").cast("long").alias("alert_rows"),
+                    (F.col("max_streak") >= n).cast("int").alias("persistent"))
 
 
 # --------------------------------------------------------------------------- HLT-17
@@ -547,12 +552,11 @@ def suppress(tiers: DataFrame, streaks: DataFrame, groups: DataFrame, maintenanc
              health: DataFrame) -> DataFrame:
     """Six suppression rules applied in order; first match names the reason.
 
-    Inputs are per-application results (tier, max breach streak, group % affected,
+    Inputs are per-application results (tier, longest breach streaks as of `persistent_breach`, group % affected,
     maintenance mode, overall status); each is reduced to one row per application
     before the left joins.
     """
-    st = streaks.groupBy("entity_id").agg(F.max("breach_streak").alias("max_streak")) \
-        .withColumnRenamed("entity_id", "application_id")
+    st = streaks.groupBy(F.col("entity_id").alias("application_id")).agg(F.max("max_streak").alias("max_streak"))
     gp = groups.groupBy("application_id").agg(F.max("pct_affected").alias("group_pct_affected"))
     mt = maintenance.groupBy("application_id").agg(
         F.max((F.col("monitoring_mode") == "SUPPRESS_DURING_MAINTENANCE").cast("int")).alias("in_maintenance"),
@@ -612,40 +616,52 @@ def dense_period_errors(errors: DataFrame, entities: DataFrame, as_of, window_s:
             .withColumn("period_start", F.timestamp_seconds(F.col("period") * unit_s)))
 
 
-def _hyst_next(status: Column, bad: Column, ok: Column, degrade: int, critical: int, recover: int,
-               healthy: int) -> Column:
-    up = status.isin("HEALTHY", "RECOVERING")
-    return ladder([
-        (up & (bad >= critical), "CRITICAL"),
-        (up & (bad >= degrade), "DEGRADED"),
-        ((status == "DEGRADED") & (bad >= critical), "CRITICAL"),
-        (status.isin("DEGRADED", "CRITICAL") & (ok >= recover), "RECOVERING"),
-        ((status == "RECOVERING") & (ok >= healthy), "HEALTHY")], status)
+HYST_STATES = ["HEALTHY", "DEGRADED", "CRITICAL", "RECOVERING"]
+
+
+def hysteresis_step(status: str, bad: int, ok: int, degrade: int, critical: int, recover: int, healthy: int) -> str:
+    """The next status from the lengths of the run of breaches and of the run of OK periods."""
+    if status in ("HEALTHY", "RECOVERING") and bad >= min(degrade, critical):
+        return "CRITICAL" if bad >= critical else "DEGRADED"
+    if status == "DEGRADED" and bad >= critical:
+        return "CRITICAL"
+    if status in ("DEGRADED", "CRITICAL") and ok >= recover:
+        return "RECOVERING"
+    return "HEALTHY" if status == "RECOVERING" and ok >= healthy else status
 
 
 def recovery_status(period_errors: DataFrame, key: str = "application_id", start: str = "HEALTHY",
                     min_errors: int = 1, degrade: int = 4, critical: int = 8, recover: int = 5,
-                    healthy: int = 8) -> DataFrame:
+                    healthy: int = 8, segment: int = 256) -> DataFrame:
     """Hysteresis state machine per entity over ordered periods.
 
     A period with >= min_errors errors is a breach. HEALTHY/RECOVERING -> DEGRADED after
     4 consecutive breaches, -> CRITICAL after 8; DEGRADED/CRITICAL -> RECOVERING after 5
-    consecutive OK periods; RECOVERING -> HEALTHY after 8. The ordered series of one
-    entity (bounded by the window) is folded with `aggregate`; no Python worker.
+    consecutive OK periods; RECOVERING -> HEALTHY after 8.
+
+    Series are cut into segments of `segment` periods. The run lengths come from segmented scans; given them, a
+    segment maps the status before it to the status after it, and these maps are composed along the series. Each segment is then
+    followed from its own first status. No task holds more of a series than its segments' summaries.
     """
-    pts = period_errors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("period", "errors"))).alias("pts"))
-    init = F.struct(F.lit(start).alias("status"), F.lit(0).alias("bad"), F.lit(0).alias("ok"),
-                    F.array().cast("array<struct<period:long,errors:long,bad:int,ok:int,status:string>>").alias("out"))
-
-    def step(s, p):
-        br = p["errors"] >= min_errors
-        bad = F.when(br, s["bad"] + 1).otherwise(F.lit(0))
-        ok = F.when(br, F.lit(0)).otherwise(s["ok"] + 1)
-        nxt = _hyst_next(s["status"], bad, ok, degrade, critical, recover, healthy)
-        row = F.struct(p["period"].cast("long").alias("period"), p["errors"].cast("long").alias("errors"),
-                       bad.alias("bad"), ok.alias("ok"), nxt.alias("status"))
-        return F.struct(nxt.alias("status"), bad.alias("bad"), ok.alias("ok"),
-                        F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = pts.select(key, F.aggregate("pts", init, step)["out"].alias("out"))
-    return folded.select(key, F.inline("out"))
+    top = max(degrade, critical)
+    symbols = [(b, 0) for b in range(top + 1)] + [(0, o) for o in range(1, max(recover, healthy) + 1)]
+    table = machine_table(HYST_STATES, symbols, lambda s, x: hysteresis_step(s, x[0], x[1], degrade, critical, recover, healthy))
+    rows = (period_errors.select(key, F.col("period").cast("long").alias("period"), F.col("errors").cast("long").alias("errors"))
+            .withColumn(SEG, F.floor(F.col("period") / F.lit(segment)).cast("long"))
+            .withColumn("_br", (F.col("errors") >= min_errors).cast("int")).withColumn("_ok", 1 - F.col("_br")))
+    rows = with_streak(with_streak(rows, [key], ["period"], "_br", "bad"), [key], ["period"], "_ok", "ok")
+    symbol = F.when(F.col("_br") == 1, F.least("bad", F.lit(top))).otherwise(top + F.least("ok", F.lit(max(recover, healthy))))
+    rows = rows.withColumn("_x", symbol.cast("int"))
+    carried = carried_states(rows, [key], "period", "_x", table, len(HYST_STATES), HYST_STATES.index(start))
+    names = F.array(*[F.lit(s) for s in HYST_STATES])
+    points = rows.groupBy(key, SEG).agg(F.sort_array(F.collect_list(F.struct("period", "errors", "bad", "ok", "_x"))).alias("_pts"))
+    first = F.struct(F.col("_state").alias("s"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, p):
+        nxt = F.get(F.get(table, p["_x"]), acc["s"])
+        return F.struct(nxt.alias("s"), F.concat(acc["out"], F.array(nxt)).alias("out"))
+
+    met = points.join(carried.withColumnsRenamed({key: "_k", SEG: "_g"}), F.col(key).eqNullSafe(F.col("_k")) & (F.col(SEG) == F.col("_g")))
+    folded = met.select(key, F.explode(F.arrays_zip("_pts", F.aggregate("_pts", first, step)["out"].alias("st"))).alias("z"))
+    return folded.select(key, "z._pts.period", "z._pts.errors", F.col("z._pts.bad").cast("int").alias("bad"),
+                         F.col("z._pts.ok").cast("int").alias("ok"), F.get(names, F.col("z.st")).alias("status"))

@@ -275,13 +275,12 @@ HLT9_SQL = with_("applications", "error_logs", "synthetic_metrics", "host_metric
                  extra=HLT9_CTES) + "SELECT * FROM health"
 
 
-def _health(spark, sf_dir):
-    m = Model(spark, sf_dir)
+def _health(m):
     return H.application_health(m.applications(), m.synthetic_metrics(5 * U), m.host_metrics(5 * U), m.error_logs(),
                                 m.alerts(), m.metrics_wide(10 * U), m.as_of(), unit_s=U)
 
 
-query("hlt9_application_health", HLT9_SQL)(_health)
+query("hlt9_application_health", HLT9_SQL)(lambda spark, sf_dir: _health(Model(spark, sf_dir).sliced(60 * U)))
 
 # ------------------------------------------------------------------ HLT-11 / 12
 CORR_CTES = [
@@ -305,12 +304,11 @@ FROM ci JOIN ii USING (datacenter_id, infrastructure_group) WHERE ci.has_issue =
 HLT11_SQL = with_("applications", "error_logs", extra=CORR_CTES) + "SELECT * FROM corr"
 
 
-def _corr(spark, sf_dir):
-    m = Model(spark, sf_dir)
+def _corr(m):
     return H.correlation_suppression(m.applications(), m.error_logs(), m.as_of(), window_s=10 * U)
 
 
-query("hlt11_correlation_suppression", HLT11_SQL)(_corr)
+query("hlt11_correlation_suppression", HLT11_SQL)(lambda spark, sf_dir: _corr(Model(spark, sf_dir)))
 
 HLT12_SQL = with_("applications", "error_logs", extra=CORR_CTES[:2]) + f"""
 SELECT datacenter_id, infrastructure_group, CAST(count(*) AS BIGINT) AS total_apps,
@@ -369,14 +367,13 @@ WHERE st.current_status IN ('WARNING', 'DEGRADED', 'CRITICAL')"""),
 HLT13_SQL = with_("applications", "error_logs", "maintenance_windows", extra=MAINT_CTES) + "SELECT * FROM maint"
 
 
-def _maint(spark, sf_dir):
-    m = Model(spark, sf_dir)
+def _maint(m):
     a = m.as_of()
     st = H.application_status(m.applications(), m.error_logs(), a, window_s=30 * U, unit_s=U)
     return H.maintenance_mode(st, m.maintenance_windows(), a, pre_s=15 * U, post_s=30 * U)
 
 
-query("hlt13_maintenance_mode", HLT13_SQL)(_maint)
+query("hlt13_maintenance_mode", HLT13_SQL)(lambda spark, sf_dir: _maint(Model(spark, sf_dir)))
 
 # ------------------------------------------------------------------ HLT-14
 DASH_CTES = [
@@ -403,13 +400,12 @@ HLT14_SQL = with_("applications", "metrics_wide", "host_metrics", "error_logs",
     "SELECT * FROM dash"
 
 
-def _dash(spark, sf_dir):
-    m = Model(spark, sf_dir)
+def _dash(m):
     return H.application_dashboard(m.applications(), m.metrics_wide(5 * U), m.host_metrics(5 * U), m.error_logs(),
                                    m.alerts(), m.as_of(), unit_s=U)
 
 
-query("hlt14_application_dashboard", HLT14_SQL, headline=True)(_dash)
+query("hlt14_application_dashboard", HLT14_SQL, headline=True)(lambda spark, sf_dir: _dash(Model(spark, sf_dir).sliced(30 * U)))
 
 # ------------------------------------------------------------------ HLT-15 (WIN-8)
 STREAK_CTES = [
@@ -469,15 +465,12 @@ HLT18_SQL = with_("applications", "metrics_wide", "host_metrics", "error_logs",
                   extra=DASH_CTES + [("ws", WSCORE_CTE), ("tiers", TIERS_CTE)]) + "SELECT * FROM tiers"
 
 
-def _tiers(spark, sf_dir):
-    m = Model(spark, sf_dir)
+def _tiers(m):
     a = m.as_of()
-    d = H.application_dashboard(m.applications(), m.metrics_wide(5 * U), m.host_metrics(5 * U), m.error_logs(),
-                                m.alerts(), a, unit_s=U)
-    return H.alert_tier(d, H.weighted_error_score(m.error_logs(), a, unit_s=U))
+    return H.alert_tier(_dash(m), H.weighted_error_score(m.error_logs(), a, unit_s=U))
 
 
-query("hlt18_alert_tier", HLT18_SQL)(_tiers)
+query("hlt18_alert_tier", HLT18_SQL)(lambda spark, sf_dir: _tiers(Model(spark, sf_dir)))
 
 HLT19_SQL = with_("applications", "metrics_wide", "host_metrics", "error_logs", "alerts", "synthetic_metrics",
                   "metrics_long", "threshold_config", "maintenance_windows",
@@ -502,11 +495,10 @@ FROM x"""
 
 @query("hlt19_suppress", HLT19_SQL)
 def hlt19(spark, sf_dir):
-    m = Model(spark, sf_dir)
+    m = Model(spark, sf_dir).sliced(60 * U)
     metrics = m.metrics_long()
-    streaks = H.breach_streaks(metrics, m.thresholds(metrics), m.as_of(), window_s=30 * U)
-    return H.suppress(_tiers(spark, sf_dir), streaks, _corr(spark, sf_dir), _maint(spark, sf_dir),
-                      _health(spark, sf_dir))
+    streaks = H.persistent_breach(metrics, m.thresholds(metrics), m.as_of(), window_s=30 * U)
+    return H.suppress(_tiers(m), streaks, _corr(m), _maint(m), _health(m))
 
 
 # ------------------------------------------------------------------ HLT-16

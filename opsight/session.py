@@ -34,6 +34,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("OPSIGHT_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+        # Checkpoint files go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import HOUR, count_if, rnd
+from ..functions.core import DAY, HOUR, count_if, rnd
+from ..session import checkpoint_dir
 from .tables import load
 
 # Fixed values of the test mapping (FIXTURES.md section C).
@@ -38,6 +39,7 @@ class Model:
         # One Model is one run: its tables are listed once and its `now` is evaluated once; the next run has its own.
         self._tables: dict = {}
         self._newest: dict = {}
+        self._slice: DataFrame | None = None
         # Event times are wall-clock values without zone; all time arithmetic is in UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -46,8 +48,31 @@ class Model:
             self._tables[name] = load(self.spark, self.sf_dir, name)
         return self._tables[name]
 
+    def sliced(self, lookback_s: int) -> Model:
+        """This run with the events of the last `lookback_s` seconds (from the start of that hour) read once and written to the
+        shared folder, for jobs whose parts all look at the same recent slice. Alerts and names still come from all events."""
+        checkpoint_dir(self.spark)
+        recent = self._last_hours(lookback_s).select("event_id", "ts", "user_id", "event_type", "value", "app").checkpoint()
+        out = Model(self.spark, self.sf_dir)
+        out._tables, out._newest, out._slice = self._tables, self._newest, recent
+        return out
+
+    def back(self, steps: int) -> Model:
+        """A run of an earlier time: the tables as they were `steps` cycles ago (a cycle is an hour of events, a day of calls and
+        of incidents). Its `now` is the newest time in what is left, so every plan runs on it unchanged."""
+        out = Model(self.spark, self.sf_dir)
+        for table, column, unit in (("events", "ts", HOUR), ("lineitem", "l_shipdate", DAY), ("orders", "o_orderdate", DAY)):
+            until = self.newest(table, column) - F.make_dt_interval(secs=F.lit(float(steps * unit)))
+            out._tables[table] = self.raw(table).filter(F.col(column).cast("timestamp") <= until)
+        for table in ("nation", "region", "supplier", "customer"):
+            out._tables[table] = self.raw(table)
+        return out
+
     # -- events: ts cast to timestamp once (watermarks reject timestamp_ntz) --
     def events(self) -> DataFrame:
+        return self._slice if self._slice is not None else self._all_events()
+
+    def _all_events(self) -> DataFrame:
         return (self.raw("events")
                 .withColumn("ts", F.col("ts").cast("timestamp"))
                 .withColumn("app", app_of()))
@@ -135,7 +160,7 @@ class Model:
                         F.when(F.col("n_err") > 0, "UNHEALTHY").otherwise("HEALTHY").alias("health_status")))
 
     def alerts(self) -> DataFrame:
-        e = self.events()
+        e = self._all_events()
         return (e.filter((F.col("event_type") == "error") & (F.col("value") > ALERT_VALUE))
                 .select(F.col("event_id").alias("alert_id"), F.col("app").alias("application_id"),
                         F.lit("ACTIVE").alias("status"), F.col("ts").alias("created_at")))
