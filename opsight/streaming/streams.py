@@ -10,12 +10,15 @@ overwrites its own partition.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import checkpoint_dir
 
@@ -69,6 +72,51 @@ def read_upserted(spark: SparkSession, sink: str, keys) -> DataFrame:
     return d.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch", "batch")
 
 
+# --------------------------------------------------------------------------- STR-9
+class LateSplit:
+    """Rows of a stream dealt to an on-time and a late table before any watermark can drop them.
+
+    One foreachBatch writes both, with a row of counts. A row is late if it is older than `delay_s` before the newest event time of
+    all earlier batches, which the counts of those batches hold; so the decision of a batch doesn't change
+    when it is run again, and a replayed batch replaces its own folders. Windows that read the on-time table with the same delay lose
+    nothing; late rows stay for a correction job.
+    """
+
+    def __init__(self, spark: SparkSession, sink: str, ts: str = "ts", delay_s: float = 120):
+        self.spark, self.sink, self.ts, self.delay_s = spark, sink.rstrip("/"), ts, delay_s
+
+    def _newest_before(self, batch_id: int):
+        done = [f"{self.sink}/counts/batch={b}" for b in range(batch_id)]
+        return self.spark.read.parquet(*done).agg(F.max("newest")).first()[0] if done else None
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        newest = self._newest_before(batch_id)
+        late = F.lit(False) if newest is None else F.coalesce(F.col(self.ts) < F.lit(newest) - F.make_dt_interval(secs=F.lit(float(self.delay_s))), F.lit(True))
+        marked = batch.withColumn("_late", late).persist()
+        marked.filter("not _late").drop("_late").write.mode("overwrite").parquet(f"{self.sink}/on_time/batch={batch_id}")
+        marked.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{self.sink}/late/batch={batch_id}")
+        (marked.agg(F.count(F.when(~F.col("_late"), 1)).alias("on_time"), F.count(F.when(F.col("_late"), 1)).alias("late"),
+                    F.greatest(F.max(self.ts), F.lit(newest).cast("timestamp")).alias("newest"))
+         .write.mode("overwrite").parquet(f"{self.sink}/counts/batch={batch_id}"))
+        marked.unpersist()
+
+    def run(self, stream: DataFrame, checkpoint: str):
+        """Deals out what has arrived since the last run."""
+        q = stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    def on_time(self, schema) -> DataFrame:
+        """The on-time table as a stream, batch after batch."""
+        return self.spark.readStream.schema(schema).parquet(f"{self.sink}/on_time/*")
+
+    def late(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sink}/late")
+
+    def counts(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sink}/counts")
+
+
 # --------------------------------------------------------------------------- STR-2 / STR-3
 def sliding_signal(stream: DataFrame, key: str, value: str, size: str, slide: str, ts: str = "ts",
                    watermark: str = DEFAULT_WATERMARK) -> DataFrame:
@@ -83,9 +131,81 @@ def tumbling_counts(stream: DataFrame, key: str, size: str, ts: str = "ts", wate
 
 
 # --------------------------------------------------------------------------- STR-4
-def dedup_alerts(stream: DataFrame, keys, ts: str = "ts", window: str = "10 minutes") -> DataFrame:
-    """One alert per key while duplicates keep arriving within the watermark delay."""
-    return stream.withWatermark(ts, window).dropDuplicatesWithinWatermark(list(keys))
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _FirstInWindow(StatefulProcessor):
+    """Keeps an alert if its key has kept none in the window before it, by event time whatever the order of arrival.
+
+    Alerts wait until the watermark has passed them, so no earlier one can come; an event-time timer wakes the key
+    for each of them. Another timer clears the last kept alert when its window has passed, so an idle key has no state.
+    """
+
+    def __init__(self, window_ms: int, fields: list[str], ts: str, row_id: str):
+        self.window_ms, self.fields, self.ts, self.row_id = window_ms, fields, ts, row_id
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, id long")
+        self.last = handle.getValueState("last", "ts timestamp")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for r in rows:
+            at = r[self.ts]
+            self.waiting.appendValue((at, r[self.row_id]))
+            self.handle.registerTimer(_millis(at) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if _millis(r[0]) < passed]
+        if due:
+            rest = rows[len(due):]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        last = self.last.get()[0] if self.last.exists() else None
+        for at, row_id in due:
+            if last is None or at - last > datetime.timedelta(milliseconds=self.window_ms):
+                last = at
+                self.last.update((at,))
+                self.handle.registerTimer(_millis(at) + self.window_ms + 1)
+                yield Row(**dict(zip(self.fields, key)), created_at=at, **{self.row_id: row_id})
+        if last is not None and _millis(last) + self.window_ms < passed:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(at) -> int:
+    """Milliseconds of a time that Spark hands to Python in the session's zone, which the library sets to UTC."""
+    return int(at.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+
+
+def dedup_alerts(stream: DataFrame, keys, window_s: float = 600, delay_s: float = 120, ts: str = "ts", row_id: str = "event_id") -> DataFrame:
+    """One alert per key in `window_s`: after a kept one the next is the first by event time beyond the window.
+
+    Alerts up to `delay_s` out of order are put in order. Needs the RocksDB state store (`start_stateful` sets it).
+    Of alerts at one time the one with the smaller id is kept.
+    """
+    fields = {f.name: f for f in stream.schema.fields}
+    out = T.StructType([fields[k] for k in keys] + [T.StructField("created_at", T.TimestampType()), T.StructField(row_id, T.LongType())])
+    rows = stream.withWatermark(ts, f"{int(delay_s)} seconds").groupBy(*keys)
+    return rows.transformWithState(_FirstInWindow(int(window_s * 1000), list(keys), ts, row_id), out, "Append", "EventTime")
+
+
+def start_stateful(writer):
+    """Starts a query whose operators keep their state in RocksDB; other queries of the session keep their own setting."""
+    key, spark = "spark.sql.streaming.stateStore.providerClass", SparkSession.active()
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
 
 
 # --------------------------------------------------------------------------- STR-6
