@@ -12,20 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import DAY, HOUR, count_if, ladder, mmss, neighbour_within, pct, r4, rnd, sessionize, since, ts_text
+from ..functions.segments import asof_last
+from ..functions.selection import exact_percentiles, with_percentiles
 from ..functions.stats import luhn_ok
 
 
+NO_DATA = "No Data"
+
+
 # --------------------------------------------------------------------------- IND-0
 def status(value: Column, target: float, critical: float, higher_is_better: bool = True, inclusive: bool = False) -> Column:
     """Healthy within the target, Critical beyond the critical limit, At Risk between the two.
 
     A target of an indicator that should be high includes the target itself; one that should be low
-    excludes it unless `inclusive`.
+    excludes it unless `inclusive`. A null value (nothing measured in the window) is No Data, never Healthy.
     """
+    none = (value.isNull(), NO_DATA)
     if higher_is_better:
-        return ladder([(value < critical, "Critical"), (value < target, "At Risk")], "Healthy")
+        return ladder([none, (value < critical, "Critical"), (value < target, "At Risk")], "Healthy")
     beyond = value > target if inclusive else value >= target
-    return ladder([(value > critical, "Critical"), (beyond, "At Risk")], "Healthy")
+    return ladder([none, (value > critical, "Critical"), (beyond, "At Risk")], "Healthy")
 
 
 # --------------------------------------------------------------------------- IND-00
@@ -72,7 +78,12 @@ def mos_weighted(calls: DataFrame, as_of: Column, window_s: int = 30 * DAY, keys
     """IND-3.1: duration-weighted MOS and the exact 10th percentile, by keys with a total (rollup)."""
     c = calls.filter(since("call_time", as_of, window_s))
     g = c.rollup(*keys).agg((F.sum(F.col("mos") * F.col("duration_min")) / F.sum("duration_min")).alias("mos_weighted"),
-                            F.percentile("mos", 0.10).alias("mos_p10"), F.count(F.lit(1)).alias("calls"))
+                            F.count(F.lit(1)).alias("calls"), F.grouping_id().alias("_gid"))
+    # The rows of each total, for the percentile: _gid has a bit for every key that is summed over.
+    n = len(keys)
+    totals = c.withColumn("_gid", F.explode(F.array(*[F.lit((1 << j) - 1).cast("long") for j in range(n + 1)])))
+    rolled = totals.select(*[F.when(F.col("_gid").bitwiseAND(1 << (n - 1 - i)) == 0, F.col(k)).alias(k) for i, k in enumerate(keys)], "_gid", "mos")
+    g = with_percentiles(g, rolled, [*keys, "_gid"], "mos", {"mos_p10": 0.10})
     return g.select(*[F.coalesce(F.col(k), F.lit("ALL")).alias(k) for k in keys], r4("mos_weighted").alias("mos_weighted"),
                     r4("mos_p10").alias("mos_p10"), "calls", status(r4("mos_weighted"), 4.0, 3.6).alias("status"))
 
@@ -254,7 +265,7 @@ def latency_by_agents(samples: DataFrame, as_of: Column, window_s: int, site: st
     per = s.groupBy(site).agg(F.avg("latency_ms").alias("lat"), F.countDistinct("agent_id").alias("agents"))
     g = per.agg((F.sum(F.col("lat") * F.col("agents")) / F.sum("agents")).alias("weighted_latency_ms"),
                 F.sum("agents").alias("agents"))
-    p95 = s.agg(F.percentile("latency_ms", 0.95)).scalar()
+    p95 = exact_percentiles(s, [], "latency_ms", [0.95], ["p95"]).scalar()
     return g.select(r4("weighted_latency_ms").alias("weighted_latency_ms"), r4(p95).alias("p95_latency_ms"),
                     F.col("agents").cast("long").alias("agents"),
                     status(F.col("weighted_latency_ms"), 120.0, 180.0, higher_is_better=False).alias("status"))
@@ -287,9 +298,10 @@ def crm_response(tx: DataFrame, limits: DataFrame, as_of: Column, window_s: int,
     t = (tx.filter(since("ts", as_of, window_s)).join(limits, "tx_type", "left")
          .withColumn("limit_s", F.coalesce("limit_s", F.lit(default_limit))))
     g = t.groupBy("tx_type", "limit_s").agg(
-        F.avg("response_s").alias("avg_s"), F.percentile("response_s", 0.95).alias("p95_s"),
+        F.avg("response_s").alias("avg_s"),
         count_if(F.col("response_s") > F.col("limit_s")).alias("over_limit"), count_if(F.col("is_error")).alias("errors"),
         F.count(F.lit(1)).alias("tx"))
+    g = with_percentiles(g, t, ["tx_type", "limit_s"], "response_s", {"p95_s": 0.95})
     return g.select("tx_type", "limit_s", r4("avg_s").alias("avg_s"), r4("p95_s").alias("p95_s"),
                     r4(pct(F.col("over_limit"), F.col("tx"))).alias("over_limit_pct"),
                     r4(pct(F.col("errors"), F.col("tx"))).alias("error_rate_pct"),
@@ -332,27 +344,41 @@ def abnormal_terminations(ends: DataFrame, unit: str = "hour", spike_factor: flo
 
 
 # --------------------------------------------------------------------------- IND-10.2 / IND-12.1
-def aht_deviation(calls: DataFrame, weeks: int = 4, sigma: float = 3.0) -> DataFrame:
-    """Daily AHT against the mean of the same weekday over the previous `weeks` weeks, leaving out
-    values beyond `sigma` SDs of those weeks (two passes over a bounded list of `weeks` values)."""
-    d = calls.groupBy(F.to_date("call_time").alias("day")).agg(F.avg("duration_min").alias("aht"))
-    d = d.withColumn("dow", F.dayofweek("day")).withColumn("dn", F.datediff("day", F.lit("1970-01-01")))
-    w = Window.partitionBy("dow").orderBy("dn").rangeBetween(-7 * weeks, -1)
-    d = d.withColumn("hist", F.collect_list("aht").over(w))
-    m1 = F.try_divide(F.aggregate("hist", F.lit(0.0), lambda a, x: a + x), F.size("hist").cast("double"))
-    d = d.withColumn("_m", m1)
-    sd = F.sqrt(F.try_divide(F.aggregate("hist", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))),
-                             (F.size("hist") - 1).cast("double")))
-    d = d.withColumn("_sd", F.when(F.size("hist") > 1, sd))
-    kept = F.filter("hist", lambda x: F.coalesce(F.abs(x - F.col("_m")) <= sigma * F.col("_sd"), F.lit(True)))
-    d = d.withColumn("_k", kept)
-    base = F.try_divide(F.aggregate("_k", F.lit(0.0), lambda a, x: a + x), F.size("_k").cast("double"))
-    dev = F.when(F.size("_k") > 0, F.try_divide((F.col("aht") - base) * 100.0, base))
-    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), r4("aht").alias("aht_min"),
-                    F.size("hist").alias("history_days"), F.size("_k").alias("kept_days"),
-                    r4(F.when(F.size("_k") > 0, base)).alias("baseline_aht_min"), r4(dev).alias("deviation_pct"),
-                    F.when(dev.isNull(), "No Baseline").when(F.abs(dev) > 10, "Critical").when(F.abs(dev) > 5, "At Risk")
-                    .otherwise("Healthy").alias("status"))
+AHT_PARTS = ("talk_s", "hold_s", "acw_s")
+
+
+def aht_deviation(calls: DataFrame, by: str = "queue", weeks: int = 4, sigma: float = 3.0, slot_h: int = 1) -> DataFrame:
+    """AHT and its parts per `by`, day and slot of `slot_h` hours against the same slot and weekday of the previous `weeks` weeks.
+
+    calls: `by`, call_time and talk_s, hold_s, acw_s (whole seconds). Two passes over moments that merge (n, sum, sum of squares)
+    per cell: the first gives mean and SD of the single calls of the base weeks, the second leaves out calls
+    beyond `sigma` SDs. A call counts for the `weeks` later cells it is a base of, so every step is a grouping
+    by cell and no history is collected.
+    """
+    aht = sum((F.col(p) for p in AHT_PARTS), F.lit(0).cast("long"))
+    c = calls.select(by, F.to_date("call_time").alias("day"), F.floor(F.hour("call_time") / slot_h).cast("int").alias("slot"),
+                     *[F.col(p).cast("long").alias(p) for p in AHT_PARTS], aht.alias("aht_s"))
+    cell, every = [by, "day", "slot"], ["aht_s", *AHT_PARTS]
+    now = c.groupBy(*cell).agg(F.count(F.lit(1)).alias("calls"), *[F.avg(p).alias(p) for p in every])
+    moments = c.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("aht_s").alias("s"), F.sum(F.col("aht_s").cast("double") * F.col("aht_s")).alias("q"))
+    later = F.explode(F.sequence(F.lit(1), F.lit(weeks)))
+    shift = lambda df: df.withColumn("_k", later).withColumn("day", F.date_add("day", (F.col("_k") * 7).cast("int"))).drop("_k")
+    base = shift(moments).groupBy(*cell).agg(F.sum("n").alias("base_calls"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    n, off = F.col("base_calls"), F.col("base_calls") * F.col("aht_s") - F.col("s")
+    # |x - mean| <= sigma * SD without a division: a base of equal calls keeps them all.
+    near = (n == 1) | (off.cast("double") * off * (n - 1) <= sigma * sigma * n * (n * F.col("q") - F.col("s").cast("double") * F.col("s")))
+    wanted = now.select(*cell).join(base, cell)  # bases of slots that have calls
+    kept = (shift(c).join(wanted, cell).filter(near).groupBy(*cell)
+            .agg(F.count(F.lit(1)).alias("kept_calls"), *[F.avg(p).alias(f"base_{p}") for p in every]))
+    j = now.join(base.select(*cell, "base_calls"), cell, "left").join(kept, cell, "left")
+    dev = {p: F.try_divide((F.col(p) - F.col(f"base_{p}")) * 100.0, F.col(f"base_{p}")) for p in every}
+    parts = [F.struct(F.coalesce(F.abs(F.col(p) - F.col(f"base_{p}")), F.lit(-1.0)).alias("d"), F.lit(-i).alias("o"), F.lit(p[:-2]).alias("part")) for i, p in enumerate(AHT_PARTS)]
+    d = dev["aht_s"]
+    return j.select(by, F.date_format("day", "yyyy-MM-dd").alias("day"), "slot", "calls", F.coalesce("base_calls", F.lit(0)).alias("base_calls"),
+                    F.coalesce("kept_calls", F.lit(0)).alias("kept_calls"), r4("aht_s").alias("aht_s"), r4("base_aht_s").alias("baseline_aht_s"),
+                    r4(d).alias("deviation_pct"), *[r4(dev[p]).alias(f"{p[:-2]}_pct") for p in AHT_PARTS],
+                    F.when(d.isNotNull(), F.array_max(F.array(*parts))["part"]).alias("driver"),
+                    ladder([(d.isNull(), "No Baseline"), (F.abs(d) > 10, "Critical"), (F.abs(d) > 5, "At Risk")], "Healthy").alias("status"))
 
 
 def cost_per_contact(calls: DataFrame, cost_per_min: float = 0.75) -> DataFrame:
@@ -455,8 +481,8 @@ def wan_utilisation(traffic: DataFrame, as_of: Column, capacity: float, rolling_
 def ica_latency(sessions: DataFrame, as_of: Column, window_s: int, by: str = "vendor_id") -> DataFrame:
     """Session-duration-weighted ICA latency and its exact p95, per group."""
     s = sessions.filter(since("ts", as_of, window_s))
-    g = s.groupBy(by).agg((F.sum(F.col("latency_ms") * F.col("duration")) / F.sum("duration")).alias("w"),
-                          F.percentile("latency_ms", 0.95).alias("p95"))
+    g = s.groupBy(by).agg((F.sum(F.col("latency_ms") * F.col("duration")) / F.sum("duration")).alias("w"))
+    g = with_percentiles(g, s, [by], "latency_ms", {"p95": 0.95})
     return g.select(by, r4("w").alias("weighted_latency_ms"), r4("p95").alias("p95_latency_ms"),
                     status(F.col("w"), 60.0, 100.0, higher_is_better=False).alias("status"))
 
@@ -620,13 +646,53 @@ def attrition_risk(factors: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- IND-14.2
-def consent_verification(outbound: DataFrame, consent: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Outbound calls with a verified consent on file (left join) / all; calls without one are blocked."""
-    c = consent.select(key).distinct().withColumn("_ok", F.lit(1))
-    j = outbound.join(c, key, "left")
-    g = j.agg(F.count(F.lit(1)).alias("outbound"), F.count("_ok").alias("verified"))
+# The consents that allow a call, by its purpose; the hours of the called person in which it may be made.
+CONSENT_FOR = {"marketing": ("written",), "informational": ("written", "verbal"), "transactional": ("ebr",), "collections": ("written", "verbal", "ebr")}
+CONSENT_TYPES = ("written", "verbal", "ebr")
+CALL_HOURS = (8, 21)
+
+
+def call_consent(calls: DataFrame, consents: DataFrame, do_not_call: DataFrame, segment_s: float = 90 * DAY) -> DataFrame:
+    """Each outbound call with `reason`: verified, or why it is blocked.
+
+    calls: call_id, customer_id, call_type, call_time, utc_offset_h; consents: customer_id, consent_type, action (grant or
+    revoke), at, event_id; do_not_call: customer_id, since. A consent holds from its grant until it is revoked: the state of each type is the
+    last event at or before the call (segmented as-of join, so a customer's history may be long). Checked in this order:
+    consent of a type that the purpose needs (revoked, wrong_type, no_consent), the do-not-call list, the local hour.
+    """
+    e = consents.select("customer_id", F.col("at").alias("call_time"), "event_id",
+                        *[F.when(F.col("consent_type") == t, F.col("action")).alias(t) for t in CONSENT_TYPES])
+    c = asof_last(calls, e, ["customer_id"], "call_time", ["event_id"], list(CONSENT_TYPES), segment_s)
+    granted = {t: F.coalesce(F.col(t) == "grant", F.lit(False)) for t in CONSENT_TYPES}
+    revoked = {t: F.coalesce(F.col(t) == "revoke", F.lit(False)) for t in CONSENT_TYPES}
+
+    def needed(state: dict) -> Column:
+        fits = F.lit(False)
+        for purpose, types in CONSENT_FOR.items():
+            for t in types:
+                fits = fits | ((F.col("call_type") == purpose) & state[t])
+        return F.coalesce(fits, F.lit(False))
+
+    listed = do_not_call.groupBy("customer_id").agg(F.min("since").alias("_since"))
+    j = c.join(listed, "customer_id", "left")
+    local = F.hour(F.col("call_time") + F.make_dt_interval(hours=F.col("utc_offset_h").cast("int")))
+    some = granted["written"] | granted["verbal"] | granted["ebr"]
+    reason = ladder([
+        (~needed(granted) & needed(revoked), "revoked"), (~needed(granted) & some, "wrong_type"), (~needed(granted), "no_consent"),
+        (F.col("_since") <= F.col("call_time"), "do_not_call"), (~local.between(CALL_HOURS[0], CALL_HOURS[1] - 1), "outside_hours")], "verified")
+    return j.select(*calls.columns, reason.alias("reason"))
+
+
+BLOCKS = ("revoked", "wrong_type", "no_consent", "do_not_call", "outside_hours")
+
+
+def consent_verification(calls: DataFrame, consents: DataFrame, do_not_call: DataFrame, segment_s: float = 90 * DAY) -> DataFrame:
+    """Verified calls of all, by purpose and in total, with the blocked ones by reason."""
+    g = call_consent(calls, consents, do_not_call, segment_s).rollup("call_type").agg(
+        F.count(F.lit(1)).alias("outbound"), count_if(F.col("reason") == "verified").alias("verified"),
+        *[count_if(F.col("reason") == b).alias(b) for b in BLOCKS], F.grouping_id().alias("_g"))
     v = pct(F.col("verified"), F.col("outbound"))
-    return g.select("outbound", "verified", (F.col("outbound") - F.col("verified")).alias("blocked"),
+    return g.select(F.when(F.col("_g") == 1, "ALL").otherwise(F.col("call_type")).alias("call_type"), "outbound", "verified", *BLOCKS,
                     r4(v).alias("verification_rate"), r4(F.lit(100.0) - v).alias("block_rate"), status(v, 100.0, 99.0).alias("status"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import count_if, fixed, ladder, r4, rnd, since, ts_text
+from ..functions.selection import exact_percentiles, with_percentiles
 
 # The fourteen signals, their default thresholds and orientation
 # (signal_config insert of the implementation guide): name, healthy, warning, critical, inverted.
@@ -110,10 +111,8 @@ def calibrate_thresholds(snapshots: DataFrame, until: Column, inverted=INVERTED,
     q_warning quantile; inverted signals mirror (1 - q)."""
     inv = F.col("signal_name").isin(list(inverted))
     hist = snapshots.filter(F.col("snapshot_time") < until)
-    g = hist.groupBy("signal_name").agg(
-        F.percentile("numeric_value", q_healthy).alias("_lh"), F.percentile("numeric_value", q_warning).alias("_lw"),
-        F.percentile("numeric_value", 1 - q_healthy).alias("_hh"),
-        F.percentile("numeric_value", 1 - q_warning).alias("_hw"))
+    g = exact_percentiles(hist, ["signal_name"], "numeric_value", [q_healthy, q_warning, 1 - q_healthy, 1 - q_warning],
+                          ["_lh", "_lw", "_hh", "_hw"])
     return g.select("signal_name",
                     r4(F.when(inv, F.col("_hh")).otherwise(F.col("_lh"))).alias("healthy_threshold"),
                     r4(F.when(inv, F.col("_hw")).otherwise(F.col("_lw"))).alias("warning_threshold"),
@@ -129,11 +128,11 @@ def status_of(value: Column, cfg_h: Column, cfg_w: Column, inverted: Column) ->
 
 
 def score_signals(values: DataFrame, signal_config: DataFrame) -> DataFrame:
-    """Threshold scoring, normal and inverted; a signal without thresholds is kept as 'unconfigured'."""
+    """Threshold scoring, normal and inverted; a signal without thresholds is kept as 'unconfigured', one without a value as 'no data'."""
     j = values.join(signal_config, "signal_name", "left")
     scored = status_of(F.col("numeric_value"), F.col("healthy_threshold"), F.col("warning_threshold"), F.col("is_inverted"))
     known = F.col("healthy_threshold").isNotNull() & F.col("warning_threshold").isNotNull()
-    return j.withColumn("status", F.when(known, scored).otherwise("unconfigured"))
+    return j.withColumn("status", F.when(~known, "unconfigured").when(F.col("numeric_value").isNull(), "no data").otherwise(scored))
 
 
 # --------------------------------------------------------------------------- LIP-2
@@ -154,13 +153,18 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- LIP-3 / LIP-4
 def domain_scores(latest: DataFrame, dmap: DataFrame) -> DataFrame:
-    """Domain score = mean of 0 / 70 / 100 by status, with counts, at one snapshot."""
-    s = latest.join(dmap, "signal_name").withColumn(
-        "score", ladder([(F.col("status") == "critical", 0), (F.col("status") == "warning", 70)], 100))
+    """Domain score = mean of 0 / 70 / 100 by status, with counts, at one snapshot.
+
+    A status that is none of the three (unconfigured, no data) has no score: it is left out of the mean and counted.
+    A signal that no domain claims belongs to the domain `unmapped`, so that it isn't lost.
+    """
+    s = latest.join(dmap, "signal_name", "left").withColumn("domain_key", F.coalesce("domain_key", F.lit("unmapped"))).withColumn(
+        "score", ladder([(F.col("status") == "critical", 0), (F.col("status") == "warning", 70), (F.col("status") == "healthy", 100)]))
     return s.groupBy("domain_key").agg(
         rnd(F.avg("score"), 1).alias("score"), F.count(F.lit(1)).alias("signal_count"),
         count_if(F.col("status") == "critical").alias("critical_count"),
-        count_if(F.col("status") == "warning").alias("warning_count"))
+        count_if(F.col("status") == "warning").alias("warning_count"),
+        count_if(F.col("score").isNull()).alias("unscored_count"))
 
 
 def enterprise_score(domains: DataFrame, weights: dict | None = None) -> DataFrame:
@@ -196,7 +200,7 @@ def correlations(scored: DataFrame, rules: DataFrame, as_of: Column, recent_s: i
     return d.select("rule_id", "signal_a", "signal_b", "confidence", "direction",
                     r4("a_numeric_value").alias("signal_a_value"), r4("b_numeric_value").alias("signal_b_value"),
                     F.col("a_status").alias("signal_a_status"), F.col("b_status").alias("signal_b_status"),
-                    r4("lag_minutes").alias("lag_minutes"), "recommended_action",
+                    r4("lag_minutes").alias("lag_minutes"), "recommended_action", "insight_template_id",
                     ts_text(as_of).alias("detected_at"))
 
 
@@ -319,13 +323,87 @@ def insights(triggers: DataFrame, templates: DataFrame, dmap: DataFrame) -> Data
     d = dmap.groupBy("signal_name").agg(F.array_sort(F.collect_set("domain_key")).alias("domains"))
     j = (triggers.join(first, ["trigger_type", "severity"], "left")
          .withColumn("template_id", F.coalesce("template_id", "_first"))
-         .join(templates.select("template_id", "template_text"), "template_id").join(d, "signal_name", "left"))
+         .join(templates.select("template_id", "template_text"), "template_id", "left").join(d, "signal_name", "left"))
+    plain = F.concat_ws(": ", F.col("trigger_type"), F.col("signal_name"))  # of a trigger without a template
     return j.select("trigger_type", "severity", "signal_name",
-                    fill_template(F.col("template_text"), F.col("fields")).alias("insight_text"),
+                    F.coalesce(fill_template(F.col("template_text"), F.col("fields")), plain).alias("insight_text"),
                     F.array_join(F.coalesce(F.col("domains"), F.array().cast("array<string>")), ",").alias("domains"),
                     F.concat_ws(",", F.col("signal_name"), F.col("related_signal")).alias("related_signals"))
 
 
+TRIGGER = "trigger_type string, severity string, signal_name string, related_signal string, template_id int, fields map<string,string>"
+
+
+def _trigger(df: DataFrame, kind: str, severity: str, fields: dict[str, Column], signal: str | None = "signal_name", related: str | None = None,
+             template: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    pairs = [x for k, v in fields.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("n/a")))]
+    return df.select(F.lit(kind).alias("trigger_type"), F.lit(severity).alias("severity"), (F.col(signal) if signal else none).alias("signal_name"),
+                     (F.col(related) if related else none).alias("related_signal"),
+                     (template if template is not None else F.lit(None)).cast("int").alias("template_id"), F.create_map(*pairs).alias("fields"))
+
+
+def status_triggers(latest: DataFrame, window: str) -> DataFrame:
+    """Breaches (templates 1, 2) and recoveries (8) of the newest snapshot; latest has prev_status."""
+    value = fixed("numeric_value", 2)
+    crit = _trigger(latest.filter(F.col("status") == "critical"), "threshold_breach", "critical",
+                    {"signal_name": F.col("signal_name"), "current_value": value, "threshold": fixed("critical_threshold", 2)})
+    warn = _trigger(latest.filter(F.col("status") == "warning"), "threshold_breach", "warning",
+                    {"signal_name": F.col("signal_name"), "current_value": value, "direction": F.col("direction"), "window": F.lit(window)})
+    back = latest.filter((F.col("status") == "healthy") & F.col("prev_status").isin("warning", "critical"))
+    rec = _trigger(back, "recovery", "info", {"signal_name": F.col("signal_name"), "event_description": F.lit("degradation"),
+                                              "scope": F.lit("checks"), "current_value": value})
+    return crit.unionByName(warn).unionByName(rec)
+
+
+def decline_triggers(roc: DataFrame, projected: DataFrame, latest: DataFrame, duration: str) -> DataFrame:
+    """Rapid declines (template 3) with the threshold ahead and the minutes until it (n/a without a projection)."""
+    j = (roc.filter(F.col("trend") == "rapid_decline").join(projected.select("signal_name", "eta_minutes"), "signal_name", "left")
+         .join(latest.select("signal_name", F.col("critical_threshold").alias("_t")), "signal_name", "left"))
+    return _trigger(j, "rate_decline", "critical", {
+        "signal_name": F.col("signal_name"), "previous_value": fixed("first_value", 1), "current_value": fixed("last_value", 1),
+        "duration": F.lit(duration), "threshold": fixed("_t", 1), "eta_minutes": F.col("eta_minutes")})
+
+
+def correlation_triggers(active: DataFrame, incidents: DataFrame, surge: DataFrame, window: str) -> DataFrame:
+    """Active rules, each with its own template: 4, or 5 with the incident counts (numeric_value, p1_count) and the newest surge."""
+    multiplier = surge.agg(F.max_by("multiplier", "snapshot_time")).scalar()
+    return _trigger(active, "correlation", "warning", {
+        "signal_a": F.col("signal_a"), "signal_b": F.col("signal_b"), "confidence": F.bround(F.col("confidence") * 100, 0).cast("long"),
+        "recommended_action": F.col("recommended_action"), "incident_count": incidents.select(F.col("numeric_value").cast("long")).scalar(),
+        "p1_count": incidents.select(F.col("p1_count").cast("long")).scalar(), "window": F.lit(window), "multiplier": fixed(multiplier, 1)},
+        "signal_a", "signal_b", F.col("insight_template_id"))
+
+
+def pattern_triggers(matches: DataFrame, probability: DataFrame, with_pattern: DataFrame, projected: DataFrame, least: float = 0.8) -> DataFrame:
+    """The best match of the pre-outage library (template 6), if its similarity is `least` at least."""
+    best = matches.filter((F.col("rank") == 1) & (F.col("similarity") >= least))
+    return _trigger(best, "pattern_match", "warning", {
+        "similarity": fixed(F.col("similarity") * 100, 0), "past_event_date": F.date_format("episode_start", "yyyy-MM-dd HH:mm"),
+        "current_prob": probability.select("probability").scalar(), "projected_prob": with_pattern.select("probability").scalar(),
+        "eta": projected.agg(F.min("eta_minutes")).scalar()}, None)
+
+
+def low_sub_signals(sub_signals: DataFrame) -> DataFrame:
+    """(parent_signal, subs, thr): the sub-signals of each parent that aren't healthy, and the lowest of their thresholds."""
+    return sub_signals.filter(F.col("status").isin("warning", "critical")).groupBy("parent_signal").agg(
+        F.array_join(F.array_sort(F.collect_list("sub_name")), ", ").alias("subs"), F.min("threshold").alias("thr"))
+
+
+def sub_signal_triggers(sub_signals: DataFrame, active: DataFrame) -> DataFrame:
+    """Parents that are low in named sub-signals and the effect of an active rule (template 7)."""
+    j = low_sub_signals(sub_signals).join(active.select(F.col("signal_b").alias("parent_signal"), "signal_a", "recommended_action"), "parent_signal")
+    return _trigger(j, "multi_correlation", "warning", {
+        "signal_a": F.col("parent_signal"), "threshold": F.concat(fixed("thr", 0), F.lit("%")), "sub_signals": F.col("subs"),
+        "correlated_signal": F.col("signal_a"), "recommended_action": F.col("recommended_action")}, "parent_signal", "signal_a")
+
+
+def stable_triggers(stable: DataFrame, duration: str) -> DataFrame:
+    """One trigger (template 9) for all stable signals, if there are any."""
+    g = stable.groupBy().agg(F.array_join(F.array_sort(F.collect_list("signal_name")), ", ").alias("l"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+    return _trigger(g, "stable", "info", {"signal_list": F.col("l"), "duration": F.lit(duration)}, None)
+
+
 # --------------------------------------------------------------------------- LIP-12
 def recovery_events(trended: DataFrame) -> DataFrame:
     """Snapshots where a signal returns to healthy from warning/critical."""
@@ -335,9 +413,10 @@ def recovery_events(trended: DataFrame) -> DataFrame:
 
 
 def healthy_streaks(scored: DataFrame) -> DataFrame:
-    """Length of the current healthy run per snapshot (gaps and islands)."""
+    """Length of the current healthy run per snapshot (gaps and islands); a snapshot without a score (unconfigured,
+    no data) neither ends a run nor adds to it."""
     w = Window.partitionBy("signal_name").orderBy("snapshot_time")
-    s = scored.withColumn("_bad", (F.col("status") != "healthy").cast("int")).withColumn(
+    s = scored.filter(F.col("status").isin("healthy", "warning", "critical")).withColumn("_bad", (F.col("status") != "healthy").cast("int")).withColumn(
         "_island", F.sum("_bad").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     wi = Window.partitionBy("signal_name", "_island").orderBy("snapshot_time")
     return s.withColumn("healthy_run", F.sum(1 - F.col("_bad")).over(wi.rowsBetween(Window.unboundedPreceding, 0))) \
@@ -368,28 +447,34 @@ def eta(snapshots: DataFrame, signal_config: DataFrame, as_of: Column, window_s:
     """Minutes (units of `per_s`) until the critical threshold by OLS over the window.
 
     Falling signals only for normal orientation; rising ones for inverted signals
-    (extension). Already beyond the threshold -> eta 0. Rounded half-even.
+    (extension). Already beyond the threshold -> eta 0. Rounded half-even. A signal without a critical
+    threshold stays, with a null ETA, if it moves at all.
     """
-    h = snapshots.filter(since("snapshot_time", as_of, window_s)).join(F.broadcast(signal_config), "signal_name")
+    h = snapshots.filter(since("snapshot_time", as_of, window_s)).join(signal_config, "signal_name", "left")
     t0 = F.unix_timestamp("snapshot_time")
     g = h.groupBy("signal_name", "critical_threshold", "is_inverted").agg(
         F.regr_slope("numeric_value", t0 / F.lit(per_s)).alias("slope"),
         F.count(F.lit(1)).alias("n"), F.max_by("numeric_value", "snapshot_time").alias("current_value"))
     inv = F.col("is_inverted")
     slope, cur, crit = F.col("slope"), F.col("current_value"), F.col("critical_threshold")
-    moving = F.when(inv, slope > 0).otherwise(slope < 0)
+    moving = F.when(inv.isNull() | crit.isNull(), slope != 0).when(inv, slope > 0).otherwise(slope < 0)
     beyond = F.when(inv, cur >= crit).otherwise(cur <= crit)
     e = F.when(beyond, F.lit(0.0)).otherwise(F.abs((cur - crit) / slope))
     out = g.filter((F.col("n") >= min_points) & slope.isNotNull() & moving)
-    return (out.withColumn("eta_minutes", F.bround(e, 0).cast("long"))
-            .filter(F.col("eta_minutes") < max_eta)
+    return (out.withColumn("eta_minutes", F.when(crit.isNotNull(), F.bround(e, 0).cast("long")))
+            .filter(F.col("eta_minutes").isNull() | (F.col("eta_minutes") < max_eta))
             .select("signal_name", "eta_minutes", r4(F.bround(slope, 2)).alias("slope_per_min"),
                     r4(cur).alias("current_value"), r4(crit).alias("critical_threshold"),
                     ts_text(as_of).alias("projected_at")))
 
 
 # --------------------------------------------------------------------------- LIP-15
-def outage_probability(latest: DataFrame, active: DataFrame, pattern: float = 0.0) -> DataFrame:
+def best_pattern(matches: DataFrame) -> Column:
+    """The best similarity of `pre_outage_match` as 0 to 100 (0 without a match): the pattern part of the probability."""
+    return matches.agg(F.greatest(F.coalesce(F.max("similarity"), F.lit(0.0)), F.lit(0.0)) * 100).scalar()
+
+
+def outage_probability(latest: DataFrame, active: DataFrame, pattern: Column | float = 0.0) -> DataFrame:
     """0.40·min(25c+8w,100) + 0.25·min(12d,100) + 0.20·min(20h,100) + 0.15·pattern, rounded half-even.
 
     `d` counts signals whose `direction` is 'down' (F12); no decay is applied (F13).
@@ -402,7 +487,7 @@ def outage_probability(latest: DataFrame, active: DataFrame, pattern: float = 0.
     f1 = F.least(F.col("critical_count") * 25 + F.col("warning_count") * 8, F.lit(100)) * 0.40
     f2 = F.least(F.col("declining_count") * 12, F.lit(100)) * 0.25
     f3 = F.least(F.col("correlation_count") * 20, F.lit(100)) * 0.20
-    total = F.least(f1 + f2 + f3 + F.lit(pattern) * 0.15, F.lit(100.0))
+    total = F.least(f1 + f2 + f3 + (pattern if isinstance(pattern, Column) else F.lit(pattern)) * 0.15, F.lit(100.0))
     return j.select(F.bround(rnd(total, 6), 0).cast("long").alias("probability"), "critical_count", "warning_count",
                     "declining_count", "correlation_count")
 
@@ -428,6 +513,88 @@ def pattern_match(current: DataFrame, library: DataFrame, vec: str = "embedding"
             .select("rank", "vec_id", "label", r4("similarity").alias("similarity")))
 
 
+def outage_episodes(scored: DataFrame, signals, step_s: int, min_critical: int) -> DataFrame:
+    """(episode_start): snapshots with `min_critical` critical signals and more whose predecessor, a step before, had fewer."""
+    n = scored.filter(F.col("signal_name").isin(list(signals))).groupBy("snapshot_time").agg(count_if(F.col("status") == "critical").alias("n"))
+    bad = n.filter(F.col("n") >= min_critical).select("snapshot_time")
+    before = bad.select((F.col("snapshot_time") + F.make_dt_interval(secs=F.lit(float(step_s)))).alias("snapshot_time"))
+    return bad.join(before, "snapshot_time", "left_anti").withColumnRenamed("snapshot_time", "episode_start")
+
+
+def trajectory_vectors(snapshots: DataFrame, ends: DataFrame, signals, step_s: int, steps: int) -> DataFrame:
+    """(end_time, embedding): the course of all signals over the `steps` snapshots up to each time of `ends` (end_time).
+
+    A value is its distance from the signal's mean in SDs, 0 where a snapshot is missing or the signal never changes. Each snapshot is
+    dealt to the `steps` windows that hold it, so a window is a group of at most signals x steps rows.
+    """
+    names = list(signals)
+    snap = snapshots.filter(F.col("signal_name").isin(names))
+    st = snap.groupBy("signal_name").agg(F.avg("numeric_value").alias("_m"), F.stddev_samp("numeric_value").alias("_sd"))
+    z = F.when(F.col("_sd") > 0, (F.col("numeric_value") - F.col("_m")) / F.col("_sd")).otherwise(F.lit(0.0))
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("signal_name")) - 1
+    dealt = (snap.join(st, "signal_name").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+             .select((F.col("snapshot_time") + F.make_dt_interval(secs=(F.col("_k") * step_s).cast("decimal(18,6)"))).alias("end_time"),
+                     ((steps - 1 - F.col("_k")) * len(names) + place).cast("int").alias("at"), F.coalesce(z, F.lit(0.0)).alias("z")))
+    g = dealt.join(ends, "end_time", "left_semi").groupBy("end_time").agg(F.map_from_entries(F.collect_list(F.struct("at", "z"))).alias("zs"))
+    return g.select("end_time", F.transform(F.sequence(F.lit(0), F.lit(steps * len(names) - 1)), lambda i: F.coalesce(F.try_element_at("zs", i), F.lit(0.0))).alias("embedding"))
+
+
+def pre_outage_match(snapshots: DataFrame, scored: DataFrame, as_of: Column, signals=SIGNAL_NAMES, step_s: int = 60, steps: int = 15,
+                     min_critical: int = 3, top: int = 5) -> DataFrame:
+    """The past outages whose run-up is most like the course of the signals up to now: rank, episode_start, similarity (-1 to 1).
+
+    The library is made from the snapshots: one vector for each episode, of the `steps` snapshots before it began.
+    """
+    gap = F.make_dt_interval(secs=F.lit(float(step_s)))
+    starts = outage_episodes(scored, signals, step_s, min_critical).filter(F.col("episode_start") < as_of)
+    ends = starts.select((F.col("episode_start") - gap).alias("end_time"))
+    now = snapshots.filter(F.col("snapshot_time") == as_of).select(F.col("snapshot_time").alias("end_time")).distinct()
+    vectors = trajectory_vectors(snapshots, ends.unionByName(now).distinct(), signals, step_s, steps)
+    current = vectors.filter(F.col("end_time") == as_of).select("embedding")
+    library = vectors.join(ends, "end_time", "left_semi").filter(F.col("end_time") < as_of).select(
+        F.unix_micros("end_time").alias("vec_id"), (F.col("end_time") + gap).alias("label"), "embedding")
+    m = pattern_match(current, library, top=top)
+    return m.select("rank", F.col("label").alias("episode_start"), "similarity")
+
+
+# --------------------------------------------------------------------------- LIP-26 (calibration)
+def threshold_curve(snapshots: DataFrame, breaches: DataFrame, candidates: DataFrame, horizon_s: int = 900, inverted=INVERTED) -> DataFrame:
+    """Per signal and candidate threshold: how many snapshots are beyond it, the share of them that a breach follows within
+    `horizon_s`, and the share of normal snapshots (no breach within the horizon) on its good side.
+
+    breaches: breach_time; candidates: signal_name, candidates (array). Snapshots are counted once by the interval between
+    two candidates that holds them, and cumulative counts over these few intervals answer all candidates at once.
+    """
+    width = int(horizon_s * 1_000_000)
+    bk = lambda c: F.floor(F.unix_micros(c) / F.lit(width)).cast("long")
+    b = breaches.select("breach_time", F.explode(F.array(bk("breach_time"), bk("breach_time") - 1)).alias("_b"))
+    s = snapshots.filter(F.col("numeric_value").isNotNull()).withColumn("_b", bk("snapshot_time"))
+    horizon = F.make_dt_interval(secs=F.lit(float(horizon_s)))
+    hit = s.join(b, (s["_b"] == b["_b"]) & (b["breach_time"] > s["snapshot_time"]) & (b["breach_time"] <= s["snapshot_time"] + horizon), "left_semi")
+    marked = hit.withColumn("_f", F.lit(1)).unionByName(
+        s.join(b, (s["_b"] == b["_b"]) & (b["breach_time"] > s["snapshot_time"]) & (b["breach_time"] <= s["snapshot_time"] + horizon), "left_anti").withColumn("_f", F.lit(0)))
+    cands = candidates.select("signal_name", F.array_sort(F.array_distinct("candidates")).alias("_c"))
+    inv = F.col("signal_name").isin(list(inverted))
+    # Place among the candidates: beyond candidate i (from 0) are, normally, values below it, so places up to i; inverted, values above it, places over i.
+    place = F.size(F.filter("_c", lambda c: F.when(inv, c < F.col("numeric_value")).otherwise(c <= F.col("numeric_value"))))
+    counted = marked.join(cands, "signal_name").groupBy("signal_name", place.alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.sum("_f").alias("f"))
+    by_place = F.map_from_entries(F.collect_list(F.struct("_p", F.struct("n", "f").alias("v"))))
+    per = counted.groupBy("signal_name").agg(by_place.alias("m"), F.sum("n").alias("total"), F.sum("f").alias("followed")).join(cands, "signal_name")
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("f"))
+
+    def upto(i):  # counts of places 0..i
+        return F.aggregate(F.sequence(F.lit(0), i), zero, lambda a, j: F.struct(
+            (a["n"] + F.coalesce(F.try_element_at("m", j)["n"], F.lit(0))).alias("n"), (a["f"] + F.coalesce(F.try_element_at("m", j)["f"], F.lit(0))).alias("f")))
+
+    low = per.select("signal_name", "total", "followed", F.posexplode("_c").alias("_i", "threshold"), "m").withColumn("_u", upto(F.col("_i")))
+    n = F.when(inv, F.col("total") - F.col("_u.n")).otherwise(F.col("_u.n"))
+    f = F.when(inv, F.col("followed") - F.col("_u.f")).otherwise(F.col("_u.f"))
+    normal = F.col("total") - F.col("followed")
+    return low.select("signal_name", r4("threshold").alias("threshold"), n.alias("beyond"), f.alias("followed"),
+                      r4(F.try_divide(f.cast("double"), n.cast("double"))).alias("breach_share"),
+                      r4(F.try_divide((normal - (n - f)).cast("double"), normal.cast("double"))).alias("normal_share"))
+
+
 # --------------------------------------------------------------------------- LIP-18
 def signal_matrix(latest: DataFrame, dmap: DataFrame) -> DataFrame:
     """Signal x domain matrix of statuses (pivot), with the number of domains a signal is shared by."""
@@ -450,9 +617,9 @@ def signal_outliers(snapshots: DataFrame, as_of: Column, method: str = "zscore",
     """Latest value of each signal against its own history: z-score (|z| > k) or IQR (1.5 x IQR fences)."""
     hist = snapshots.filter(F.col("snapshot_time") < as_of)
     cur = snapshots.filter(F.col("snapshot_time") == as_of).select("signal_name", F.col("numeric_value").alias("v"))
-    st = hist.groupBy("signal_name").agg(F.avg("numeric_value").alias("mean"), F.stddev_samp("numeric_value").alias("sd"),
-                                         F.percentile("numeric_value", 0.25).alias("q1"),
-                                         F.percentile("numeric_value", 0.75).alias("q3"))
+    st = hist.groupBy("signal_name").agg(F.avg("numeric_value").alias("mean"), F.stddev_samp("numeric_value").alias("sd"))
+    if method != "zscore":
+        st = with_percentiles(st, hist, ["signal_name"], "numeric_value", {"q1": 0.25, "q3": 0.75})
     j = cur.join(st, "signal_name")
     if method == "zscore":
         z = F.when(F.col("sd") > 0, (F.col("v") - F.col("mean")) / F.col("sd")).otherwise(F.lit(0.0))
@@ -514,12 +681,13 @@ def regional_signals(region_values: DataFrame, as_of: Column, window_s: int) ->
 # --------------------------------------------------------------------------- LIP-22
 def incident_scope(incidents: DataFrame, ci_map: DataFrame, open_states=("Open", "In Progress")) -> DataFrame:
     """Open incidents per configuration item: count, groups involved, whether the CI is on the
-    call path (accept rule R3) or not (weaken it), and whether incidents share the item."""
-    o = incidents.filter(F.col("state").isin(*open_states)).join(ci_map, "incident_id")
+    call path (accept rule R3) or not (weaken it), and whether incidents share the item.
+    Incidents without an item are one row with a null item; they don't share it and neither accept nor weaken the rule."""
+    o = incidents.filter(F.col("state").isin(*open_states)).join(ci_map, "incident_id", "left")
     g = o.groupBy("ci", "call_path").agg(F.count(F.lit(1)).alias("incidents"),
                                          F.array_join(F.array_sort(F.collect_set("assignment_group")), ",").alias("groups"))
-    return g.select("ci", "call_path", "incidents", "groups", (F.col("incidents") > 1).alias("shared"),
-                    F.when(F.col("call_path"), "accept_R3").otherwise("weaken_R3").alias("rule_r3"))
+    return g.select("ci", "call_path", "incidents", "groups", (F.col("ci").isNotNull() & (F.col("incidents") > 1)).alias("shared"),
+                    F.when(F.col("call_path"), "accept_R3").when(F.col("ci").isNotNull(), "weaken_R3").otherwise("unmapped").alias("rule_r3"))
 
 
 # --------------------------------------------------------------------------- LIP-24
@@ -534,8 +702,7 @@ def ivr_overflow(containment: DataFrame, volume_per_hour: Column, baseline_pct:
 def multi_correlation(sub_signals: DataFrame, active: DataFrame, templates: DataFrame) -> DataFrame:
     """Template #7: a parent signal below threshold in named sub-signals, correlated (active rule)
     with another signal. sub_signals: (parent_signal, sub_name, status, threshold)."""
-    low = sub_signals.filter(F.col("status") != "healthy").groupBy("parent_signal").agg(
-        F.array_join(F.array_sort(F.collect_list("sub_name")), ", ").alias("subs"), F.min("threshold").alias("thr"))
+    low = low_sub_signals(sub_signals)
     cor = active.select(F.col("signal_b").alias("parent_signal"), F.col("signal_a").alias("correlated_signal"),
                         "recommended_action")
     t = templates.filter(F.col("template_id") == 7).select("template_text")

@@ -20,7 +20,8 @@ LOB_THRESHOLDS = [("Sales", 85.0, 80.0), ("Billing", 85.0, 80.0), ("Service", 82
 
 
 def _status(v: Column, healthy: float, warning: float) -> Column:
-    return ladder([(v >= healthy, "healthy"), (v >= warning, "warning")], "critical")
+    """Nothing measured is `no data`, which has no score, instead of critical."""
+    return ladder([(v.isNull(), "no data"), (v >= healthy, "healthy"), (v >= warning, "warning")], "critical")
 
 
 # --------------------------------------------------------------------------- SIG-2
@@ -99,8 +100,41 @@ def lob_sub_signals(calls: DataFrame, lob_config: DataFrame, thresholds: DataFra
                     _status_cols(F.col("v"), F.col("healthy"), F.col("warning")).alias("status"))
 
 
+# Thresholds of sub-signals (parent, sub-signal, healthy, warning, lower is better).
+SUB_THRESHOLDS = [
+    ("Agent Online", "voice", 95.0, 90.0, False), ("Agent Online", "chat", 93.0, 88.0, False), ("Agent Online", "email", 90.0, 85.0, False),
+    ("App Health", "CRM", 98.0, 95.0, False), ("App Health", "WFM", 95.0, 90.0, False), ("App Health", "Reporting", 90.0, 80.0, False),
+    ("Call LOB SLA", "Sales", 85.0, 80.0, False), ("Call LOB SLA", "Billing", 85.0, 80.0, False), ("Call LOB SLA", "Service", 82.0, 78.0, False),
+    ("Call LOB SLA", "Retention", 92.0, 88.0, False), ("Call Quality", "Jitter", 10.0, 20.0, True), ("Call Quality", "Packet Loss", 0.5, 1.5, True),
+]
+# An open incident of a priority gives its sub-signal this status.
+INCIDENT_SUBS = {"p1_count": ("P1 Critical", "critical"), "p2_count": ("P2 High", "warning"), "p3_count": ("P3 Medium", "healthy")}
+
+
+def sub_signal_snapshots(spark: SparkSession, families: dict[str, DataFrame], incidents: DataFrame) -> DataFrame:
+    """SIG-16: (parent_signal, sub_name, numeric_value, status, threshold) of all families.
+
+    families: parent -> rows (sub_name, numeric_value), scored with their own thresholds; sub-signals without any are unconfigured.
+    incidents: one row with p1_count, p2_count, p3_count, unpivoted; their status follows from the priority.
+    """
+    rows = None
+    for parent, df in families.items():
+        part = df.select(F.lit(parent).alias("parent_signal"), "sub_name", F.col("numeric_value").cast("double").alias("numeric_value"))
+        rows = part if rows is None else rows.unionByName(part)
+    th = F.broadcast(spark.createDataFrame(SUB_THRESHOLDS, "parent_signal string, sub_name string, healthy double, warning double, low boolean"))
+    v, h, w = F.col("numeric_value"), F.col("healthy"), F.col("warning")
+    low = ladder([(v.isNull(), "no data"), (v < h, "healthy"), (v <= w, "warning")], "critical")
+    scored = rows.join(th, ["parent_signal", "sub_name"], "left").select(
+        "parent_signal", "sub_name", r4("numeric_value").alias("numeric_value"),
+        F.when(F.col("low"), low).otherwise(_status_cols(v, h, w)).alias("status"), h.alias("threshold"))
+    cells = F.array(*[F.struct(F.lit(name).alias("sub_name"), F.col(c).cast("double").alias("numeric_value"),
+                               F.when(F.col(c) > 0, st).otherwise("healthy").alias("status")) for c, (name, st) in INCIDENT_SUBS.items()])
+    inc = incidents.select(F.explode(cells).alias("x")).select(F.lit("Incidents").alias("parent_signal"), "x.*", F.lit(1.0).alias("threshold"))
+    return scored.unionByName(inc)
+
+
 def _status_cols(v: Column, h: Column, w: Column) -> Column:
-    return F.when(h.isNull() | w.isNull(), "unconfigured").when(v >= h, "healthy").when(v >= w, "warning").otherwise("critical")
+    return F.when(h.isNull() | w.isNull(), "unconfigured").when(v.isNull(), "no data").when(v >= h, "healthy").when(v >= w, "warning").otherwise("critical")
 
 
 # --------------------------------------------------------------------------- SIG-7 / SIG-8 / SIG-18
@@ -125,18 +159,19 @@ def localised_drop(presence: DataFrame, warning: float = 93.0) -> DataFrame:
 
 # --------------------------------------------------------------------------- SIG-12 / SIG-13 / SIG-14
 def call_quality_signal(calls: DataFrame, as_of: Column, window_s: int) -> DataFrame:
+    """Mean MOS, jitter and packet loss per region and overall; the status is that of the MOS."""
     c = calls.filter(since("call_time", as_of, window_s))
-    g = c.rollup("region").agg(F.avg("mos").alias("v"), F.count(F.lit(1)).alias("calls"))
+    g = c.rollup("region").agg(F.avg("mos").alias("v"), F.count(F.lit(1)).alias("calls"), F.avg("jitter_ms").alias("j"), F.avg("packet_loss_pct").alias("l"))
     v = rnd(F.col("v"), 1)
-    return g.select(F.coalesce("region", F.lit("ALL")).alias("region"), r4(v).alias("numeric_value"), "calls",
-                    _status(v, 4.0, 3.5).alias("status"))
+    return g.select(F.coalesce("region", F.lit("ALL")).alias("region"), r4(v).alias("numeric_value"), "calls", r4(rnd("j", 1)).alias("avg_jitter_ms"),
+                    r4(rnd("l", 2)).alias("avg_packet_loss_pct"), _status(v, 4.0, 3.5).alias("status"))
 
 
 def latency_signal(rtt: DataFrame, as_of: Column, window_s: int, ts: str = "ts", value: str = "rtt_ms") -> DataFrame:
     """Mean round-trip time over the window; inverted thresholds (< 30 healthy, <= 80 warning)."""
     g = rtt.filter(since(ts, as_of, window_s)).agg(F.avg(value).alias("v"), F.count(F.lit(1)).alias("samples"))
     v = rnd(F.col("v"), 1)
-    st = ladder([(v < 30, "healthy"), (v <= 80, "warning")], "critical")
+    st = ladder([(v.isNull(), "no data"), (v < 30, "healthy"), (v <= 80, "warning")], "critical")
     return g.select(F.lit("Network Latency").alias("signal_name"), r4(v).alias("numeric_value"), "samples",
                     st.alias("status"))
 

@@ -34,8 +34,8 @@ def _since(col: str, asof: str, seconds: int) -> str:
 
 def _status(v: str, target: float, crit: float, higher=True, inclusive=False) -> str:
     if higher:
-        return f"CASE WHEN {v} < {crit} THEN 'Critical' WHEN {v} >= {target} THEN 'Healthy' ELSE 'At Risk' END"
-    return f"CASE WHEN {v} > {crit} THEN 'Critical' WHEN {v} {'<=' if inclusive else '<'} {target} THEN 'Healthy' ELSE 'At Risk' END"
+        return f"CASE WHEN {v} IS NULL THEN 'No Data' WHEN {v} < {crit} THEN 'Critical' WHEN {v} >= {target} THEN 'Healthy' ELSE 'At Risk' END"
+    return f"CASE WHEN {v} IS NULL THEN 'No Data' WHEN {v} > {crit} THEN 'Critical' WHEN {v} {'<=' if inclusive else '<'} {target} THEN 'Healthy' ELSE 'At Risk' END"
 
 
 def _mmss(sec: str) -> str:
@@ -525,18 +525,35 @@ def ind8_3(spark, sf_dir):
     return I.abnormal_terminations(e)
 
 
-@query("ind10_2_aht_deviation", with_("calls", extra=[("d", """SELECT CAST(call_time AS DATE) AS day, avg(duration_min) AS aht,
-  dayofweek(CAST(call_time AS DATE)) AS dow FROM calls GROUP BY 1, 3"""), ("h", """SELECT *, COALESCE(list(aht) OVER (PARTITION BY dow ORDER BY day
-  RANGE BETWEEN INTERVAL 28 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), []::DOUBLE[]) AS hist FROM d"""), ("s", """SELECT *,
-  list_avg(hist) AS m, CASE WHEN len(hist) > 1 THEN list_stddev_samp(hist) END AS sd FROM h"""), ("k", """SELECT *,
-  list_filter(hist, lambda x: COALESCE(abs(x - m) <= 3.0 * sd, TRUE)) AS kept FROM s""")]) + f"""
-SELECT strftime(day, '%Y-%m-%d') AS day, {r4('aht')} AS aht_min, CAST(len(hist) AS INTEGER) AS history_days,
-  CAST(len(kept) AS INTEGER) AS kept_days, {r4('CASE WHEN len(kept) > 0 THEN list_avg(kept) END')} AS baseline_aht_min,
-  {r4('CASE WHEN len(kept) > 0 THEN (aht - list_avg(kept)) * 100.0 / list_avg(kept) END')} AS deviation_pct,
-  CASE WHEN len(kept) = 0 THEN 'No Baseline' WHEN abs((aht - list_avg(kept)) * 100.0 / list_avg(kept)) > 10 THEN 'Critical'
-       WHEN abs((aht - list_avg(kept)) * 100.0 / list_avg(kept)) > 5 THEN 'At Risk' ELSE 'Healthy' END AS status FROM k""")
+# Handle time (adapter): talk 30 s a unit of quantity, hold 1000 s x tax, wrap-up 600 s x discount; the hour of a call = order key % 24.
+# Calls of one queue and hour are few here, so a slot is 8 hours and the base 12 weeks.
+AHT_WEEKS, AHT_SLOT = 12, 8
+
+
+@query("ind10_2_aht_deviation", f"""WITH c AS (SELECT l_returnflag AS queue, CAST(l_shipdate AS DATE) AS day, CAST((l_orderkey % 24) // {AHT_SLOT} AS INTEGER) AS slot,
+  CAST(round(l_quantity * 30) AS BIGINT) AS talk_s, CAST(round(l_tax * 1000) AS BIGINT) AS hold_s, CAST(round(l_discount * 600) AS BIGINT) AS acw_s FROM lineitem),
+x AS (SELECT *, talk_s + hold_s + acw_s AS aht_s FROM c),
+now AS (SELECT queue, day, slot, count(*) AS calls, avg(aht_s) AS aht, avg(talk_s) AS talk, avg(hold_s) AS hold, avg(acw_s) AS acw FROM x GROUP BY ALL),
+base AS (SELECT queue, CAST(day + CAST(7 * k AS INTEGER) AS DATE) AS day, slot, aht_s, talk_s, hold_s, acw_s FROM x, unnest(range(1, {AHT_WEEKS + 1})) AS w(k)),
+m AS (SELECT queue, day, slot, count(*) AS n, avg(aht_s) AS mean, stddev_samp(aht_s) AS sd FROM base GROUP BY ALL),
+kept AS (SELECT queue, day, slot, count(*) AS kept, avg(aht_s) AS aht, avg(talk_s) AS talk, avg(hold_s) AS hold, avg(acw_s) AS acw
+  FROM base JOIN m USING (queue, day, slot) WHERE n = 1 OR abs(aht_s - mean) <= 3.0 * sd GROUP BY ALL)
+SELECT now.queue, strftime(now.day, '%Y-%m-%d') AS day, now.slot, now.calls, COALESCE(m.n, 0) AS base_calls, COALESCE(k.kept, 0) AS kept_calls,
+  {r4('now.aht')} AS aht_s, {r4('k.aht')} AS baseline_aht_s, {r4('(now.aht - k.aht) * 100.0 / NULLIF(k.aht, 0)')} AS deviation_pct,
+  {r4('(now.talk - k.talk) * 100.0 / NULLIF(k.talk, 0)')} AS talk_pct, {r4('(now.hold - k.hold) * 100.0 / NULLIF(k.hold, 0)')} AS hold_pct,
+  {r4('(now.acw - k.acw) * 100.0 / NULLIF(k.acw, 0)')} AS acw_pct,
+  CASE WHEN k.aht IS NULL OR k.aht = 0 THEN NULL WHEN abs(now.talk - k.talk) >= greatest(abs(now.hold - k.hold), abs(now.acw - k.acw)) THEN 'talk'
+       WHEN abs(now.hold - k.hold) >= abs(now.acw - k.acw) THEN 'hold' ELSE 'acw' END AS driver,
+  CASE WHEN k.aht IS NULL OR k.aht = 0 THEN 'No Baseline' WHEN abs((now.aht - k.aht) * 100.0 / k.aht) > 10 THEN 'Critical'
+       WHEN abs((now.aht - k.aht) * 100.0 / k.aht) > 5 THEN 'At Risk' ELSE 'Healthy' END AS status
+FROM now LEFT JOIN m USING (queue, day, slot) LEFT JOIN kept k USING (queue, day, slot)""")
 def ind10_2(spark, sf_dir):
-    return I.aht_deviation(Model(spark, sf_dir).calls())
+    li = Model(spark, sf_dir).raw("lineitem")
+    calls = li.select(F.col("l_returnflag").alias("queue"),
+                      (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))).alias("call_time"),
+                      F.round(F.col("l_quantity") * 30).cast("long").alias("talk_s"), F.round(F.col("l_tax") * 1000).cast("long").alias("hold_s"),
+                      F.round(F.col("l_discount") * 600).cast("long").alias("acw_s"))
+    return I.aht_deviation(calls, weeks=AHT_WEEKS, slot_h=AHT_SLOT)
 
 
 CPC = ("d", "SELECT CAST(call_time AS DATE) AS day, sum(duration_min) * 0.75 / count(*) AS cpc, count(*) AS contacts FROM calls GROUP BY 1")
@@ -993,19 +1010,54 @@ def ind11_2(spark, sf_dir):
     return I.attrition_risk(_attrition_factors(Model(spark, sf_dir)))
 
 
-# Consent (adapter): outbound calls = lines, customer via the order; consent on file = customers with a
-# non-negative account balance.
-@query("ind14_2_consent_verification", """WITH ob AS (SELECT o.o_custkey AS customer_id FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
-cs AS (SELECT DISTINCT c_custkey AS customer_id, 1 AS ok FROM customer WHERE c_acctbal >= 0)
-SELECT count(*) AS outbound, count(ok) AS verified, count(*) - count(ok) AS blocked,
-  """ + r4("count(ok) * 100.0 / count(*)") + " AS verification_rate, " + r4("100.0 - count(ok) * 100.0 / count(*)") + """ AS block_rate,
-  """ + _status("count(ok) * 100.0 / count(*)", 100.0, 99.0) + """ AS status FROM ob LEFT JOIN cs USING (customer_id)""")
+# Consent (adapter): outbound calls = lines (time = ship date + order key % 24 hours, purpose by line number, UTC offset -8..-5 by customer);
+# consent events = orders (type by order key % 3, every tenth order and those in progress revoke); do-not-call = odd customers with a debt, since 1995-06-17.
+PURPOSES = ["marketing", "informational", "transactional", "collections"]
+
+
+IND14_2_SQL = f"""WITH ob AS (
+  SELECT o.o_custkey AS customer_id, {PURPOSES!r}[l.l_linenumber % 4 + 1] AS call_type, CAST(l.l_shipdate AS TIMESTAMP) + to_hours(l.l_orderkey % 24) AS call_time,
+    CAST(o.o_custkey % 4 AS INTEGER) - 8 AS utc_offset_h FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
+ce AS (SELECT o_custkey AS customer_id, ['written', 'verbal', 'ebr'][o_orderkey % 3 + 1] AS consent_type, o_orderkey AS event_id,
+    CASE WHEN o_orderstatus = 'P' OR o_orderkey % 10 = 0 THEN 'revoke' ELSE 'grant' END AS action,
+    CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) AS happened FROM orders),
+dnc AS (SELECT c_custkey AS customer_id, TIMESTAMP '1995-06-17' AS since FROM customer WHERE c_acctbal < 0 AND c_custkey % 2 = 1),
+st AS (SELECT ob.*, w.action AS w, v.action AS v, e.action AS e, dnc.since FROM ob
+  ASOF LEFT JOIN (SELECT customer_id, happened, arg_max(action, event_id) AS action FROM ce WHERE consent_type = 'written' GROUP BY 1, 2) w
+    ON w.customer_id = ob.customer_id AND w.happened <= ob.call_time
+  ASOF LEFT JOIN (SELECT customer_id, happened, arg_max(action, event_id) AS action FROM ce WHERE consent_type = 'verbal' GROUP BY 1, 2) v
+    ON v.customer_id = ob.customer_id AND v.happened <= ob.call_time
+  ASOF LEFT JOIN (SELECT customer_id, happened, arg_max(action, event_id) AS action FROM ce WHERE consent_type = 'ebr' GROUP BY 1, 2) e
+    ON e.customer_id = ob.customer_id AND e.happened <= ob.call_time
+  LEFT JOIN dnc ON dnc.customer_id = ob.customer_id),
+n AS (SELECT *, CASE call_type WHEN 'marketing' THEN [w] WHEN 'informational' THEN [w, v] WHEN 'transactional' THEN [e] ELSE [w, v, e] END AS needed,
+    hour(call_time + to_hours(utc_offset_h)) AS local FROM st),
+r AS (SELECT call_type, CASE WHEN list_contains(needed, 'grant') THEN
+      CASE WHEN since <= call_time THEN 'do_not_call' WHEN local < 8 OR local > 20 THEN 'outside_hours' ELSE 'verified' END
+    WHEN list_contains(needed, 'revoke') THEN 'revoked' WHEN list_contains([w, v, e], 'grant') THEN 'wrong_type' ELSE 'no_consent' END AS reason FROM n)
+SELECT COALESCE(call_type, 'ALL') AS call_type, count(*) AS outbound, count(*) FILTER (WHERE reason = 'verified') AS verified,
+  {', '.join(f"count(*) FILTER (WHERE reason = '{b}') AS {b}" for b in I.BLOCKS)},
+  {r4("count(*) FILTER (WHERE reason = 'verified') * 100.0 / count(*)")} AS verification_rate,
+  {r4("100.0 - count(*) FILTER (WHERE reason = 'verified') * 100.0 / count(*)")} AS block_rate,
+  {_status("count(*) FILTER (WHERE reason = 'verified') * 100.0 / count(*)", 100.0, 99.0)} AS status FROM r GROUP BY ROLLUP (call_type)"""
+
+
+@query("ind14_2_consent_verification", IND14_2_SQL)
 def ind14_2(spark, sf_dir):
     m = Model(spark, sf_dir)
-    ob = m.raw("lineitem").join(m.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")) \
-        .select(F.col("o_custkey").alias("customer_id"))
-    cs = m.raw("customer").filter(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("customer_id"))
-    return I.consent_verification(ob, cs)
+    o = m.raw("orders")
+    hours = lambda day, key: F.col(day).cast("timestamp") + F.make_dt_interval(hours=(F.col(key) % 24).cast("int"))
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    calls = m.raw("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("o_custkey").alias("customer_id"),
+        pick(PURPOSES, F.col("l_linenumber") % 4).alias("call_type"), hours("l_shipdate", "l_orderkey").alias("call_time"),
+        (F.col("o_custkey") % 4 - 8).cast("int").alias("utc_offset_h"))
+    events = o.select(F.col("o_custkey").alias("customer_id"), pick(I.CONSENT_TYPES, F.col("o_orderkey") % 3).alias("consent_type"),
+                      F.when((F.col("o_orderstatus") == "P") | (F.col("o_orderkey") % 10 == 0), "revoke").otherwise("grant").alias("action"),
+                      hours("o_orderdate", "o_orderkey").alias("at"), F.col("o_orderkey").alias("event_id"))
+    dnc = m.raw("customer").filter((F.col("c_acctbal") < 0) & (F.col("c_custkey") % 2 == 1)).select(
+        F.col("c_custkey").alias("customer_id"), F.lit("1995-06-17").cast("timestamp").alias("since"))
+    return I.consent_verification(calls, events, dnc)
 
 
 # ------------------------------------------------------------------ IND-6.1 / 6.3 / 12.4 / 7.1 / 8.2 / 1.3

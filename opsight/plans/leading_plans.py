@@ -15,6 +15,7 @@ from ..session import checkpoint_dir
 from ..sources.adapters import Model
 from .oracle_base import ASOF, r4 as sr4, rnd as srnd, tstext, with_
 from .registry import query
+from .signal_plans import SIG2_SQL, sig2
 
 U = HOUR
 
@@ -91,10 +92,11 @@ class _Ctx:
         checkpoint_dir(spark)
         self.snap = self.m.signal_snapshots().checkpoint()
         self.cfg = L.calibrate_thresholds(self.snap, self.m.calibration_end())
-        self.scored = L.score_signals(self.snap, self.cfg)
-        self.trended = L.snapshot_trend(self.scored).withColumn(
-            "prev_status", F.lag("status").over(Window.partitionBy("signal_name").orderBy("snapshot_time")))
-        self.as_of = self.snap.select(F.max("snapshot_time")).scalar()
+        # Scored once, too: every stage reads these rows instead of calibrating and scoring again.
+        self.trended = L.snapshot_trend(L.score_signals(self.snap, self.cfg)).withColumn(
+            "prev_status", F.lag("status").over(Window.partitionBy("signal_name").orderBy("snapshot_time"))).checkpoint()
+        self.scored = self.trended.drop("trend", "direction", "prev_status")
+        self.as_of = F.timestamp_micros(F.lit(self.snap.agg(F.unix_micros(F.max("snapshot_time"))).first()[0]))
         self.latest = self.trended.filter(F.col("snapshot_time") == self.as_of)
         self.dmap = L.domain_map(spark)
         self.rules = L.correlation_rules(spark)
@@ -126,10 +128,12 @@ def lip2(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ LIP-3 / LIP-4
-DOMAIN_CTE = ("dom", f"""SELECT domain_key, {srnd("avg(CASE WHEN status = 'critical' THEN 0 WHEN status = 'warning' THEN 70 ELSE 100 END)", 1)} AS score,
+DOMAIN_CTE = ("dom", f"""SELECT COALESCE(domain_key, 'unmapped') AS domain_key,
+  {srnd("avg(CASE WHEN status = 'critical' THEN 0 WHEN status = 'warning' THEN 70 WHEN status = 'healthy' THEN 100 END)", 1)} AS score,
   CAST(count(*) AS BIGINT) AS signal_count, CAST(count(*) FILTER (WHERE status = 'critical') AS BIGINT) AS critical_count,
-  CAST(count(*) FILTER (WHERE status = 'warning') AS BIGINT) AS warning_count
-FROM latest JOIN dmap USING (signal_name) GROUP BY domain_key""")
+  CAST(count(*) FILTER (WHERE status = 'warning') AS BIGINT) AS warning_count,
+  CAST(count(*) FILTER (WHERE status NOT IN ('critical', 'warning', 'healthy')) AS BIGINT) AS unscored_count
+FROM latest LEFT JOIN dmap USING (signal_name) GROUP BY COALESCE(domain_key, 'unmapped')""")
 
 
 @query("lip3_domain_scores", _ctes(DOMAIN_CTE) + "SELECT * FROM dom")
@@ -169,7 +173,7 @@ CORR_CTES = [
 FROM rules r JOIN deg a ON a.signal_name = r.signal_a JOIN deg b ON b.signal_name = r.signal_b
 WHERE abs(epoch(a.snapshot_time) - epoch(b.snapshot_time)) / 3600.0 <= r.time_window_min"""),
     ("active", f"""SELECT rule_id, signal_a, signal_b, confidence, direction, {sr4('av')} AS signal_a_value, {sr4('bv')} AS signal_b_value,
-  ast AS signal_a_status, bst AS signal_b_status, {sr4('lag_minutes')} AS lag_minutes, recommended_action,
+  ast AS signal_a_status, bst AS signal_b_status, {sr4('lag_minutes')} AS lag_minutes, recommended_action, insight_template_id,
   {tstext(SNAP_ASOF)} AS detected_at FROM (
   SELECT *, row_number() OVER (PARTITION BY signal_a, signal_b ORDER BY confidence DESC, rule_id, a_t DESC, b_t DESC) AS rn FROM mc)
 WHERE rn = 1"""),
@@ -274,83 +278,6 @@ def lip9(spark, sf_dir):
         "n_recovered", "n_improving", "alert_level")
 
 
-# ------------------------------------------------------------------ LIP-11
-def _tmpl(tid: int) -> str:
-    return _q([t for t in L.INSIGHT_TEMPLATES if t[0] == tid][0][3])
-
-
-def _fill(tid: int, fields: dict) -> str:
-    out = _tmpl(tid)
-    for k, v in fields.items():
-        out = f"replace({out}, '{{{k}}}', {v})"
-    return out
-
-
-LIP11_SQL = _ctes(*CORR_CTES, (
-    "stable", """SELECT signal_name FROM (
-  SELECT *, sum(CASE WHEN status = 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY signal_name, isl ORDER BY snapshot_time
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (
-    SELECT *, sum(CASE WHEN status <> 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY signal_name ORDER BY snapshot_time
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM scored))
-WHERE snapshot_time = (SELECT max(snapshot_time) FROM dense) AND run > 4"""), (
-    "trig", f"""SELECT 'threshold_breach' AS trigger_type, 'critical' AS severity, signal_name, NULL AS related_signal,
-  {_fill(1, {'signal_name': 'signal_name', 'current_value': "printf('%.2f', " + srnd('numeric_value', 2) + ")", 'threshold': "printf('%.2f', " + srnd('critical_threshold', 2) + ")"})} AS insight_text
-FROM latest WHERE status = 'critical'
-UNION ALL SELECT 'threshold_breach', 'warning', signal_name, NULL,
-  {_fill(2, {'signal_name': 'signal_name', 'current_value': "printf('%.2f', " + srnd('numeric_value', 2) + ")", 'direction': 'direction', 'window': "'5 h'"})}
-FROM latest WHERE status = 'warning'
-UNION ALL SELECT 'correlation', 'warning', signal_a, signal_b,
-  {_fill(4, {'signal_a': 'signal_a', 'signal_b': 'signal_b', 'confidence': 'CAST(CAST(round_even(confidence * 100, 0) AS BIGINT) AS VARCHAR)', 'recommended_action': 'recommended_action'})}
-FROM active
-UNION ALL SELECT 'recovery', 'info', signal_name, NULL,
-  {_fill(8, {'signal_name': 'signal_name', 'event_description': "'degradation'", 'scope': "'checks'", 'current_value': "printf('%.2f', " + srnd('numeric_value', 2) + ")"})}
-FROM latest WHERE status = 'healthy' AND prev_status IN ('warning', 'critical')
-UNION ALL SELECT 'stable', 'info', NULL, NULL,
-  {_fill(9, {'signal_list': "string_agg(signal_name, ', ' ORDER BY signal_name)", 'duration': "'4'"})}
-FROM stable HAVING count(*) > 0""")) + """
-SELECT t.trigger_type, t.severity, t.signal_name, t.insight_text,
-  COALESCE((SELECT string_agg(domain_key, ',' ORDER BY domain_key) FROM dmap d WHERE d.signal_name = t.signal_name), '') AS domains,
-  concat_ws(',', t.signal_name, t.related_signal) AS related_signals
-FROM trig t"""
-
-
-@query("lip11_insights", LIP11_SQL)
-def lip11(spark, sf_dir):
-    c = _Ctx(spark, sf_dir)
-    fx2 = lambda col: fixed(col, 2)
-    lt = c.latest
-    crit = lt.filter(F.col("status") == "critical").select(
-        F.lit("threshold_breach").alias("trigger_type"), F.lit("critical").alias("severity"), "signal_name",
-        F.lit(None).cast("string").alias("related_signal"),
-        F.create_map(F.lit("signal_name"), F.col("signal_name"), F.lit("current_value"), fx2("numeric_value"),
-                     F.lit("threshold"), fx2("critical_threshold")).alias("fields"))
-    warn = lt.filter(F.col("status") == "warning").select(
-        F.lit("threshold_breach"), F.lit("warning"), "signal_name", F.lit(None).cast("string"),
-        F.create_map(F.lit("signal_name"), F.col("signal_name"), F.lit("current_value"), fx2("numeric_value"),
-                     F.lit("direction"), F.col("direction"), F.lit("window"), F.lit("5 h")))
-    cor = c.active().select(
-        F.lit("correlation"), F.lit("warning"), F.col("signal_a"), F.col("signal_b"),
-        F.create_map(F.lit("signal_a"), F.col("signal_a"), F.lit("signal_b"), F.col("signal_b"),
-                     F.lit("confidence"), F.bround(F.col("confidence") * 100, 0).cast("long").cast("string"),
-                     F.lit("recommended_action"), F.col("recommended_action")))
-    rec = lt.filter((F.col("status") == "healthy") & F.col("prev_status").isin("warning", "critical")).select(
-        F.lit("recovery"), F.lit("info"), "signal_name", F.lit(None).cast("string"),
-        F.create_map(F.lit("signal_name"), F.col("signal_name"), F.lit("event_description"), F.lit("degradation"),
-                     F.lit("scope"), F.lit("checks"), F.lit("current_value"), fx2("numeric_value")))
-    st = L.stable_signals(c.scored, c.as_of, min_units=4)
-    stab = (st.groupBy().agg(F.array_join(F.array_sort(F.collect_list("signal_name")), ", ").alias("lst"),
-                             F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 0)
-            .select(F.lit("stable"), F.lit("info"), F.lit(None).cast("string"), F.lit(None).cast("string"),
-                    F.create_map(F.lit("signal_list"), F.col("lst"), F.lit("duration"), F.lit("4"))))
-    cols = ["trigger_type", "severity", "signal_name", "related_signal", "fields"]
-    trig = crit.toDF(*cols)
-    for d in (warn, cor, rec, stab):
-        trig = trig.unionByName(d.toDF(*cols))
-    return L.insights(trig, L.insight_templates(spark), c.dmap).select(
-        "trigger_type", "severity", "signal_name", "insight_text", "domains", "related_signals")
-
-
 # ------------------------------------------------------------------ LIP-12 / LIP-13 / LIP-14 / LIP-15
 @query("lip12_recovery_events", _ctes() + f"""SELECT signal_name, {tstext('snapshot_time')} AS snapshot_time, prev_status,
   {sr4('numeric_value')} AS numeric_value FROM trended WHERE status = 'healthy' AND prev_status IN ('warning', 'critical')""")
@@ -384,7 +311,7 @@ def lip13(spark, sf_dir):
     return L.incident_surge(c.snap, "Incidents", window_s=24 * U)
 
 
-LIP14_SQL = _ctes() + f"""SELECT signal_name, CAST(eta AS BIGINT) AS eta_minutes, {sr4('round_even(round(slope, 9), 2)')} AS slope_per_min,
+LIP14_BODY = f"""SELECT signal_name, CAST(eta AS BIGINT) AS eta_minutes, {sr4('round_even(round(slope, 9), 2)')} AS slope_per_min,
   {sr4('cur')} AS current_value, {sr4('critical_threshold')} AS critical_threshold, {tstext(SNAP_ASOF)} AS projected_at FROM (
   SELECT *, round_even(round(CASE WHEN (is_inverted AND cur >= critical_threshold) OR (NOT is_inverted AND cur <= critical_threshold)
                  THEN 0.0 ELSE abs((cur - critical_threshold) / slope) END, 9), 0) AS eta FROM (
@@ -395,7 +322,7 @@ LIP14_SQL = _ctes() + f"""SELECT signal_name, CAST(eta AS BIGINT) AS eta_minutes
 WHERE eta < 60"""
 
 
-@query("lip14_eta", LIP14_SQL)
+@query("lip14_eta", _ctes() + LIP14_BODY)
 def lip14(spark, sf_dir):
     c = _Ctx(spark, sf_dir)
     return L.eta(c.snap, c.cfg, c.as_of, window_s=15 * U, per_s=U, max_eta=60)
@@ -438,6 +365,173 @@ def lip16(spark, sf_dir):
     return L.pattern_match(current, lib, top=5)
 
 
+# Outage (adapter): five of the fourteen signals critical in one hour; the run-up is the twelve hours before.
+OUTAGE_CRITICAL, RUN_UP = 5, 12
+RUN_CTES = [
+    ("z", f"""SELECT d.signal_name, d.snapshot_time, list_position({NAMES}, d.signal_name) - 1 AS place,
+  CASE WHEN s.sd > 0 THEN (d.numeric_value - s.m) / s.sd ELSE 0.0 END AS z FROM dense d JOIN (
+  SELECT signal_name, avg(numeric_value) AS m, stddev_samp(numeric_value) AS sd FROM dense GROUP BY 1) s USING (signal_name)
+WHERE list_contains({NAMES}, d.signal_name)"""),
+    ("bad", f"""SELECT snapshot_time FROM scored WHERE list_contains({NAMES}, signal_name) GROUP BY 1
+HAVING count(*) FILTER (WHERE status = 'critical') >= {OUTAGE_CRITICAL}"""),
+    ("starts", f"""SELECT snapshot_time AS episode_start FROM bad b WHERE snapshot_time < {SNAP_ASOF}
+  AND NOT EXISTS (SELECT 1 FROM bad p WHERE p.snapshot_time = b.snapshot_time - INTERVAL 1 HOUR)"""),
+    ("ends", f"""SELECT episode_start - INTERVAL 1 HOUR AS e FROM starts WHERE episode_start - INTERVAL 1 HOUR IN (SELECT snapshot_time FROM z)
+UNION SELECT {SNAP_ASOF}"""),
+    ("cells", f"""SELECT e, step, place FROM ends, unnest(range(0, {RUN_UP})) AS s(step), unnest(range(0, {len(L.SIGNAL_NAMES)})) AS p(place)"""),
+    ("vecs", f"""SELECT c.e, list(COALESCE(z.z, 0.0) ORDER BY c.step, c.place) AS v FROM cells c
+  LEFT JOIN z ON z.place = c.place AND z.snapshot_time = c.e - to_hours(CAST({RUN_UP - 1} - c.step AS BIGINT)) GROUP BY c.e"""),
+    ("sims", f"""SELECT l.e + INTERVAL 1 HOUR AS episode_start, list_sum(list_transform(list_zip(l.v, n.v), lambda p: p[1] * p[2]))
+  / NULLIF(sqrt(list_sum(list_transform(n.v, lambda x: x * x))) * sqrt(list_sum(list_transform(l.v, lambda x: x * x))), 0) AS sim
+  FROM vecs l, (SELECT v FROM vecs WHERE e = {SNAP_ASOF}) n WHERE l.e < {SNAP_ASOF} AND l.e + INTERVAL 1 HOUR IN (SELECT episode_start FROM starts)"""),
+]
+
+
+def _pre_outage(c: _Ctx, top: int = 5):
+    return L.pre_outage_match(c.snap, c.scored, c.as_of, step_s=U, steps=RUN_UP, min_critical=OUTAGE_CRITICAL, top=top)
+
+
+@query("lip16_pre_outage_library", _ctes(*RUN_CTES) + f"""SELECT CAST(row_number() OVER (ORDER BY sim DESC NULLS LAST, episode_start) AS INTEGER) AS rank,
+  {tstext('episode_start')} AS episode_start, {sr4('sim')} AS similarity FROM sims ORDER BY sim DESC NULLS LAST, episode_start LIMIT 5""")
+def lip16_library(spark, sf_dir):
+    """The past outages whose twelve hours before are most like the last twelve, from the snapshots' own history."""
+    return _pre_outage(_Ctx(spark, sf_dir)).withColumn("episode_start", ts_text("episode_start"))
+
+
+LIP15P_SQL = _ctes(*CORR_CTES, *RUN_CTES) + """
+SELECT CAST(round_even(round(least(least(critical_count * 25 + warning_count * 8, 100) * 0.40
+    + least(declining_count * 12, 100) * 0.25 + least(correlation_count * 20, 100) * 0.20 + pattern * 0.15, 100.0), 6), 0) AS BIGINT) AS probability,
+  critical_count, warning_count, declining_count, correlation_count FROM
+  (SELECT CAST(count(*) FILTER (WHERE status = 'critical') AS BIGINT) AS critical_count,
+          CAST(count(*) FILTER (WHERE status = 'warning') AS BIGINT) AS warning_count,
+          CAST(count(*) FILTER (WHERE direction = 'down') AS BIGINT) AS declining_count FROM latest) s,
+  (SELECT CAST(count(*) FILTER (WHERE confidence > 0.8) AS BIGINT) AS correlation_count FROM active) c,
+  (SELECT COALESCE(greatest(max(""" + sr4("sim") + """), 0.0), 0.0) * 100 AS pattern FROM sims) p"""
+
+
+@query("lip15_outage_probability_pattern", LIP15P_SQL)
+def lip15_pattern(spark, sf_dir):
+    """The fourth part of the probability from the best match of the pre-outage library."""
+    c = _Ctx(spark, sf_dir)
+    return L.outage_probability(c.latest, c.active(), L.best_pattern(_pre_outage(c, top=1)))
+
+
+# ------------------------------------------------------------------ LIP-11
+def _tmpl(tid: int) -> str:
+    return _q([t for t in L.INSIGHT_TEMPLATES if t[0] == tid][0][3])
+
+
+def _fill(tid: int, fields: dict) -> str:
+    out = _tmpl(tid)
+    for k, v in fields.items():
+        out = f"replace({out}, '{{{k}}}', COALESCE(CAST({v} AS VARCHAR), 'n/a'))"
+    return out
+
+
+def _fx(expr: str, digits: int) -> str:
+    return f"printf('%.{digits}f', {srnd(expr, digits)})"
+
+
+STABLE_CTE = ("stable", """SELECT signal_name FROM (
+  SELECT *, sum(CASE WHEN status = 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY signal_name, isl ORDER BY snapshot_time
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (
+    SELECT *, sum(CASE WHEN status <> 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY signal_name ORDER BY snapshot_time
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM scored))
+WHERE snapshot_time = (SELECT max(snapshot_time) FROM dense) AND run > 4""")
+SUBS_CTE = ("subs", """SELECT parent_signal, string_agg(sub_name, ', ' ORDER BY sub_name) AS subs, min(threshold) AS thr FROM (
+  SELECT signal_name AS parent_signal, 'series-' || signal_name AS sub_name, status, healthy_threshold AS threshold FROM latest)
+WHERE status IN ('warning', 'critical') GROUP BY 1""")
+LIP11_SQL = _ctes(*CORR_CTES, *RUN_CTES, ROC_CTE, STABLE_CTE, SUBS_CTE, ("eta", LIP14_BODY), (
+    "best", f"SELECT * FROM sims WHERE {sr4('sim')} >= 0.8 ORDER BY sim DESC, episode_start LIMIT 1"), (
+    "inc", f"SELECT numeric_value AS n, p1_count AS p1 FROM ({SIG2_SQL})"), (
+    "surge", f"""SELECT {sr4('numeric_value / NULLIF(ra, 0)')} AS m FROM (SELECT *, avg(numeric_value) OVER (PARTITION BY signal_name ORDER BY snapshot_time
+    RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 SECOND PRECEDING) AS ra FROM dense WHERE signal_name = 'Incidents')
+  WHERE snapshot_time = (SELECT max(snapshot_time) FROM dense WHERE signal_name = 'Incidents')"""), (
+    "trig", f"""SELECT 'threshold_breach' AS trigger_type, 'critical' AS severity, signal_name, NULL AS related_signal,
+  {_fill(1, {'signal_name': 'signal_name', 'current_value': _fx('numeric_value', 2), 'threshold': _fx('critical_threshold', 2)})} AS insight_text
+FROM latest WHERE status = 'critical'
+UNION ALL SELECT 'threshold_breach', 'warning', signal_name, NULL,
+  {_fill(2, {'signal_name': 'signal_name', 'current_value': _fx('numeric_value', 2), 'direction': 'direction', 'window': "'5 h'"})}
+FROM latest WHERE status = 'warning'
+UNION ALL SELECT 'rate_decline', 'critical', signal_name, NULL,
+  {_fill(3, {'signal_name': 'signal_name', 'previous_value': _fx('first_value', 1), 'current_value': _fx('last_value', 1), 'duration': "'5 h'",
+             'threshold': _fx('critical_threshold', 1), 'eta_minutes': 'eta_minutes'})}
+FROM roc LEFT JOIN (SELECT signal_name, eta_minutes FROM eta) USING (signal_name) LEFT JOIN (SELECT signal_name, critical_threshold FROM latest) USING (signal_name)
+WHERE trend = 'rapid_decline'
+UNION ALL SELECT 'correlation', 'warning', signal_a, signal_b,
+  CASE WHEN signal_a = 'Incidents' AND signal_b = 'Call LOB SLA' THEN {_fill(5, {'incident_count': '(SELECT n FROM inc)', 'p1_count': '(SELECT p1 FROM inc)', 'window': "'24 h'",
+             'multiplier': "printf('%.1f', " + srnd('(SELECT m FROM surge)', 1) + ")"})}
+  ELSE {_fill(4, {'signal_a': 'signal_a', 'signal_b': 'signal_b', 'confidence': 'CAST(round_even(confidence * 100, 0) AS BIGINT)', 'recommended_action': 'recommended_action'})} END
+FROM active
+UNION ALL SELECT 'pattern_match', 'warning', NULL, NULL,
+  {_fill(6, {'similarity': _fx(f"{sr4('sim')} * 100", 0), 'past_event_date': "strftime(episode_start, '%Y-%m-%d %H:%M')",
+             'current_prob': f'(SELECT probability FROM ({LIP15_SQL}))', 'projected_prob': f'(SELECT probability FROM ({LIP15P_SQL}))', 'eta': '(SELECT min(eta_minutes) FROM eta)'})}
+FROM best
+UNION ALL SELECT 'multi_correlation', 'warning', l.parent_signal, a.signal_a,
+  {_fill(7, {'signal_a': 'l.parent_signal', 'threshold': _fx('l.thr', 0) + " || '%'", 'sub_signals': 'l.subs', 'correlated_signal': 'a.signal_a', 'recommended_action': 'a.recommended_action'})}
+FROM subs l JOIN active a ON a.signal_b = l.parent_signal
+UNION ALL SELECT 'recovery', 'info', signal_name, NULL,
+  {_fill(8, {'signal_name': 'signal_name', 'event_description': "'degradation'", 'scope': "'checks'", 'current_value': _fx('numeric_value', 2)})}
+FROM latest WHERE status = 'healthy' AND prev_status IN ('warning', 'critical')
+UNION ALL SELECT 'stable', 'info', NULL, NULL,
+  {_fill(9, {'signal_list': "string_agg(signal_name, ', ' ORDER BY signal_name)", 'duration': "'4'"})}
+FROM stable HAVING count(*) > 0""")) + """
+SELECT t.trigger_type, t.severity, t.signal_name, t.insight_text,
+  COALESCE((SELECT string_agg(domain_key, ',' ORDER BY domain_key) FROM dmap d WHERE d.signal_name = t.signal_name), '') AS domains,
+  concat_ws(',', t.signal_name, t.related_signal) AS related_signals
+FROM trig t"""
+
+
+def _series_subs(c):
+    """Sub-signals of a snapshot of series: each signal's own series, at its healthy threshold."""
+    return c.latest.select(F.col("signal_name").alias("parent_signal"), F.concat(F.lit("series-"), F.col("signal_name")).alias("sub_name"), "status",
+                           F.col("healthy_threshold").alias("threshold"))
+
+
+def cycle_insights(c, incidents, subs):
+    """Insights of one cycle from all nine templates."""
+    active, roc = c.active(), L.rate_of_change(c.snap, c.as_of, window_s=5 * U, per_s=U)
+    projected = L.eta(c.snap, c.cfg, c.as_of, window_s=15 * U, per_s=U, max_eta=60)
+    surge, matches = L.incident_surge(c.snap, "Incidents", window_s=24 * U), _pre_outage(c, top=1)
+    parts = [L.status_triggers(c.latest, "5 h"), L.decline_triggers(roc, projected, c.latest, "5 h"), L.correlation_triggers(active, incidents, surge, "24 h"),
+             L.pattern_triggers(matches, L.outage_probability(c.latest, active), L.outage_probability(c.latest, active, L.best_pattern(matches)), projected),
+             L.sub_signal_triggers(subs, active), L.stable_triggers(L.stable_signals(c.scored, c.as_of, min_units=4), "4")]
+    trig = parts[0]
+    for t in parts[1:]:
+        trig = trig.unionByName(t)
+    return L.insights(trig, L.insight_templates(c.spark), c.dmap).select(
+        "trigger_type", "severity", "signal_name", "insight_text", "domains", "related_signals")
+
+
+@query("lip11_insights", LIP11_SQL)
+def lip11(spark, sf_dir):
+    c = _Ctx(spark, sf_dir)
+    return cycle_insights(c, sig2(c.m), _series_subs(c))
+
+
+CURVE_SHARES = [round(0.05 * i, 2) for i in range(1, 11)]
+
+
+@query("lip26_threshold_curve", _ctes(("cand", "SELECT signal_name, unnest(list_distinct([" + ", ".join(
+    sr4(f"quantile_cont(numeric_value, {p})") for p in CURVE_SHARES) + "])) AS threshold FROM dense GROUP BY signal_name"), (
+    "br", "SELECT snapshot_time AS b FROM scored WHERE signal_name = 'Call LOB SLA' AND status = 'critical'"), (
+    "f", "SELECT d.signal_name, d.numeric_value, EXISTS (SELECT 1 FROM br WHERE b > d.snapshot_time AND b <= d.snapshot_time + INTERVAL 3 HOUR) AS followed FROM dense d"), (
+    "n", f"SELECT f.*, c.threshold, CASE WHEN f.signal_name IN {INV} THEN numeric_value > threshold ELSE numeric_value < threshold END AS beyond FROM f JOIN cand c USING (signal_name)")) + f"""
+SELECT signal_name, threshold, count(*) FILTER (WHERE beyond) AS beyond, count(*) FILTER (WHERE beyond AND followed) AS followed,
+  {sr4('count(*) FILTER (WHERE beyond AND followed) * 1.0 / NULLIF(count(*) FILTER (WHERE beyond), 0)')} AS breach_share,
+  {sr4('count(*) FILTER (WHERE NOT followed AND NOT beyond) * 1.0 / NULLIF(count(*) FILTER (WHERE NOT followed), 0)')} AS normal_share
+FROM n GROUP BY signal_name, threshold""")
+def lip26_curve(spark, sf_dir):
+    """Candidates: ten quantiles of each signal; breach: Call LOB SLA critical within three hours."""
+    from ..functions.selection import exact_percentiles
+
+    c = _Ctx(spark, sf_dir)
+    names = [f"_{i}" for i in range(len(CURVE_SHARES))]
+    cand = exact_percentiles(c.snap, ["signal_name"], "numeric_value", CURVE_SHARES, names).select("signal_name", F.array(*[r4(n) for n in names]).alias("candidates"))
+    breaches = c.scored.filter((F.col("signal_name") == "Call LOB SLA") & (F.col("status") == "critical")).select(F.col("snapshot_time").alias("breach_time"))
+    return L.threshold_curve(c.snap, breaches, cand, horizon_s=3 * U)
+
+
 # ------------------------------------------------------------------ LIP-18 / SIG-15 / LIP-21 / LIP-25
 @query("lip18_signal_matrix", _ctes() + """SELECT l.signal_name,
   max(CASE WHEN domain_key = 'agent' THEN status END) AS agent, max(CASE WHEN domain_key = 'app' THEN status END) AS app,
@@ -579,10 +673,7 @@ FROM (SELECT parent_signal, string_agg(sub_name, ', ' ORDER BY sub_name) AS subs
 def lip17(spark, sf_dir):
     """Sub-signals here: each degraded signal's own series; the correlated signal comes from the active rules."""
     c = _Ctx(spark, sf_dir)
-    subs = c.latest.select(F.col("signal_name").alias("parent_signal"),
-                           F.concat(F.lit("series-"), F.col("signal_name")).alias("sub_name"), "status",
-                           F.col("healthy_threshold").alias("threshold"))
-    return L.multi_correlation(subs, c.active(), L.insight_templates(spark))
+    return L.multi_correlation(_series_subs(c), c.active(), L.insight_templates(spark))
 
 
 def run_cycle(spark, sf_dir):

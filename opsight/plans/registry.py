@@ -22,10 +22,23 @@ def query(key: str, oracle: str | None = None, headline: bool = False):
     return deco
 
 
+def model_query(key: str, oracle: str | None = None, headline: bool = False):
+    """`query` for a function of a Model, which stays callable with any Model (a cycle's, an earlier time's)."""
+    def deco(fn):
+        def run(spark, sf_dir):
+            from ..sources.adapters import Model
+            return fn(Model(spark, sf_dir))
+
+        query(key, oracle, headline)(run)
+        return fn
+    return deco
+
+
 def load_all():
     """Import every plan module so their queries register."""
     from . import (  # noqa: F401
         anomaly_plans,
+        cycle_plans,
         enterprise_plans,
         health_plans,
         leading_plans,

@@ -16,9 +16,10 @@ from ..streaming.streams import scratch
 from .anomaly_plans import ANO18_SQL
 from .enterprise_plans import SINCE, UNTIL
 from .health_plans import HLT3_SQL
-from .leading_plans import _Ctx, _ctes
+from .leading_plans import _Ctx, _ctes, _series_subs, cycle_insights
 from .oracle_base import ASOF, r4 as sr4, rnd as srnd, tstext, with_
-from .registry import ORACLES, QUERIES, query
+from .registry import ORACLES, query
+from .signal_plans import sig2
 
 
 @query("src7_save_partitioned", HLT3_SQL)
@@ -91,6 +92,25 @@ def src14(spark, sf_dir):
                     *[r4(c).alias(c) for c in ("metric_value_avg", "metric_value_min", "metric_value_max")], "tier")
 
 
+@query("src14_tiered_retention", with_("ev") + f"""
+SELECT app, event_type, {tstext('ts')} AS ts, CAST(1 AS BIGINT) AS n, {sr4('value')} AS value_sum, {sr4('value')} AS value_min, {sr4('value')} AS value_max, 'raw' AS tier
+FROM ev WHERE CAST(ts AS DATE) >= CAST({ASOF} AS DATE) - 7
+UNION ALL
+SELECT app, event_type, {tstext("date_trunc('hour', ts)")}, count(*), {sr4('sum(value)')}, {sr4('min(value)')}, {sr4('max(value)')}, 'aggregated'
+FROM ev WHERE CAST(ts AS DATE) < CAST({ASOF} AS DATE) - 7 AND CAST(ts AS DATE) >= CAST({ASOF} AS DATE) - 90 GROUP BY app, event_type, date_trunc('hour', ts)""")
+def src14_tiered(spark, sf_dir):
+    """Retention job of metrics run twice, a week apart, each time on what has arrived by then."""
+    m = Model(spark, sf_dir)
+    e = m.events().select("app", "event_type", "ts", "value")
+    newest = spark.range(1).select(F.date_format(m.as_of(), "yyyy-MM-dd"), F.date_format(m.as_of() - F.make_dt_interval(days=F.lit(7)), "yyyy-MM-dd")).first()
+    t = K.TieredTable(spark, f"{scratch(spark, 'retention')}/t", "metrics", "ts", ["value"], ["app", "event_type"])
+    seen = F.date_format("ts", "yyyy-MM-dd") < newest[1]
+    for rows, day in ((e.filter(seen), newest[1]), (e.filter(~seen), newest[0])):
+        t.append(rows)
+        t.roll_up(day)
+    return t.read().select("app", "event_type", ts_text("ts").alias("ts"), "n", *[r4(c).alias(c) for c in ("value_sum", "value_min", "value_max")], "tier")
+
+
 @query("src2_shape_synthetic", with_("ev") + f"""SELECT event_type AS app_name, count(*) AS executions,
   CAST(sum(CASE WHEN event_type <> 'error' AND value * 50 < 3000 THEN 1 ELSE 0 END) AS BIGINT) AS healthy,
   {sr4(srnd("avg(CASE WHEN event_type <> 'error' AND value * 50 < 3000 THEN 100.0 ELSE 0.0 END)", 1))} AS health_pct
@@ -109,7 +129,7 @@ def src2(spark, sf_dir):
                                      r4(rnd(F.avg(F.col("is_healthy") * 100.0), 1)).alias("health_pct"))
 
 
-SRC12_SQL = f"""SELECT 'enterprise_score' AS section, '' AS name, {sr4('round(avg(score), 1)')} AS value, NULL AS text FROM ({ORACLES['lip3_domain_scores']})
+SRC12_SQL = f"""SELECT 'enterprise_score' AS section, '' AS name, {sr4("round(avg(score) FILTER (WHERE domain_key <> 'unmapped'), 1)")} AS value, NULL AS text FROM ({ORACLES['lip3_domain_scores']})
 UNION ALL SELECT 'outage_probability', '', {sr4('probability')}, NULL FROM ({ORACLES['lip15_outage_probability']})
 UNION ALL SELECT 'signal', signal_name, {sr4('numeric_value')}, status FROM ({_ctes()} SELECT * FROM latest)
 UNION ALL SELECT 'domain', domain_key, {sr4('score')}, NULL FROM ({ORACLES['lip3_domain_scores']})
@@ -124,7 +144,7 @@ def src12(spark, sf_dir):
     lt = c.latest.select("signal_name", r4("numeric_value").alias("numeric_value"), "status", "trend", "direction")
     dom = L.domain_scores(c.latest, c.dmap)
     prob = L.outage_probability(c.latest, c.active())
-    ins = K.newest_insights(QUERIES["lip11_insights"](spark, sf_dir).withColumn("created_at", c.as_of))
+    ins = K.newest_insights(cycle_insights(c, sig2(c.m), _series_subs(c)).withColumn("created_at", c.as_of))
     doc = K.serving_document(lt, dom, prob, ins, c.as_of)
     return K.document_rows(doc).withColumn("value", r4("value"))
 

@@ -64,6 +64,93 @@ def roll_up_and_expire(df: DataFrame, ts: str, value_cols, keys, as_of: Column,
     return raw_t.unionByName(rolled)
 
 
+# Retention by data type, in days: raw rows, and aggregated rows (None: no aggregated tier).
+RETENTION = {"metrics": (7, 90), "error_logs": (30, 365), "baselines": (30, None), "alerts": (365, None), "maintenance_windows": (365, None)}
+
+
+class TieredTable:
+    """A table in two tiers (SRC-14): raw rows by day, and per-`unit` aggregates of older days.
+
+    Folders are never changed. A manifest version lists which folder holds which day of which tier; writing a new version
+    swaps the table, and readers of an older version keep theirs. `roll_up` reads only the raw days that expire.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, data_type: str, ts: str, values, keys, unit: str = "hour"):
+        self.spark, self.base, self.ts, self.values, self.keys, self.unit = spark, base.rstrip("/"), ts, list(values), list(keys), unit
+        self.raw_days, self.keep_days = RETENTION[data_type]
+
+    def _versions(self) -> list[int]:
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        path = jvm.Path(f"{self.base}/manifest")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        return sorted(int(f.getPath().getName()[2:]) for f in fs.listStatus(path) if fs.exists(jvm.Path(f.getPath(), "_SUCCESS")))
+
+    def manifest(self, version: int | None = None) -> list[tuple[str, str, str]]:
+        """(tier, day, folder) of a version, by default the newest: one row for each day."""
+        done = self._versions()
+        if not done:
+            return []
+        rows = self.spark.read.parquet(f"{self.base}/manifest/v={done[-1] if version is None else version}").collect()
+        return sorted((r["tier"], r["day"], r["folder"]) for r in rows)
+
+    def _swap(self, rows) -> int:
+        version = max(self._versions(), default=-1) + 1
+        self.spark.createDataFrame(rows, "tier string, day string, folder string").coalesce(1).write.parquet(f"{self.base}/manifest/v={version}")
+        return version
+
+    def _write(self, rows: DataFrame, tier: str) -> list[tuple[str, str, str]]:
+        folder = f"{self.base}/{tier}-{uuid.uuid4().hex[:12]}"
+        rows.write.partitionBy("day").parquet(folder)
+        days = [r[0] for r in self.spark.read.parquet(folder).select(F.col("day").cast("string")).distinct().collect()]  # one value for each day
+        return [(tier, d, f"{folder}/day={d}") for d in days]
+
+    def append(self, rows: DataFrame) -> int:
+        """Adds raw rows; a day may come in parts."""
+        day = F.date_format(self.ts, "yyyy-MM-dd")
+        return self._swap(self.manifest() + self._write(rows.select(*self.keys, self.ts, *self.values, day.alias("day")), "raw"))
+
+    def roll_up(self, now: str) -> int:
+        """Applies the policy as of the day `now`: raw days older than it allows are rolled up, aggregates too old are dropped."""
+        import datetime
+
+        today = datetime.date.fromisoformat(now)
+        day_before = lambda n: (today - datetime.timedelta(days=n)).isoformat()
+        held = self.manifest()
+        keep = [m for m in held if m[0] == "raw" and m[1] >= day_before(self.raw_days)]
+        if self.keep_days is not None:
+            oldest = day_before(self.keep_days)
+            keep += [m for m in held if m[0] == "aggregated" and m[1] >= oldest]
+            due = [m for m in held if m[0] == "raw" and oldest <= m[1] < day_before(self.raw_days)]
+            if due:
+                keep += self._write(self._aggregate(self.spark.read.parquet(*[m[2] for m in due])), "aggregated")
+        return self._swap(keep)
+
+    def _aggregate(self, raw: DataFrame) -> DataFrame:
+        aggs = [a for v in self.values for a in (F.sum(v).alias(f"{v}_sum"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"))]
+        g = raw.groupBy(*self.keys, F.date_trunc(self.unit, self.ts).alias(self.ts)).agg(F.count(F.lit(1)).alias("n"), *aggs)
+        return g.withColumn("day", F.date_format(self.ts, "yyyy-MM-dd"))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """Both tiers in one form (n, sum, min, max of each value); parts of an hour that came after its roll-up are merged."""
+        rows, out = self.manifest(version), None
+        stats = [f"{v}_{k}" for v in self.values for k in ("sum", "min", "max")]
+        for tier in ("raw", "aggregated"):
+            folders = [m[2] for m in rows if m[0] == tier]
+            if not folders:
+                continue
+            t = self.spark.read.parquet(*folders)
+            if tier == "raw":
+                t = t.withColumn("n", F.lit(1).cast("long")).withColumns({f"{v}_{k}": F.col(v) for v in self.values for k in ("sum", "min", "max")})
+            else:
+                merged = [a for v in self.values for a in (F.sum(f"{v}_sum").alias(f"{v}_sum"), F.min(f"{v}_min").alias(f"{v}_min"), F.max(f"{v}_max").alias(f"{v}_max"))]
+                t = t.groupBy(*self.keys, self.ts).agg(F.sum("n").alias("n"), *merged)
+            t = t.select(*self.keys, self.ts, "n", *stats, F.lit(tier).alias("tier"))
+            out = t if out is None else out.unionByName(t)
+        return out
+
+
 def shape_synthetic(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Synthetic-monitor executions from JSON text (SRC-2): is_healthy = code 200 and duration < 3000 ms."""
     schema = "monitorName string, responseCode int, duration double, executionTimestamp string"
@@ -110,7 +197,7 @@ def serving_document(signals: DataFrame, domains: DataFrame, probability: DataFr
     sig = signals.agg(F.sort_array(F.collect_list(F.struct("signal_name", "numeric_value", "status", "trend",
                                                             "direction"))).alias("signals"))
     dom = domains.agg(F.sort_array(F.collect_list(F.struct("domain_key", "score"))).alias("d"),
-                      F.round(F.avg("score"), 1).alias("e"))
+                      F.round(F.avg(F.when(F.col("domain_key") != "unmapped", F.col("score"))), 1).alias("e"))
     # The other parts are one value each: scalar subqueries on the signals row (no joins).
     j = sig.withColumns({
         "domains": dom.select("d").scalar(), "enterprise_score": dom.select("e").scalar(),
