@@ -101,6 +101,20 @@ def streak_summary(rows: DataFrame, keys: Sequence[str], order: Sequence[str], f
         F.sum(F.coalesce("_beyond", F.lit(0)) + beyond(lead) - beyond(F.col("_carry"))).alias("long_rows"))
 
 
+def with_run_start(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """The time (order[0]) at which the run of equal `value` began that holds each row of `segmented`."""
+    w = Window.partitionBy(*keys, SEG).orderBy(*order)
+    halo = with_carried_rows(rows, keys, order, 1, [value])
+    before = F.lag(F.struct(F.col(value).alias("v"))).over(w)
+    begun = halo.withColumn("_prev", before).withColumn(out, F.when(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col(value)), F.col(order[0])))
+    own = begun.filter(~F.col("_halo")).drop("_halo", "_prev")
+    ends = own.groupBy(*keys, SEG).agg(F.max(out).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, SEG, F.max("_end").over(earlier).alias("_carry"))
+    met = _join_carry(own.withColumn(out, F.max(out).over(w.rowsBetween(Window.unboundedPreceding, 0))), carry, keys, "_carry")
+    return met.withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
+
+
 # --------------------------------------------------------------------------- as-of
 def asof_last(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], cols: Sequence[str], segment_s: float) -> DataFrame:
     """`left` with, for each of `cols`, the last value that is not null of `right` rows of its key at or before its time.

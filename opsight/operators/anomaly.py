@@ -425,16 +425,17 @@ def narratives(results: DataFrame) -> DataFrame:
 
 
 def action_list(results: DataFrame, top: int | None = None) -> DataFrame:
-    """Prioritised actions of the newest run: urgency, then anomaly score (ANO-22)."""
+    """Prioritised actions of the newest run: urgency, then anomaly score (ANO-22), in the order of `priority`.
+
+    One row a metric, so the ranking's single task holds the configured metrics that need an action."""
     newest = results.filter(F.col("run_timestamp") == results.select(F.max("run_timestamp")).scalar())
     acts = newest.filter(F.col("rx_urgency").isin("urgent", "moderate"))
     w = Window.orderBy(rank_of("rx_urgency", ["urgent", "moderate", "monitor"]), F.col("anomaly_score").desc(),
                        F.col("metric_id"))
     out = acts.select("run_id", "metric_id", "metric_name", "risk_level", "anomaly_score", "rx_urgency",
                       "rx_action", "rx_impact")
-    if top is not None:
-        out = out.withColumn("priority", F.row_number().over(w)).filter(F.col("priority") <= top)
-    return out
+    out = out.withColumn("priority", F.row_number().over(w).cast("long"))
+    return out if top is None else out.filter(F.col("priority") <= top)
 
 
 def critical_alerts(results: DataFrame) -> DataFrame:
@@ -453,7 +454,9 @@ def two_tier(hist: DataFrame, n_tests: Column | None = None) -> DataFrame:
     hist = hist.withColumn("_bf", bonferroni(F.col("_nt")))
     bf = F.col("_bf")
     h, cur, mt, cap = F.col("history"), F.col("current_value"), F.col("metric_type"), F.col("capacity")
-    base, m, mu, sigma, cur_t, method = z_parts(h, cur, mt, cap)
+    given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in hist.columns else F.lit(default)
+    least = given("history_min_points", DEFAULT_HISTORY)
+    base, m, mu, sigma, cur_t, method = z_parts(h, cur, mt, cap, given("baseline_window_pct", BASELINE_PCT))
     hist = hist.withColumn("_base", base)
     hist = hist.withColumns({"_mu": mu_of(F.col("_base"), mt, cap), "_sigma": sigma_of(F.col("_base"), mt, cap),
                              "_cur_t": cur_t})
@@ -461,7 +464,7 @@ def two_tier(hist: DataFrame, n_tests: Column | None = None) -> DataFrame:
     hist = hist.withColumn("_z", F.when(sigma > 0, (cur_t - mu) / sigma).otherwise(F.lit(0.0)))
     z = F.col("_z")
     score = directional(z, F.col("direction"))
-    short = F.size(h) < DEFAULT_HISTORY
+    short = F.size(h) < least
     st = F.struct(
         F.when(short, "N/A").otherwise(method).alias("method"),
         r4(F.when(short, 0.0).otherwise(mu)).alias("baseline_mu"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import DAY, HOUR, count_if, ladder, mmss, neighbour_within, pct, r4, rnd, sessionize, since, ts_text
-from ..functions.segments import asof_last
+from ..functions.segments import asof_last, segmented, with_run_start
 from ..functions.selection import exact_percentiles, with_percentiles
 from ..functions.stats import luhn_ok
 
@@ -36,14 +36,14 @@ def status(value: Column, target: float, critical: float, higher_is_better: bool
 
 # --------------------------------------------------------------------------- IND-00
 def escalation(status_series: DataFrame, key: str, ts: str = "ts", st: str = "status",
-               unit_s: int = 60) -> DataFrame:
-    """Duration-based escalation: how long the current status has lasted (islands of equal
-    status), then the escalation matrix: At Risk > 15 / > 30; Critical now / > 15 / > 30."""
-    w = Window.partitionBy(key).orderBy(ts)
-    s = status_series.withColumn("_chg", (F.col(st) != F.lag(st).over(w)).cast("int"))
-    s = s.withColumn("_isl", F.sum(F.coalesce(F.col("_chg"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wi = Window.partitionBy(key, "_isl")
-    s = s.withColumn("_start", F.min(ts).over(wi))
+               unit_s: int = 60, segment_s: float | None = None) -> DataFrame:
+    """Duration-based escalation: how long the current status has lasted (runs of equal
+    status), then the escalation matrix: At Risk > 15 / > 30; Critical now / > 15 / > 30.
+
+    The series is cut into segments of `segment_s` (default 100 units), which carry in when the status began.
+    """
+    rows = segmented(status_series.select(key, ts, st), ts, segment_s or 100 * unit_s)
+    s = with_run_start(rows, [key], [ts], st, "_start")
     dur = (F.unix_timestamp(ts) - F.unix_timestamp("_start")) / F.lit(unit_s)
     act = ladder([
         ((F.col(st) == "Critical") & (dur > 30), "Executive notification"),
@@ -189,16 +189,43 @@ def phrase_count(text: Column, phrases) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pat), 0))
 
 
-def qa_predictor(transcripts: DataFrame, behaviours: dict, agent_role: str = "assistant") -> DataFrame:
-    """IND-11.1: per conversation, the share of behaviours shown by the agent side (phrase lists
-    are parameters), scored 0-100."""
+# Full points of the eight parts of the quality predictor; words a minute that count as clear.
+QA_POINTS = {"greeting": 15, "listening": 15, "empathy": 15, "dead_air": 10, "talk_over": 10, "clarity": 10, "hold": 10, "resolution": 15}
+CLEAR_WPM = (120, 150)
+
+
+def qa_predictor(transcripts: DataFrame, phrases: dict, audio: DataFrame, agent_role: str = "assistant") -> DataFrame:
+    """IND-11.1: eight weighted parts per conversation, 0 to 100.
+
+    Phrases (lists, parameters) in the agent's turns: greeting needs `company` and `agent` (half for one of them);
+    `listening` and `empathy` count (listening: 3 and more full, 1 or 2: 13; empathy: 2 and more full, one: 10); `resolution` once. Audio (conv_id,
+    silences, overlaps, wpm, hold_ok): 1.5 points less a silence, 2 an overlap; words a minute within CLEAR_WPM, half
+    within 20 of it; the hold procedure. What wasn't measured (null, no audio row) scores nothing and is counted in `unmeasured`.
+    """
     a = transcripts.filter(F.col("role") == agent_role)
-    hits = [F.sum(phrase_count(F.col("text"), ph)).alias(f"b_{name}") for name, ph in behaviours.items()]
-    g = a.groupBy("conv_id").agg(*hits)
-    shown = sum((F.col(f"b_{n}") > 0).cast("int") for n in behaviours)
-    score = shown * 100.0 / len(behaviours)
-    return g.select("conv_id", *[F.col(f"b_{n}").cast("long").alias(f"b_{n}") for n in behaviours],
-                    r4(score).alias("qa_score"), status(score, 85.0, 70.0).alias("status"))
+    g = a.groupBy("conv_id").agg(*[F.sum(phrase_count(F.col("text"), ph)).cast("long").alias(f"n_{name}") for name, ph in phrases.items()])
+    j = g.join(audio, "conv_id", "left")
+    n = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0))
+    full = {k: F.lit(float(v)) for k, v in QA_POINTS.items()}
+    lo, hi = CLEAR_WPM
+    wpm = F.col("wpm")
+    pts = {
+        "greeting": ladder([((n("company") > 0) & (n("agent") > 0), full["greeting"]), ((n("company") > 0) | (n("agent") > 0), full["greeting"] / 2)], 0.0),
+        "listening": ladder([(n("listening") >= 3, full["listening"]), (n("listening") >= 1, 13.0)], 0.0),
+        "empathy": ladder([(n("empathy") >= 2, full["empathy"]), (n("empathy") == 1, 10.0)], 0.0),
+        "dead_air": F.greatest(full["dead_air"] - 1.5 * F.col("silences"), F.lit(0.0)),
+        "talk_over": F.greatest(full["talk_over"] - 2.0 * F.col("overlaps"), F.lit(0.0)),
+        "clarity": ladder([(wpm.isNull(), F.lit(None).cast("double")), (wpm.between(lo, hi), full["clarity"]), (wpm.between(lo - 20, hi + 20), full["clarity"] / 2)], 0.0),
+        "hold": ladder([(F.col("hold_ok"), full["hold"]), (~F.col("hold_ok"), 0.0)]),
+        "resolution": ladder([(n("resolution") > 0, full["resolution"])], 0.0)}
+    # greatest() skips nulls: what wasn't measured has to stay null.
+    pts["dead_air"], pts["talk_over"] = F.when(F.col("silences").isNotNull(), pts["dead_air"]), F.when(F.col("overlaps").isNotNull(), pts["talk_over"])
+    p = j.select("conv_id", *[c.alias(f"p_{k}") for k, c in pts.items()])
+    score = sum((F.coalesce(F.col(f"p_{k}"), F.lit(0.0)) for k in QA_POINTS), F.lit(0.0))
+    missing = sum((F.col(f"p_{k}").isNull().cast("int") for k in QA_POINTS), F.lit(0))
+    return p.select("conv_id", *[r4(f"p_{k}").alias(f"p_{k}") for k in QA_POINTS], r4(score).alias("qa_score"), missing.alias("unmeasured"),
+                    ladder([(score >= 90, "Exceeds"), (score >= 80, "Meets"), (score >= 70, "Needs improvement")], "Intervention").alias("band"),
+                    status(score, 85.0, 70.0).alias("status"))
 
 
 def disclosure_compliance(transcripts: DataFrame, phrases, agent_role: str = "assistant") -> DataFrame:
@@ -226,15 +253,24 @@ def card_numbers(documents: DataFrame) -> DataFrame:
     return d.filter(F.length("digits").between(13, 19) & luhn_ok(F.col("digits")))
 
 
-def pci_compliance(documents: DataFrame) -> DataFrame:
-    """IND-14.1 (check: no unmasked card numbers in notes), per source: documents, with card numbers, compliance %."""
-    hits = card_numbers(documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cards"))
-    d = documents.select("doc_id", "source").join(hits, "doc_id", "left")
-    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), count_if(F.col("cards") > 0).alias("with_card_numbers"),
-                                F.sum(F.coalesce(F.col("cards"), F.lit(0))).alias("card_numbers"))
-    comp = pct(F.col("documents") - F.col("with_card_numbers"), F.col("documents"))
-    return g.select("source", "documents", "with_card_numbers", F.col("card_numbers").cast("long").alias("card_numbers"),
-                    r4(comp).alias("compliance_pct"), status(comp, 100.0, 99.5).alias("status"))
+PCI_CHECKS = ("dtmf", "recording", "screen", "notes", "verbal")
+
+
+def pci_compliance(interactions: DataFrame, by: str = "source") -> DataFrame:
+    """IND-14.1: payment interactions that pass all five checks, per `by`, with the violations of each.
+
+    interactions: doc_id, dtmf_masked, recording_paused, screen_paused (booleans; null counts as not done), notes and
+    transcript (whole texts in which no card number may stand).
+    """
+    hit = lambda text: interactions.select(F.col("doc_id"), F.lit("").alias("source"), F.col(text).alias("text"))
+    found = {c: card_numbers(hit(t)).select("doc_id").distinct().withColumn(f"_{c}", F.lit(True)) for c, t in (("notes", "notes"), ("verbal", "transcript"))}
+    j = interactions.select(by, "doc_id", "dtmf_masked", "recording_paused", "screen_paused").join(found["notes"], "doc_id", "left").join(found["verbal"], "doc_id", "left")
+    bad = {"dtmf": ~F.coalesce("dtmf_masked", F.lit(False)), "recording": ~F.coalesce("recording_paused", F.lit(False)), "screen": ~F.coalesce("screen_paused", F.lit(False)),
+           "notes": F.col("_notes").isNotNull(), "verbal": F.col("_verbal").isNotNull()}
+    some = bad["dtmf"] | bad["recording"] | bad["screen"] | bad["notes"] | bad["verbal"]
+    g = j.groupBy(by).agg(F.count(F.lit(1)).alias("interactions"), *[count_if(bad[c]).alias(f"{c}_violations") for c in PCI_CHECKS], count_if(~some).alias("compliant"))
+    rate = pct(F.col("compliant"), F.col("interactions"))
+    return g.select(by, "interactions", *[f"{c}_violations" for c in PCI_CHECKS], "compliant", r4(rate).alias("compliance_pct"), status(rate, 100.0, 99.5).alias("status"))
 
 
 # --------------------------------------------------------------------------- IND-6.4 / IND-13.1 (channel shares)

@@ -288,24 +288,36 @@ def ano21(spark, sf_dir):
     return A.narratives(_results(spark, sf_dir))
 
 
-ANO22_SQL = with_("ev", extra=ANO_STAGES + [("res", RESULT_SELECT)]) + """
-SELECT run_id, metric_id, metric_name, risk_level, anomaly_score, rx_urgency, rx_action, rx_impact
+# A watch list with lower limits than the adjusted ones (1 and 0.5 SDs), so that actions and alerts come up.
+WATCH = (0.5, 1.0)
+WATCH_STAGES = [(n, q.replace(f"{CRIT} AS crit, {ELEV} AS elev", f"{WATCH[1]} AS crit, {WATCH[0]} AS elev")) for n, q in ANO_STAGES]
+
+
+def _watched(spark, sf_dir):
+    """The saved result of a run on the watch list: its readers don't compute it again."""
+    m, h = _hist(spark, sf_dir)
+    return A.run_anomaly(h, m.as_of(), thresholds=WATCH).checkpoint()
+
+
+ANO22_SQL = with_("ev", extra=WATCH_STAGES + [("res", RESULT_SELECT)]) + """
+SELECT run_id, metric_id, metric_name, risk_level, anomaly_score, rx_urgency, rx_action, rx_impact,
+  row_number() OVER (ORDER BY CASE rx_urgency WHEN 'urgent' THEN 1 ELSE 2 END, anomaly_score DESC, metric_id) AS priority
 FROM res WHERE rx_urgency IN ('urgent', 'moderate')"""
 
 
 @query("ano22_action_list", ANO22_SQL)
 def ano22(spark, sf_dir):
-    return A.action_list(_results(spark, sf_dir))
+    return A.action_list(_watched(spark, sf_dir))
 
 
-ANO23_SQL = with_("ev", extra=ANO_STAGES + [("res", RESULT_SELECT)]) + """
+ANO23_SQL = with_("ev", extra=WATCH_STAGES + [("res", RESULT_SELECT)]) + """
 SELECT run_id, metric_id, metric_name, current_value, anomaly_score, risk_description, breach_state, rx_urgency, rx_action
 FROM res WHERE risk_level = 'Critical'"""
 
 
 @query("ano23_critical_alerts", ANO23_SQL)
 def ano23(spark, sf_dir):
-    return A.critical_alerts(_results(spark, sf_dir))
+    return A.critical_alerts(_watched(spark, sf_dir))
 
 
 ANO16_SQL = with_("ev", extra=ANO_STAGES + [("res", RESULT_SELECT)]) + """
@@ -349,16 +361,23 @@ for _key, _cols in STEP_COLUMNS.items():
 
 # ------------------------------------------------------------------ ANO-24: the same engine on another domain
 # Daily cost per line status and return flag from lineitem (Σ extended price x (1 - discount)), unbounded,
-# higher is bad. Configuration only: the operators are unchanged.
+# higher is bad, with the cost rules and a label of its own. Configuration only: the operators are unchanged.
+COST_LABEL = "Daily cost above twice its baseline"
 COST_ADAPTER = [
     ("raw", "SELECT 'cost_' || l_returnflag || l_linestatus AS metric_id, CAST(l_shipdate AS TIMESTAMP) AS recorded_at, "
             "sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY ALL"),
     ("cfg", "SELECT DISTINCT metric_id, 'Cloud Cost' AS category, 'unbounded_count' AS metric_type, 'higher_is_bad' AS direction, "
-            "CAST(NULL AS DOUBLE) AS capacity, '$' AS unit FROM raw"),
+            "CAST(NULL AS DOUBLE) AS capacity, '$' AS unit, "
+            "CASE WHEN metric_id LIKE 'cost_N%' THEN 'storage_growth_rate' ELSE 'monthly_azure_spend' END AS set_rules FROM raw"),
     ("top", "SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY recorded_at DESC) AS rn FROM raw"),
     ANO_ADAPTER[-1],
 ]
-ANO24_SQL = with_("ev", extra=COST_ADAPTER + ANO_STAGES[len(ANO_ADAPTER):] + [("res", RESULT_SELECT)]) + "SELECT * FROM res"
+_DEFAULT_RULES = """CASE WHEN metric_type = 'bounded_capacity' THEN 'port_usage' WHEN metric_type = 'bounded_ratio' THEN 'self_serve'
+       ELSE 'rpm' END AS rule_set"""
+_DEFAULT_LABEL = "ELSE printf('RPM exceeds 2× baseline (%d)', CAST(trunc(thr) AS BIGINT)) END"
+COST_STAGES = [(n, q.replace(_DEFAULT_RULES, "set_rules AS rule_set")) for n, q in ANO_STAGES[len(ANO_ADAPTER):]]
+assert COST_STAGES != ANO_STAGES[len(ANO_ADAPTER):] and _DEFAULT_LABEL in RESULT_SELECT
+ANO24_SQL = with_("ev", extra=COST_ADAPTER + COST_STAGES + [("res", RESULT_SELECT.replace(_DEFAULT_LABEL, f"ELSE '{COST_LABEL}' END"))]) + "SELECT * FROM res"
 
 
 @query("ano24_other_domain", ANO24_SQL)
@@ -372,5 +391,6 @@ def ano24(spark, sf_dir):
         "metric_id", F.col("metric_id").alias("metric_name"), F.lit("Cloud Cost").alias("category"),
         F.lit("unbounded_count").alias("metric_type"), F.lit("higher_is_bad").alias("direction"),
         F.lit(None).cast("double").alias("capacity"), F.lit("$").alias("unit"), F.lit(20).alias("history_min_points"),
-        F.lit(True).alias("is_active"))
+        F.lit(True).alias("is_active"), F.when(F.col("metric_id").startswith("cost_N"), "storage_growth_rate").otherwise("monthly_azure_spend").alias("rule_set"),
+        F.lit(COST_LABEL).alias("breach_label"))
     return A.run_anomaly(A.metric_histories(raw, cfg, n=20), m.as_of())

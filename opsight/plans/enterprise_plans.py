@@ -319,9 +319,9 @@ def ind13_3(spark, sf_dir):
     return I.cross_channel_journeys(Model(spark, sf_dir).contacts())
 
 
-# Phrase lists are parameters (the test transcripts are invented text; these words occur in it).
-QA_BEHAVIOURS = {"greeting": ["this", "that"], "ownership": ["with"], "explanation": ["from", "then"],
-                 "closing": ["thing", "than"]}
+# Phrase lists are parameters (the test transcripts are invented text; these words occur in it). Audio (adapter): silences = id % 5,
+# overlaps = id % 4, words a minute = 90 + id % 100, hold procedure kept unless id % 6 = 0, none measured where id % 11 = 0.
+QA_PHRASES = {"company": ["this"], "agent": ["that"], "listening": ["with", "from"], "empathy": ["then", "there"], "resolution": ["thing", "than"]}
 DISCLOSURE = ["with", "from"]
 
 
@@ -331,16 +331,31 @@ def _pc(text: str, phrases) -> str:
 
 
 def _qa_sql() -> str:
-    shown = " + ".join(f"CASE WHEN sum({_pc('text', ph)}) > 0 THEN 1 ELSE 0 END" for ph in QA_BEHAVIOURS.values())
-    score = f"({shown}) * 100.0 / {len(QA_BEHAVIOURS)}"
-    cols = ", ".join(f"CAST(sum({_pc('text', ph)}) AS BIGINT) AS b_{n}" for n, ph in QA_BEHAVIOURS.items())
-    return (f"SELECT conv_id, {cols}, {r4(score)} AS qa_score, {_status(score, 85.0, 70.0)} AS status "
-            "FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+    n = ", ".join(f"sum({_pc('text', ph)}) AS n_{k}" for k, ph in QA_PHRASES.items())
+    return f"""WITH g AS (SELECT conv_id, {n} FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+x AS (SELECT *, CASE WHEN conv_id % 11 <> 0 THEN conv_id % 5 END AS silences, CASE WHEN conv_id % 11 <> 0 THEN conv_id % 4 END AS talked_over,
+  CASE WHEN conv_id % 11 <> 0 THEN 90 + conv_id % 100 END AS wpm, CASE WHEN conv_id % 11 <> 0 THEN conv_id % 6 <> 0 END AS hold_ok FROM g),
+p AS (SELECT conv_id, CASE WHEN n_company > 0 AND n_agent > 0 THEN 15.0 WHEN n_company > 0 OR n_agent > 0 THEN 7.5 ELSE 0.0 END AS p_greeting,
+  CASE WHEN n_listening >= 3 THEN 15.0 WHEN n_listening >= 1 THEN 13.0 ELSE 0.0 END AS p_listening,
+  CASE WHEN n_empathy >= 2 THEN 15.0 WHEN n_empathy = 1 THEN 10.0 ELSE 0.0 END AS p_empathy,
+  CASE WHEN silences IS NOT NULL THEN greatest(10.0 - 1.5 * silences, 0.0) END AS p_dead_air,
+  CASE WHEN talked_over IS NOT NULL THEN greatest(10.0 - 2.0 * talked_over, 0.0) END AS p_talk_over,
+  CASE WHEN wpm IS NULL THEN NULL WHEN wpm BETWEEN 120 AND 150 THEN 10.0 WHEN wpm BETWEEN 100 AND 170 THEN 5.0 ELSE 0.0 END AS p_clarity,
+  CASE WHEN hold_ok THEN 10.0 WHEN NOT hold_ok THEN 0.0 END AS p_hold, CASE WHEN n_resolution > 0 THEN 15.0 ELSE 0.0 END AS p_resolution FROM x),
+s AS (SELECT *, p_greeting + p_listening + p_empathy + COALESCE(p_dead_air, 0) + COALESCE(p_talk_over, 0) + COALESCE(p_clarity, 0) + COALESCE(p_hold, 0) + p_resolution AS score FROM p)
+SELECT conv_id, {", ".join(f"CAST(p_{k} AS DOUBLE) AS p_{k}" for k in I.QA_POINTS)}, {r4('score')} AS qa_score,
+  CAST(CASE WHEN p_dead_air IS NULL THEN 4 ELSE 0 END AS INTEGER) AS unmeasured,
+  CASE WHEN score >= 90 THEN 'Exceeds' WHEN score >= 80 THEN 'Meets' WHEN score >= 70 THEN 'Needs improvement' ELSE 'Intervention' END AS band,
+  {_status('score', 85.0, 70.0)} AS status FROM s"""
 
 
 @query("ind11_1_qa_predictor", _qa_sql())
 def ind11_1(spark, sf_dir):
-    return I.qa_predictor(Model(spark, sf_dir).raw("conversations"), QA_BEHAVIOURS)
+    c = Model(spark, sf_dir).raw("conversations")
+    i = F.col("conv_id")
+    audio = c.select("conv_id").distinct().filter(i % 11 != 0).select(
+        "conv_id", (i % 5).alias("silences"), (i % 4).alias("overlaps"), (90 + i % 100).alias("wpm"), (i % 6 != 0).alias("hold_ok"))
+    return I.qa_predictor(c, QA_PHRASES, audio)
 
 
 @query("ind14_4_disclosure_compliance", f"""SELECT count(*) AS conversations, count(*) FILTER (WHERE hits > 0) AS compliant,
@@ -357,16 +372,24 @@ LUHN = ("list_sum(list_transform(list_reverse(list_transform(string_split(digits
         "lambda d, i: CASE WHEN i % 2 = 0 THEN CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END ELSE d END)) % 10 = 0")
 
 
-@query("ind14_1_pci_compliance", f"""WITH cand AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{I.CARD_PATTERN}', 0)) AS raw FROM documents),
+# Payment interactions (adapter): documents; the notes are the text, the transcript is the benchmark passage of that number, if there is one;
+# masking failed for ids that 53 divides, recording ran for 59, the screen was captured for 61.
+@query("ind14_1_pci_compliance", f"""WITH cand AS (SELECT doc_id, unnest(regexp_extract_all(text, '{I.CARD_PATTERN}', 0)) AS raw FROM documents),
 d AS (SELECT doc_id, regexp_replace(raw, '[ -]', '', 'g') AS digits FROM cand),
-hits AS (SELECT doc_id, count(*) AS cards FROM d WHERE length(digits) BETWEEN 13 AND 19 AND {LUHN} GROUP BY doc_id)
-SELECT source, count(*) AS documents, count(*) FILTER (WHERE cards > 0) AS with_card_numbers,
-  CAST(sum(COALESCE(cards, 0)) AS BIGINT) AS card_numbers,
-  {r4('(count(*) - count(*) FILTER (WHERE cards > 0)) * 100.0 / count(*)')} AS compliance_pct,
-  {_status('(count(*) - count(*) FILTER (WHERE cards > 0)) * 100.0 / count(*)', 100.0, 99.5)} AS status
-FROM documents LEFT JOIN hits USING (doc_id) GROUP BY source""")
+notes AS (SELECT DISTINCT doc_id FROM d WHERE length(digits) BETWEEN 13 AND 19 AND {LUHN}),
+x AS (SELECT source, doc_id % 53 = 0 AS b1, doc_id % 59 = 0 AS b2, doc_id % 61 = 0 AS b3, notes.doc_id IS NOT NULL AS b4 FROM documents LEFT JOIN notes USING (doc_id))
+SELECT source, count(*) AS interactions, count(*) FILTER (WHERE b1) AS dtmf_violations, count(*) FILTER (WHERE b2) AS recording_violations,
+  count(*) FILTER (WHERE b3) AS screen_violations, count(*) FILTER (WHERE b4) AS notes_violations, CAST(0 AS BIGINT) AS verbal_violations,
+  count(*) FILTER (WHERE NOT (b1 OR b2 OR b3 OR b4)) AS compliant,
+  {r4('count(*) FILTER (WHERE NOT (b1 OR b2 OR b3 OR b4)) * 100.0 / count(*)')} AS compliance_pct,
+  {_status('count(*) FILTER (WHERE NOT (b1 OR b2 OR b3 OR b4)) * 100.0 / count(*)', 100.0, 99.5)} AS status FROM x GROUP BY source""")
 def ind14_1(spark, sf_dir):
-    return I.pci_compliance(Model(spark, sf_dir).raw("documents"))
+    m = Model(spark, sf_dir)
+    i = F.col("doc_id")
+    spoken = m.raw("benchmark").select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").alias("transcript"))
+    rows = m.raw("documents").join(spoken, "doc_id", "left").select("doc_id", "source", (i % 53 != 0).alias("dtmf_masked"), (i % 59 != 0).alias("recording_paused"),
+                                                                      (i % 61 != 0).alias("screen_paused"), F.col("text").alias("notes"), "transcript")
+    return I.pci_compliance(rows)
 
 
 @query("ind6_4_channel_share", with_("contacts") + f"""SELECT channel, count(*) AS contacts,

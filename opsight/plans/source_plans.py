@@ -149,11 +149,16 @@ def src12(spark, sf_dir):
     return K.document_rows(doc).withColumn("value", r4("value"))
 
 
-@query("src11_latest_anomaly_view", ANO18_SQL.replace("SELECT * FROM res", "SELECT res.* FROM res"))
+@query("src11_latest_anomaly_view", ANO18_SQL.replace("SELECT * FROM res", """SELECT res.*, CAST(0.7 AS DOUBLE) AS config_window_pct, 20 AS config_min_points, c.unit AS config_unit
+  FROM res JOIN cfg c USING (metric_id)"""))
 def src11(spark, sf_dir):
-    """Gold view: rows of the newest run (by run timestamp), with their metric config."""
+    """Gold view: of two saved runs, a day apart, the rows of the newest one with their metric config."""
     m = Model(spark, sf_dir)
-    h = A.metric_histories(m.metrics_raw(), m.metric_config(), n=20)
-    res = A.run_anomaly(h, m.as_of())
-    newest = res.filter(F.col("run_timestamp") == res.select(F.max("run_timestamp")).scalar())
-    return newest
+    base, cfg, raw = f"{scratch(spark, 'anomaly-runs')}/t", m.metric_config(), m.metrics_raw()
+    day = F.make_dt_interval(days=F.lit(1))
+    for n, (rows, at) in enumerate(((raw.filter(F.col("recorded_at") <= m.as_of() - day), m.as_of() - day), (raw, m.as_of()))):
+        K.save(A.run_anomaly(A.metric_histories(rows, cfg, n=20).checkpoint(), at), f"{base}/run={n}")
+    runs = spark.read.parquet(base).drop("run")
+    newest = runs.filter(F.col("run_timestamp") == runs.select(F.max("run_timestamp")).scalar())
+    config = cfg.select("metric_id", F.col("baseline_window_pct").alias("config_window_pct"), F.col("history_min_points").alias("config_min_points"), F.col("unit").alias("config_unit"))
+    return newest.join(config, "metric_id", "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import DAY, since
@@ -34,9 +34,9 @@ def upsert_latest(spark: SparkSession, base: str, updates: DataFrame, keys, orde
     version untouched.
     """
     rows = updates if current is None else spark.read.parquet(current).unionByName(updates, allowMissingColumns=True)
-    k = [F.col(c) for c in keys] if keys else [F.lit(1)]
-    w = Window.partitionBy(*k).orderBy(F.col(order).desc())
-    out = rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # A maximum merges before the shuffle, so a key (or, without keys, the table) is one row of each task by then.
+    newest = F.max_by(F.struct(*rows.columns), F.struct(F.col(order).isNotNull(), F.col(order)))
+    out = rows.groupBy(*keys).agg(newest.alias("_r")).filter(F.col("_r").isNotNull()).select("_r.*")
     path = f"{base.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
     out.write.parquet(path)
     return path
@@ -88,7 +88,7 @@ class TieredTable:
         return sorted(int(f.getPath().getName()[2:]) for f in fs.listStatus(path) if fs.exists(jvm.Path(f.getPath(), "_SUCCESS")))
 
     def manifest(self, version: int | None = None) -> list[tuple[str, str, str]]:
-        """(tier, day, folder) of a version, by default the newest: one row for each day."""
+        """(tier, day, folder) of a version, by default the newest: one row for each day and write."""
         done = self._versions()
         if not done:
             return []

@@ -192,3 +192,52 @@ def test_sub_signals_by_their_own_thresholds(spark):
         ("Agent Online", "email"): "warning", ("Agent Online", "chat"): "healthy", ("App Health", "CRM"): "critical", ("App Health", "Reporting"): "warning",
         ("App Health", "Other"): "unconfigured", ("Call Quality", "Jitter"): "warning", ("Call Quality", "Packet Loss"): "healthy", ("Call LOB SLA", "Retention"): "no data",
         ("Incidents", "P1 Critical"): "critical", ("Incidents", "P2 High"): "healthy", ("Incidents", "P3 Medium"): "healthy"}
+
+
+# ------------------------------------------------------------------ IND-00, IND-11.1, IND-14.1, SRC-9
+def test_escalation_over_segments(spark):
+    """Runs of one status over many segments, a quiet gap, and a run that ends at a segment's edge."""
+    r = random.Random(4)
+    rows, t, st = [], 0, "Healthy"
+    for _ in range(300):
+        st = st if r.random() < 0.9 else r.choice(["Healthy", "At Risk", "Critical"])
+        t += 1 if r.random() < 0.97 else 40
+        rows.append(("k", T0 + dt.timedelta(minutes=t), st))
+    got = I.escalation(spark.createDataFrame(rows, "k string, ts timestamp, status string"), "k", segment_s=420).orderBy("ts").collect()
+    start = None
+    for i, ((_, ts, status), g) in enumerate(zip(rows, got)):
+        if not i or rows[i - 1][2] != status:
+            start = ts
+        dur = (ts - start).total_seconds() / 60
+        want = {"Critical": "Executive notification" if dur > 30 else "Bridge call initiated" if dur > 15 else "Alert Operations Manager + Page On-call",
+                "At Risk": "Alert Operations Manager" if dur > 30 else "Alert Team Lead" if dur > 15 else "None"}.get(status, "None")
+        assert (g["status_duration"], g["escalation"]) == (dur, want)
+
+
+def test_quality_predictor_example(spark):
+    """The document's example: 15 + 13 + 10 + 7 + 10 + 10 + 10 + 15 = 90; a conversation without audio has four parts unmeasured."""
+    turns = [(1, "assistant", "Acme here, this is Ann. I see. Sorry about that. Anything else?"), (1, "user", "sorry sorry right right"), (2, "assistant", "Acme")]
+    phrases = {"company": ["Acme"], "agent": ["Ann"], "listening": ["I see", "right"], "empathy": ["sorry"], "resolution": ["anything else"]}
+    audio = spark.createDataFrame([(1, 2, 0, 138, True)], "conv_id int, silences int, overlaps int, wpm int, hold_ok boolean")
+    got = {r["conv_id"]: r for r in I.qa_predictor(spark.createDataFrame(turns, "conv_id int, role string, text string"), phrases, audio).collect()}
+    assert (got[1]["qa_score"], got[1]["band"], got[1]["unmeasured"], got[1]["p_dead_air"]) == (90.0, "Exceeds", 0, 7.0)
+    assert (got[2]["qa_score"], got[2]["p_greeting"], got[2]["unmeasured"], got[2]["p_hold"]) == (7.5, 7.5, 4, None)
+
+
+def test_payment_checks_each_fire(spark):
+    card = "4111 1111 1111 1111"
+    rows = [(1, "a", True, True, True, "fine", None), (2, "a", False, True, True, "", ""), (3, "a", True, None, True, None, "x"), (4, "a", True, True, False, card, ""),
+            (5, "a", True, True, True, "4111 1111 1111 1112", f"my card is {card}")]
+    df = spark.createDataFrame(rows, "doc_id int, source string, dtmf_masked boolean, recording_paused boolean, screen_paused boolean, notes string, transcript string")
+    r = I.pci_compliance(df).first()
+    assert [r[f"{c}_violations"] for c in I.PCI_CHECKS] == [1, 1, 1, 1, 1] and r["compliant"] == 1 and r["compliance_pct"] == 20.0
+
+
+def test_upsert_takes_the_newest_row(spark, tmp_path):
+    df = lambda *rows: spark.createDataFrame(list(rows), "k string, at int, v string")
+    v1 = K.upsert_latest(spark, str(tmp_path), df(("a", 1, "old"), ("b", 5, "b"), ("n", None, "kept")), ["k"], "at")
+    v2 = K.upsert_latest(spark, str(tmp_path), df(("a", 2, "new"), ("b", 4, "late")), ["k"], "at", current=v1)
+    assert sorted(map(tuple, spark.read.parquet(v2).collect())) == [("a", 2, "new"), ("b", 5, "b"), ("n", None, "kept")]
+    one = K.upsert_latest(spark, str(tmp_path), df(("a", 2, "x"), ("b", 4, "y")), [], "at")
+    assert [tuple(r) for r in spark.read.parquet(one).collect()] == [("b", 4, "y")]
+    assert spark.read.parquet(K.upsert_latest(spark, str(tmp_path), df(("a", 2, "x")).limit(0), [], "at")).count() == 0
