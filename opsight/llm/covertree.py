@@ -33,55 +33,53 @@ BLOCK = 2048
 
 
 class CoverTree:
-    """Nested levels of one block: level k's points are at least radius r_k apart and cover all points within r_k.
+    """Nested levels of one block: the points of level k are more than r_k = 2^(1-k) apart and every point of the block lies
+    within r_k of one of them; the last level has all points (from a radius of 0.001 on, or where nearly all points are nodes).
 
-    levels[k] = (points, parent position in level k-1); level 0 is one point, the last has all points.
-    cover[k] holds each node's largest distance to a point below it (its covering radius).
+    levels[k] = (points, parent position in level k-1); level 0 is one point. A node's parent is the nearest node of the level above.
+    member[k] is each point's ancestor in level k, cover[k] each node's largest distance to a point below it (its covering radius).
     """
 
     def __init__(self, unit: np.ndarray):
         n = len(unit)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        near = np.zeros(n, np.int64)  # position in the current level of each point's node
+        self.radii = [2.0]
+        near = np.zeros(n, np.int64)  # position of the nearest point of the level
         dist = _chord(unit, unit[:1])[:, 0]
-        self.cover = [np.array([dist.max()])]
-        self.member = [near.copy()]
+        dist[0] = 0.0
         radius = 1.0
         while len(self.levels[-1][0]) < n:
-            points, parents = list(self.levels[-1][0]), list(range(len(self.levels[-1][0])))
-            taken = np.zeros(n, bool)
-            taken[self.levels[-1][0]] = True
-            # Greedy: a point farther than the radius from its node opens a node below that node.
-            node = near.copy()
-            last = radius < 1e-3 or len(points) > 0.9 * n  # the rest are leaves
-            while True:
-                far = np.flatnonzero(~taken & (dist > (0 if last else radius))) if not last else np.flatnonzero(~taken)
-                if not len(far):
-                    break
-                if last:
-                    for p in far:
-                        points.append(p)
-                    parents.extend(near[far])
-                    node[far] = np.arange(len(points) - len(far), len(points))
-                    dist[far] = 0
-                    break
-                p = far[0]
-                d = _chord(unit, unit[p:p + 1])[:, 0]
-                points.append(p)
-                parents.append(near[p])
-                taken[p] = True
-                closer = (near == near[p]) & (d < dist)  # stays below the same parent: the levels nest
-                closer[self.levels[-1][0]] = False
-                node[closer] = len(points) - 1
-                dist[closer] = d[closer]
-                node[p], dist[p] = len(points) - 1, 0.0
+            before = len(self.levels[-1][0])
+            points, parents = self.levels[-1][0].tolist(), list(range(before))
+            above = near.copy()
+            if radius < 1e-3 or before > 0.9 * n:  # the rest are leaves
+                rest = np.setdiff1d(np.arange(n), self.levels[-1][0])
+                points.extend(rest.tolist())
+                parents.extend(above[rest].tolist())
+                radius = 0.0
+            else:
+                # Greedy: a point farther than the radius from all nodes becomes one, and the nearest node of what lies closer to it.
+                while len(far := np.flatnonzero(dist > radius)):
+                    p = far[0]
+                    d = _chord(unit, unit[p:p + 1])[:, 0]
+                    d[p] = 0.0
+                    points.append(int(p))
+                    parents.append(int(above[p]))
+                    closer = d < dist
+                    near[closer], dist[closer] = len(points) - 1, d[closer]
             self.levels.append((np.array(points), np.array(parents)))
-            near = node
+            self.radii.append(radius)
+            radius /= 2
+        place = np.empty(n, np.int64)
+        place[self.levels[-1][0]] = np.arange(n)
+        self.member, self.cover = [place], []
+        for _, parents in self.levels[:0:-1]:
+            self.member.append(parents[self.member[-1]])
+        self.member.reverse()
+        for (points, _), member in zip(self.levels, self.member):
             cover = np.zeros(len(points))
-            np.maximum.at(cover, near, dist)
+            np.maximum.at(cover, member, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", unit, unit[points[member]]))))
             self.cover.append(cover)
-            self.member.append(near.copy())
-            radius /= 2
 
 
 def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:

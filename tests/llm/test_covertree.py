@@ -64,9 +64,22 @@ def test_tree_covers_and_separates():
             assert set(t.levels[k - 1][0]) <= set(points)  # nested
         d = C._chord(u, u[points])[np.arange(300), t.member[k]]
         assert (d <= t.cover[k][t.member[k]] + 1e-7).all()
+        apart = C._chord(u[points], u[points])[np.triu_indices(len(points), 1)]
+        assert (apart > t.radii[k] - 1e-7).all()  # separated: also from nodes of other parents
+        assert (C._chord(u, u[points]).min(axis=1) <= t.radii[k] + 1e-6).all()  # covered
     assert len(t.levels[-1][0]) == 300
 
 
+def test_separation_of_clustered_points():
+    rng = np.random.default_rng(3)
+    u = C._unit(np.repeat(rng.normal(size=(20, 3)), 30, axis=0) + rng.normal(size=(600, 3)) * 0.05)
+    t = C.CoverTree(u)
+    assert len(t.levels) > 5
+    for k, (points, _) in enumerate(t.levels[:-1]):
+        apart = C._chord(u[points], u[points])[np.triu_indices(len(points), 1)]
+        assert (apart > t.radii[k] - 1e-7).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert C.embedding_neighbours(df).collect() == []
