@@ -1,60 +1,63 @@
 """Phrase collocations by SETM relational mining.
 
 Level k holds one relation of occurrences, sorted by piece and position, whose items are the frequent phrases of k words.
-A level is counted by groups, the relation is semi-joined with the frequent groups, and the merge-join of what is left with
-itself on piece and next position gives the relation of level k + 1, until `max_words`.
+The merge-join of a relation with itself on piece and next position gives the candidates of level k + 1; they are counted by groups, and
+the frequent groups are semi-joined with the candidates' relation, which is written before the next level reads it, until `max_words`.
 
-A relation is a table with one row for each block of some 500,000 words: an array of items in the order of piece and position, with
-a gap after each piece, so that "same piece, next position" is the next place. Pieces lie whole in a block, so the
-merge-join needs no shuffle. A block knows its groups by codes; shuffled are a block's distinct groups with their
-counts, not occurrences: a phrase that makes a third of all words is one row of each block. Frequent groups are
-joined back to the blocks' groups (AQE splits a skewed join) and brought to their block, whose dictionary bounds what
-a task holds.
+A relation is a table with one row for each block of some 1,500,000 words: an array of items in the order of piece and position, with
+a gap after each piece, so that "same piece, next position" is the next place and the merge-join needs no shuffle. Tables of
+relations are bucketed by block, so the semi-join doesn't move them either. Shuffled are a block's distinct groups with their counts, not
+occurrences: a phrase that makes a third of all words is one row of each block. A group's rows meet in one task, sorted, where they are counted
+and frequent groups get small numbers; what is frequent goes back to its block, whose dictionary bounds what a task holds.
 
 Any phrase inside a frequent phrase is frequent, so a phrase of k + 1 words is a pair of overlapping frequent phrases of k words:
-groups are keyed by two ids, whatever their length.
+groups are keyed by two ids, whatever their length. A piece longer than a block is cut; the words after a cut that phrases
+before it need are repeated and not counted there.
 
-Edge cases: a null text has no words; a null lang is `und` (and joins real `und` rows); repeated rows count each time; a text of any
-length is one or more pieces of one block; an empty table gives an empty result; other columns are not looked at.
+Edge cases: a null text has no words; a null lang is `und` (and joins real `und` rows); repeated rows count each time; texts and pieces
+have any length; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, shared_path
 
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 1_500_000
+CODE_BITS, BLOCK_BITS = 24, 18  # an occurrence group's row: task, block of the task, code in the block
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + ENDS, bytes(range(97, 123)) + b"\n" * len(ENDS))
 NO_LANG = "und"
+SALTS = 16
 
-BLOCKS = "block long, items array<int>, code array<int>, lang array<string>, word array<string>, n array<int>"
-GROUPS = "block long, items array<int>, code array<int>, left array<long>, right array<long>, n array<int>"
+WORDS = "block long, items array<int>, halo array<int>, code array<int>, lang array<string>, word array<string>, n array<int>"
+RELATION = "block long, items array<int>, halo array<int>, ids array<long>"
+PAIRS = "uid long, left long, right long, n int"
+LAST_PAIRS = "left long, right long, n int"
 
 
 class _Block:
-    """Words of some texts: items in order with -1 after each piece; codes by lang and word."""
+    """Words of some texts: items in order with -1 after each piece; codes by lang and word; `halo`: places that don't count."""
 
     def __init__(self):
         count = itertools.count()
         self.codes = defaultdict(lambda: defaultdict(count.__next__))
-        self.items = []
+        self.items, self.halo = [], []
 
-    def add(self, lang, text) -> None:
-        codes = self.codes[lang if isinstance(lang, str) else NO_LANG].__getitem__
-        for piece in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n"):
-            words = piece.split()
-            if words:
-                self.items.extend(map(codes, words))
-                self.items.append(-1)
+    def add(self, lang: str, words: list[bytes], counted: int) -> None:
+        self.items.extend(map(self.codes[lang].__getitem__, words))
+        self.halo.extend(range(len(self.items) - len(words) + counted, len(self.items)))
+        self.items.append(-1)
 
     def batch(self, number: int) -> pa.RecordBatch:
         items = np.array(self.items, np.int32)
@@ -63,11 +66,13 @@ class _Block:
             words.extend(known)
             codes.extend(known.values())
             langs.extend([lang] * len(known))
-        n = np.bincount(items[items >= 0], minlength=len(words))[codes] if words else []
+        own = items.copy()
+        own[self.halo] = -1
+        n = np.bincount(own[own >= 0], minlength=len(words))[codes] if words else []
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), _one(items, pa.int32()), _one(codes, pa.int32()), _one(langs, pa.string()),
+            [pa.array([number], pa.int64()), _one(items, pa.int32()), _one(self.halo, pa.int32()), _one(codes, pa.int32()), _one(langs, pa.string()),
              _one(pa.array(words, pa.binary()).cast(pa.string()), pa.string()), _one(n, pa.int32())],
-            names=["block", "items", "code", "lang", "word", "n"])
+            names=["block", "items", "halo", "code", "lang", "word", "n"])
 
 
 def _one(values, kind: pa.DataType) -> pa.ListArray:
@@ -76,18 +81,27 @@ def _one(values, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
 
-def _word_blocks(batches):
-    number = TaskContext.get().partitionId() << 32
-    block = _Block()
-    for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if text:
-                block.add(lang, text)
-            if len(block.items) >= BLOCK_WORDS:
-                yield block.batch(number)
-                block, number = _Block(), number + 1
-    if block.items:
-        yield block.batch(number)
+def pieces_of(text: str):
+    for piece in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n"):
+        if words := piece.split():
+            yield words
+
+
+def _word_blocks(max_words: int, size: int):
+    def run(batches):
+        number, block = TaskContext.get().partitionId() << BLOCK_BITS, _Block()
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for words in pieces_of(text or ""):
+                    for i in range(0, len(words), size):
+                        block.add(lang if isinstance(lang, str) else NO_LANG, words[i:i + size + max_words - 1], min(size, len(words) - i))
+                        if len(block.items) >= size:
+                            yield block.batch(number)
+                            block, number = _Block(), number + 1
+        if block.items:
+            yield block.batch(number)
+
+    return run
 
 
 def _flat(column, i: int) -> np.ndarray:
@@ -95,84 +109,194 @@ def _flat(column, i: int) -> np.ndarray:
     return s.values.to_numpy(zero_copy_only=False) if s.is_valid else np.zeros(0, np.int64)
 
 
-def merge_join(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places p whose item and whose next place's item are there (ids >= 0), and the pairs (ids[p], ids[p + 1])."""
-    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    return at, np.stack([ids[at], ids[at + 1]], axis=1)
-
+def merge_join(items: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose item and whose next place's item are there, the code of the pair at each, and the distinct pairs of ids.
 
-def _extend(batches):
-    """Rows (block, items, frequent codes, their ids) -> the relation of phrases one word longer, with its groups."""
+    Codes are the ranks of the pairs, so they are the same whenever they are computed.
+    """
+    at = np.flatnonzero((items[:-1] >= 0) & (items[1:] >= 0))
+    m = max(1, len(ids))
+    key = items[at].astype(np.int64) * m + items[at + 1]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.ones(len(at), bool)
+    first[1:] = key[1:] != key[:-1]
+    code = np.empty(len(at), np.int64)
+    code[order] = np.cumsum(first) - 1
+    key = key[first]
+    return at, code, np.stack([ids[key // m], ids[key % m]])
+
+
+def _relations(batches):
+    """(block, relation) of each row of RELATION."""
     for b in batches:
-        col = {n: b.column(n) for n in ("block", "items", "codes", "ids")}
+        col = {n: b.column(n) for n in b.schema.names}
         for i in range(b.num_rows):
-            items, codes, ids = _flat(col["items"], i), _flat(col["codes"], i), _flat(col["ids"], i)
-            if not len(items):
-                continue
-            to = np.full(int(items.max(initial=-1)) + 2, -1, np.int64)  # the last place stands for -1, a gap
-            to[codes] = ids
-            at, pair = merge_join(to[items])
-            if not len(at):
-                continue
-            order = np.lexsort((pair[:, 1], pair[:, 0]))
-            s = pair[order]
-            first = np.ones(len(s), bool)
-            first[1:] = (s[1:] != s[:-1]).any(axis=1)
-            code = np.cumsum(first) - 1
-            out = np.full(len(items), -1, np.int32)
-            out[at[order]] = code
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([col["block"][i].as_py()], pa.int64()), _one(out, pa.int32()), _one(np.arange(first.sum(), dtype=np.int32), pa.int32()),
-                 _one(s[first, 0], pa.int64()), _one(s[first, 1], pa.int64()), _one(np.bincount(code).astype(np.int32), pa.int32())],
-                names=["block", "items", "code", "left", "right", "n"])
-
-
-def _groups(blocks: DataFrame, key: list[str]) -> DataFrame:
-    return blocks.select("block", F.explode(F.arrays_zip("code", *key, "n")).alias("g")).select("block", "g.*")
-
-
-def _frequent(groups: DataFrame, key: list[str], least: int) -> DataFrame:
-    """The groups with `least` occurrences and more, with an id; written, so that ids stay."""
-    counted = groups.groupBy(*key).agg(F.sum("n").cast("long").alias("f")).where(F.col("f") >= least)
-    return materialise(counted.withColumn("id", F.monotonically_increasing_id()), "setm-frequent")
-
-
-def _semi_joined(blocks: DataFrame, groups: DataFrame, frequent: DataFrame, key: list[str]) -> DataFrame:
-    """Each block with the codes of its frequent groups and their ids."""
-    kept = groups.select("block", "code", *key).join(frequent.select(*key, "id"), key)
-    by_block = kept.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("g"))
-    return (blocks.select("block", "items").join(by_block, "block")
-            .select("block", "items", F.col("g.code").alias("codes"), F.col("g.id").alias("ids")))
-
-
-def phrase_levels(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = 3, least: int = 10) -> tuple[list[DataFrame], DataFrame]:
+            yield col["block"][i].as_py(), {n: _flat(col[n], i) for n in col if n != "block"}
+
+
+def _row(block: int, items: np.ndarray, halo: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A relation whose items are places in `ids`, which ascend: items with a frequent code, -1 for the rest (the semi-join)."""
+    order = np.argsort(ids)
+    codes, ids = codes[order], ids[order]
+    to = np.full(int(items.max(initial=-1)) + 2, -1, np.int32)  # the last place stands for -1, a gap
+    to[codes] = np.arange(len(codes), dtype=np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _one(to[items], pa.int32()), _one(halo, pa.int32()), _one(ids, pa.int64())],
+                                      names=["block", "items", "halo", "ids"])
+
+
+def _frequent_words(batches):
+    for block, r in _relations(batches):
+        yield _row(block, r["items"], r["halo"], r["codes"], r["to"])
+
+
+def _pairs(batches, numbered: bool = True):
+    for block, r in _relations(batches):
+        at, code, pairs = merge_join(r["items"], r["ids"])
+        counted = np.ones(len(r["items"]), bool)
+        counted[r["halo"]] = False
+        n = np.bincount(code[counted[at]], minlength=pairs.shape[1]).astype(np.int32)
+        cols = {"left": pa.array(pairs[0], pa.int64()), "right": pa.array(pairs[1], pa.int64()), "n": pa.array(n, pa.int32())}
+        if numbered:
+            cols = {"uid": pa.array((block << CODE_BITS) + np.arange(pairs.shape[1]), pa.int64())} | cols
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def _last_pairs(batches):
+    """Pairs of the last level: nothing goes back to their blocks."""
+    return _pairs(batches, numbered=False)
+
+
+def _frequent_pairs(batches):
+    for block, r in _relations(batches):
+        at, code, _ = merge_join(r["items"], r["ids"])
+        items = np.full(len(r["items"]), -1, np.int64)
+        items[at] = code
+        yield _row(block, items, r["halo"], r["codes"], r["to"])
+
+
+class _Relation:
+    """A relation's table, bucketed by block in the shared folder."""
+
+    def __init__(self, rows: DataFrame):
+        self.spark, self.name, path = rows.sparkSession, f"setm_{uuid.uuid4().hex}", shared_path(rows.sparkSession, "setm-relation")
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        rows.write.format("parquet").bucketBy(n, "block").option("path", path).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+        self.rows._opsight_path = path
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.rows)
+
+
+def _numbered(least: int, bits: int, keys: list[str]):
+    """mapInArrow body over rows (uid, keys, n) sorted by keys: the rows of frequent groups with a small id for each group."""
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            c = t.column(k).combine_chunks()
+            new |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        return np.r_[0, np.flatnonzero(new) + 1]
+
+    def run(batches):
+        task, count, held = TaskContext.get().partitionId(), 0, None
+        if task >> bits:
+            raise ValueError("more tasks than ids have room for")
+
+        def rows(t: pa.Table, at: np.ndarray):
+            nonlocal count
+            total = np.add.reduceat(t.column("n").to_numpy().astype(np.int64), at)
+            size, ok = np.diff(np.r_[at, t.num_rows]), total >= least
+            first = np.zeros(t.num_rows, bool)
+            first[at] = True
+            kept = np.repeat(ok, size)
+            ids = ((count + np.arange(ok.sum())) << bits) + task
+            count += int(ok.sum())
+            some, first = t.filter(pa.array(kept)), pa.array(first[kept])
+            cols = {"uid": some.column("uid"), "id": pa.array(np.repeat(ids, size[ok]), pa.int64())}
+            cols |= {k: pc.if_else(first, some.column(k), pa.scalar(None, some.column(k).type)) for k in keys}
+            cols["f"] = pc.if_else(first, pa.array(np.repeat(total[ok], size[ok]), pa.int64()), pa.scalar(None, pa.int64()))
+            yield from pa.table(cols).combine_chunks().to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            if t.num_rows:
+                at = starts(t)
+                held = t.slice(int(at[-1]))  # its group may go on in the next batch
+                if at[-1]:
+                    yield from rows(t.slice(0, int(at[-1])), at[:-1])
+        if held is not None:
+            yield from rows(held, np.zeros(1, np.int64))
+
+    return run
+
+
+def _counted(groups: DataFrame, key: list[str], least: int) -> DataFrame:
+    """The rows of groups with `least` occurrences and more: uid and id, and on one row of each group its key and f; written.
+
+    A group has one row a block at most, so the rows of one group are few beside a task's others.
+    """
+    n = max(1, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    out = "uid long, id long, " + ", ".join(f"{k} {kinds[k]}" for k in key) + ", f long"
+    dealt = groups.select("uid", *key, "n").repartition(n, *key).sortWithinPartitions(*key)
+    return materialise(dealt.mapInArrow(_numbered(least, (8 * n).bit_length(), key), out), "setm-frequent")
+
+
+def _semi_join(relation: _Relation, kept: DataFrame, extend) -> _Relation:
+    """The relation of the next step: `extend` gets each block with the codes of its frequent groups and their ids."""
+    by_block = (kept.select(F.shiftright("uid", CODE_BITS).alias("block"), F.col("uid").bitwiseAND((1 << CODE_BITS) - 1).cast("int").alias("code"), "id")
+                .groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("g")))
+    columns = [c for c in ("block", "items", "halo", "ids") if c in relation.rows.columns]
+    met = (relation.rows.select(*columns).hint("merge").join(by_block, "block")
+           .select(*columns, F.col("g.code").alias("codes"), F.col("g.id").alias("to")))
+    out = _Relation(met.mapInArrow(extend, RELATION))
+    relation.drop()
+    return out
+
+
+def phrase_levels(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = 3, least: int = 10,
+                  block_words: int = BLOCK_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """([frequent phrases of 1, 2, ... max_words words], words of each lang).
 
-    Phrases: id, lang, words (array), f, prefix_f and suffix_f (counts of the first and of the last 1, 2, ... words).
+    Words: id, lang, word, f. Phrases: id, lang, parts (ids of the words), f, prefix_f and suffix_f (counts of the first and of the last
+    1, 2, ... words), left and right (ids of the phrases without the last and without the first word). `with_text` spells them out.
     """
     src = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    blocks = materialise(src.mapInArrow(_word_blocks, BLOCKS), "setm-words")
-    key = ["lang", "word"]
-    groups = _groups(blocks, key)
+    relation = _Relation(src.mapInArrow(_word_blocks(max_words, block_words), WORDS))
+    groups = (relation.rows.select("block", F.explode(F.arrays_zip("code", "lang", "word", "n")).alias("g"))
+              .select((F.shiftleft("block", CODE_BITS) + F.col("g.code")).alias("uid"), "g.lang", "g.word", "g.n"))
     totals = materialise(groups.groupBy("lang").agg(F.sum("n").cast("long").alias("n")), "setm-totals")
-    found = _frequent(groups, key, least)
-    none = F.array().cast("array<long>")
-    levels = [found.select("id", "lang", F.array("word").alias("words"), "f", none.alias("prefix_f"), none.alias("suffix_f"))]
-    for _ in range(1, max_words):
-        longer = materialise(_semi_joined(blocks, groups, found, key).mapInArrow(_extend, GROUPS), "setm-phrases")
-        discard(blocks)
-        blocks, key = longer, ["left", "right"]
-        groups = _groups(blocks, key)
-        found = _frequent(groups, key, least)
-        shorter = levels[-1]
-        left = shorter.select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), F.concat("prefix_f", F.array("f")).alias("prefix_f"))
-        right = shorter.select(F.col("id").alias("right"), F.element_at("words", -1).alias("tail"), F.concat("suffix_f", F.array("f")).alias("suffix_f"))
-        levels.append(materialise(found.join(left, "left").join(right, "right").select(
-            "id", "left", "right", "lang", F.concat("head", F.array("tail")).alias("words"), "f", "prefix_f", "suffix_f"), "setm-level"))
-    discard(blocks)
+    kept, extend = _counted(groups, ["lang", "word"], least), _frequent_words
+    words = kept.where("f is not null").select("id", "lang", "word", "f")
+    levels, none = [words], F.array().cast("array<long>")
+    shorter = words.select("id", "lang", F.array("id").alias("parts"), "f", none.alias("prefix_f"), none.alias("suffix_f"))
+    for size in range(2, max_words + 1):
+        relation, extend = _semi_join(relation, kept, extend), _frequent_pairs
+        if size < max_words:
+            kept = _counted(relation.rows.mapInArrow(_pairs, PAIRS), ["left", "right"], least)
+            found = kept.where("f is not null").select("id", "left", "right", "f")
+        else:
+            counts = relation.rows.mapInArrow(_last_pairs, LAST_PAIRS).groupBy("left", "right").agg(F.sum("n").cast("long").alias("f"))
+            found = counts.where(F.col("f") >= least).select(F.lit(None).cast("long").alias("id"), "left", "right", "f")
+        left = shorter.select(F.col("id").alias("left"), "lang", F.col("parts").alias("head"), F.concat("prefix_f", F.array("f")).alias("prefix_f"))
+        right = shorter.select(F.col("id").alias("right"), F.element_at("parts", -1).alias("tail"), F.concat("suffix_f", F.array("f")).alias("suffix_f"))
+        shorter = materialise(found.join(left, "left").join(right, "right").select(
+            "id", "left", "right", "lang", F.concat("head", F.array("tail")).alias("parts"), "f", "prefix_f", "suffix_f"), "setm-level")
+        levels.append(shorter)
+    relation.drop()
     return levels, totals
 
 
+def with_text(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """`phrases` with `phrase`, the words of `parts` joined by a space."""
+    spelt = (phrases.select("parts").distinct().select("parts", F.posexplode("parts").alias("at", "id")).join(words.select("id", "word"), "id")
+             .groupBy("parts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase")))
+    return phrases.join(spelt, "parts")
+
+
 def _score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (l * r)), exact: 38 digits hold counts to 10^15."""
     big = lambda c: c.cast("decimal(19,0)")
@@ -180,12 +304,13 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top.cast("decimal(38,0)"), (big(left) * big(right)).cast("decimal(38,0)"))
 
 
-def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = 3, least: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:
+def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = 3, least: int = 10, inside: int = 50, top: int = 2000,
+                 block_words: int = BLOCK_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of 2 to max_words words of each lang.
 
     A phrase is left out if a longer frequent phrase that holds it has `inside` per cent of its occurrences.
     """
-    levels, totals = phrase_levels(df, lang_col, text_col, max_words, least)
+    levels, totals = phrase_levels(df, lang_col, text_col, max_words, least, block_words)
     scored = []
     for k in range(1, max_words):
         level = levels[k].withColumnRenamed("f", "a")
@@ -196,12 +321,18 @@ def collocations(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
             level = level.join(around, "id", "left").where(F.coalesce(100 * F.col("around") < inside * F.col("a"), F.lit(True)))
         cuts = [F.struct(_score(F.col("a"), F.col("prefix_f")[j - 1], F.col("suffix_f")[k - j]).alias("score"), F.lit(j).alias("cut"),
                          F.col("prefix_f")[j - 1].alias("l"), F.col("suffix_f")[k - j].alias("r")) for j in range(1, k + 1)]
-        scored.append(level.select("lang", F.array_join("words", " ").alias("phrase"), "a", F.array_min(F.array(*cuts)).alias("c")))
+        scored.append(level.select("lang", "parts", "a", F.array_min(F.array(*cuts)).alias("c")))
     every = scored[0]
     for s in scored[1:]:
         every = every.unionByName(s)
-    best = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
-    ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # Ranks by numbers first, ties kept, so that only what can be among the best is spelt out. A lang may have a third of all
+    # phrases: the best of each of its parts come first, so that its last task reads SALTS * top rows (and ties).
+    numbers = [F.desc("c.score"), F.desc("a")]
+    part = every.withColumn("part", F.pmod(F.xxhash64("parts"), F.lit(SALTS)))
+    first = part.withColumn("r", F.rank().over(Window.partitionBy("lang", "part").orderBy(*numbers))).where(F.col("r") <= top)
+    best = first.withColumn("r", F.rank().over(Window.partitionBy("lang").orderBy(*numbers))).where(F.col("r") <= top).drop("part", "r")
+    spelt = with_text(materialise(best, "setm-best"), levels[0])
+    ranked = spelt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*numbers, "phrase"))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score")
 
 

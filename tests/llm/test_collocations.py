@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 from opsight.llm import queries as Q
-from opsight.llm.collocations import collocations, phrase_levels
+from opsight.llm.collocations import collocations, phrase_levels, with_text
 from opsight.plans.check import duck, rows_of_duck, rows_of_spark
 
 SCHEMA = "doc_id long, text string, lang string, source string, l long, word string, n long, id long"
@@ -54,20 +54,18 @@ def test_against_counts_of_every_phrase(spark):
         assert got == plain(rows, **kw) and got
 
 
-def test_blocks_cut_between_documents(spark, monkeypatch):
-    from opsight.llm import collocations as C
-
+def test_blocks_cut_between_and_inside_pieces(spark):
     rows = rows_at_random(2)
-    want = plain(rows)
-    monkeypatch.setattr(C, "BLOCK_WORDS", 40)
-    got = collocations(table_of(spark, rows)).collect()
-    assert sorted(tuple(r) for r in got) == want
+    for kw in ({}, {"max_words": 4, "least": 3}):
+        got = collocations(table_of(spark, rows), block_words=40, **kw).collect()
+        assert sorted(tuple(r) for r in got) == plain(rows, **kw)
 
 
 def test_levels_hold_the_frequent_phrases(spark):
     levels, totals = phrase_levels(table_of(spark, [("a b c. a b d", "en")] * 10))
-    assert [sorted((tuple(r["words"]), r["f"]) for r in x.collect()) for x in levels] == [
-        [(("a",), 20), (("b",), 20), (("c",), 10), (("d",), 10)], [(("a", "b"), 20), (("b", "c"), 10), (("b", "d"), 10)], [(("a", "b", "c"), 10), (("a", "b", "d"), 10)]]
+    assert sorted((r["word"], r["f"]) for r in levels[0].collect()) == [("a", 20), ("b", 20), ("c", 10), ("d", 10)]
+    assert [sorted((r["phrase"], r["f"]) for r in with_text(x, levels[0]).collect()) for x in levels[1:]] == [
+        [("a b", 20), ("b c", 10), ("b d", 10)], [("a b c", 10), ("a b d", 10)]]
     assert [tuple(r) for r in totals.collect()] == [("en", 60)]
 
 
