@@ -11,6 +11,7 @@ overwrites its own partition.
 from __future__ import annotations
 
 import datetime
+import itertools
 import uuid
 
 import pandas as pd
@@ -134,11 +135,15 @@ def tumbling_counts(stream: DataFrame, key: str, size: str, ts: str = "ts", wate
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+APPEND_ROWS = 10_000  # alerts that go to the state store in one message
+
+
 class _FirstInWindow(StatefulProcessor):
     """Keeps an alert if its key has kept none in the window before it, by event time whatever the order of arrival.
 
-    Alerts wait until the watermark has passed them, so no earlier one can come; an event-time timer wakes the key
-    for each of them. Another timer clears the last kept alert when its window has passed, so an idle key has no state.
+    Alerts wait until the watermark has passed them, so no earlier one can come. One event-time timer, for the earliest that
+    waits, wakes the key; all that are due are then decided in one pass, so the work grows with the alerts and not with their
+    square. Another timer clears the last kept alert when its window has passed, so an idle key has no state.
     """
 
     def __init__(self, window_ms: int, fields: list[str], ts: str, row_id: str):
@@ -147,34 +152,55 @@ class _FirstInWindow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ts timestamp, id long")
+        self.wake = handle.getValueState("wake", "at long")  # when the earliest that waits is due
         self.last = handle.getValueState("last", "ts timestamp")
 
+    def _wake_at(self, at: int) -> None:
+        """A timer that this one forestalls stays: it may also be that of the last kept alert."""
+        if not self.wake.exists() or at < self.wake.get()[0]:
+            self.handle.registerTimer(at)
+            self.wake.update((at,))
+
     def handleInputRows(self, key, rows, timerValues):
-        for r in rows:
-            at = r[self.ts]
-            self.waiting.appendValue((at, r[self.row_id]))
-            self.handle.registerTimer(_millis(at) + 1)
+        earliest = None
+        while part := [(r[self.ts], r[self.row_id]) for r in itertools.islice(rows, APPEND_ROWS)]:
+            first = min(at for at, _ in part)
+            earliest = first if earliest is None else min(earliest, first)
+            self.waiting.appendList(part)
+        if earliest is not None:
+            self._wake_at(_millis(earliest) + 1)
         return iter(())
 
+    def _due(self, passed: int) -> list:
+        """Takes the alerts that the watermark has passed out of those that wait, in order."""
+        if not self.wake.exists() or self.wake.get()[0] > passed:
+            return []
+        self.wake.clear()
+        due, rest = [], []
+        for r in self.waiting.get():
+            (due if _millis(r[0]) < passed else rest).append(tuple(r))
+        self.waiting.clear()
+        for i in range(0, len(rest), APPEND_ROWS):
+            self.waiting.appendList(rest[i:i + APPEND_ROWS])
+        if rest:
+            self._wake_at(_millis(min(at for at, _ in rest)) + 1)
+        return sorted(due)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if _millis(r[0]) < passed]
-        if due:
-            rest = rows[len(due):]
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        last = self.last.get()[0] if self.last.exists() else None
-        for at, row_id in due:
-            if last is None or at - last > datetime.timedelta(milliseconds=self.window_ms):
+        before = last = self.last.get()[0] if self.last.exists() else None
+        window, kept = datetime.timedelta(milliseconds=self.window_ms), []
+        for at, row_id in self._due(passed):
+            if last is None or at - last > window:
                 last = at
-                self.last.update((at,))
-                self.handle.registerTimer(_millis(at) + self.window_ms + 1)
-                yield Row(**dict(zip(self.fields, key)), created_at=at, **{self.row_id: row_id})
+                kept.append((at, row_id))
         if last is not None and _millis(last) + self.window_ms < passed:
             self.last.clear()
+        elif last != before:
+            self.last.update((last,))
+            self.handle.registerTimer(_millis(last) + self.window_ms + 1)
+        for at, row_id in kept:
+            yield Row(**dict(zip(self.fields, key)), created_at=at, **{self.row_id: row_id})
 
     def close(self) -> None:
         pass

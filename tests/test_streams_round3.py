@@ -50,6 +50,76 @@ def test_first_alert_by_event_time_and_state_that_empties(spark, tmp_path):
     assert left["last"] == set() and left["waiting"] <= {"z"}
 
 
+class Store:
+    """State variables and timers of one key in memory; counts the messages and rows that would go to the state store."""
+
+    def __init__(self):
+        self.timers, self.messages, self.rows_read = set(), 0, 0
+
+    def getListState(self, name, schema):
+        return Var(self)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.messages += 1
+        self.timers.add(at)
+
+
+class Var:
+    def __init__(self, store):
+        self.store, self.value = store, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        if isinstance(self.value, list):
+            self.store.rows_read += len(self.value)
+            return iter(list(self.value))
+        return self.value
+
+    def put(self, value):
+        self.store.messages += 1
+        self.value = value
+
+    update = put
+
+    def appendList(self, rows):
+        self.put((self.value or []) + list(rows))
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def clear(self):
+        self.value = None
+
+
+def test_work_of_a_frequent_alert_grows_with_its_rows():
+    """A key with many alerts, some of which still wait at each step of the watermark: few messages, each row read a few times."""
+    import random
+    from types import SimpleNamespace
+
+    r = random.Random(5)
+    rows = [{"ts": T0 + dt.timedelta(seconds=r.randrange(6 * 3600)), "event_id": i} for i in range(3000)]
+    rows.sort(key=lambda x: x["ts"])
+    store, got = Store(), []
+    op = S._FirstInWindow(600_000, ["signal"], "ts", "event_id")
+    op.init(store)
+    for part, hours in ((rows[:1500], 1), (rows[1500:], 5), ([], 30)):
+        r.shuffle(part)
+        list(op.handleInputRows(("a",), iter(part), None))
+        passed = S._millis(T0 + dt.timedelta(hours=hours))
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: passed)
+        for at in sorted(t for t in store.timers if t <= passed):
+            got += [(x["created_at"], x["event_id"]) for x in op.handleExpiredTimer(("a",), clock, None)]
+            store.timers.discard(at)
+    want = greedy([("a", "", x["ts"], x["event_id"]) for x in rows], 10)
+    assert got == [x[2:] for x in want]
+    assert not store.timers and not op.waiting.exists() and not op.last.exists()
+    assert store.messages < 30 and store.rows_read <= 3 * len(rows)
+
+
 @pytest.mark.parametrize("form", ["tumbling", "sliding", "sessions", "correlate"])
 def test_a_late_row_lands_in_the_late_table(spark, tmp_path, form):
     schema = "ts timestamp, k string, v double"
