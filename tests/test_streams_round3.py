@@ -145,3 +145,23 @@ def test_a_late_row_lands_in_the_late_table(spark, tmp_path, form):
         newest = S.read_upserted(spark, str(tmp_path / "out"), ["k", "w"])
         assert newest.agg(F.sum("n")).first()[0] == 22  # every on-time row is in a window
     assert "late" not in {r[0] for r in out.select("a" if form == "correlate" else "k").collect()}
+
+
+def test_a_frequent_key_of_a_correlation_is_dealt_by_time(spark, tmp_path):
+    """Every pair once, at the edges of the interval too, while the rows of one key lie in the state of many tasks."""
+    us = dt.timedelta(microseconds=1)
+    left = [("a", at(m), m) for m in range(0, 3000, 20)] + [("a", at(0), 9001), ("b", at(60), 9002), (None, at(0), 9003), ("a", None, 9004)]
+    right = [("a", at(m), m) for m in range(10, 3000, 25)] + [("a", at(30), 9101), ("a", at(-30), 9102), ("a", at(30) + us, 9103), ("a", at(-30) - us, 9104),
+                                                             ("b", at(30), 9105), ("b", at(90), 9106), ("b", at(90) + us, 9107), (None, at(0), 9108), ("a", None, 9109)]
+    for name, rows in (("left", left), ("right", right)):
+        spark.createDataFrame(rows, "k string, t timestamp, i long").repartition(2).write.parquet(str(tmp_path / name))
+    a, b = (spark.readStream.schema("k string, t timestamp, i long").parquet(str(tmp_path / n)).select(F.col("k").alias(f"{n}_k"), F.col("t").alias(f"{n}_t"), F.col("i").alias(f"{n}_i"))
+            for n in ("left", "right"))
+    joined = S.correlate(a, b, "left_k", "right_k", "left_t", "right_t", "30 minutes", watermark="100 days")
+    assert joined.columns == [*a.columns, *b.columns]
+    S.upsert_sink(joined, str(tmp_path / "out"), str(tmp_path / "ckpt"), "append")
+    got = sorted((r["left_i"], r["right_i"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    within = dt.timedelta(minutes=30)
+    assert got == sorted((x[2], y[2]) for x in left for y in right if None not in (*x, *y) and x[0] == y[0] and abs(x[1] - y[1]) <= within)
+    state = spark.read.format("statestore").option("joinSide", "right").load(str(tmp_path / "ckpt"))
+    assert state.where("value.right_k = 'a'").select("partition_id").distinct().count() > 1
