@@ -38,10 +38,16 @@ SLICE = 1000  # documents that a worker encodes at once
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Most significant bit first, without gaps; the last byte is filled with zeros."""
     cells = ids.astype(">u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:
+        return cells[:, 4 - bits // 8:].tobytes()
     return np.packbits(np.unpackbits(cells, axis=1)[:, 32 - bits:]).tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits % 8 == 0:
+        cells = np.zeros((n, 4), np.uint8)
+        cells[:, 4 - bits // 8:] = np.frombuffer(data, np.uint8)[:n * bits // 8].reshape(n, bits // 8)
+        return cells.view(">u4").ravel().astype(np.uint32)
     flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
     cells = np.zeros((n, 32), np.uint8)
     cells[:, 32 - bits:] = flat
@@ -154,22 +160,33 @@ class PieceEncoder:
         self.pieces, self.ids = _Index(), _Csr()
         self.stems, self.stem_ids = _Index(), _Csr()
 
-    def _parts(self, piece: str) -> list[int]:
-        """Stems of a piece: lower case where it is ASCII, and a comma or full stop after an ASCII letter or digit apart.
+    def _parts(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        """(stems of the pieces in turn, number of stems of each): lower case where it is ASCII, and a comma or full stop after
+        an ASCII letter or digit apart.
 
         A piece that may hold an added token, which the library looks for before lower case, is a stem as it is."""
-        if any(t in piece.lower() for t in self.added):
-            return [self.stems[piece]]
-        if piece.isascii():
-            piece = piece.lower()
-        if piece[-1:] in (",", ".") and piece[-2:-1].isalnum() and piece[-2:-1].isascii():
-            return [self.stems[piece[:-1]], self.stems[piece[-1]]]
-        return [self.stems[piece]]
+        low = "\n".join(pieces).lower()  # no piece holds a line feed
+        watch = any(t in low for t in self.added)
+        stems, flat, counts = self.stems, [], []
+        for piece, lowered in zip(pieces, low.split("\n")):
+            if watch and any(t in lowered for t in self.added):
+                flat.append(stems[piece])
+                counts.append(1)
+                continue
+            if piece.isascii():
+                piece = lowered
+            if piece.endswith((",", ".")) and piece[-2:-1].isalnum() and piece[-2:-1].isascii():
+                flat += stems[piece[:-1]], stems[piece[-1]]
+                counts.append(2)
+            else:
+                flat.append(stems[piece])
+                counts.append(1)
+        return flat, counts
 
     def _learn(self, group: int = 2048) -> None:
         if not self.pieces.fresh:
             return
-        parts = [self._parts(p) for p in self.pieces.fresh]
+        parts, counts = self._parts(self.pieces.fresh)
         self.pieces.fresh = []
         fresh, self.stems.fresh = self.stems.fresh, []
         flat, lens = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
@@ -179,8 +196,7 @@ class PieceEncoder:
             flat.append(np.array(e.ids, np.int32))
             lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
         self.stem_ids.extend(np.concatenate(flat), np.r_[0, np.cumsum(np.concatenate(lens))].astype(np.int64))
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        values, starts = self.stem_ids.gather(np.array([x for p in parts for x in p], np.int64))
+        values, starts = self.stem_ids.gather(np.array(parts, np.int64))
         self.ids.extend(values, starts[np.r_[0, np.cumsum(counts)]])
 
     def encode(self, texts: list) -> list[np.ndarray]:

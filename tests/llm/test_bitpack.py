@@ -83,3 +83,19 @@ def test_added_tokens_as_the_library_finds_them():
     assert enc.encode(texts[:1])[0].tolist() == [23435, 49407, 2411]
     for t, ids in zip(texts, enc.encode(texts)):
         assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("bits", [8, 16, 24, 32])
+def test_whole_bytes_are_packed_without_spreading_their_bits(bits):
+    """Most significant byte first, as the bits would lie, and a few bytes of memory an id."""
+    import tracemalloc
+
+    ids = np.random.default_rng(bits).integers(0, 2 ** bits, 100_000, dtype=np.uint64).astype(np.uint32)
+    tracemalloc.start()
+    data = B.pack(ids, bits)
+    back = B.unpack(data, len(ids), bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert data == b"".join(int(x).to_bytes(bits // 8, "big") for x in ids)
+    assert back.dtype == np.uint32 and (back == ids).all()
+    assert peak < 20 * len(ids)
